@@ -15,6 +15,7 @@ becomes a double only on output. Collection factors are decimals too
 from __future__ import annotations
 
 from datetime import date, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from caudal.operators.kpis import burn_rate, liquid_balance
 
 FACTOR = "decimal(6,4)"
 RATE_SCALE = 6  # money (2) x factor (4)
+MONTHS_FACTOR = "decimal(10,6)"
 
 def _out() -> Column:
     return F.col("move_type") == S.OUT_INVOICE
@@ -170,15 +172,17 @@ def min_collection_rate(spark: SparkSession, staged: DataFrame, journals: DataFr
 
 def projected_cash_doc(spark: SparkSession, staged: DataFrame, journals: DataFrame, as_of: date,
                        pcts: range = range(0, 101, 5), days: int = 90, months: int = 3) -> DataFrame:
-    """Closed form: balance + receivables x c - (burn / 30) x days, per slider position."""
+    """Closed form: balance + receivables x c - monthly burn x (days / 30), per slider position.
+
+    Exact decimal arithmetic (``days / 30`` as a 6-decimal factor, the burn
+    rate at its 2 published decimals), so the result has no rounding step.
+    """
     recv = staged.filter(_out()).agg(F.coalesce(F.sum(_res()), C.zero_money()).alias("cxc"))
     rows = (collection_scenarios(spark, pcts).crossJoin(recv)
             .crossJoin(liquid_balance(journals)).crossJoin(burn_rate(staged, as_of, months)))
-    gross = (F.col("saldo") + F.col("cxc") * F.col("c")).cast("double")
-    return rows.select(
-        "pct",
-        F.bround(gross - F.col("burn_rate") * F.lit(days) / F.lit(30), 2).alias("caja_proyectada")
-    ).orderBy("pct")
+    span = F.lit(Decimal(days) / Decimal(30)).cast(MONTHS_FACTOR)
+    cash = F.col("saldo") + F.col("cxc") * F.col("c") - F.col("burn_rate").cast(S.MONEY) * span
+    return rows.select("pct", C.money_out(cash, RATE_SCALE).alias("caja_proyectada")).orderBy("pct")
 
 
 # -- variant ---------------------------------------------------------------------

@@ -8,7 +8,7 @@ caller runs the action.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,21 +32,35 @@ RANGE_START = date(2001, 5, 1)
 RANGE_END = date(2001, 7, 31)
 
 
-@dataclass(frozen=True)
 class Ctx:
-    spark: SparkSession
-    raw: Ledger
-    main: Ledger
-    staged: DataFrame
-    moves_v: DataFrame
-    staged_v: DataFrame
+    """Inputs of one query, built on first use (plan building is not free)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, p: S.Params = PARAMS):
+        self.spark, self.sf_dir, self.p = spark, sf_dir, p
+
+    @cached_property
+    def raw(self) -> Ledger:
+        return mapped_ledger(self.spark, self.sf_dir, self.p.as_of)
+
+    @cached_property
+    def main(self) -> Ledger:
+        return main_ledger(self.raw, self.p.as_of, self.p.lookback_days)
+
+    @cached_property
+    def staged(self) -> DataFrame:
+        return stage(self.main.moves, self.p.as_of)
+
+    @cached_property
+    def moves_v(self) -> DataFrame:
+        return variant_moves(self.raw.moves, self.p.as_of, self.p.lookback_days)
+
+    @cached_property
+    def staged_v(self) -> DataFrame:
+        return stage_v(self.moves_v, self.p.as_of)
 
 
 def context(spark: SparkSession, sf_dir: str, p: S.Params = PARAMS) -> Ctx:
-    raw = mapped_ledger(spark, sf_dir, p.as_of)
-    main = main_ledger(raw, p.as_of, p.lookback_days)
-    moves_v = variant_moves(raw.moves, p.as_of, p.lookback_days)
-    return Ctx(spark, raw, main, stage(main.moves, p.as_of), moves_v, stage_v(moves_v, p.as_of))
+    return Ctx(spark, sf_dir, p)
 
 
 def to_output(df: DataFrame) -> DataFrame:

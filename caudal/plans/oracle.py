@@ -522,7 +522,7 @@ FROM per"""
     q["projected_cash_doc"] = _with(_scenarios(g.start, g.stop, g.step), """recv AS (
   SELECT coalesce(sum(amount_residual), 0) AS cxc FROM staging WHERE move_type = 'out_invoice'
 )""") + f"""
-SELECT s.pct, round_even(CAST(j.saldo + r.cxc * s.c AS DOUBLE) - b.burn_rate * {p.horizon_days} / 30, 2) AS caja_proyectada
+SELECT s.pct, {money(f"j.saldo + r.cxc * s.c - CAST(b.burn_rate AS DECIMAL(18,2)) * CAST({p.horizon_days / 30:.6f} AS DECIMAL(10,6))", 6)} AS caja_proyectada
 FROM scen s, recv r, bal j, burn b"""
     q["cashflow_projection_v"] = _with(_impayment(0, 1, 1), _grid_v()) + f"\nSELECT {_PROJ_V_COLS} FROM proj_v"
     q["scenario_grid_v"] = _with(_impayment(gv.start, gv.stop, gv.step), _grid_v()) + \

@@ -159,25 +159,45 @@ def map_journals(spark: SparkSession, sf_dir: str, as_of: date) -> DataFrame:
                 "current_balance"))
 
 
-def _materialize(spark: SparkSession, df: DataFrame, path: str,
+PAYMENTS_MAPPED = T.StructType([f for f in S.PAYMENTS_SCHEMA.fields if f.name != "journal_tipo"])
+
+
+def _materialize(spark: SparkSession, df: DataFrame, path: str, schema: T.StructType,
                  sort_col: str | None = None) -> DataFrame:
-    """Write ``df`` once under ``path`` (commit marked by ``_SUCCESS``), then read it.
+    """Write ``df`` once under ``path`` (commit marked by ``_SUCCESS``), then read it
+    back with its fixed schema (no footer inference).
 
     A job that died half way left no ``_SUCCESS``; it is simply rewritten.
     """
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        out = df.sortWithinPartitions(sort_col) if sort_col else df
+        out = df.select(*schema.fieldNames())
+        out = out.sortWithinPartitions(sort_col) if sort_col else out
         out.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+_LEDGERS: dict[tuple[str, str], Ledger] = {}
 
 
 def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
-    """Raw ledger (all states, all dates up to ``as_of``) for the given tables."""
+    """Raw ledger (all states, all dates up to ``as_of``) for the given tables.
+
+    Memoised per Spark application: the returned DataFrames are only plans
+    over the written files, so every report of a session shares one file
+    listing.
+    """
     key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{as_of.isoformat()}|v1".encode()).hexdigest()[:16]
     base = f"{shared_dir(spark)}/caudal/ledger/{key}"
+    memo = (spark.sparkContext.applicationId, base)
+    if memo in _LEDGERS:
+        return _LEDGERS[memo]
     # Sorted by invoice date inside each file: row-group statistics then let
     # the look-back and horizon filters skip whole row groups.
-    moves = _materialize(spark, map_moves(spark, sf_dir, as_of), f"{base}/moves", "invoice_date")
-    payments = _materialize(spark, map_payments(moves, as_of), f"{base}/payments", "date")
-    journals = _materialize(spark, map_journals(spark, sf_dir, as_of).coalesce(1), f"{base}/journals")
-    return Ledger(moves, payments, journals)
+    moves = _materialize(spark, map_moves(spark, sf_dir, as_of), f"{base}/moves",
+                         S.MOVES_SCHEMA, "invoice_date")
+    payments = _materialize(spark, map_payments(moves, as_of), f"{base}/payments",
+                            PAYMENTS_MAPPED, "date")
+    journals = _materialize(spark, map_journals(spark, sf_dir, as_of).coalesce(1),
+                            f"{base}/journals", S.JOURNALS_SCHEMA)
+    _LEDGERS[memo] = Ledger(moves, payments, journals)
+    return _LEDGERS[memo]
