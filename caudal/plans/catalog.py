@@ -59,8 +59,16 @@ class Ctx:
         return stage_v(self.moves_v, self.p.as_of)
 
 
+_CONTEXTS: dict[tuple[str, str, S.Params], Ctx] = {}
+
+
 def context(spark: SparkSession, sf_dir: str, p: S.Params = PARAMS) -> Ctx:
-    return Ctx(spark, sf_dir, p)
+    """One context per (application, input folder, parameters): the staged
+    frames are plans only, so every query of a session shares them."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), p)
+    if key not in _CONTEXTS:
+        _CONTEXTS[key] = Ctx(spark, sf_dir, p)
+    return _CONTEXTS[key]
 
 
 def to_output(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caudal import schema as S
 from caudal.functions.columns import lit_date
@@ -86,6 +87,22 @@ def variant_moves(raw_moves: DataFrame, as_of: date, lookback_days: int = 365) -
     return raw_moves.filter(F.col("invoice_date") >= lit_date(cutoff))
 
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Validate ``df`` against ``schema`` once, on ingest.
+
+    A missing nullable column is added as a typed null (the reference skips a
+    report or a column when an optional field is absent); a missing required
+    column is an error. Every column is cast to its schema type, in schema order.
+    """
+    have = set(df.columns)
+    missing = [f.name for f in schema.fields if f.name not in have and not f.nullable]
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
+    return df.select(*[
+        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema.fields])
+
+
 def load_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> Ledger:
     """Read ``moves``, ``payments``, ``journals`` under ``path`` with fixed schemas.
 
@@ -98,7 +115,13 @@ def load_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> Ledger:
         journals = decode.decode_journals(spark.read.schema(S.RAW_JOURNALS_SCHEMA).json(f"{path}/journals"))
         payments = spark.read.schema(S.PAYMENTS_SCHEMA).json(f"{path}/payments")
         return Ledger(moves, payments, journals)
-    reader = lambda s: spark.read.schema(s).format(fmt).options(**({"header": "true"} if fmt == "csv" else {}))
-    return Ledger(reader(S.MOVES_SCHEMA).load(f"{path}/moves"),
-                  reader(S.PAYMENTS_SCHEMA).load(f"{path}/payments"),
-                  reader(S.JOURNALS_SCHEMA).load(f"{path}/journals"))
+    opts = {"header": "true"} if fmt == "csv" else {}
+
+    def read(name: str, schema: T.StructType) -> DataFrame:
+        df = spark.read.format(fmt).options(**opts)
+        if fmt in ("csv", "json"):
+            df = df.schema(schema)  # text formats: no inference pass
+        return conform(df.load(f"{path}/{name}"), schema)
+
+    return Ledger(read("moves", S.MOVES_SCHEMA), read("payments", S.PAYMENTS_SCHEMA),
+                  read("journals", S.JOURNALS_SCHEMA))

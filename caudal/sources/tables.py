@@ -15,7 +15,7 @@ written table survives the loss of any executor.
 from __future__ import annotations
 
 import hashlib
-from datetime import date, datetime, time, timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,21 +36,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _before_day_after(df: DataFrame, col: str, d: date) -> Column:
     """``cast(col AS date) <= d`` written as a range on the raw column so the
     Parquet reader can push it down (a cast on the column cannot be pushed)."""
-    bound = datetime.combine(d + timedelta(days=1), time())
     dtype = df.schema[col].dataType
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.col(col) < F.lit(bound).cast("timestamp_ntz")
-    if isinstance(dtype, T.TimestampType):
-        return F.col(col) < F.lit(bound).cast("timestamp")
+    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
+        return F.col(col) < _midnight(d + timedelta(days=1), dtype)
     return F.col(col).cast("date") <= lit_date(d)
 
 
+def _midnight(d: date, dtype: T.DataType) -> Column:
+    """Midnight of ``d`` as a literal of the column's own timestamp type.
+
+    Built from text, so it means the same wall-clock time as ``cast(col AS
+    date)`` whatever the Python process's local zone is.
+    """
+    kind = "timestamp_ntz" if isinstance(dtype, T.TimestampNTZType) else "timestamp"
+    return F.lit(f"{d.isoformat()} 00:00:00").cast(kind)
+
+
 def _between_days(df: DataFrame, col: str, lo: date, hi: date) -> Column:
-    start = datetime.combine(lo, time())
     dtype = df.schema[col].dataType
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        kind = "timestamp_ntz" if isinstance(dtype, T.TimestampNTZType) else "timestamp"
-        return (F.col(col) >= F.lit(start).cast(kind)) & _before_day_after(df, col, hi)
+        return (F.col(col) >= _midnight(lo, dtype)) & _before_day_after(df, col, hi)
     return F.col(col).cast("date").between(lit_date(lo), lit_date(hi))
 
 

@@ -5,12 +5,16 @@ The reference recomputes everything from a fresh extract every five minutes
 inbox folder; a Structured Streaming file source picks new snapshots up, and
 ``foreachBatch``:
 
-1. appends the micro-batch to a bronze table (``batch_id=N`` partition,
-   overwritten on retry, so a replayed batch is idempotent);
-2. rebuilds the current ledger: newest version of every document id
-   (``max_by`` over ``(snapshot_seq, batch_id)``, a shuffle on ``id`` whose
-   groups are bounded by the number of snapshots of one document);
-3. stages it and rewrites the reports of that as-of date.
+1. the inbox itself is the history: snapshot files are immutable, and the
+   file source's log records which files each batch read, so a replayed
+   batch sees the same rows;
+2. compacts: the current ledger of batch N is the newest version of every
+   document id (``max_by`` over ``(snapshot_seq, batch_id)``) among the
+   current ledger of batch N-1 and the new rows, a shuffle on ``id`` over
+   (documents + new rows), never over the whole history. It is written to
+   ``current/v=N`` in the shared folder, which cuts the lineage and makes a
+   retried batch rebuild the same version from the same inputs;
+3. stages that written table and rewrites the reports of the as-of date.
 
 Progress and the set of processed files live in the checkpoint under the
 shared folder, so the job resumes after a driver or executor loss. Tests and
@@ -33,7 +37,7 @@ from caudal.functions.columns import lit_date
 from caudal.operators import kpis as K
 from caudal.operators import reports as R
 from caudal.operators.staging import stage
-from caudal.session import shared_dir
+from caudal.session import path_exists, shared_dir
 from caudal.sources.ledger import journals_source, moves_source
 from caudal.sources.sinks import read_report, write_reports
 
@@ -43,11 +47,20 @@ SNAPSHOT_SCHEMA = T.StructType(list(S.MOVES_SCHEMA.fields) + [
 MOVE_FIELDS = [f.name for f in S.MOVES_SCHEMA.fields]
 
 
+CURRENT_SCHEMA = T.StructType(list(SNAPSHOT_SCHEMA.fields) + [
+    T.StructField("batch_id", T.LongType(), False)])
+
+
 def latest_per_id(versions: DataFrame) -> DataFrame:
-    """Newest version of each document: highest (snapshot_seq, batch_id)."""
+    """Newest version of each document: highest (snapshot_seq, batch_id).
+
+    Partial aggregation keeps one candidate per id and task before the
+    shuffle, so a document sent in many snapshots costs one row per task.
+    """
+    keep = SNAPSHOT_SCHEMA.fieldNames() + ["batch_id"]
     order = F.struct("snapshot_seq", "batch_id")
     return (versions.groupBy("id")
-            .agg(F.max_by(F.struct(*MOVE_FIELDS), order).alias("v"))
+            .agg(F.max_by(F.struct(*keep), order).alias("v"))
             .select("v.*"))
 
 
@@ -68,14 +81,19 @@ def start_refresh(spark: SparkSession, inbox: str, workdir: str, journals: DataF
                   as_of: date, p: S.Params = S.Params(), available_now: bool = False,
                   every: str = "5 minutes", files_per_batch: int | None = None) -> StreamingQuery:
     """Start the refresh stream over ``inbox``; outputs under ``workdir``."""
-    bronze, out = f"{workdir}/bronze", f"{workdir}/reports"
+    current, out = f"{workdir}/current", f"{workdir}/reports"
     liquid = journals_source(journals)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{bronze}/batch_id={batch_id}")
-        versions = batch.sparkSession.read.parquet(bronze)
-        current = latest_per_id(versions)
-        staged = stage(moves_source(current, as_of, p.lookback_days), as_of)
+        session = batch.sparkSession
+        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        versions = rows
+        if batch_id > 0 and path_exists(session, f"{current}/v={batch_id - 1}/_SUCCESS"):
+            versions = session.read.schema(CURRENT_SCHEMA).parquet(f"{current}/v={batch_id - 1}") \
+                .unionByName(rows)
+        latest_per_id(versions).write.mode("overwrite").parquet(f"{current}/v={batch_id}")
+        ledger = session.read.schema(CURRENT_SCHEMA).parquet(f"{current}/v={batch_id}")
+        staged = stage(moves_source(ledger, as_of, p.lookback_days), as_of)
         write_reports(refresh_reports(staged, liquid, as_of, p), out, as_of)
 
     reader = spark.readStream.schema(SNAPSHOT_SCHEMA)

@@ -61,3 +61,25 @@ def test_row_cap_is_optional(spark, make_moves):
     m = make_moves([move(i) for i in range(1, 6)])
     assert moves_source(m, AS_OF).count() == 5
     assert [r.id for r in moves_source(m, AS_OF, limit=2).collect()] == [1, 2]
+
+
+def test_conform_adds_optional_and_rejects_missing_required(spark, make_moves):
+    import pytest
+    from caudal.sources.ledger import conform
+    m = make_moves([]).drop("payment_date")
+    out = conform(m, S.MOVES_SCHEMA)
+    assert out.columns == S.MOVES_SCHEMA.fieldNames()
+    assert out.schema["payment_date"].dataType.typeName() == "date"
+    with pytest.raises(ValueError):
+        conform(m.drop("amount_total"), S.MOVES_SCHEMA)
+
+
+def test_parquet_ledger_without_optional_column(spark, make_moves, journals):
+    from conftest import move
+    d = tempfile.mkdtemp(prefix="caudal-pq-")
+    make_moves([move(1)]).drop("payment_date").write.parquet(f"{d}/moves")
+    journals.write.parquet(f"{d}/journals")
+    spark.createDataFrame([], S.PAYMENTS_SCHEMA).drop("journal_tipo").write.parquet(f"{d}/payments")
+    led = load_ledger(spark, d)
+    assert led.moves.collect()[0].payment_date is None
+    assert led.payments.columns == S.PAYMENTS_SCHEMA.fieldNames()
