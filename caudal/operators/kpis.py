@@ -2,10 +2,15 @@
 
 Every KPI that reads the moves comes from one conditional aggregate over the
 staged table (:func:`moves_stats`): a single scan, partial aggregation in
-each task, and one row after the final merge. A KPI selects its columns from
-that row and Catalyst prunes the aggregates nobody reads. One-row frames are
-combined with ``crossJoin``; a global aggregate has exactly one row, so the
-broadcast nested-loop join it becomes is bounded.
+each task, one row after the final merge. A KPI selects its columns from
+that row and Catalyst prunes the aggregates nobody reads. The burn rate (mean
+of monthly sums) is folded into the same scan as total / number of months
+present; the months are a distinct aggregate over at most a handful of
+values.
+
+Values from the journals table enter as scalar subqueries
+(``DataFrame.scalar()``): a global aggregate is exactly one value, so no join
+is needed to put it next to the moves aggregate.
 """
 
 from __future__ import annotations
@@ -20,28 +25,44 @@ from caudal.functions import columns as C
 
 INF = float("inf")
 
+
 def _out() -> Column:
     return F.col("move_type") == S.OUT_INVOICE
 
+
 def _in() -> Column:
     return F.col("move_type") == S.IN_INVOICE
 
+
 def _res() -> Column:
     return F.col("amount_residual")
 
+
 def _tot() -> Column:
     return F.col("amount_total")
 
 
+def _posted() -> Column:
+    return F.col("state") == S.POSTED
+
 
 def _sum_if(cond: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, value)), C.zero_money())
 
 
-def moves_stats(staged: DataFrame) -> DataFrame:
+def _burn_cut(as_of: date, months: int) -> Column:
+    return F.col("invoice_date") >= C.lit_date(as_of - timedelta(days=30 * months))
+
+
+def _mean_of_months(total: Column, n_months: Column) -> Column:
+    """Mean of per-month sums = window total / months present, 2 decimals."""
+    return F.bround(F.try_divide(total.cast("double"), n_months), 2)
+
+
+def moves_stats(staged: DataFrame, as_of: date | None = None, months: int = 3) -> DataFrame:
     """All single-pass aggregates over the staged moves (one row)."""
     collected_out = _out() & F.col("is_collected")
-    return staged.agg(
+    aggs = [
         F.count(F.lit(1)).alias("n_moves"),
         F.avg(F.when(collected_out, C.days_to_collect(F.col("invoice_date"), F.col("date_maturity"))))
          .alias("dso_raw"),
@@ -51,7 +72,16 @@ def moves_stats(staged: DataFrame) -> DataFrame:
         _sum_if(_in() & F.col("is_overdue"), _res()).alias("overdue_in"),
         _sum_if(F.col("is_overdue"), _res()).alias("overdue_all"),
         F.count_if(F.col("is_overdue") & (F.col("days_overdue") > 60)).alias("n_critical"),
-    )
+    ]
+    if as_of is not None:
+        opex = _in() & _burn_cut(as_of, months)
+        aggs += [F.sum(F.when(opex, _tot())).alias("burn_total"),
+                 F.count_distinct(F.when(opex, F.col("month"))).alias("burn_months")]
+    return staged.agg(*aggs)
+
+
+def _burn_col() -> Column:
+    return F.coalesce(_mean_of_months(F.col("burn_total"), F.col("burn_months")), F.lit(0.0))
 
 
 # -- main pipeline -----------------------------------------------------------
@@ -62,29 +92,12 @@ def dso(staged: DataFrame) -> DataFrame:
         F.coalesce(F.bround("dso_raw", 1), F.lit(0.0)).alias("dso"))
 
 
-def _monthly_mean(rows: DataFrame, month: Column, amount: str, name: str,
-                  empty: float | None) -> DataFrame:
-    """Mean of per-month sums, 2 decimals: the only two-level aggregate here.
-
-    The first level has one group per calendar month present (at most a
-    handful), so partial aggregation shrinks every task to a few rows before
-    the shuffle, whatever the skew of the input.
-    """
-    monthly = rows.groupBy(month.alias("_m")).agg(F.sum(amount).alias("_s"))
-    mean = F.bround(F.try_divide(F.sum("_s").cast("double"), F.count(F.lit(1))), 2)
-    if empty is not None:
-        mean = F.coalesce(mean, F.lit(empty))
-    return monthly.agg(mean.alias(name))
-
-
 def burn_rate(staged: DataFrame, as_of: date, months: int = 3) -> DataFrame:
     """Mean monthly vendor-bill total over bills issued in the last 30*N days.
 
     Months are the calendar months present, partial ones included.
     """
-    cutoff = as_of - timedelta(days=30 * months)
-    opex = staged.filter(_in() & (F.col("invoice_date") >= C.lit_date(cutoff)))
-    return _monthly_mean(opex, F.col("month"), "amount_total", "burn_rate", 0.0)
+    return moves_stats(staged, as_of, months).select(_burn_col().alias("burn_rate"))
 
 
 def liquid_balance(journals: DataFrame) -> DataFrame:
@@ -93,19 +106,25 @@ def liquid_balance(journals: DataFrame) -> DataFrame:
             .agg(F.coalesce(F.sum("current_balance"), C.zero_money()).alias("saldo")))
 
 
+def liquid_balance_value(journals: DataFrame) -> Column:
+    """The liquid balance as a scalar subquery column."""
+    return liquid_balance(journals).scalar()
+
+
 def _runway(balance: Column, burn: Column) -> Column:
     return F.when(burn <= 0, F.lit(INF)).otherwise(F.bround(balance.cast("double") / burn, 1))
 
 
 def cash_runway(staged: DataFrame, journals: DataFrame, as_of: date,
                 burn: float | None = None, months: int = 3) -> DataFrame:
-    """Liquid balance / burn rate in months, 1 decimal; +inf when burn <= 0."""
-    b = (F.lit(float(burn)) if burn is not None else None)
-    rate = burn_rate(staged, as_of, months) if b is None else None
-    bal = liquid_balance(journals)
-    if rate is not None:
-        return bal.crossJoin(rate).select(_runway(F.col("saldo"), F.col("burn_rate")).alias("cash_runway"))
-    return bal.select(_runway(F.col("saldo"), b).alias("cash_runway"))
+    """Liquid balance / burn rate in months, 1 decimal; +inf when burn <= 0.
+
+    ``burn`` overrides the computed burn rate (what-if use).
+    """
+    if burn is not None:
+        return liquid_balance(journals).select(_runway(F.col("saldo"), F.lit(float(burn))).alias("cash_runway"))
+    return moves_stats(staged, as_of, months).select(
+        _runway(liquid_balance_value(journals), _burn_col()).alias("cash_runway"))
 
 
 def _liquidity(n_moves: Column, balance: Column, overdue_in: Column, sentinel: float) -> Column:
@@ -116,9 +135,9 @@ def _liquidity(n_moves: Column, balance: Column, overdue_in: Column, sentinel: f
 
 def liquidity_ratio(staged: DataFrame, journals: DataFrame) -> DataFrame:
     """Liquid balance / overdue vendor-bill residual, 2 decimals; 99.0 with none."""
-    return (moves_stats(staged).crossJoin(liquid_balance(journals))
-            .select(_liquidity(F.col("n_moves"), F.col("saldo"), F.col("overdue_in"),
-                               S.LIQUIDITY_SENTINEL).alias("liquidity_ratio")))
+    return moves_stats(staged).select(
+        _liquidity(F.col("n_moves"), liquid_balance_value(journals), F.col("overdue_in"),
+                   S.LIQUIDITY_SENTINEL).alias("liquidity_ratio"))
 
 
 def _rate(collected: Column, billed: Column) -> Column:
@@ -147,23 +166,18 @@ def kpi_bundle(staged: DataFrame, journals: DataFrame, as_of: date,
                months: int = 3, th: S.Thresholds = S.Thresholds()) -> DataFrame:
     """All main KPIs and their traffic-light levels in one row.
 
-    Three bounded inputs: the single-pass moves aggregate, the two-level
-    burn aggregate and the journal sum.
+    One scan of the moves (every KPI including the burn rate) plus one
+    scalar subquery over the journals.
     """
-    row = (moves_stats(staged)
-           .crossJoin(burn_rate(staged, as_of, months))
-           .crossJoin(liquid_balance(journals)))
-    dso_c = F.coalesce(F.bround("dso_raw", 1), F.lit(0.0))
-    runway = _runway(F.col("saldo"), F.col("burn_rate"))
-    liq = _liquidity(F.col("n_moves"), F.col("saldo"), F.col("overdue_in"), S.LIQUIDITY_SENTINEL)
-    rate = _rate(F.col("collected_out"), F.col("billed_out"))
-    out = row.select(
-        dso_c.alias("dso"),
-        F.col("burn_rate"),
-        runway.alias("cash_runway"),
-        C.money_out(F.col("saldo")).alias("saldo_liquido"),
-        liq.alias("liquidity_ratio"),
-        rate.alias("collection_rate"),
+    saldo = liquid_balance_value(journals)
+    burn = _burn_col()
+    out = moves_stats(staged, as_of, months).select(
+        F.coalesce(F.bround("dso_raw", 1), F.lit(0.0)).alias("dso"),
+        burn.alias("burn_rate"),
+        _runway(saldo, burn).alias("cash_runway"),
+        C.money_out(saldo).alias("saldo_liquido"),
+        _liquidity(F.col("n_moves"), saldo, F.col("overdue_in"), S.LIQUIDITY_SENTINEL).alias("liquidity_ratio"),
+        _rate(F.col("collected_out"), F.col("billed_out")).alias("collection_rate"),
         C.money_out(F.col("residual_out")).alias("total_cxc"),
         C.money_out(F.col("overdue_all")).alias("cxc_vencida"),
         F.col("n_critical").cast("bigint").alias("n_criticas"),
@@ -180,21 +194,43 @@ def kpi_bundle(staged: DataFrame, journals: DataFrame, as_of: date,
 
 # -- variant pipeline (drafts in the input, filtered here) ---------------------
 
-def _posted() -> Column:
-    return F.col("state") == S.POSTED
+def moves_stats_v(moves: DataFrame, as_of: date, months: int = 3) -> DataFrame:
+    """Single-pass aggregates of the variant pipeline over the window moves."""
+    opex = _in() & _posted() & _burn_cut(as_of, months)
+    overdue_in = _in() & _posted() & (F.col("date_maturity") < C.lit_date(as_of)) & (_res() > 0)
+    is_overdue = F.coalesce((F.col("date_maturity") < C.lit_date(as_of)) & (_res() > 0), F.lit(False))
+    paid_out = _out() & _posted() & F.col("payment_date").isNotNull()
+    return moves.agg(
+        F.avg(F.when(paid_out, F.datediff("payment_date", "invoice_date"))).alias("dso_raw"),
+        F.sum(F.when(opex, _tot())).alias("burn_total"),
+        F.count_distinct(F.when(opex, C.month_label(F.col("invoice_date")))).alias("burn_months"),
+        _sum_if(overdue_in, _res()).alias("pasivos"),
+        _sum_if(_out(), _res()).alias("total_ar"),
+        _sum_if(is_overdue, _res()).alias("overdue_ar"),
+    )
+
+
+def _all_cash(journals_all: DataFrame) -> Column:
+    return journals_all.agg(F.coalesce(F.sum("current_balance"), C.zero_money())).scalar()
 
 
+def _burn_v() -> Column:
+    return _mean_of_months(F.col("burn_total"), F.col("burn_months"))
 
-def dso_v(moves: DataFrame) -> DataFrame:
+
+def _liquidity_v(cash: Column) -> Column:
+    return (F.when(F.col("pasivos") == 0, F.lit(S.LIQUIDITY_SENTINEL_V))
+            .otherwise(F.bround(cash.cast("double") / F.col("pasivos").cast("double"), 2)))
+
+
+def dso_v(moves: DataFrame, as_of: date) -> DataFrame:
     """Mean payment - issue days over posted paid customer invoices; null if none."""
-    paid = moves.filter(_out() & _posted() & F.col("payment_date").isNotNull())
-    return paid.agg(F.bround(F.avg(F.datediff("payment_date", "invoice_date")), 1).alias("dso"))
+    return moves_stats_v(moves, as_of).select(F.bround("dso_raw", 1).alias("dso"))
 
 
 def burn_rate_v(moves: DataFrame, as_of: date, months: int = 3) -> DataFrame:
-    cutoff = as_of - timedelta(days=30 * months)
-    opex = moves.filter(_in() & _posted() & (F.col("invoice_date") >= C.lit_date(cutoff)))
-    return _monthly_mean(opex, C.month_label(F.col("invoice_date")), "amount_total", "burn_rate", None)
+    """Variant burn: posted bills only; null (not 0) when there are none."""
+    return moves_stats_v(moves, as_of, months).select(_burn_v().alias("burn_rate"))
 
 
 def total_cash_v(journals_all: DataFrame) -> DataFrame:
@@ -206,39 +242,34 @@ def total_cash_v(journals_all: DataFrame) -> DataFrame:
 def cash_runway_v(moves: DataFrame, journals_all: DataFrame, as_of: date,
                   months: int = 3) -> DataFrame:
     """Bank+cash balance / variant burn; +inf when burn <= 0, null when undefined."""
-    return (liquid_balance(journals_all).crossJoin(burn_rate_v(moves, as_of, months))
-            .select(_runway(F.col("saldo"), F.col("burn_rate")).alias("cash_runway")))
+    return moves_stats_v(moves, as_of, months).select(
+        _runway(liquid_balance_value(journals_all), _burn_v()).alias("cash_runway"))
 
 
 def liquidity_ratio_v(moves: DataFrame, journals_all: DataFrame, as_of: date) -> DataFrame:
     """All journals / posted overdue vendor bills, 2 decimals; 99.99 with none."""
-    overdue = (moves.filter(_in() & _posted() & (F.col("date_maturity") < C.lit_date(as_of)) & (_res() > 0))
-               .agg(F.coalesce(F.sum(_res()), C.zero_money()).alias("pasivos")))
-    cash = journals_all.agg(F.coalesce(F.sum("current_balance"), C.zero_money()).alias("liquido"))
-    return cash.crossJoin(overdue).select(
-        F.when(F.col("pasivos") == 0, F.lit(S.LIQUIDITY_SENTINEL_V))
-         .otherwise(F.bround(F.col("liquido").cast("double") / F.col("pasivos").cast("double"), 2))
-         .alias("liquidity_ratio"))
+    return moves_stats_v(moves, as_of).select(_liquidity_v(_all_cash(journals_all)).alias("liquidity_ratio"))
 
 
-def exposure_totals_v(staged_v: DataFrame) -> DataFrame:
+def exposure_totals_v(moves: DataFrame, as_of: date) -> DataFrame:
     """Receivables and overdue residual, drafts included, 2 decimals."""
-    return staged_v.agg(
-        C.money_out(_sum_if(_out(), _res())).alias("total_ar"),
-        C.money_out(_sum_if(F.col("is_overdue"), _res())).alias("overdue_ar"))
+    return moves_stats_v(moves, as_of).select(
+        C.money_out(F.col("total_ar")).alias("total_ar"),
+        C.money_out(F.col("overdue_ar")).alias("overdue_ar"))
 
 
-def kpi_bundle_v(moves: DataFrame, staged_v: DataFrame, journals_all: DataFrame,
-                 as_of: date, months: int = 3) -> DataFrame:
-    burn = burn_rate_v(moves, as_of, months)
-    return (dso_v(moves).crossJoin(burn)
-            .crossJoin(liquid_balance(journals_all))
-            .crossJoin(liquidity_ratio_v(moves, journals_all, as_of))
-            .crossJoin(total_cash_v(journals_all))
-            .crossJoin(exposure_totals_v(staged_v))
-            .select("dso", "burn_rate",
-                    _runway(F.col("saldo"), F.col("burn_rate")).alias("cash_runway"),
-                    "liquidity_ratio", "total_cash", "total_ar", "overdue_ar"))
+def kpi_bundle_v(moves: DataFrame, journals_all: DataFrame, as_of: date, months: int = 3) -> DataFrame:
+    """The variant's seven KPIs: one scan of the moves, two journal scalars."""
+    cash = _all_cash(journals_all)
+    burn = _burn_v()
+    return moves_stats_v(moves, as_of, months).select(
+        F.bround("dso_raw", 1).alias("dso"),
+        burn.alias("burn_rate"),
+        _runway(liquid_balance_value(journals_all), burn).alias("cash_runway"),
+        _liquidity_v(cash).alias("liquidity_ratio"),
+        C.money_out(cash).alias("total_cash"),
+        C.money_out(F.col("total_ar")).alias("total_ar"),
+        C.money_out(F.col("overdue_ar")).alias("overdue_ar"))
 
 
 def kpi_levels_v(bundle_v: DataFrame, th: S.ThresholdsV = S.ThresholdsV()) -> DataFrame:
@@ -260,9 +291,8 @@ def dso_doc(staged: DataFrame, lookback_days: int = 365) -> DataFrame:
 
     Billing of the loaded window is annualised by 365 / look-back days.
     """
-    st = moves_stats(staged)
     annual = F.col("billed_out").cast("double") * (365.0 / lookback_days)
-    return st.select(F.coalesce(
+    return moves_stats(staged).select(F.coalesce(
         F.bround(F.try_divide(F.col("residual_out").cast("double"), annual) * 365, 1),
         F.lit(0.0)).alias("dso"))
 
@@ -271,16 +301,17 @@ def burn_rate_doc(payments: DataFrame, as_of: date, months: int = 3) -> DataFram
     """Mean monthly outbound payments over the last 30*N days, 2 decimals."""
     cutoff = as_of - timedelta(days=30 * months)
     out = payments.filter((F.col("payment_type") == S.OUTBOUND) & (F.col("date") >= C.lit_date(cutoff)))
-    return _monthly_mean(out, C.month_label(F.col("date")), "amount", "burn_rate", 0.0)
+    return out.agg(F.coalesce(_mean_of_months(
+        F.sum("amount"), F.count_distinct(C.month_label(F.col("date")))), F.lit(0.0)).alias("burn_rate"))
 
 
 def liquidity_ratio_doc(staged: DataFrame, journals: DataFrame, as_of: date,
                         months: int = 3) -> DataFrame:
     """Liquid balance / monthly burn, 2 decimals; null when burn <= 0."""
-    return (liquid_balance(journals).crossJoin(burn_rate(staged, as_of, months))
-            .select(F.when(F.col("burn_rate") > 0,
-                           F.bround(F.col("saldo").cast("double") / F.col("burn_rate"), 2))
-                    .alias("liquidity_ratio")))
+    burn = _burn_col()
+    return moves_stats(staged, as_of, months).select(
+        F.when(burn > 0, F.bround(liquid_balance_value(journals).cast("double") / burn, 2))
+        .alias("liquidity_ratio"))
 
 
 def collection_rate_doc(staged: DataFrame, as_of: date, days: int = 90) -> DataFrame:

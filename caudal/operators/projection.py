@@ -2,10 +2,11 @@
 
 Plan: the open residuals due inside the horizon are reduced to one row per
 due day (a hash aggregate with at most ``days + 1`` groups, so its size is
-bounded by the horizon, not by the data). That daily table is broadcast onto
-the calendar x scenario grid (``days`` x ``len(scenarios)`` rows, built from
-``spark.range``), and the running balance is a window partitioned by
-scenario. Every slider position comes from the same single job.
+bounded by the horizon, not by the data). That daily table is broadcast into
+an equi-join with the scenario x day grid (``len(scenarios) * days`` rows
+generated by one ``spark.range``), and the running balance is a window
+partitioned by scenario. The opening balance and the burn rate are scalar
+subqueries (one value each). Every slider position comes from one job.
 
 Money stays decimal through the running sum, so the balance is exact; it
 becomes a double only on output. Collection factors are decimals too
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from caudal import schema as S
 from caudal.functions import columns as C
-from caudal.operators.kpis import burn_rate, liquid_balance
+from caudal.operators.kpis import burn_rate, liquid_balance_value
 
 FACTOR = "decimal(6,4)"
 RATE_SCALE = 6  # money (2) x factor (4)
@@ -55,35 +56,52 @@ def _calendar(spark: SparkSession, as_of: date, days: int) -> DataFrame:
     return spark.range(days).select(F.date_add(C.lit_date(as_of), F.col("id").cast("int")).alias("fecha"))
 
 
-def _any_row(staged: DataFrame) -> DataFrame:
-    """One row if ``staged`` has any row, none otherwise (stops at the first row)."""
-    return staged.select(F.lit(1).alias("_any")).limit(1)
+def _has_rows(staged: DataFrame) -> Column:
+    """True when ``staged`` has any row: a scalar subquery over ``limit(1)``."""
+    return staged.select(F.lit(True).alias("_any")).limit(1).scalar().isNotNull()
+
+
+def _factors(pct: Column) -> dict[str, Column]:
+    """c = pct/100, optimist min(1.15c, 1), pessimist max(0.85c, 0), as exact decimals."""
+    c = (pct.cast("decimal(5,0)") / F.lit(100)).cast(FACTOR)
+    return {
+        "c": c,
+        "c_opt": F.least(c * F.lit(1.15).cast("decimal(3,2)"), F.lit(1).cast(FACTOR)).cast(FACTOR),
+        "c_pes": F.greatest(c * F.lit(0.85).cast("decimal(3,2)"), F.lit(0).cast(FACTOR)).cast(FACTOR),
+    }
 
 
 def collection_scenarios(spark: SparkSession, pcts: range) -> DataFrame:
-    """Slider positions as rows: pct, c = pct/100, optimist min(1.15c, 1), pessimist max(0.85c, 0)."""
-    c = (F.col("id").cast("decimal(5,0)") / F.lit(100)).cast(FACTOR)
+    """Slider positions as rows: pct and its three collection factors."""
+    pct = F.col("id").cast("int")
     return spark.range(pcts.start, pcts.stop, pcts.step).select(
-        F.col("id").cast("int").alias("pct"),
-        c.alias("c"),
-        F.least(c * F.lit(1.15).cast("decimal(3,2)"), F.lit(1).cast(FACTOR)).cast(FACTOR).alias("c_opt"),
-        F.greatest(c * F.lit(0.85).cast("decimal(3,2)"), F.lit(0).cast(FACTOR)).cast(FACTOR).alias("c_pes"))
+        pct.alias("pct"), *[v.alias(k) for k, v in _factors(pct).items()])
+
+
+def scenario_days(spark: SparkSession, as_of: date, days: int, pcts: range,
+                  name: str = "pct") -> DataFrame:
+    """The scenario x day grid straight from ``spark.range``: row i is scenario
+    ``i div days`` on day ``i mod days`` (``len(pcts) * days`` rows, no join)."""
+    i = F.col("id")
+    return spark.range(len(pcts) * days).select(
+        (F.lit(pcts.start) + F.expr(f"id div {days}") * F.lit(pcts.step)).cast("int").alias(name),
+        F.date_add(C.lit_date(as_of), (i % days).cast("int")).alias("fecha"))
 
 
 def _project(spark: SparkSession, staged: DataFrame, journals: DataFrame, as_of: date,
-             days: int, scenarios: DataFrame) -> DataFrame:
+             days: int, pcts: range) -> DataFrame:
     daily = _daily_due(staged, as_of, days)
-    grid = (_calendar(spark, as_of, days)
-            .crossJoin(F.broadcast(scenarios))
-            .crossJoin(F.broadcast(_any_row(staged)))
-            .crossJoin(F.broadcast(liquid_balance(journals)))
-            .join(F.broadcast(daily), "fecha", "left"))
+    grid = (scenario_days(spark, as_of, days, pcts)
+            .filter(_has_rows(staged))
+            .join(F.broadcast(daily), "fecha", "left")
+            .withColumns(_factors(F.col("pct"))))
+    opening = liquid_balance_value(journals)
     base_in = F.coalesce(F.col("base_in"), C.zero_money())
     out = F.coalesce(F.col("base_out"), C.zero_money())
     run = Window.partitionBy("pct").orderBy("fecha").rowsBetween(Window.unboundedPreceding, 0)
 
     def balance(factor: str) -> Column:
-        return F.col("saldo") + F.sum(base_in * F.col(factor) - out).over(run)
+        return opening + F.sum(base_in * F.col(factor) - out).over(run)
 
     return grid.select(
         "pct", "fecha",
@@ -110,16 +128,14 @@ def cashflow_projection(spark: SparkSession, staged: DataFrame, journals: DataFr
     open vendor residual due that day at 100%. Overdue residuals never enter
     (trap T9). Opening balance = bank + cash.
     """
-    pcts = range(cobrabilidad_pct, cobrabilidad_pct + 1)
-    proj = _project(spark, staged, journals, as_of, days, collection_scenarios(spark, pcts))
+    proj = _project(spark, staged, journals, as_of, days, range(cobrabilidad_pct, cobrabilidad_pct + 1))
     return _present(proj).drop("pct").orderBy("fecha")
 
 
 def scenario_grid(spark: SparkSession, staged: DataFrame, journals: DataFrame, as_of: date,
                   pcts: range = range(0, 101, 5), days: int = 90) -> DataFrame:
     """The projection for every slider position (0..100 step 5) in one job."""
-    proj = _project(spark, staged, journals, as_of, days, collection_scenarios(spark, pcts))
-    return _present(proj).orderBy("pct", "fecha")
+    return _present(_project(spark, staged, journals, as_of, days, pcts)).orderBy("pct", "fecha")
 
 
 def whatif_runway(spark: SparkSession, staged: DataFrame, journals: DataFrame, as_of: date,
@@ -130,18 +146,18 @@ def whatif_runway(spark: SparkSession, staged: DataFrame, journals: DataFrame, a
     danger below 3 months, warning below 6. The last balance is the opening
     balance plus the horizon's net flow, so no window is needed here.
     """
-    daily = _daily_due(staged, as_of, days)
-    cal = _calendar(spark, as_of, days).join(F.broadcast(daily), "fecha", "left")
-    net = cal.agg(F.coalesce(F.sum("base_in"), C.zero_money()).alias("tin"),
-                  F.coalesce(F.sum("base_out"), C.zero_money()).alias("tout"))
-    rows = (collection_scenarios(spark, pcts)
-            .crossJoin(net)
-            .crossJoin(liquid_balance(journals))
-            .crossJoin(burn_rate(staged, as_of, months))
-            .join(_any_row(staged), how="left_outer", on=F.lit(True)))
+    shown = _daily_due(staged, as_of, days).filter(
+        F.col("fecha") < C.lit_date(as_of + timedelta(days=days)))
+    net = shown.agg(F.struct(F.coalesce(F.sum("base_in"), C.zero_money()).alias("tin"),
+                             F.coalesce(F.sum("base_out"), C.zero_money()).alias("tout"))).scalar()
+    rows = collection_scenarios(spark, pcts).withColumns({
+        "tin": net.getField("tin"), "tout": net.getField("tout"),
+        "saldo": liquid_balance_value(journals),
+        "burn_rate": burn_rate(staged, as_of, months).scalar(),
+        "_any": _has_rows(staged)})
     last = F.col("saldo") + F.col("tin") * F.col("c") - F.col("tout")
     final = F.greatest(last, F.lit(0).cast(S.MONEY))
-    ok = F.col("_any").isNotNull() & (F.col("burn_rate") > 0)
+    ok = F.col("_any") & (F.col("burn_rate") > 0)
     runway = F.when(ok, F.bround(final.cast("double") / F.col("burn_rate"), 1))
     return rows.select(
         "pct",
@@ -160,7 +176,7 @@ def min_collection_rate(spark: SparkSession, staged: DataFrame, journals: DataFr
     """Lowest slider position whose balance stays positive on every day, and the
     money lost at the end of the horizon by collecting ``drop_pts`` points less
     than ``base_pct``."""
-    proj = _project(spark, staged, journals, as_of, days, collection_scenarios(spark, pcts))
+    proj = _project(spark, staged, journals, as_of, days, pcts)
     per = proj.groupBy("pct").agg(F.min("saldo").alias("low"),
                                   F.max_by("saldo", "fecha").alias("last"))
     return per.agg(
@@ -177,9 +193,10 @@ def projected_cash_doc(spark: SparkSession, staged: DataFrame, journals: DataFra
     Exact decimal arithmetic (``days / 30`` as a 6-decimal factor, the burn
     rate at its 2 published decimals), so the result has no rounding step.
     """
-    recv = staged.filter(_out()).agg(F.coalesce(F.sum(_res()), C.zero_money()).alias("cxc"))
-    rows = (collection_scenarios(spark, pcts).crossJoin(recv)
-            .crossJoin(liquid_balance(journals)).crossJoin(burn_rate(staged, as_of, months)))
+    recv = staged.filter(_out()).agg(F.coalesce(F.sum(_res()), C.zero_money())).scalar()
+    rows = collection_scenarios(spark, pcts).withColumns({
+        "cxc": recv, "saldo": liquid_balance_value(journals),
+        "burn_rate": burn_rate(staged, as_of, months).scalar()})
     span = F.lit(Decimal(days) / Decimal(30)).cast(MONTHS_FACTOR)
     cash = F.col("saldo") + F.col("cxc") * F.col("c") - F.col("burn_rate").cast(S.MONEY) * span
     return rows.select("pct", C.money_out(cash, RATE_SCALE).alias("caja_proyectada")).orderBy("pct")
@@ -187,21 +204,15 @@ def projected_cash_doc(spark: SparkSession, staged: DataFrame, journals: DataFra
 
 # -- variant ---------------------------------------------------------------------
 
-def impayment_scenarios(spark: SparkSession, pcts: range) -> DataFrame:
-    """Variant slider: share of receivables that will not be collected."""
-    keep = (F.lit(1).cast(FACTOR) - (F.col("id").cast("decimal(5,0)") / F.lit(100))).cast(FACTOR)
-    return spark.range(pcts.start, pcts.stop, pcts.step).select(
-        F.col("id").cast("int").alias("impayment_pct"), keep.alias("keep"))
-
-
 def _project_v(spark: SparkSession, staged_v: DataFrame, journals_all: DataFrame, as_of: date,
-               days: int, scenarios: DataFrame) -> DataFrame:
+               days: int, pcts: range) -> DataFrame:
     daily = _daily_due(staged_v, as_of, days, posted_only=True)
-    opening = journals_all.agg(F.coalesce(F.sum("current_balance"), C.zero_money()).alias("opening"))
-    grid = (_calendar(spark, as_of, days).withColumnRenamed("fecha", "date")
-            .crossJoin(F.broadcast(scenarios))
-            .crossJoin(F.broadcast(opening))
-            .join(F.broadcast(daily.withColumnRenamed("fecha", "date")), "date", "left"))
+    opening = journals_all.agg(F.coalesce(F.sum("current_balance"), C.zero_money())).scalar()
+    keep = (F.lit(1).cast(FACTOR) - (F.col("impayment_pct").cast("decimal(5,0)") / F.lit(100))).cast(FACTOR)
+    grid = (scenario_days(spark, as_of, days, pcts, "impayment_pct")
+            .join(F.broadcast(daily), "fecha", "left")
+            .withColumns({"keep": keep, "opening": opening})
+            .withColumnRenamed("fecha", "date"))
     inflow = F.coalesce(F.col("base_in"), C.zero_money()) * F.col("keep")
     outflow = F.coalesce(F.col("base_out"), C.zero_money())
     run = Window.partitionBy("impayment_pct").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -215,11 +226,10 @@ def _project_v(spark: SparkSession, staged_v: DataFrame, journals_all: DataFrame
 def cashflow_projection_v(spark: SparkSession, staged_v: DataFrame, journals_all: DataFrame,
                           as_of: date, impayment_pct: int = 0, days: int = 90) -> DataFrame:
     """Variant: posted residuals only, inflow x (1 - impayment), opening = all journals."""
-    scen = impayment_scenarios(spark, range(impayment_pct, impayment_pct + 1))
-    return _project_v(spark, staged_v, journals_all, as_of, days, scen).drop("impayment_pct").orderBy("date")
+    pcts = range(impayment_pct, impayment_pct + 1)
+    return _project_v(spark, staged_v, journals_all, as_of, days, pcts).drop("impayment_pct").orderBy("date")
 
 
 def scenario_grid_v(spark: SparkSession, staged_v: DataFrame, journals_all: DataFrame, as_of: date,
                     pcts: range = range(0, 51, 5), days: int = 90) -> DataFrame:
-    return _project_v(spark, staged_v, journals_all, as_of, days,
-                      impayment_scenarios(spark, pcts)).orderBy("impayment_pct", "date")
+    return _project_v(spark, staged_v, journals_all, as_of, days, pcts).orderBy("impayment_pct", "date")

@@ -148,26 +148,25 @@ def client_concentration(staged: DataFrame, top_n: int = 8) -> DataFrame:
 
     The per-partner aggregate is the only large-key shuffle of the reports; a
     hot partner is pre-reduced by partial aggregation in every task. The top
-    N is a bounded ``TakeOrderedAndProject``; the ``Otros`` amount is the
-    grand total minus the top (no second pass over the partners' rows).
-    Ties on the amount are ordered by name.
+    N is a bounded ``TakeOrderedAndProject``; the grand total and the top
+    sum are scalar subqueries over that same aggregate (its exchange is
+    reused), and ``Otros`` is their difference. Ties on the amount are
+    ordered by name.
     """
     per = (staged.filter(_out() & (_res() > 0)).groupBy("partner_name")
            .agg(F.sum(_res()).alias("m")))
     top = per.orderBy(F.col("m").desc(), F.col("partner_name")).limit(top_n)
-    total = per.agg(F.sum("m").alias("total"))
-    top_sum = top.agg(F.coalesce(F.sum("m"), C.zero_money()).alias("top_sum"))
-    others = (total.crossJoin(top_sum)
-              .select(F.lit(S.OTHERS_LABEL).alias("partner_name"),
-                      (F.col("total") - F.col("top_sum")).alias("m"),
-                      F.lit(1).alias("_g"))
+    totals = per.agg(F.sum("m").alias("total"))
+    total = totals.scalar()
+    top_sum = top.agg(F.coalesce(F.sum("m"), C.zero_money())).scalar()
+    others = (totals.select(F.lit(S.OTHERS_LABEL).alias("partner_name"),
+                            (F.col("total") - top_sum).alias("m"), F.lit(1).alias("_g"))
               .filter(F.col("m") > 0))
-    rows = top.withColumn("_g", F.lit(0)).unionByName(others)
-    return (rows.crossJoin(total)
+    return (top.withColumn("_g", F.lit(0)).unionByName(others)
             .orderBy("_g", F.col("m").desc(), "partner_name")
             .select(F.col("partner_name").alias("cliente"),
                     C.money_out(F.col("m")).alias("monto"),
-                    _share(F.col("m"), F.col("total")).alias("porcentaje")))
+                    _share(F.col("m"), total).alias("porcentaje")))
 
 
 def collections_velocity(staged: DataFrame, months: int = 12, min_invoices: int = 3) -> DataFrame:

@@ -143,7 +143,7 @@ _q("date_range")(lambda c: date_range(c.staged, RANGE_START, RANGE_END))
 
 # KPIs
 _q("dso")(lambda c: K.dso(c.staged))
-_q("dso_v")(lambda c: K.dso_v(c.moves_v))
+_q("dso_v")(lambda c: K.dso_v(c.moves_v, AS_OF))
 _q("dso_doc")(lambda c: K.dso_doc(c.staged, PARAMS.lookback_days))
 _q("burn_rate")(lambda c: K.burn_rate(c.staged, AS_OF, PARAMS.burn_months))
 _q("burn_rate_v")(lambda c: K.burn_rate_v(c.moves_v, AS_OF, PARAMS.burn_months))
@@ -158,11 +158,10 @@ _q("liquidity_ratio_doc")(lambda c: K.liquidity_ratio_doc(c.staged, c.main.journ
 _q("collection_rate")(lambda c: K.collection_rate(c.staged))
 _q("collection_rate_doc")(lambda c: K.collection_rate_doc(c.staged, AS_OF))
 _q("exposure_totals")(lambda c: K.exposure_totals(c.staged))
-_q("exposure_totals_v")(lambda c: K.exposure_totals_v(c.staged_v))
+_q("exposure_totals_v")(lambda c: K.exposure_totals_v(c.moves_v, AS_OF))
 _q("kpi_bundle")(lambda c: K.kpi_bundle(c.staged, c.main.journals, AS_OF))
-_q("kpi_bundle_v")(lambda c: K.kpi_bundle_v(c.moves_v, c.staged_v, c.raw.journals, AS_OF))
-_q("kpi_levels_v")(lambda c: K.kpi_levels_v(
-    K.kpi_bundle_v(c.moves_v, c.staged_v, c.raw.journals, AS_OF)))
+_q("kpi_bundle_v")(lambda c: K.kpi_bundle_v(c.moves_v, c.raw.journals, AS_OF))
+_q("kpi_levels_v")(lambda c: K.kpi_levels_v(K.kpi_bundle_v(c.moves_v, c.raw.journals, AS_OF)))
 
 # reports
 _q("aging_report")(lambda c: R.aging_report(c.staged))
