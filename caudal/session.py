@@ -69,6 +69,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def input_signature(spark: SparkSession, path: str) -> str:
+    """Cheap change detector for an input file or folder: total length, file
+    count and modification time, from one metadata call each."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(p)
+    status = fs.getFileStatus(p)
+    return f"{path}:{summary.getLength()}:{summary.getFileCount()}:{status.getModificationTime()}"
+
+
 def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 

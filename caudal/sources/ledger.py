@@ -87,6 +87,28 @@ def variant_moves(raw_moves: DataFrame, as_of: date, lookback_days: int = 365) -
     return raw_moves.filter(F.col("invoice_date") >= lit_date(cutoff))
 
 
+def attach_partner_names(moves: DataFrame, partners: DataFrame,
+                         key: str = "partner_id") -> DataFrame:
+    """Partner lookup for sources that deliver ids only.
+
+    ``partners`` has one row per ``key`` with a ``partner_name``. A plain
+    left equi-join: Catalyst broadcasts the partner side when its statistics
+    say it is small and shuffles both sides otherwise; with one row per key
+    on that side, a hot partner only skews the moves side, which AQE's skew
+    join splits. A missing partner becomes ``Sin partner``.
+    """
+    named = partners.select(F.col(key), F.col("partner_name").alias("_pname"))
+    out = moves.drop("partner_name").join(named, key, "left")
+    return out.withColumn("partner_name", F.coalesce(F.col("_pname"), F.lit(S.NO_PARTNER))).drop("_pname")
+
+
+def normalize_journals(journals: DataFrame) -> DataFrame:
+    """The second pipeline names the balance column ``balance``."""
+    if "balance" in journals.columns and "current_balance" not in journals.columns:
+        return journals.withColumnRenamed("balance", "current_balance")
+    return journals
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Validate ``df`` against ``schema`` once, on ingest.
 
@@ -123,5 +145,10 @@ def load_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> Ledger:
             df = df.schema(schema)  # text formats: no inference pass
         return conform(df.load(f"{path}/{name}"), schema)
 
-    return Ledger(read("moves", S.MOVES_SCHEMA), read("payments", S.PAYMENTS_SCHEMA),
-                  read("journals", S.JOURNALS_SCHEMA))
+    def read_journals() -> DataFrame:
+        df = spark.read.format(fmt).options(**opts)
+        if fmt in ("csv", "json"):
+            df = df.option("inferSchema", "false")
+        return conform(normalize_journals(df.load(f"{path}/journals")), S.JOURNALS_SCHEMA)
+
+    return Ledger(read("moves", S.MOVES_SCHEMA), read("payments", S.PAYMENTS_SCHEMA), read_journals())

@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 
 from caudal import schema as S
 from caudal.functions.columns import lit_date, zero_money
-from caudal.session import path_exists, shared_dir
+from caudal.session import input_signature, path_exists, shared_dir
 from caudal.sources.ledger import Ledger
 
 BALANCE_WINDOW_DAYS = 365
+SOURCE_TABLES = ("orders", "customer", "lineitem", "supplier")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,16 +145,22 @@ def map_payments(moves: DataFrame, as_of: date) -> DataFrame:
 
 
 def map_journals(spark: SparkSession, sf_dir: str, as_of: date) -> DataFrame:
-    """One account per market segment, balance = closed orders of the last year."""
+    """One account per market segment, balance = closed orders of the last year.
+
+    Orders are summed per customer *before* the customer join: partial
+    aggregation collapses a hot customer to one row per task, and the join
+    then sees one row per customer instead of one per order.
+    """
     orders = _table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     orders = orders.filter((F.col("o_orderstatus") == "F") & _between_days(
         orders, "o_orderdate", as_of - timedelta(days=BALANCE_WINDOW_DAYS), as_of))
+    per_customer = orders.groupBy("o_custkey").agg(F.sum(_price("o_totalprice")).alias("closed"))
     customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     seg = F.col("c_mktsegment")
-    return (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return (per_customer.join(customers, F.col("o_custkey") == F.col("c_custkey"))
             .groupBy("c_mktsegment")
-            .agg(F.sum(_price("o_totalprice")).cast(S.MONEY).alias("current_balance"))
+            .agg(F.sum("closed").cast(S.MONEY).alias("current_balance"))
             .select(
                 (F.when(seg == "BUILDING", 1).when(seg == "MACHINERY", 2)
                  .when(seg == "HOUSEHOLD", 3).when(seg == "AUTOMOBILE", 4).otherwise(5))
@@ -187,11 +194,15 @@ _LEDGERS: dict[tuple[str, str], Ledger] = {}
 def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
     """Raw ledger (all states, all dates up to ``as_of``) for the given tables.
 
-    Memoised per Spark application: the returned DataFrames are only plans
-    over the written files, so every report of a session shares one file
-    listing.
+    The written copy is keyed by the input files' signature (length, file
+    count, modification time) and the as-of date, so changed inputs never
+    reuse a stale ledger. Memoised per Spark application: the returned
+    DataFrames are only plans over the written files, so every report of a
+    session shares one file listing.
     """
-    key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{as_of.isoformat()}|v1".encode()).hexdigest()[:16]
+    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
+    sig = "|".join(input_signature(spark, p) for p in inputs)
+    key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v2".encode()).hexdigest()[:16]
     base = f"{shared_dir(spark)}/caudal/ledger/{key}"
     memo = (spark.sparkContext.applicationId, base)
     if memo in _LEDGERS:

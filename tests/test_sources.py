@@ -83,3 +83,24 @@ def test_parquet_ledger_without_optional_column(spark, make_moves, journals):
     led = load_ledger(spark, d)
     assert led.moves.collect()[0].payment_date is None
     assert led.payments.columns == S.PAYMENTS_SCHEMA.fieldNames()
+
+
+def test_partner_lookup_and_journal_rename(spark, make_moves):
+    from conftest import move
+    from caudal.sources.ledger import attach_partner_names
+    m = make_moves([move(1), move(2)]).withColumn("partner_id", F.col("id") * 10)
+    partners = spark.createDataFrame([(10, "Acme")], "partner_id long, partner_name string")
+    got = {r.id: r.partner_name for r in attach_partner_names(m, partners).collect()}
+    assert got == {1: "Acme", 2: S.NO_PARTNER}
+    d = tempfile.mkdtemp(prefix="caudal-csv-")
+    import os
+    for sub, text in (("moves", "id,name,move_type,state,invoice_date,date_maturity,amount_total,amount_residual,partner_name\n"
+                                "1,INV/1,out_invoice,posted,2001-07-01,2001-07-31,10.00,10.00,Acme\n"),
+                      ("payments", "id,date,amount,payment_type,state\n"),
+                      ("journals", "id,name,type,balance\n1,Banco,bank,12.50\n")):
+        os.makedirs(f"{d}/{sub}")
+        with open(f"{d}/{sub}/part.csv", "w") as fh:
+            fh.write(text)
+    led = load_ledger(spark, d, fmt="csv")
+    assert float(led.journals.collect()[0].current_balance) == 12.5
+    assert led.moves.collect()[0].payment_date is None
