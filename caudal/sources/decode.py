@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from caudal import schema as S
 
 
-def many2one_name(raw: Column, default: str, min_len: int = 2) -> Column:
-    """``[7, "Acme"]`` to ``Acme``; ``false``, short or unreadable to ``default``.
+def many2one_name(raw: Column, default: str) -> Column:
+    """``[7, "Acme"]`` to ``Acme``; ``false``, a one-item list or unreadable
+    text to ``default``.
 
-    The JSON text is parsed as ``array<string>`` so the numeric id and the
-    name both come back as text; ``false`` does not parse as an array.
+    ``get_json_object`` walks the JSON text to the second element only (no
+    array is materialised), unescapes strings, and is null for ``false``,
+    for non-arrays and for lists shorter than two.
     """
-    arr = F.from_json(raw, "array<string>")
-    name = F.when(F.size(arr) >= min_len, F.get(arr, 1))
-    return F.coalesce(name, F.lit(default))
+    return F.coalesce(F.get_json_object(raw, "$[1]"), F.lit(default))
 
 
 def lenient_date(raw: Column, fmt: str = "yyyy-MM-dd") -> Column:

@@ -53,7 +53,7 @@ def payments_source(payments: DataFrame, as_of: date, lookback_days: int = 365)
     if "journal_tipo" in payments.columns:
         journal = F.coalesce(F.col("journal_tipo"), F.lit(S.UNKNOWN_JOURNAL))
     elif "journal_id" in payments.columns:
-        journal = decode.many2one_name(F.col("journal_id"), S.UNKNOWN_JOURNAL, min_len=1)
+        journal = decode.many2one_name(F.col("journal_id"), S.UNKNOWN_JOURNAL)
     else:
         journal = F.lit(S.UNKNOWN_JOURNAL)
     partner = F.col("partner_name") if "partner_name" in payments.columns else F.lit(None).cast("string")

@@ -16,7 +16,7 @@ def test_many2one_decoding(spark):
     df = spark.createDataFrame([('[7, "Acme"]',), ("false",), ("[7]",), (None,), ("junk",)], "p string")
     got = [r[0] for r in df.select(decode.many2one_name(F.col("p"), S.NO_PARTNER)).collect()]
     assert got == ["Acme", S.NO_PARTNER, S.NO_PARTNER, S.NO_PARTNER, S.NO_PARTNER]
-    journal = [r[0] for r in df.select(decode.many2one_name(F.col("p"), S.UNKNOWN_JOURNAL, 1)).collect()]
+    journal = [r[0] for r in df.select(decode.many2one_name(F.col("p"), S.UNKNOWN_JOURNAL)).collect()]
     assert journal[0] == "Acme" and journal[1] == S.UNKNOWN_JOURNAL
 
 
