@@ -51,11 +51,6 @@ def _daily_due(staged: DataFrame, as_of: date, days: int, posted_only: bool = Fa
                  F.sum(F.when(_in(), _res())).alias("base_out")))
 
 
-def _calendar(spark: SparkSession, as_of: date, days: int) -> DataFrame:
-    """Days as_of .. as_of + days - 1 (day N of the horizon is not shown, trap T8)."""
-    return spark.range(days).select(F.date_add(C.lit_date(as_of), F.col("id").cast("int")).alias("fecha"))
-
-
 def _has_rows(staged: DataFrame) -> Column:
     """True when ``staged`` has any row: a scalar subquery over ``limit(1)``."""
     return staged.select(F.lit(True).alias("_any")).limit(1).scalar().isNotNull()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +35,11 @@ RANGE_END = date(2001, 7, 31)
 class Ctx:
     """Inputs of one query, built on first use (plan building is not free)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, p: S.Params = PARAMS):
+    def __init__(self, spark: SparkSession, sf_dir: str | None, p: S.Params = PARAMS,
+                 raw: Ledger | None = None):
         self.spark, self.sf_dir, self.p = spark, sf_dir, p
+        if raw is not None:
+            self.raw = raw  # overrides the mapped ledger (any source, see publish)
 
     @cached_property
     def raw(self) -> Ledger:
@@ -198,12 +201,17 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_output(_REGISTRY[name](context(spark, sf_dir)))
 
 
+def build(name: str, ctx: Ctx) -> DataFrame:
+    """A registered operator over an arbitrary context (e.g. a loaded ledger)."""
+    return to_output(_REGISTRY[name](ctx))
+
+
+def names() -> list[str]:
+    return sorted(_REGISTRY)
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: (lambda s, d, _n=name: run(_n, s, d)) for name in _REGISTRY}
     from caudal.streaming.refresh import refresh_stream_query
     out["refresh_stream"] = refresh_stream_query
     return out
-
-
-def horizon_end(p: S.Params = PARAMS) -> date:
-    return p.as_of + timedelta(days=p.horizon_days)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -78,12 +77,3 @@ def input_signature(spark: SparkSession, path: str) -> str:
     summary = fs.getContentSummary(p)
     status = fs.getFileStatus(p)
     return f"{path}:{summary.getLength()}:{summary.getFileCount()}:{status.getModificationTime()}"
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def ensure_dir(path: str) -> None:
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(local_path(path), exist_ok=True)

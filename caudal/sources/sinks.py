@@ -18,7 +18,10 @@ from caudal.functions.columns import lit_date
 def write_reports(reports: dict[str, DataFrame], path: str, as_of: date) -> None:
     for name, df in reports.items():
         (df.withColumn("as_of", lit_date(as_of))
-         .coalesce(1)  # reports are small, finished tables
+         # One file per report and date. A shuffle of the finished rows, so
+         # the stages that compute the report keep their parallelism (a
+         # coalesce would pull them into a single task).
+         .repartition(1)
          .write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy("as_of")

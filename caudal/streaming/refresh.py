@@ -145,3 +145,28 @@ def refresh_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return read_report(spark, f"{workdir}/reports", "aging_report", p.as_of)
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Production entry point: refresh every ``--every`` until stopped."""
+    import argparse
+
+    from caudal.sources.ledger import load_ledger
+
+    ap = argparse.ArgumentParser(description="caudal refresh stream")
+    ap.add_argument("--inbox", required=True, help="folder receiving moves snapshots (Parquet)")
+    ap.add_argument("--journals", required=True, help="ledger folder holding journals/")
+    ap.add_argument("--workdir", required=True, help="shared folder for checkpoint, state, reports")
+    ap.add_argument("--as-of", required=True, type=date.fromisoformat)
+    ap.add_argument("--every", default="5 minutes")
+    ap.add_argument("--once", action="store_true", help="process what is there, then stop")
+    args = ap.parse_args(argv)
+    spark = SparkSession.builder.appName("caudal-refresh").getOrCreate()
+    journals = load_ledger(spark, args.journals).journals
+    q = start_refresh(spark, args.inbox, args.workdir, journals, args.as_of,
+                      available_now=args.once, every=args.every)
+    q.awaitTermination()
+
+
+if __name__ == "__main__":
+    main()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import io
 import math
+import re
 import uuid
 
 import duckdb
@@ -103,3 +104,50 @@ def test_plan_shape(spark, name):
     widths = [len(m.split(",")) for m in re.findall(r"ReadSchema: struct<([^>]*)>", plan)]
     assert widths and max(widths) < 9  # never the whole ledger row
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_publish_writes_every_report_per_as_of(spark):
+    from caudal.plans.publish import REPORTS, publish
+    from caudal.sources.sinks import read_report
+    out = f"{shared_dir(spark)}/caudal/test-publish/{uuid.uuid4().hex}"
+    raw = mapped_ledger(spark, SF_SMALL, catalog.PARAMS.as_of)
+    publish(spark, raw, out)
+    publish(spark, raw, out)  # a re-run replaces the same date, no duplicates
+    for name in ("aging_report", "kpi_bundle", "scenario_grid"):
+        got = read_report(spark, out, name, catalog.PARAMS.as_of)
+        want = catalog.run(name, spark, SF_SMALL)
+        assert _sorted_rows(got.columns, got.collect()) == \
+            _sorted_rows(want.columns, want.select(*got.columns).collect()), name
+    assert len(REPORTS) == len(set(REPORTS))
+
+
+def _tree(plan: str) -> list[tuple[int, str]]:
+    lines = plan.split("== Physical Plan ==", 1)[1].strip("\n").split("\n\n", 1)[0].splitlines()
+    out = []
+    for line in lines:
+        m = re.search(r"[A-Za-z]", line)
+        if m:
+            out.append((m.start(), line[m.start():]))
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"refresh_stream"}))
+def test_windows_only_see_grouped_rows(spark, name):
+    """SURVEY §5.5: every window runs above an aggregate (or a bounded top-N,
+    or the generated scenario grid), never directly over the ledger scan."""
+    tree = _tree(_plan(E.queries()[name](spark, SF_SMALL)))
+    for i, (depth, op) in enumerate(tree):
+        if not op.startswith("Window"):
+            continue
+        sub = []
+        for d, o in tree[i + 1:]:
+            if d <= depth:
+                break
+            sub.append(o)
+        below_first_scan = []
+        for o in sub:
+            if o.startswith("Scan"):
+                break
+            below_first_scan.append(o)
+        assert any(o.startswith(("HashAggregate", "TakeOrderedAndProject", "Range"))
+                   for o in below_first_scan), (name, sub)
