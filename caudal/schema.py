@@ -27,6 +27,9 @@ MOVES_SCHEMA = T.StructType([
     T.StructField("payment_date", T.DateType(), True),
 ])
 
+# Partition column of a written ledger: ``yyyy-MM`` of the invoice date.
+MONTH_PARTITION = "invoice_month"
+
 PAYMENTS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), True),
     T.StructField("date", T.DateType(), True),

@@ -30,6 +30,15 @@ MOVE_COLUMNS = ("id", "name", "move_type", "state", "invoice_date", "date_maturi
                 "amount_total", "amount_residual", "partner_name")
 
 
+def _since(moves: DataFrame, cutoff: date) -> DataFrame:
+    """``invoice_date >= cutoff``, plus the same bound on the month partition
+    column when the ledger is partitioned, so whole folders are pruned."""
+    df = moves.filter(F.col("invoice_date") >= lit_date(cutoff))
+    if S.MONTH_PARTITION in moves.columns:
+        df = df.filter(F.col(S.MONTH_PARTITION) >= cutoff.strftime("%Y-%m"))
+    return df
+
+
 def moves_source(moves: DataFrame, as_of: date, lookback_days: int = 365,
                  limit: int | None = None) -> DataFrame:
     """Posted customer invoices and vendor bills issued in the look-back window.
@@ -38,10 +47,9 @@ def moves_source(moves: DataFrame, as_of: date, lookback_days: int = 365,
     because a cap silently truncates every report.
     """
     cutoff = as_of - timedelta(days=lookback_days)
-    df = (moves
+    df = (_since(moves, cutoff)
           .filter(F.col("move_type").isin(S.OUT_INVOICE, S.IN_INVOICE)
-                  & (F.col("state") == S.POSTED)
-                  & (F.col("invoice_date") >= lit_date(cutoff)))
+                  & (F.col("state") == S.POSTED))
           .select(*MOVE_COLUMNS))
     if limit is not None:
         df = df.orderBy("id").limit(limit)
@@ -84,7 +92,7 @@ def main_ledger(raw: Ledger, as_of: date, lookback_days: int = 365) -> Ledger:
 def variant_moves(raw_moves: DataFrame, as_of: date, lookback_days: int = 365) -> DataFrame:
     """The variant pipeline keeps drafts and the payment date (trap T4)."""
     cutoff = as_of - timedelta(days=lookback_days)
-    return raw_moves.filter(F.col("invoice_date") >= lit_date(cutoff))
+    return _since(raw_moves, cutoff).select(*S.MOVES_SCHEMA.fieldNames())
 
 
 def attach_partner_names(moves: DataFrame, partners: DataFrame,
