@@ -186,6 +186,19 @@ def collections_velocity(staged: DataFrame, months: int = 12, min_invoices: int
     return last.withColumn("dso_ma3", F.bround(F.avg("dso_mes").over(w), 1)).orderBy("month_dt")
 
 
+def grand_totals(staged: DataFrame, journals: DataFrame) -> DataFrame:
+    """Totals printed in the middle of the two donuts: the unpaid receivables
+    of the aging report and the sum of the bank and cash balances."""
+    aged = _out() & (_res() > 0) & F.col("tramo_orden").isNotNull()
+    liquid = (journals.filter(F.col("type").isin(*S.LIQUID_JOURNAL_TYPES))
+              .agg(F.coalesce(F.sum("current_balance"), C.zero_money())).scalar())
+    return staged.agg(F.coalesce(F.sum(F.when(aged, _res())), C.zero_money()).alias("p")).select(
+        C.money_out(F.col("p")).alias("total_pendiente"),
+        C.money_out(liquid).alias("saldo_diarios"),
+        C.money_text(F.col("p")).alias("total_pendiente_txt"),
+        C.money_text(liquid).alias("saldo_diarios_txt"))
+
+
 def journal_breakdown(journals: DataFrame) -> DataFrame:
     """Bank and cash accounts with their balances."""
     return (journals.filter(F.col("type").isin(*S.LIQUID_JOURNAL_TYPES))

@@ -177,6 +177,7 @@ _q("client_concentration")(lambda c: R.client_concentration(c.staged, PARAMS.top
 _q("collections_velocity")(lambda c: R.collections_velocity(
     c.staged, PARAMS.history_months, PARAMS.min_velocity_sample))
 _q("journal_breakdown")(lambda c: R.journal_breakdown(c.main.journals))
+_q("grand_totals")(lambda c: R.grand_totals(c.staged, c.main.journals))
 _q("critical_invoices")(lambda c: R.critical_invoices(c.staged, PARAMS.top_critical))
 _q("critical_invoices_display")(lambda c: R.critical_invoices_display(
     R.critical_invoices(c.staged, PARAMS.top_critical)))

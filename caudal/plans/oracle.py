@@ -490,6 +490,12 @@ SELECT month, dso_mes, n_fact, month_dt,
     q["journal_breakdown"] = _with() + f"""
 SELECT name, type, {money('current_balance')} AS current_balance FROM journals WHERE type IN ('bank', 'cash')"""
     q["critical_invoices"] = _with(_critical(p.top_critical)) + "\nSELECT * FROM crit"
+    q["grand_totals"] = _with("""gt AS (
+  SELECT coalesce(sum(CASE WHEN move_type = 'out_invoice' AND amount_residual > 0 AND tramo_orden IS NOT NULL
+                      THEN amount_residual END), 0) AS p, (SELECT saldo FROM bal) AS s FROM staging
+)""") + f"""
+SELECT {money('p')} AS total_pendiente, {money('s')} AS saldo_diarios,
+  {_money_text('p')} AS total_pendiente_txt, {_money_text('s')} AS saldo_diarios_txt FROM gt"""
     h = S.CRITICAL_TABLE_HEADERS
     q["critical_invoices_display"] = _with(_critical(p.top_critical)) + f"""
 SELECT name AS "{h['name']}", partner_name AS "{h['partner_name']}", invoice_date AS "{h['invoice_date']}",

@@ -14,6 +14,11 @@ ENGINE_CONF = {
     # skewed sort-merge partitions of the fact side at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # Partition sizing for large inputs: AQE merges small shuffle partitions
+    # up to the advisory size and splits skewed ones; scans are cut into
+    # 256 MB splits so no task holds more than it can aggregate in memory.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
 }
 
 
