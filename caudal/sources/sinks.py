@@ -7,6 +7,7 @@ idempotent and earlier dates stay readable.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +16,34 @@ from pyspark.sql import functions as F
 from caudal.functions.columns import lit_date
 
 
-def write_reports(reports: dict[str, DataFrame], path: str, as_of: date) -> None:
-    for name, df in reports.items():
-        (df.withColumn("as_of", lit_date(as_of))
-         # One file per report and date. A shuffle of the finished rows, so
-         # the stages that compute the report keep their parallelism (a
-         # coalesce would pull them into a single task).
-         .repartition(1)
-         .write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy("as_of")
-         .parquet(f"{path}/{name}"))
+def write_report(df: DataFrame, path: str, as_of: date) -> None:
+    (df.withColumn("as_of", lit_date(as_of))
+     # One file per report and date. A shuffle of the finished rows, so the
+     # stages that compute the report keep their parallelism (a coalesce
+     # would pull them into a single task).
+     .repartition(1)
+     .write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic")
+     .partitionBy("as_of")
+     .parquet(path))
+
+
+def write_reports(reports: dict[str, DataFrame], path: str, as_of: date,
+                  parallel: int = 4) -> None:
+    """Write every report; independent reports run as concurrent Spark jobs.
+
+    Each report is a small job of a few short stages, so submitting them
+    from a few driver threads keeps the executors busy instead of waiting
+    on one job's tail at a time. Any failure is raised after all finished.
+    """
+    if parallel <= 1 or len(reports) <= 1:
+        for name, df in reports.items():
+            write_report(df, f"{path}/{name}", as_of)
+        return
+    with ThreadPoolExecutor(max_workers=parallel, thread_name_prefix="caudal-report") as pool:
+        futures = [pool.submit(write_report, df, f"{path}/{name}", as_of) for name, df in reports.items()]
+        for f in futures:
+            f.result()
 
 
 def read_report(spark: SparkSession, path: str, name: str, as_of: date) -> DataFrame:
