@@ -114,6 +114,13 @@ def overdue_bucket(days: Column) -> Column:
 
 # -- text ------------------------------------------------------------------
 
+def one_decimal_text(x: Column) -> Column:
+    """A 1-decimal figure as Python prints it (``47.5``, ``5.0``,
+    ``12345678.9``): through a decimal, so large values never turn into
+    ``1.23E7``. Infinity is not representable and becomes null."""
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x.cast("decimal(38,1)").cast("string"))
+
+
 def money_text(x: Column) -> Column:
     """``$1,234,568`` (no decimals)."""
     return F.concat(F.lit("$"), F.format_number(x.cast("double"), 0))

@@ -20,7 +20,7 @@ def _fmt(template: str, **values: Column) -> Column:
     while "{" in rest:
         head, tail = rest.split("{", 1)
         key, rest = tail.split("}", 1)
-        parts += [F.lit(head), values[key].cast("string")]
+        parts += [F.lit(head), values[key]]
     parts.append(F.lit(rest))
     return F.concat(*parts)
 
@@ -37,11 +37,11 @@ def alerts(bundle: DataFrame) -> DataFrame:
     candidates = F.array(
         F.struct(F.when(_num() < 3, F.lit(S.DANGER)).when(_num() < 6, F.lit(S.WARNING)).alias("severity"),
                  F.lit("cash_runway").alias("code"),
-                 F.when(_num() < 3, _fmt(S.ALERT_RUNWAY_CRITICAL, runway=_num()))
-                  .otherwise(_fmt(S.ALERT_RUNWAY_WARNING, runway=_num())).alias("message")),
+                 F.when(_num() < 3, _fmt(S.ALERT_RUNWAY_CRITICAL, runway=C.one_decimal_text(_num())))
+                  .otherwise(_fmt(S.ALERT_RUNWAY_WARNING, runway=C.one_decimal_text(_num()))).alias("message")),
         F.struct(F.when(n > 0, F.when(n < 10, F.lit(S.WARNING)).otherwise(F.lit(S.DANGER))).alias("severity"),
                  F.lit("overdue_invoices").alias("code"),
-                 _fmt(S.ALERT_OVERDUE_INVOICES, n=n).alias("message")),
+                 _fmt(S.ALERT_OVERDUE_INVOICES, n=n.cast("string")).alias("message")),
     )
     return (bundle.select(F.inline(F.filter(candidates, lambda r: r["severity"].isNotNull())))
             .select("severity", "code", "message"))
@@ -52,7 +52,7 @@ def critical_badge(critical: DataFrame) -> DataFrame:
     n = F.col("n")
     return critical.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(
         "n",
-        F.when(n > 0, _fmt(S.BADGE_INVOICES, n=n)).otherwise(F.lit(S.BADGE_NONE)).alias("texto"),
+        F.when(n > 0, _fmt(S.BADGE_INVOICES, n=n.cast("string"))).otherwise(F.lit(S.BADGE_NONE)).alias("texto"),
         F.when(n > 5, S.DANGER).when(n > 0, S.WARNING).otherwise(S.SUCCESS).alias("color"))
 
 
@@ -62,14 +62,14 @@ def kpi_display(bundle: DataFrame) -> DataFrame:
     runway, liq = F.col("cash_runway"), F.col("liquidity_ratio")
     return bundle.select(
         C.money_text(F.col("saldo_liquido")).alias("saldo_liquido_txt"),
-        F.concat(F.col("dso").cast("string"), F.lit(" días")).alias("dso_txt"),
+        F.concat(C.one_decimal_text(F.col("dso")), F.lit(" días")).alias("dso_txt"),
         F.concat(C.money_text(F.col("burn_rate")), F.lit("/m")).alias("burn_rate_txt"),
         F.when(runway == float("inf"), F.lit("∞"))
-         .otherwise(F.concat(runway.cast("string"), F.lit(" m"))).alias("cash_runway_txt"),
+         .otherwise(F.concat(C.one_decimal_text(runway), F.lit(" m"))).alias("cash_runway_txt"),
         F.when(runway < 3, F.lit("CRÍTICO")).otherwise(F.lit("OK")).alias("runway_badge"),
         F.when(liq < 90, F.concat(F.format_number(liq, 2), F.lit("×")))
          .otherwise(F.lit(">90×")).alias("liquidity_ratio_txt"),
         C.money_text(F.col("total_cxc")).alias("total_cxc_txt"),
         C.money_text(F.col("cxc_vencida")).alias("cxc_vencida_txt"),
-        F.concat(F.col("collection_rate").cast("string"), F.lit("%")).alias("collection_rate_txt"),
+        F.concat(C.one_decimal_text(F.col("collection_rate")), F.lit("%")).alias("collection_rate_txt"),
     )

@@ -158,7 +158,7 @@ def whatif_runway(spark: SparkSession, staged: DataFrame, journals: DataFrame, a
         "pct",
         C.money_out(final, RATE_SCALE).alias("saldo_final"),
         runway.alias("runway_proy"),
-        F.when(ok, F.concat(runway.cast("string"), F.lit(" m"))).otherwise(F.lit(S.NOT_AVAILABLE))
+        F.when(ok, F.concat(C.one_decimal_text(runway), F.lit(" m"))).otherwise(F.lit(S.NOT_AVAILABLE))
          .alias("runway_str"),
         F.when(~ok, F.lit(S.MUTED)).when(runway < 3, S.DANGER).when(runway < 6, S.WARNING)
          .otherwise(S.SUCCESS).alias("nivel"),

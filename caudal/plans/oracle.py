@@ -516,7 +516,7 @@ fin AS (
 ),
 rw AS (SELECT *, CASE WHEN ok THEN round_even(CAST(final AS DOUBLE) / burn_rate, 1) END AS runway_proy FROM fin)""") + f"""
 SELECT pct, {money('final', 6)} AS saldo_final, runway_proy,
-  CASE WHEN ok THEN CAST(runway_proy AS VARCHAR) || ' m' ELSE 'N/D' END AS runway_str,
+  CASE WHEN ok THEN CAST(CAST(runway_proy AS DECIMAL(38,1)) AS VARCHAR) || ' m' ELSE 'N/D' END AS runway_str,
   CASE WHEN NOT ok THEN 'muted' WHEN runway_proy < 3 THEN 'danger' WHEN runway_proy < 6 THEN 'warning' ELSE 'success' END AS nivel
 FROM rw"""
     q["min_collection_rate"] = _with(_scenarios(g.start, g.stop, g.step), _grid(), """per AS (
@@ -534,7 +534,7 @@ FROM scen s, recv r, bal j, burn b"""
     q["scenario_grid_v"] = _with(_impayment(gv.start, gv.stop, gv.step), _grid_v()) + \
         f"\nSELECT impayment_pct, {_PROJ_V_COLS} FROM proj_v"
 
-    runway_txt = "CAST(cash_runway AS VARCHAR)"
+    runway_txt = "CAST(CAST(cash_runway AS DECIMAL(38,1)) AS VARCHAR)"
     q["alerts"] = _with() + f"""
 SELECT * FROM (
   SELECT CASE WHEN cash_runway < 3 THEN 'danger' WHEN cash_runway < 6 THEN 'warning' END AS severity,
@@ -553,13 +553,13 @@ SELECT n, CASE WHEN n > 0 THEN CAST(n AS VARCHAR) || ' facturas' ELSE 'Sin alert
   CASE WHEN n > 5 THEN 'danger' WHEN n > 0 THEN 'warning' ELSE 'success' END AS color FROM cn"""
     q["kpi_display"] = _with() + f"""
 SELECT {_money_text('saldo_liquido')} AS saldo_liquido_txt,
-  CAST(dso AS VARCHAR) || ' días' AS dso_txt,
+  CAST(CAST(dso AS DECIMAL(38,1)) AS VARCHAR) || ' días' AS dso_txt,
   {_money_text('burn_rate')} || '/m' AS burn_rate_txt,
-  CASE WHEN cash_runway = CAST('inf' AS DOUBLE) THEN '∞' ELSE CAST(cash_runway AS VARCHAR) || ' m' END AS cash_runway_txt,
+  CASE WHEN cash_runway = CAST('inf' AS DOUBLE) THEN '∞' ELSE CAST(CAST(cash_runway AS DECIMAL(38,1)) AS VARCHAR) || ' m' END AS cash_runway_txt,
   CASE WHEN cash_runway < 3 THEN 'CRÍTICO' ELSE 'OK' END AS runway_badge,
   CASE WHEN liquidity_ratio < 90 THEN format('{{:,.2f}}', liquidity_ratio) || '×' ELSE '>90×' END AS liquidity_ratio_txt,
   {_money_text('total_cxc')} AS total_cxc_txt,
   {_money_text('cxc_vencida')} AS cxc_vencida_txt,
-  CAST(collection_rate AS VARCHAR) || '%' AS collection_rate_txt
+  CAST(CAST(collection_rate AS DECIMAL(38,1)) AS VARCHAR) || '%' AS collection_rate_txt
 FROM bundle"""
     return q

@@ -172,3 +172,13 @@ def test_kpi_display_text(spark, make_moves, journals):
     assert d.cash_runway_txt == "∞"
     assert d.liquidity_ratio_txt == ">90×"
     assert d.collection_rate_txt == "100.0%"
+
+
+def test_one_decimal_text_matches_python_str(spark):
+    from pyspark.sql import functions as F
+
+    from caudal.functions.columns import one_decimal_text
+    vals = [47.5, 5.0, 12345678.9, 0.1, -3.2]
+    df = spark.createDataFrame([(v,) for v in vals] + [(float("inf"),)], "x double")
+    got = [r[0] for r in df.select(one_decimal_text(F.col("x"))).collect()]
+    assert got == [str(v) for v in vals] + [None]
