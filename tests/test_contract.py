@@ -18,6 +18,9 @@ from caudal.session import shared_dir
 from caudal.sources.tables import mapped_ledger
 from caudal.streaming.refresh import snapshots_from_ledger, start_refresh
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN"}
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -62,6 +65,10 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
+    duck_types = {d[0]: str(d[1]) for d in res.description}
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == duck_types
     assert _sorted_rows(df.columns, df.collect()) == _sorted_rows(dcols, res.fetchall())
 
 
