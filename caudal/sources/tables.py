@@ -179,18 +179,19 @@ def _materialize(spark: SparkSession, df: DataFrame, path: str, schema: T.Struct
     """Write ``df`` once under ``path`` (commit marked by ``_SUCCESS``), then read it
     back with its fixed schema (no footer inference).
 
-    With ``partition_col`` the rows are range-partitioned on (``sort_col``,
-    ``id``) first: every task writes a contiguous slice of dates, so it
-    touches few partition folders, and a date holding a third of all rows
-    is still split across tasks by id. A job that died half way left no
-    ``_SUCCESS``; it is simply rewritten.
+    With ``partition_col`` the rows are rebalanced on it first (the
+    ``rebalance`` hint): one shuffle, no sampling pass over the upstream
+    plan, few files per partition folder, and AQE splits a partition that
+    holds a third of all rows across several writer tasks instead of giving
+    it to one. A job that died half way left no ``_SUCCESS``; it is simply
+    rewritten.
     """
     if not path_exists(spark, f"{path}/_SUCCESS"):
         cols = schema.fieldNames() + ([partition_col] if partition_col else [])
         out = df.select(*cols)
         writer_order = [c for c in (partition_col, sort_col) if c]
         if partition_col:
-            out = out.repartitionByRange(sort_col, "id")
+            out = out.hint("rebalance", partition_col)
         if writer_order:
             out = out.sortWithinPartitions(*writer_order)
         writer = out.write.mode("overwrite")
@@ -214,7 +215,7 @@ def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
     """
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
     sig = "|".join(input_signature(spark, p) for p in inputs)
-    key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v3".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v4".encode()).hexdigest()[:16]
     base = f"{shared_dir(spark)}/caudal/ledger/{key}"
     memo = (spark.sparkContext.applicationId, base)
     if memo in _LEDGERS:
