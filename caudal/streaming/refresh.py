@@ -89,9 +89,15 @@ def start_refresh(spark: SparkSession, inbox: str, workdir: str, journals: DataF
         rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         versions = rows
         if batch_id > 0 and path_exists(session, f"{current}/v={batch_id - 1}/_SUCCESS"):
-            versions = session.read.schema(CURRENT_SCHEMA).parquet(f"{current}/v={batch_id - 1}") \
-                .unionByName(rows)
-        latest_per_id(versions).write.mode("overwrite").parquet(f"{current}/v={batch_id}")
+            previous = session.read.schema(CURRENT_SCHEMA).parquet(f"{current}/v={batch_id - 1}")
+            versions = previous.select(*CURRENT_SCHEMA.fieldNames()).unionByName(rows)
+        # Month-partitioned like the batch ledger, so the reports' look-back
+        # prunes folders; the rebalance hint keeps a hot month parallel.
+        (latest_per_id(versions)
+         .withColumn(S.MONTH_PARTITION, F.date_format("invoice_date", "yyyy-MM"))
+         .hint("rebalance", S.MONTH_PARTITION)
+         .write.mode("overwrite").partitionBy(S.MONTH_PARTITION)
+         .parquet(f"{current}/v={batch_id}"))
         ledger = session.read.schema(CURRENT_SCHEMA).parquet(f"{current}/v={batch_id}")
         staged = stage(moves_source(ledger, as_of, p.lookback_days), as_of)
         write_reports(refresh_reports(staged, liquid, as_of, p), out, as_of)
