@@ -18,6 +18,9 @@ ENGINE_CONF = {
     # up to the advisory size and splits skewed ones; scans are cut into
     # 256 MB splits so no task holds more than it can aggregate in memory.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    # Honour that size instead of maximising task count (Spark's advice for
+    # shared clusters): fewer, fuller post-shuffle tasks.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.files.maxPartitionBytes": "256m",
 }
 
