@@ -41,6 +41,24 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+# -- document predicates ---------------------------------------------------
+
+def customer_invoice() -> Column:
+    return F.col("move_type") == S.OUT_INVOICE
+
+
+def vendor_bill() -> Column:
+    return F.col("move_type") == S.IN_INVOICE
+
+
+def residual() -> Column:
+    return F.col("amount_residual")
+
+
+def posted() -> Column:
+    return F.col("state") == S.POSTED
+
+
 # -- date dimensions -------------------------------------------------------
 
 def month_label(d: Column) -> Column:

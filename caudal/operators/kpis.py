@@ -26,26 +26,10 @@ from caudal.functions import columns as C
 INF = float("inf")
 
 
-def _out() -> Column:
-    return F.col("move_type") == S.OUT_INVOICE
-
-
-def _in() -> Column:
-    return F.col("move_type") == S.IN_INVOICE
-
-
-def _res() -> Column:
-    return F.col("amount_residual")
-
-
 def _tot() -> Column:
     return F.col("amount_total")
 
 
-def _posted() -> Column:
-    return F.col("state") == S.POSTED
-
-
 def _sum_if(cond: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, value)), C.zero_money())
 
@@ -61,20 +45,20 @@ def _mean_of_months(total: Column, n_months: Column) -> Column:
 
 def moves_stats(staged: DataFrame, as_of: date | None = None, months: int = 3) -> DataFrame:
     """All single-pass aggregates over the staged moves (one row)."""
-    collected_out = _out() & F.col("is_collected")
+    collected_out = C.customer_invoice() & F.col("is_collected")
     aggs = [
         F.count(F.lit(1)).alias("n_moves"),
         F.avg(F.when(collected_out, C.days_to_collect(F.col("invoice_date"), F.col("date_maturity"))))
          .alias("dso_raw"),
-        _sum_if(_out(), _tot()).alias("billed_out"),
-        _sum_if(_out(), F.col("collected_amt")).alias("collected_out"),
-        _sum_if(_out(), _res()).alias("residual_out"),
-        _sum_if(_in() & F.col("is_overdue"), _res()).alias("overdue_in"),
-        _sum_if(F.col("is_overdue"), _res()).alias("overdue_all"),
+        _sum_if(C.customer_invoice(), _tot()).alias("billed_out"),
+        _sum_if(C.customer_invoice(), F.col("collected_amt")).alias("collected_out"),
+        _sum_if(C.customer_invoice(), C.residual()).alias("residual_out"),
+        _sum_if(C.vendor_bill() & F.col("is_overdue"), C.residual()).alias("overdue_in"),
+        _sum_if(F.col("is_overdue"), C.residual()).alias("overdue_all"),
         F.count_if(F.col("is_overdue") & (F.col("days_overdue") > 60)).alias("n_critical"),
     ]
     if as_of is not None:
-        opex = _in() & _burn_cut(as_of, months)
+        opex = C.vendor_bill() & _burn_cut(as_of, months)
         aggs += [F.sum(F.when(opex, _tot())).alias("burn_total"),
                  F.count_distinct(F.when(opex, F.col("month"))).alias("burn_months")]
     return staged.agg(*aggs)
@@ -196,17 +180,17 @@ def kpi_bundle(staged: DataFrame, journals: DataFrame, as_of: date,
 
 def moves_stats_v(moves: DataFrame, as_of: date, months: int = 3) -> DataFrame:
     """Single-pass aggregates of the variant pipeline over the window moves."""
-    opex = _in() & _posted() & _burn_cut(as_of, months)
-    overdue_in = _in() & _posted() & (F.col("date_maturity") < C.lit_date(as_of)) & (_res() > 0)
-    is_overdue = F.coalesce((F.col("date_maturity") < C.lit_date(as_of)) & (_res() > 0), F.lit(False))
-    paid_out = _out() & _posted() & F.col("payment_date").isNotNull()
+    opex = C.vendor_bill() & C.posted() & _burn_cut(as_of, months)
+    overdue_in = C.vendor_bill() & C.posted() & (F.col("date_maturity") < C.lit_date(as_of)) & (C.residual() > 0)
+    is_overdue = F.coalesce((F.col("date_maturity") < C.lit_date(as_of)) & (C.residual() > 0), F.lit(False))
+    paid_out = C.customer_invoice() & C.posted() & F.col("payment_date").isNotNull()
     return moves.agg(
         F.avg(F.when(paid_out, F.datediff("payment_date", "invoice_date"))).alias("dso_raw"),
         F.sum(F.when(opex, _tot())).alias("burn_total"),
         F.count_distinct(F.when(opex, C.month_label(F.col("invoice_date")))).alias("burn_months"),
-        _sum_if(overdue_in, _res()).alias("pasivos"),
-        _sum_if(_out(), _res()).alias("total_ar"),
-        _sum_if(is_overdue, _res()).alias("overdue_ar"),
+        _sum_if(overdue_in, C.residual()).alias("pasivos"),
+        _sum_if(C.customer_invoice(), C.residual()).alias("total_ar"),
+        _sum_if(is_overdue, C.residual()).alias("overdue_ar"),
     )
 
 

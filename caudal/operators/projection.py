@@ -29,26 +29,16 @@ FACTOR = "decimal(6,4)"
 RATE_SCALE = 6  # money (2) x factor (4)
 MONTHS_FACTOR = "decimal(10,6)"
 
-def _out() -> Column:
-    return F.col("move_type") == S.OUT_INVOICE
-
-def _in() -> Column:
-    return F.col("move_type") == S.IN_INVOICE
-
-def _res() -> Column:
-    return F.col("amount_residual")
-
-
 
 def _daily_due(staged: DataFrame, as_of: date, days: int, posted_only: bool = False) -> DataFrame:
     """Open residual per due day in [as_of, as_of + days], inflow and outflow."""
-    cond = ((_res() > 0) & (_out() | _in())
+    cond = ((C.residual() > 0) & (C.customer_invoice() | C.vendor_bill())
             & F.col("date_maturity").between(C.lit_date(as_of), C.lit_date(as_of + timedelta(days=days))))
     if posted_only:
         cond = cond & (F.col("state") == S.POSTED)
     return (staged.filter(cond).groupBy(F.col("date_maturity").alias("fecha"))
-            .agg(F.sum(F.when(_out(), _res())).alias("base_in"),
-                 F.sum(F.when(_in(), _res())).alias("base_out")))
+            .agg(F.sum(F.when(C.customer_invoice(), C.residual())).alias("base_in"),
+                 F.sum(F.when(C.vendor_bill(), C.residual())).alias("base_out")))
 
 
 def _has_rows(staged: DataFrame) -> Column:
@@ -188,7 +178,7 @@ def projected_cash_doc(spark: SparkSession, staged: DataFrame, journals: DataFra
     Exact decimal arithmetic (``days / 30`` as a 6-decimal factor, the burn
     rate at its 2 published decimals), so the result has no rounding step.
     """
-    recv = staged.filter(_out()).agg(F.coalesce(F.sum(_res()), C.zero_money())).scalar()
+    recv = staged.filter(C.customer_invoice()).agg(F.coalesce(F.sum(C.residual()), C.zero_money())).scalar()
     rows = collection_scenarios(spark, pcts).withColumns({
         "cxc": recv, "saldo": liquid_balance_value(journals),
         "burn_rate": burn_rate(staged, as_of, months).scalar()})

@@ -21,21 +21,11 @@ from caudal import schema as S
 from caudal.functions import columns as C
 from caudal.operators.staging import date_range
 
-def _out() -> Column:
-    return F.col("move_type") == S.OUT_INVOICE
-
-def _in() -> Column:
-    return F.col("move_type") == S.IN_INVOICE
-
-def _res() -> Column:
-    return F.col("amount_residual")
-
 
 def _all() -> WindowSpec:
     return Window.partitionBy()
 
 
-
 def _share(part: Column, total: Column) -> Column:
     return F.bround(C.ratio(part, total) * 100, 1)
 
@@ -51,9 +41,9 @@ def aging_report(staged: DataFrame) -> DataFrame:
     Only non-empty buckets, in bucket order; invoices without a due date have
     no bucket and are left out of the totals too.
     """
-    grouped = (staged.filter(_out() & (_res() > 0) & F.col("tramo_orden").isNotNull())
+    grouped = (staged.filter(C.customer_invoice() & (C.residual() > 0) & F.col("tramo_orden").isNotNull())
                .groupBy("tramo_orden", "tramo_aging")
-               .agg(F.sum(_res()).alias("monto_d"), F.count("id").alias("facturas")))
+               .agg(F.sum(C.residual()).alias("monto_d"), F.count("id").alias("facturas")))
     total = F.sum("monto_d").over(_all())
     return (grouped
             .select("tramo_orden",
@@ -68,19 +58,19 @@ def aging_report(staged: DataFrame) -> DataFrame:
 def overdue_aging_v(staged_v: DataFrame, start: date | None = None,
                     end: date | None = None) -> DataFrame:
     """Variant: overdue customer invoices in a period, residual per 4 buckets."""
-    rows = date_range(staged_v, start, end).filter(_out() & F.col("is_overdue"))
+    rows = date_range(staged_v, start, end).filter(C.customer_invoice() & F.col("is_overdue"))
     bucket = C.overdue_bucket(F.col("days_overdue"))
     order = F.least(F.greatest(F.ceil(F.col("days_overdue") / 30), F.lit(1)), F.lit(4))
     return (rows.withColumns({"tramo": bucket, "_o": order})
             .filter(F.col("tramo").isNotNull())
-            .groupBy("_o", "tramo").agg(F.sum(_res()).alias("_r"))
+            .groupBy("_o", "tramo").agg(F.sum(C.residual()).alias("_r"))
             .orderBy("_o")
             .select("tramo", C.money_out(F.col("_r")).alias("amount_residual")))
 
 
 def monthly_comparison(staged: DataFrame, months: int = 12) -> DataFrame:
     """Customer invoices per month: billed, collected, count, rate; last N months."""
-    grouped = (staged.filter(_out()).groupBy("month")
+    grouped = (staged.filter(C.customer_invoice()).groupBy("month")
                .agg(F.sum("amount_total").alias("f"), F.sum("collected_amt").alias("c"),
                     F.count("id").alias("n")))
     return (_last_months(grouped, months)
@@ -94,7 +84,7 @@ def monthly_comparison(staged: DataFrame, months: int = 12) -> DataFrame:
 
 def monthly_comparison_v(staged_v: DataFrame, months: int = 12) -> DataFrame:
     """Variant: drafts included, English names, no null fill of the rate."""
-    grouped = (staged_v.filter(_out()).groupBy("month")
+    grouped = (staged_v.filter(C.customer_invoice()).groupBy("month")
                .agg(F.sum("amount_total").alias("f"), F.sum("collected_amt").alias("c"),
                     F.count("id").alias("n")))
     return (_last_months(grouped, months)
@@ -113,9 +103,9 @@ def monthly_net_cashflow(staged: DataFrame, months: int = 12) -> DataFrame:
     outer join of two monthly series (a month missing on one side gives 0).
     The Total row sums the months shown and is dated one month after the last.
     """
-    grouped = (staged.filter(_out() | _in()).groupBy("month")
-               .agg(F.coalesce(F.sum(F.when(_out(), F.col("collected_amt"))), C.zero_money()).alias("i"),
-                    F.coalesce(F.sum(F.when(_in(), F.col("amount_total"))), C.zero_money()).alias("e")))
+    grouped = (staged.filter(C.customer_invoice() | C.vendor_bill()).groupBy("month")
+               .agg(F.coalesce(F.sum(F.when(C.customer_invoice(), F.col("collected_amt"))), C.zero_money()).alias("i"),
+                    F.coalesce(F.sum(F.when(C.vendor_bill(), F.col("amount_total"))), C.zero_money()).alias("e")))
     shown = _last_months(grouped, months).select(
         "month", "i", "e", (F.col("i") - F.col("e")).alias("n"),
         C.month_start(F.col("month")).alias("month_dt"),
@@ -153,8 +143,8 @@ def client_concentration(staged: DataFrame, top_n: int = 8) -> DataFrame:
     reused), and ``Otros`` is their difference. Ties on the amount are
     ordered by name.
     """
-    per = (staged.filter(_out() & (_res() > 0)).groupBy("partner_name")
-           .agg(F.sum(_res()).alias("m")))
+    per = (staged.filter(C.customer_invoice() & (C.residual() > 0)).groupBy("partner_name")
+           .agg(F.sum(C.residual()).alias("m")))
     top = per.orderBy(F.col("m").desc(), F.col("partner_name")).limit(top_n)
     totals = per.agg(F.sum("m").alias("total"))
     total = totals.scalar()
@@ -176,7 +166,7 @@ def collections_velocity(staged: DataFrame, months: int = 12, min_invoices: int
     kept (trap T12): round each month, keep the last N, then average by row.
     """
     days = C.days_to_collect(F.col("invoice_date"), F.col("date_maturity"))
-    grouped = (staged.filter(_out() & F.col("is_collected")).groupBy("month")
+    grouped = (staged.filter(C.customer_invoice() & F.col("is_collected")).groupBy("month")
                .agg(F.avg(days).alias("d"), F.count("id").alias("n"))
                .filter(F.col("n") >= min_invoices))
     last = _last_months(grouped, months).select(
@@ -189,10 +179,10 @@ def collections_velocity(staged: DataFrame, months: int = 12, min_invoices: int
 def grand_totals(staged: DataFrame, journals: DataFrame) -> DataFrame:
     """Totals printed in the middle of the two donuts: the unpaid receivables
     of the aging report and the sum of the bank and cash balances."""
-    aged = _out() & (_res() > 0) & F.col("tramo_orden").isNotNull()
+    aged = C.customer_invoice() & (C.residual() > 0) & F.col("tramo_orden").isNotNull()
     liquid = (journals.filter(F.col("type").isin(*S.LIQUID_JOURNAL_TYPES))
               .agg(F.coalesce(F.sum("current_balance"), C.zero_money())).scalar())
-    return staged.agg(F.coalesce(F.sum(F.when(aged, _res())), C.zero_money()).alias("p")).select(
+    return staged.agg(F.coalesce(F.sum(F.when(aged, C.residual())), C.zero_money()).alias("p")).select(
         C.money_out(F.col("p")).alias("total_pendiente"),
         C.money_out(liquid).alias("saldo_diarios"),
         C.money_text(F.col("p")).alias("total_pendiente_txt"),
@@ -207,14 +197,14 @@ def journal_breakdown(journals: DataFrame) -> DataFrame:
 
 def critical_invoices(staged: DataFrame, top_n: int = 15) -> DataFrame:
     """Top N overdue customer invoices by open residual (ties: name, id)."""
-    top = (staged.filter(_out() & F.col("is_overdue"))
-           .orderBy(_res().desc(), F.col("name"), F.col("id")).limit(top_n))
+    top = (staged.filter(C.customer_invoice() & F.col("is_overdue"))
+           .orderBy(C.residual().desc(), F.col("name"), F.col("id")).limit(top_n))
     return top.select(
         "name", "partner_name",
         C.day_month_year(F.col("invoice_date")).alias("invoice_date"),
         C.day_month_year(F.col("date_maturity")).alias("date_maturity"),
         C.money_out(F.col("amount_total")).alias("amount_total"),
-        C.money_out(_res()).alias("amount_residual"),
+        C.money_out(C.residual()).alias("amount_residual"),
         "days_overdue", "nivel_riesgo")
 
 
