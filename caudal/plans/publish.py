@@ -3,10 +3,11 @@
 The reference returns all tables of a refresh as one payload. Here each
 report is a lazy DataFrame over the same ledger, and each is written to
 ``<out>/<report>/as_of=<date>`` (dynamic partition overwrite: re-running a
-date replaces exactly that date). Run as::
+date replaces exactly that date). Run as (the package shipped with ``--py-files``)::
 
-    spark-submit -m caudal.plans.publish --ledger s3a://.../ledger --format parquet \
-        --out s3a://.../reports --as-of 2001-08-01
+    zip -r caudal.zip caudal
+    spark-submit --py-files caudal.zip caudal/plans/publish.py \
+        --ledger <ledger folder> --format parquet --out <reports folder> --as-of 2001-08-01
 """
 
 from __future__ import annotations
