@@ -9,25 +9,37 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from caudal.functions import columns as C
 
 
-def stage(moves: DataFrame, as_of: date) -> DataFrame:
+def _dated(moves: DataFrame, observation: Observation | None) -> DataFrame:
+    """Drop documents without an invoice date (they have no month); with an
+    ``Observation``, count them on the way, in the same pass as the query."""
+    if observation is not None:
+        moves = moves.observe(observation,
+                              F.count(F.lit(1)).alias("rows_in"),
+                              F.count_if(F.col("invoice_date").isNull()).alias("null_invoice_date"))
+    return moves.filter(F.col("invoice_date").isNotNull())
+
+
+def stage(moves: DataFrame, as_of: date, observation: Observation | None = None) -> DataFrame:
     """Main staging: date dimensions, flags, risk level and aging bucket.
 
     * ``is_overdue`` needs a due date before ``as_of`` and an open residual.
     * ``days_overdue`` ignores payment (a paid late invoice is still
       ``Riesgo crítico``) and stays null without a due date.
     * ``collected_amt`` is all-or-nothing: a partial payment counts 0.
+    * Documents without an invoice date are dropped (counted when an
+      ``observation`` is given).
     """
     inv, mat = F.col("invoice_date"), F.col("date_maturity")
     total, residual = F.col("amount_total"), F.col("amount_residual")
     days = C.days_overdue(mat, as_of)
     collected = F.when(residual == 0, total).otherwise(C.zero_money())
-    return (moves.filter(inv.isNotNull())
+    return (_dated(moves, observation)
             .withColumns({
                 "year": F.year(inv),
                 "month": C.month_label(inv),
@@ -44,11 +56,11 @@ def stage(moves: DataFrame, as_of: date) -> DataFrame:
             }))
 
 
-def stage_v(moves: DataFrame, as_of: date) -> DataFrame:
+def stage_v(moves: DataFrame, as_of: date, observation: Observation | None = None) -> DataFrame:
     """Variant staging: week label and payment date; no quarter, pending or risk."""
     inv, mat = F.col("invoice_date"), F.col("date_maturity")
     total, residual = F.col("amount_total"), F.col("amount_residual")
-    return (moves.filter(inv.isNotNull())
+    return (_dated(moves, observation)
             .withColumns({
                 "year": F.year(inv),
                 "month": C.month_label(inv),

@@ -64,8 +64,12 @@ def test_date_dimensions(make_moves):
     assert v[1].week == "2026-11-30/2026-12-06"
 
 
-def test_null_invoice_date_dropped(make_moves):
-    assert stage(make_moves([move(1, invoice=None), move(2)]), AS_OF).count() == 1
+def test_null_invoice_date_dropped_and_counted(make_moves):
+    from pyspark.sql import Observation
+    obs = Observation("ingest")
+    staged = stage(make_moves([move(1, invoice=None), move(2), move(3)]), AS_OF, obs)
+    assert staged.count() == 2
+    assert obs.get == {"rows_in": 3, "null_invoice_date": 1}
 
 
 def test_date_range_closed_and_skipped_without_both_ends(make_moves):
