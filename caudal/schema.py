@@ -121,6 +121,8 @@ LIQUIDITY_SENTINEL = 99.0
 LIQUIDITY_SENTINEL_V = 99.99
 
 
+# Fixed values (continued): the traffic-light thresholds of both UIs, as the
+# reference states them; they are dataclass defaults so a caller can tune them.
 @dataclass(frozen=True)
 class Thresholds:
     """Traffic-light thresholds of the main KPI cards."""
