@@ -15,6 +15,7 @@ written table survives the loss of any executor.
 from __future__ import annotations
 
 import hashlib
+import threading
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -202,6 +203,7 @@ def _materialize(spark: SparkSession, df: DataFrame, path: str, schema: T.Struct
 
 
 _LEDGERS: dict[tuple[str, str], Ledger] = {}
+_LEDGERS_LOCK = threading.Lock()  # reports may be built from several driver threads
 
 
 def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
@@ -218,8 +220,13 @@ def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
     key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v4".encode()).hexdigest()[:16]
     base = f"{shared_dir(spark)}/caudal/ledger/{key}"
     memo = (spark.sparkContext.applicationId, base)
-    if memo in _LEDGERS:
+    with _LEDGERS_LOCK:
+        if memo not in _LEDGERS:
+            _LEDGERS[memo] = _write_ledger(spark, sf_dir, as_of, base)
         return _LEDGERS[memo]
+
+
+def _write_ledger(spark: SparkSession, sf_dir: str, as_of: date, base: str) -> Ledger:
     # Partitioned by invoice month (the look-back filter prunes folders) and
     # sorted by invoice date inside each file (row-group statistics skip the
     # rest of the window).
@@ -232,5 +239,4 @@ def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
                             PAYMENTS_MAPPED, "date")
     journals = _materialize(spark, map_journals(spark, sf_dir, as_of).coalesce(1),
                             f"{base}/journals", S.JOURNALS_SCHEMA)
-    _LEDGERS[memo] = Ledger(moves, payments, journals)
-    return _LEDGERS[memo]
+    return Ledger(moves, payments, journals)
