@@ -116,13 +116,15 @@ def snapshots_from_ledger(raw_moves: DataFrame, earlier: date, as_of: date,
                           lookback_days: int = 365) -> list[DataFrame]:
     """Two extracts of the mapped ledger, as the ERP would have returned them.
 
-    Snapshot 1 is taken at ``earlier``: documents issued up to then, and a
-    document paid after ``earlier`` is still fully open in it. Snapshot 2 is
-    the look-back window at ``as_of``. Documents in both must resolve to the
+    Each extract is the source's look-back window at its own date. Snapshot 1
+    is taken at ``earlier``: documents issued in the window ending then, and
+    a document paid after ``earlier`` is still fully open in it. Snapshot 2
+    is the window at ``as_of``. Documents in both must resolve to the
     snapshot-2 version, or the open receivables come out wrong.
     """
     paid_later = F.col("payment_date") > lit_date(earlier)
-    first = (raw_moves.filter(F.col("invoice_date") <= lit_date(earlier))
+    first = (raw_moves.filter(F.col("invoice_date").between(
+                lit_date(earlier - timedelta(days=lookback_days)), lit_date(earlier)))
              .withColumns({
                  "amount_residual": F.when(paid_later, F.col("amount_total"))
                                       .otherwise(F.col("amount_residual")),
