@@ -2,19 +2,20 @@
 
 The reference recomputes everything from a fresh extract every five minutes
 (or on a button). Here each extract is a Parquet snapshot dropped into an
-inbox folder; a Structured Streaming file source picks new snapshots up, and
-``foreachBatch``:
+inbox folder, and a Structured Streaming file source picks new snapshots up.
+The inbox itself is the history: snapshot files are immutable, and the file
+source's log records which files each batch read, so a replayed batch sees
+the same rows. Then ``foreachBatch``:
 
-1. the inbox itself is the history: snapshot files are immutable, and the
-   file source's log records which files each batch read, so a replayed
-   batch sees the same rows;
-2. compacts: the current ledger of batch N is the newest version of every
+1. compacts: the current ledger of batch N is the newest version of every
    document id (``max_by`` over ``(snapshot_seq, batch_id)``) among the
    current ledger of batch N-1 and the new rows, a shuffle on ``id`` over
    (documents + new rows), never over the whole history. It is written to
-   ``current/v=N`` in the shared folder, which cuts the lineage and makes a
-   retried batch rebuild the same version from the same inputs;
-3. stages that written table and rewrites the reports of the as-of date.
+   ``current/v=N`` in the shared folder, month-partitioned like the batch
+   ledger; that cuts the lineage and makes a retried batch rebuild the same
+   version from the same inputs;
+2. stages that written table and rewrites the reports of the as-of date
+   (independent reports as concurrent jobs, dynamic partition overwrite).
 
 Progress and the set of processed files live in the checkpoint under the
 shared folder, so the job resumes after a driver or executor loss. Tests and
