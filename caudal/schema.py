@@ -27,8 +27,11 @@ MOVES_SCHEMA = T.StructType([
     T.StructField("payment_date", T.DateType(), True),
 ])
 
-# Partition column of a written ledger: ``yyyy-MM`` of the invoice date.
+# Partition columns of a written ledger: document type, then ``yyyy-MM`` of
+# the invoice date. Type-only reports skip the other type's folders, and the
+# look-back window skips old months.
 MONTH_PARTITION = "invoice_month"
+LEDGER_PARTITIONS = ("move_type", MONTH_PARTITION)
 
 PAYMENTS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), True),

@@ -176,11 +176,11 @@ PAYMENTS_MAPPED = T.StructType([f for f in S.PAYMENTS_SCHEMA.fields if f.name !=
 
 
 def _materialize(spark: SparkSession, df: DataFrame, path: str, schema: T.StructType,
-                 sort_col: str | None = None, partition_col: str | None = None) -> DataFrame:
+                 sort_col: str | None = None, partition_cols: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once under ``path`` (commit marked by ``_SUCCESS``), then read it
     back with its fixed schema (no footer inference).
 
-    With ``partition_col`` the rows are rebalanced on it first (the
+    With ``partition_cols`` the rows are rebalanced on them first (the
     ``rebalance`` hint): one shuffle, no sampling pass over the upstream
     plan, few files per partition folder, and AQE splits a partition that
     holds a third of all rows across several writer tasks instead of giving
@@ -188,16 +188,16 @@ def _materialize(spark: SparkSession, df: DataFrame, path: str, schema: T.Struct
     rewritten.
     """
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        cols = schema.fieldNames() + ([partition_col] if partition_col else [])
+        cols = schema.fieldNames() + [c for c in partition_cols if c not in schema.fieldNames()]
         out = df.select(*cols)
-        writer_order = [c for c in (partition_col, sort_col) if c]
-        if partition_col:
-            out = out.hint("rebalance", partition_col)
-        if writer_order:
-            out = out.sortWithinPartitions(*writer_order)
+        if partition_cols:
+            out = out.hint("rebalance", *partition_cols)
+        order = [*partition_cols, *([sort_col] if sort_col else [])]
+        if order:
+            out = out.sortWithinPartitions(*order)
         writer = out.write.mode("overwrite")
-        if partition_col:
-            writer = writer.partitionBy(partition_col)
+        if partition_cols:
+            writer = writer.partitionBy(*partition_cols)
         writer.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -217,7 +217,7 @@ def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
     """
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
     sig = "|".join(input_signature(spark, p) for p in inputs)
-    key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v4".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v5".encode()).hexdigest()[:16]
     base = f"{shared_dir(spark)}/caudal/ledger/{key}"
     memo = (spark.sparkContext.applicationId, base)
     with _LEDGERS_LOCK:
@@ -227,13 +227,13 @@ def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
 
 
 def _write_ledger(spark: SparkSession, sf_dir: str, as_of: date, base: str) -> Ledger:
-    # Partitioned by invoice month (the look-back filter prunes folders) and
-    # sorted by invoice date inside each file (row-group statistics skip the
-    # rest of the window).
+    # Partitioned by type and invoice month (type filters and the look-back
+    # window prune folders) and sorted by invoice date inside each file
+    # (row-group statistics skip the rest of the window).
     mapped = map_moves(spark, sf_dir, as_of).withColumn(
         S.MONTH_PARTITION, F.date_format("invoice_date", "yyyy-MM"))
     moves = _materialize(spark, mapped, f"{base}/moves", S.MOVES_SCHEMA, "invoice_date",
-                         S.MONTH_PARTITION)
+                         S.LEDGER_PARTITIONS)
     payments = _materialize(spark, map_payments(moves.select(*S.MOVES_SCHEMA.fieldNames()), as_of),
                             f"{base}/payments",
                             PAYMENTS_MAPPED, "date")

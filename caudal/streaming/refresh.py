@@ -92,12 +92,12 @@ def start_refresh(spark: SparkSession, inbox: str, workdir: str, journals: DataF
         if batch_id > 0 and path_exists(session, f"{current}/v={batch_id - 1}/_SUCCESS"):
             previous = session.read.schema(CURRENT_SCHEMA).parquet(f"{current}/v={batch_id - 1}")
             versions = previous.select(*CURRENT_SCHEMA.fieldNames()).unionByName(rows)
-        # Month-partitioned like the batch ledger, so the reports' look-back
-        # prunes folders; the rebalance hint keeps a hot month parallel.
+        # Partitioned like the batch ledger, so the reports prune folders;
+        # the rebalance hint keeps a hot partition parallel.
         (latest_per_id(versions)
          .withColumn(S.MONTH_PARTITION, F.date_format("invoice_date", "yyyy-MM"))
-         .hint("rebalance", S.MONTH_PARTITION)
-         .write.mode("overwrite").partitionBy(S.MONTH_PARTITION)
+         .hint("rebalance", *S.LEDGER_PARTITIONS)
+         .write.mode("overwrite").partitionBy(*S.LEDGER_PARTITIONS)
          .parquet(f"{current}/v={batch_id}"))
         ledger = session.read.schema(CURRENT_SCHEMA).parquet(f"{current}/v={batch_id}")
         staged = stage(moves_source(ledger, as_of, p.lookback_days), as_of)
