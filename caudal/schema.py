@@ -32,6 +32,8 @@ MOVES_SCHEMA = T.StructType([
 # look-back window skips old months.
 MONTH_PARTITION = "invoice_month"
 LEDGER_PARTITIONS = ("move_type", MONTH_PARTITION)
+PAYMENT_MONTH = "payment_month"
+PAYMENT_PARTITIONS = ("payment_type", PAYMENT_MONTH)
 
 PAYMENTS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), True),

@@ -65,6 +65,8 @@ def payments_source(payments: DataFrame, as_of: date, lookback_days: int = 365)
     else:
         journal = F.lit(S.UNKNOWN_JOURNAL)
     partner = F.col("partner_name") if "partner_name" in payments.columns else F.lit(None).cast("string")
+    if S.PAYMENT_MONTH in payments.columns:  # written ledger: prune month folders
+        payments = payments.filter(F.col(S.PAYMENT_MONTH) >= cutoff.strftime("%Y-%m"))
     return (payments
             .filter((F.col("state") == S.POSTED)
                     & (F.col("date") >= lit_date(cutoff))

@@ -217,7 +217,7 @@ def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
     """
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
     sig = "|".join(input_signature(spark, p) for p in inputs)
-    key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v5".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v6".encode()).hexdigest()[:16]
     base = f"{shared_dir(spark)}/caudal/ledger/{key}"
     memo = (spark.sparkContext.applicationId, base)
     with _LEDGERS_LOCK:
@@ -234,9 +234,10 @@ def _write_ledger(spark: SparkSession, sf_dir: str, as_of: date, base: str) -> L
         S.MONTH_PARTITION, F.date_format("invoice_date", "yyyy-MM"))
     moves = _materialize(spark, mapped, f"{base}/moves", S.MOVES_SCHEMA, "invoice_date",
                          S.LEDGER_PARTITIONS)
-    payments = _materialize(spark, map_payments(moves.select(*S.MOVES_SCHEMA.fieldNames()), as_of),
-                            f"{base}/payments",
-                            PAYMENTS_MAPPED, "date")
+    paid = map_payments(moves.select(*S.MOVES_SCHEMA.fieldNames()), as_of).withColumn(
+        S.PAYMENT_MONTH, F.date_format("date", "yyyy-MM"))
+    payments = _materialize(spark, paid, f"{base}/payments", PAYMENTS_MAPPED, "date",
+                            S.PAYMENT_PARTITIONS)
     journals = _materialize(spark, map_journals(spark, sf_dir, as_of).coalesce(1),
                             f"{base}/journals", S.JOURNALS_SCHEMA)
     return Ledger(moves, payments, journals)
