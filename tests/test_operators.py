@@ -182,3 +182,11 @@ def test_one_decimal_text_matches_python_str(spark):
     df = spark.createDataFrame([(v,) for v in vals] + [(float("inf"),)], "x double")
     got = [r[0] for r in df.select(one_decimal_text(F.col("x"))).collect()]
     assert got == [str(v) for v in vals] + [None]
+
+
+def test_cash_runway_override_and_zero_burn(make_moves, journals):
+    st = stage(make_moves([move(1)]), AS_OF)
+    jr = journals_source(journals)
+    assert one(K.cash_runway(st, jr, AS_OF, burn=600.0)).cash_runway == 2.5
+    assert one(K.cash_runway(st, jr, AS_OF, burn=0.0)).cash_runway == float("inf")
+    assert one(K.cash_runway(st, jr, AS_OF)).cash_runway == float("inf")  # no bills: burn 0
