@@ -27,13 +27,15 @@ MOVES_SCHEMA = T.StructType([
     T.StructField("payment_date", T.DateType(), True),
 ])
 
-# Partition columns of a written ledger: document type, then ``yyyy-MM`` of
-# the invoice date. Type-only reports skip the other type's folders, and the
-# look-back window skips old months.
-MONTH_PARTITION = "invoice_month"
-LEDGER_PARTITIONS = ("move_type", MONTH_PARTITION)
-PAYMENT_MONTH = "payment_month"
-PAYMENT_PARTITIONS = ("payment_type", PAYMENT_MONTH)
+# Partition columns of a written ledger: document type, then the period of
+# the invoice (payment) date. The period is a year: coarse folders, few files;
+# inside a folder the files are sorted by date, so row-group statistics narrow
+# a look-back window further. Spark pattern and strftime format of a period:
+PERIOD_PATTERN, PERIOD_STRFTIME = "yyyy", "%Y"
+INVOICE_PERIOD = "invoice_period"
+LEDGER_PARTITIONS = ("move_type", INVOICE_PERIOD)
+PAYMENT_PERIOD = "payment_period"
+PAYMENT_PARTITIONS = ("payment_type", PAYMENT_PERIOD)
 
 PAYMENTS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), True),

@@ -31,11 +31,11 @@ MOVE_COLUMNS = ("id", "name", "move_type", "state", "invoice_date", "date_maturi
 
 
 def _since(moves: DataFrame, cutoff: date) -> DataFrame:
-    """``invoice_date >= cutoff``, plus the same bound on the month partition
+    """``invoice_date >= cutoff``, plus the same bound on the period partition
     column when the ledger is partitioned, so whole folders are pruned."""
     df = moves.filter(F.col("invoice_date") >= lit_date(cutoff))
-    if S.MONTH_PARTITION in moves.columns:
-        df = df.filter(F.col(S.MONTH_PARTITION) >= cutoff.strftime("%Y-%m"))
+    if S.INVOICE_PERIOD in moves.columns:
+        df = df.filter(F.col(S.INVOICE_PERIOD) >= cutoff.strftime(S.PERIOD_STRFTIME))
     return df
 
 
@@ -65,8 +65,8 @@ def payments_source(payments: DataFrame, as_of: date, lookback_days: int = 365)
     else:
         journal = F.lit(S.UNKNOWN_JOURNAL)
     partner = F.col("partner_name") if "partner_name" in payments.columns else F.lit(None).cast("string")
-    if S.PAYMENT_MONTH in payments.columns:  # written ledger: prune month folders
-        payments = payments.filter(F.col(S.PAYMENT_MONTH) >= cutoff.strftime("%Y-%m"))
+    if S.PAYMENT_PERIOD in payments.columns:  # written ledger: prune period folders
+        payments = payments.filter(F.col(S.PAYMENT_PERIOD) >= cutoff.strftime(S.PERIOD_STRFTIME))
     return (payments
             .filter((F.col("state") == S.POSTED)
                     & (F.col("date") >= lit_date(cutoff))

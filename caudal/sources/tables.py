@@ -217,7 +217,7 @@ def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
     """
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
     sig = "|".join(input_signature(spark, p) for p in inputs)
-    key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v6".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v7".encode()).hexdigest()[:16]
     base = f"{shared_dir(spark)}/caudal/ledger/{key}"
     memo = (spark.sparkContext.applicationId, base)
     with _LEDGERS_LOCK:
@@ -227,15 +227,15 @@ def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
 
 
 def _write_ledger(spark: SparkSession, sf_dir: str, as_of: date, base: str) -> Ledger:
-    # Partitioned by type and invoice month (type filters and the look-back
+    # Partitioned by type and invoice period (type filters and the look-back
     # window prune folders) and sorted by invoice date inside each file
     # (row-group statistics skip the rest of the window).
     mapped = map_moves(spark, sf_dir, as_of).withColumn(
-        S.MONTH_PARTITION, F.date_format("invoice_date", "yyyy-MM"))
+        S.INVOICE_PERIOD, F.date_format("invoice_date", S.PERIOD_PATTERN))
     moves = _materialize(spark, mapped, f"{base}/moves", S.MOVES_SCHEMA, "invoice_date",
                          S.LEDGER_PARTITIONS)
     paid = map_payments(moves.select(*S.MOVES_SCHEMA.fieldNames()), as_of).withColumn(
-        S.PAYMENT_MONTH, F.date_format("date", "yyyy-MM"))
+        S.PAYMENT_PERIOD, F.date_format("date", S.PERIOD_PATTERN))
     payments = _materialize(spark, paid, f"{base}/payments", PAYMENTS_MAPPED, "date",
                             S.PAYMENT_PARTITIONS)
     journals = _materialize(spark, map_journals(spark, sf_dir, as_of).coalesce(1),

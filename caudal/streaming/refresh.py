@@ -95,7 +95,7 @@ def start_refresh(spark: SparkSession, inbox: str, workdir: str, journals: DataF
         # Partitioned like the batch ledger, so the reports prune folders;
         # the rebalance hint keeps a hot partition parallel.
         (latest_per_id(versions)
-         .withColumn(S.MONTH_PARTITION, F.date_format("invoice_date", "yyyy-MM"))
+         .withColumn(S.INVOICE_PERIOD, F.date_format("invoice_date", S.PERIOD_PATTERN))
          .hint("rebalance", *S.LEDGER_PARTITIONS)
          .write.mode("overwrite").partitionBy(*S.LEDGER_PARTITIONS)
          .parquet(f"{current}/v={batch_id}"))
