@@ -11,7 +11,7 @@ the same rows. Then ``foreachBatch``:
    document id (``max_by`` over ``(snapshot_seq, batch_id)``) among the
    current ledger of batch N-1 and the new rows, a shuffle on ``id`` over
    (documents + new rows), never over the whole history. It is written to
-   ``current/v=N`` in the shared folder, month-partitioned like the batch
+   ``current/v=N`` in the shared folder, partitioned like the batch
    ledger; that cuts the lineage and makes a retried batch rebuild the same
    version from the same inputs;
 2. stages that written table and rewrites the reports of the as-of date
