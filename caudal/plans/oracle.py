@@ -176,8 +176,9 @@ dso_v AS (
   WHERE move_type = 'out_invoice' AND state = 'posted' AND payment_date IS NOT NULL
 ),
 liq_v AS (
-  SELECT CASE WHEN p.pasivos = 0 THEN 99.99 ELSE round_even(CAST(c.liquido AS DOUBLE) / CAST(p.pasivos AS DOUBLE), 2) END AS liquidity_ratio
-  FROM cash_all c, (SELECT coalesce(sum(amount_residual), 0) AS pasivos FROM moves_v
+  SELECT CASE WHEN p.pasivos = 0 THEN 99.99
+    ELSE round_even(CAST((SELECT liquido FROM cash_all) AS DOUBLE) / CAST(p.pasivos AS DOUBLE), 2) END AS liquidity_ratio
+  FROM (SELECT coalesce(sum(amount_residual), 0) AS pasivos FROM moves_v
     WHERE move_type = 'in_invoice' AND state = 'posted' AND date_maturity < {_d(as_of)} AND amount_residual > 0) p
 ),
 exp_v AS (
@@ -186,25 +187,26 @@ exp_v AS (
   FROM staging_v
 ),
 bundle_v AS (
-  SELECT d.dso, b.burn_rate,
-    CASE WHEN b.burn_rate <= 0 THEN CAST('inf' AS DOUBLE) ELSE round_even(CAST(j.saldo AS DOUBLE) / b.burn_rate, 1) END AS cash_runway,
-    l.liquidity_ratio,
+  SELECT (SELECT dso FROM dso_v) AS dso, b.burn_rate,
+    CASE WHEN b.burn_rate <= 0 THEN CAST('inf' AS DOUBLE)
+      ELSE round_even(CAST((SELECT saldo FROM bal_v) AS DOUBLE) / b.burn_rate, 1) END AS cash_runway,
+    (SELECT liquidity_ratio FROM liq_v) AS liquidity_ratio,
     (SELECT {money("liquido")} FROM cash_all) AS total_cash,
-    e.total_ar, e.overdue_ar
-  FROM dso_v d, burn_v b, bal_v j, liq_v l, exp_v e
+    (SELECT total_ar FROM exp_v) AS total_ar, (SELECT overdue_ar FROM exp_v) AS overdue_ar
+  FROM burn_v b
 ),
 bundle AS (
   SELECT coalesce(round_even(s.dso_raw, 1), 0.0) AS dso,
-    b.burn_rate,
-    CASE WHEN b.burn_rate <= 0 THEN CAST('inf' AS DOUBLE) ELSE round_even(CAST(j.saldo AS DOUBLE) / b.burn_rate, 1) END AS cash_runway,
-    {money("j.saldo")} AS saldo_liquido,
+    s.burn_rate,
+    CASE WHEN s.burn_rate <= 0 THEN CAST('inf' AS DOUBLE) ELSE round_even(CAST(s.saldo AS DOUBLE) / s.burn_rate, 1) END AS cash_runway,
+    {money("s.saldo")} AS saldo_liquido,
     CASE WHEN s.n_moves = 0 THEN 0.0 WHEN s.overdue_in = 0 THEN 99.0
-         ELSE round_even(CAST(j.saldo AS DOUBLE) / CAST(s.overdue_in AS DOUBLE), 2) END AS liquidity_ratio,
+         ELSE round_even(CAST(s.saldo AS DOUBLE) / CAST(s.overdue_in AS DOUBLE), 2) END AS liquidity_ratio,
     coalesce({share("s.collected_out", "s.billed_out")}, 0.0) AS collection_rate,
     {money("s.residual_out")} AS total_cxc,
     {money("s.overdue_all")} AS cxc_vencida,
     s.n_critical AS n_criticas
-  FROM stats s, burn b, bal j
+  FROM (SELECT *, (SELECT burn_rate FROM burn) AS burn_rate, (SELECT saldo FROM bal) AS saldo FROM stats) s
 ),
 bundle_c AS (
   SELECT *,
@@ -231,38 +233,38 @@ daily_v AS (
   WHERE amount_residual > 0 AND move_type IN ('out_invoice', 'in_invoice') AND state = 'posted'
     AND date_maturity BETWEEN {_d(as_of)} AND {_d(end)}
   GROUP BY 1
-),
-cal AS (
-  SELECT CAST({_d(as_of)} + CAST(i AS INTEGER) AS DATE) AS fecha FROM range({p.horizon_days}) t(i)
-),
-anyrow AS (SELECT 1 AS _any FROM staging LIMIT 1)
+)
 """
 
 
+def _factors(pct: str) -> str:
+    c = f"CAST(CAST(CAST({pct} AS DECIMAL(5,0)) / 100 AS DECIMAL(10,6)) AS DECIMAL(6,4))"
+    return (f"{c} AS c, "
+            f"CAST(least({c} * CAST(1.15 AS DECIMAL(3,2)), CAST(1 AS DECIMAL(6,4))) AS DECIMAL(6,4)) AS c_opt, "
+            f"CAST(greatest({c} * CAST(0.85 AS DECIMAL(3,2)), CAST(0 AS DECIMAL(6,4))) AS DECIMAL(6,4)) AS c_pes")
+
+
 def _scenarios(lo: int, hi: int, step: int) -> str:
-    c = "CAST(CAST(CAST(i AS DECIMAL(5,0)) / 100 AS DECIMAL(10,6)) AS DECIMAL(6,4))"
     return f"""scen AS (
-  SELECT CAST(i AS INTEGER) AS pct, {c} AS c,
-    CAST(least({c} * CAST(1.15 AS DECIMAL(3,2)), CAST(1 AS DECIMAL(6,4))) AS DECIMAL(6,4)) AS c_opt,
-    CAST(greatest({c} * CAST(0.85 AS DECIMAL(3,2)), CAST(0 AS DECIMAL(6,4))) AS DECIMAL(6,4)) AS c_pes
-  FROM range({lo}, {hi}, {step}) t(i)
+  SELECT CAST(i AS INTEGER) AS pct, {_factors('i')} FROM range({lo}, {hi}, {step}) t(i)
 )"""
 
 
-def _impayment(lo: int, hi: int, step: int) -> str:
-    keep = "CAST(1 - CAST(CAST(CAST(i AS DECIMAL(5,0)) / 100 AS DECIMAL(10,6)) AS DECIMAL(6,4)) AS DECIMAL(6,4))"
-    return f"""iscen AS (
-  SELECT CAST(i AS INTEGER) AS impayment_pct, {keep} AS keep FROM range({lo}, {hi}, {step}) t(i)
-)"""
+def _grid_rows(lo: int, hi: int, step: int, days: int, name: str) -> str:
+    """Scenario x day rows from one range: row i is scenario i // days on day i % days."""
+    n = len(range(lo, hi, step))
+    return (f"SELECT CAST({lo} + (i // {days}) * {step} AS INTEGER) AS {name}, "
+            f"CAST({_d(AS_OF)} + CAST(i % {days} AS INTEGER) AS DATE) AS fecha FROM range({n * days}) t(i)")
 
 
-def _grid() -> str:
+def _grid(lo: int, hi: int, step: int, days: int = 90) -> str:
     run = "OVER (PARTITION BY pct ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"""grid AS (
-  SELECT s.pct, cal.fecha, s.c, s.c_opt, s.c_pes, j.saldo AS opening,
+  SELECT g.pct, g.fecha, {_factors('g.pct')}, (SELECT saldo FROM bal) AS opening,
     coalesce(d.base_in, CAST(0 AS DECIMAL(18,2))) AS bi,
     coalesce(d.base_out, CAST(0 AS DECIMAL(18,2))) AS bo
-  FROM cal CROSS JOIN scen s CROSS JOIN bal j CROSS JOIN anyrow LEFT JOIN daily d ON d.fecha = cal.fecha
+  FROM ({_grid_rows(lo, hi, step, days, 'pct')}) g LEFT JOIN daily d ON d.fecha = g.fecha
+  WHERE EXISTS (SELECT 1 FROM staging)
 ),
 proj AS (
   SELECT pct, fecha, bi * c AS ingreso, bo AS egreso,
@@ -279,13 +281,14 @@ def _proj_cols() -> str:
             f"{money('saldo_pes', 6)} AS saldo_pes")
 
 
-def _grid_v() -> str:
+def _grid_v(lo: int, hi: int, step: int, days: int = 90) -> str:
     run = "OVER (PARTITION BY impayment_pct ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    keep = "CAST(1 - CAST(CAST(CAST(g.impayment_pct AS DECIMAL(5,0)) / 100 AS DECIMAL(10,6)) AS DECIMAL(6,4)) AS DECIMAL(6,4))"
     return f"""grid_v AS (
-  SELECT s.impayment_pct, cal.fecha, c.liquido AS opening,
-    coalesce(d.base_in, CAST(0 AS DECIMAL(18,2))) * s.keep AS inflow,
+  SELECT g.impayment_pct, g.fecha, (SELECT liquido FROM cash_all) AS opening,
+    coalesce(d.base_in, CAST(0 AS DECIMAL(18,2))) * {keep} AS inflow,
     coalesce(d.base_out, CAST(0 AS DECIMAL(18,2))) AS outflow
-  FROM cal CROSS JOIN iscen s CROSS JOIN cash_all c LEFT JOIN daily_v d ON d.fecha = cal.fecha
+  FROM ({_grid_rows(lo, hi, step, days, 'impayment_pct')}) g LEFT JOIN daily_v d ON d.fecha = g.fecha
 ),
 proj_v AS (
   SELECT impayment_pct, fecha AS date, inflow, outflow, opening + sum(inflow - outflow) {run} AS balance FROM grid_v
@@ -432,8 +435,8 @@ FROM stats"""
     q["liquidity_ratio"] = _with() + "\nSELECT liquidity_ratio FROM bundle"
     q["liquidity_ratio_v"] = _with() + "\nSELECT liquidity_ratio FROM liq_v"
     q["liquidity_ratio_doc"] = _with() + """
-SELECT CASE WHEN b.burn_rate > 0 THEN round_even(CAST(j.saldo AS DOUBLE) / b.burn_rate, 2) END AS liquidity_ratio
-FROM bal j, burn b"""
+SELECT CASE WHEN b.burn_rate > 0 THEN round_even(CAST((SELECT saldo FROM bal) AS DOUBLE) / b.burn_rate, 2) END AS liquidity_ratio
+FROM burn b"""
     q["collection_rate"] = _with() + "\nSELECT collection_rate FROM bundle"
     cr_cut = p.as_of - timedelta(days=90)
     q["collection_rate_doc"] = _with() + f"""
@@ -476,9 +479,9 @@ SELECT *, CASE WHEN tipo = 'relative' THEN strftime(month_dt, '%b %y') ELSE 'Tot
 ),
 top AS (SELECT partner_name, m FROM per ORDER BY m DESC, partner_name LIMIT {p.top_clients}),
 tot AS (SELECT sum(m) AS total FROM per),
-oth AS (SELECT 'Otros' AS partner_name, tot.total - (SELECT coalesce(sum(m), 0) FROM top) AS m FROM tot),
+oth AS (SELECT 'Otros' AS partner_name, total - (SELECT coalesce(sum(m), 0) FROM top) AS m FROM tot),
 rowsx AS (SELECT * FROM top UNION ALL SELECT * FROM oth WHERE m > 0)""") + f"""
-SELECT partner_name AS cliente, {money('m')} AS monto, {share('m', 'total')} AS porcentaje FROM rowsx, tot"""
+SELECT partner_name AS cliente, {money('m')} AS monto, {share('m', '(SELECT total FROM tot)')} AS porcentaje FROM rowsx"""
     q["collections_velocity"] = _with(f"""g AS (
   SELECT month, avg(dias) AS d, count(id) AS n FROM staging
   WHERE move_type = 'out_invoice' AND is_collected GROUP BY month HAVING count(id) >= {p.min_velocity_sample}
@@ -504,22 +507,25 @@ SELECT name AS "{h['name']}", partner_name AS "{h['partner_name']}", invoice_dat
   nivel_riesgo AS "{h['nivel_riesgo']}" FROM crit"""
 
     g, gv = grid
-    q["cashflow_projection"] = _with(_scenarios(100, 101, 1), _grid()) + f"\nSELECT {_proj_cols()} FROM proj"
-    q["scenario_grid"] = _with(_scenarios(g.start, g.stop, g.step), _grid()) + f"\nSELECT pct, {_proj_cols()} FROM proj"
-    q["whatif_runway"] = _with(_scenarios(g.start, g.stop, g.step), """net AS (
-  SELECT coalesce(sum(d.base_in), 0) AS tin, coalesce(sum(d.base_out), 0) AS tout FROM cal LEFT JOIN daily d ON d.fecha = cal.fecha
+    q["cashflow_projection"] = _with(_grid(100, 101, 1)) + f"\nSELECT {_proj_cols()} FROM proj"
+    q["scenario_grid"] = _with(_grid(g.start, g.stop, g.step)) + f"\nSELECT pct, {_proj_cols()} FROM proj"
+    q["whatif_runway"] = _with(_scenarios(g.start, g.stop, g.step), f"""net AS (
+  SELECT coalesce(sum(base_in), 0) AS tin, coalesce(sum(base_out), 0) AS tout FROM daily
+  WHERE fecha < {_d(p.as_of + timedelta(days=p.horizon_days))}
 ),
 fin AS (
-  SELECT s.pct, greatest(j.saldo + n.tin * s.c - n.tout, CAST(0 AS DECIMAL(18,2))) AS final, b.burn_rate,
-    (a._any IS NOT NULL AND b.burn_rate > 0) AS ok
-  FROM scen s CROSS JOIN net n CROSS JOIN bal j CROSS JOIN burn b LEFT JOIN anyrow a ON true
+  SELECT s.pct,
+    greatest((SELECT saldo FROM bal) + (SELECT tin FROM net) * s.c - (SELECT tout FROM net), CAST(0 AS DECIMAL(18,2))) AS final,
+    (SELECT burn_rate FROM burn) AS burn_rate,
+    (EXISTS (SELECT 1 FROM staging) AND (SELECT burn_rate FROM burn) > 0) AS ok
+  FROM scen s
 ),
 rw AS (SELECT *, CASE WHEN ok THEN round_even(CAST(final AS DOUBLE) / burn_rate, 1) END AS runway_proy FROM fin)""") + f"""
 SELECT pct, {money('final', 6)} AS saldo_final, runway_proy,
   CASE WHEN ok THEN CAST(CAST(runway_proy AS DECIMAL(38,1)) AS VARCHAR) || ' m' ELSE 'N/D' END AS runway_str,
   CASE WHEN NOT ok THEN 'muted' WHEN runway_proy < 3 THEN 'danger' WHEN runway_proy < 6 THEN 'warning' ELSE 'success' END AS nivel
 FROM rw"""
-    q["min_collection_rate"] = _with(_scenarios(g.start, g.stop, g.step), _grid(), """per AS (
+    q["min_collection_rate"] = _with(_grid(g.start, g.stop, g.step), """per AS (
   SELECT pct, min(saldo) AS low, arg_max(saldo, fecha) AS last FROM proj GROUP BY pct
 )""") + f"""
 SELECT CAST(min(CASE WHEN low > 0 THEN pct END) AS INTEGER) AS min_cobrabilidad_pct,
@@ -528,10 +534,10 @@ FROM per"""
     q["projected_cash_doc"] = _with(_scenarios(g.start, g.stop, g.step), """recv AS (
   SELECT coalesce(sum(amount_residual), 0) AS cxc FROM staging WHERE move_type = 'out_invoice'
 )""") + f"""
-SELECT s.pct, {money(f"j.saldo + r.cxc * s.c - CAST(b.burn_rate AS DECIMAL(18,2)) * CAST({p.horizon_days / 30:.6f} AS DECIMAL(10,6))", 6)} AS caja_proyectada
-FROM scen s, recv r, bal j, burn b"""
-    q["cashflow_projection_v"] = _with(_impayment(0, 1, 1), _grid_v()) + f"\nSELECT {_PROJ_V_COLS} FROM proj_v"
-    q["scenario_grid_v"] = _with(_impayment(gv.start, gv.stop, gv.step), _grid_v()) + \
+SELECT s.pct, {money(f"(SELECT saldo FROM bal) + (SELECT cxc FROM recv) * s.c - CAST((SELECT burn_rate FROM burn) AS DECIMAL(18,2)) * CAST({p.horizon_days / 30:.6f} AS DECIMAL(10,6))", 6)} AS caja_proyectada
+FROM scen s"""
+    q["cashflow_projection_v"] = _with(_grid_v(0, 1, 1)) + f"\nSELECT {_PROJ_V_COLS} FROM proj_v"
+    q["scenario_grid_v"] = _with(_grid_v(gv.start, gv.stop, gv.step)) + \
         f"\nSELECT impayment_pct, {_PROJ_V_COLS} FROM proj_v"
 
     runway_txt = "CAST(CAST(cash_runway AS DECIMAL(38,1)) AS VARCHAR)"
