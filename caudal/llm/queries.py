@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caudal.llm import packing, quality, secrets, simhash
+from caudal.llm import packing, quality, secrets, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +35,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op6_quality_rules, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op6_quality_rules, op8_best_fit_packing, op9_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
