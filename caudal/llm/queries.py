@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caudal.llm import packing, quality, secrets, simhash, suffix_dedup
+from caudal.llm import packing, quality, secrets, simhash, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -40,8 +44,8 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op6_quality_rules, op8_best_fit_packing, op9_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op5_warc_round_trip, op6_quality_rules, op8_best_fit_packing, op9_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.ORACLE}
+    return {"op5_warc_round_trip": warc.ORACLE, "op6_quality_rules": quality.ORACLE}
