@@ -297,7 +297,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shared_dir(docs.sparkSession)
     table = fingerprint_table(docs, id_col, text, shingle).checkpoint()
     rows = _labelled(table, max_bits, leaf_rows)
-    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Cut here, so that the join has a shuffle of its own and AQE can split a hot component.
+    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id")).checkpoint()
     return rows.join(ids, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
