@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caudal.llm import packing, quality, secrets, simhash, suffix_dedup, warc
+from caudal.llm import decontaminate, packing, quality, secrets, simhash, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hash")
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -44,7 +48,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op5_warc_round_trip, op6_quality_rules, op8_best_fit_packing, op9_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_benchmark_decontamination, op5_warc_round_trip, op6_quality_rules, op8_best_fit_packing, op9_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
