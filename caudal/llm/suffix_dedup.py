@@ -14,14 +14,16 @@ what earlier passes left in groups of two or more:
    are done.
 2. Runs that share their anchor but not their content (the edges of repeated
    passages) enter the last digit: their single windows, grouped by the whole
-   ``window`` bytes. All but the first of a group are repeats.
+   ``window`` bytes. All but the first of a group are repeats. The runs' bytes
+   go to the anchor's task, which looks at their windows.
 
-Digits are compared as 128 bits of hash, by two independent polynomials.
-Whole texts that equal an earlier text are settled before the passes. Each
-task first sorts its own rows and forwards one row per group, so a passage
-that a third of all documents share costs a row per task; an anchor with many
-different runs in one task is dealt by run instead, with a marker that sends
-all its runs to the last digit.
+Digits are compared as hashes, by two independent polynomials: 112 bits for
+runs, 128 for windows. Whole texts that equal an earlier text are settled
+before the passes. Each task first sorts its own rows and forwards one row per
+group, so a passage that a third of all documents share costs a row per task.
+An anchor with more than ``HOT_RUNS`` different runs in one task is dealt by
+run in the first pass and by window in the last, with a marker that tells the
+anchor's task to do the same.
 
 Order of documents: id, null last, then text digest. Defined results: a null
 text is the empty text; texts shorter than the window lose nothing; of rows
@@ -32,70 +34,34 @@ result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.llm.joins import counted_join
+from caudal.llm.rolling import BASES, Rolling, mix
 from caudal.session import shared_dir
 
 WINDOW = 100
-SEGMENT = 1 << 20
-FLUSH_BYTES = 48 << 20
+SEGMENT = 1 << 18
+FLUSH_BYTES = 32 << 20
 GROUP_BYTES = 8 << 20
 HOT_RUNS = 8
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _POSITION = np.uint64((1 << 24) - 1)
 
-REP, SPAN, MARKER = 0, 1, 2
-_MAP = "bucket long, kind int, h1 long, h2 long, doc_id long, seq int, lo long, n long"
-_OUT = "kind int, doc_id long, seq int, lo long, n long"
+SPAN, COLD, HOT = 0, 1, 2
+_MAP = "bucket long, rows binary, spans binary, extra binary"
+_OUT = "kind int, h1 long, doc_id long, seq int, lo long, n long"
 
 
 # -- rolling hashes ----------------------------------------------------------------------
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * _M1
-    h = (h ^ (h >> np.uint64(33))) * _M2
-    return h ^ (h >> np.uint64(33))
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of ``base`` and of its inverse, modulo 2^64."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(n, b, np.uint64)
-            x[:1] = 1
-            out.append(np.cumprod(x, dtype=np.uint64))
-        _POWERS[base] = tuple(out)
-    up, down = _POWERS[base]
-    return up[:n], down[:n]
-
-
-class Rolling:
-    """Polynomial hash of any slice of ``data``, from prefix sums."""
-
-    def __init__(self, data: np.ndarray, base: int):
-        up, self.down = _powers(base, len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
-
-    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return (self.sums[hi] - self.sums[lo]) * self.down[lo]
-
-    def every(self, k: int) -> np.ndarray:
-        return (self.sums[k:] - self.sums[:-k]) * self.down[:len(self.sums) - k]
-
-
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     done = 1
     while 2 * done <= width:
@@ -115,8 +81,8 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, window: int) \
     none = np.empty(0, np.int64)
     if len(data) < window:
         return none, none, none.view(np.uint64), none.view(np.uint64)
-    one, two = Rolling(data, _BASES[0]), Rolling(data, _BASES[1])
-    gram = _mix(one.every(k))
+    one, two = Rolling(data, BASES[0]), Rolling(data, BASES[1])
+    gram = mix(one.every(k))
     low = _sliding_min((gram & ~_POSITION) | np.arange(len(gram), dtype=np.uint64), window - k + 1)
     at = (low & _POSITION).astype(np.int64)  # anchor of each window; ties go to the leftmost
     start = np.arange(len(at))
@@ -128,7 +94,7 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, window: int) \
     last[:-1] &= ~valid[1:] | first[1:]
     hi = np.flatnonzero(last)
     shape = ((at[lo] - lo) * 128 + (hi - lo)).astype(np.uint64)
-    content = _mix(two(lo, hi + window) ^ _mix(shape + np.uint64(1)))
+    content = mix(two(lo, hi + window) ^ mix(shape + np.uint64(1)))
     return lo, hi, gram[at[lo]], content
 
 
@@ -141,11 +107,39 @@ def window_hashes(data: np.ndarray, starts: np.ndarray, window: int, segment: in
         if a < b:
             lo = starts[a:b] - s
             part = data[s:s + segment + window - 1]
-            for out, base in ((h1, _BASES[0]), (h2, _BASES[1])):
-                out[a:b] = _mix(Rolling(part, base)(lo, lo + window))
+            for out, base in ((h1, BASES[0]), (h2, BASES[1])):
+                out[a:b] = mix(Rolling(part, base)(lo, lo + window))
     return h1, h2
 
 
+# -- packed rows -------------------------------------------------------------------------
+#
+# A task's rows for one bucket travel as one value: the columns byte plane by
+# byte plane, zstd over all. Half the volume of single rows in a shuffle.
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    sizes = np.array([len(c) for c in columns], "<i8").tobytes()
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() if len(c) else b"" for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(planes))
+
+
+def unpack(blobs: Iterator[bytes | None], kinds: str) -> list[np.ndarray]:
+    """The columns of all ``blobs``, laid end to end; ``kinds`` has a numpy type code for each."""
+    types = [np.dtype(k) for k in kinds]
+    out: list[list[np.ndarray]] = [[np.empty(0, t)] for t in types]
+    for blob in blobs:
+        if blob is None:
+            continue
+        data = zstandard.ZstdDecompressor().decompress(blob)
+        sizes, at = np.frombuffer(data, "<i8", len(types)), 8 * len(types)
+        for col, t, n in zip(out, types, sizes.tolist()):
+            planes = np.frombuffer(data, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
+            col.append(np.ascontiguousarray(planes.T).view(t).reshape(-1))
+            at += n * t.itemsize
+    return [np.concatenate(c) for c in out]
+
+
 # -- grouping rows -------------------------------------------------------------------------
 
 
@@ -170,45 +164,66 @@ def _merge(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return doc[first], lo[first], np.add.reduceat(n, first)
 
 
-class _Rows:
-    """Runs or windows of one flush, and the documents they lie in."""
+def _ranks(null: np.ndarray, ids: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """Number of each row's document in document order (equal for rows of one document)."""
+    by = np.lexsort((seq, ids, null))
+    new = np.zeros(len(by), bool)
+    for c in (null, ids, seq):
+        new[1:] |= c[by][1:] != c[by][:-1]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(new)
+    return out
+
+
+class _Docs:
+    """The documents of one flush, and their order."""
 
     def __init__(self):
-        self.ids, self.seqs, self.parts, self.bytes = [], [], [], 0
-
-    def batch(self, buckets: int, hot_runs: int | None) -> pa.RecordBatch:
-        """One row per group, spans for the others; ``hot_runs`` as for the first digit (None: last digit)."""
-        h1, h2, doc, lo, n = (np.concatenate(x) for x in zip(*self.parts))
-        ids, seqs = pa.array(self.ids, pa.int64()), np.array(self.seqs, np.int32)
-        rank = np.empty(len(seqs), np.int64)
-        plain = np.array([(i is None, i or 0) for i in self.ids], np.int64).reshape(-1, 2)
-        rank[np.lexsort((seqs, plain[:, 1], plain[:, 0]))] = np.arange(len(seqs))
-        order, later = _later(h1, h2, rank[doc], lo)
-        gone, keep = order[later], np.sort(order[~later])
-        spans = _merge(doc[gone], lo[gone], n[gone])
-        deal = _mix(h1[keep])
-        marker = np.empty(0, np.uint64)
-        if hot_runs is not None:
-            values, inverse, runs = np.unique(h1[keep], return_inverse=True, return_counts=True)
-            hot = runs > hot_runs
-            deal = np.where(hot[inverse], _mix(h1[keep] ^ _mix(h2[keep])), deal)
-            kind = np.where(hot[inverse], REP + 4, REP)
-            marker = values[hot]
-        else:
-            kind = np.zeros(len(keep), np.int64)
-        docs = np.concatenate([doc[keep], spans[0], np.zeros(len(marker), np.int64)])
-        zero = np.zeros(len(spans[0]), np.uint64)
-        size = np.uint64(buckets)
-        cols = {
-            "bucket": np.concatenate([deal % size, _mix(spans[0].astype(np.uint64)) % size, _mix(marker) % size]).astype(np.int64),
-            "kind": np.concatenate([kind, np.full(len(zero), SPAN), np.full(len(marker), MARKER)]).astype(np.int32),
-            "h1": np.concatenate([h1[keep], zero, marker]).view(np.int64),
-            "h2": np.concatenate([h2[keep], zero, np.zeros(len(marker), np.uint64)]).view(np.int64),
-            "doc_id": ids.take(pa.array(docs)), "seq": seqs[docs],
-            "lo": np.concatenate([lo[keep], spans[1], np.zeros(len(marker), np.int64)]),
-            "n": np.concatenate([n[keep], spans[2], np.zeros(len(marker), np.int64)])}
-        self.__init__()
-        return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in cols.items()})
+        self.ids, self.seqs = [], []
+
+    def add(self, batch: pa.RecordBatch) -> int:
+        base = len(self.ids)
+        self.ids += batch.column(0).to_pylist()
+        self.seqs += batch.column(1).to_pylist()
+        return base
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return (np.array([i is None for i in self.ids], np.uint8), np.array([i or 0 for i in self.ids], np.int64),
+                np.array(self.seqs, np.int32))
+
+
+def _dealt(buckets: int, *groups: tuple[str, np.ndarray, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """One row per bucket that any of the (column, bucket of each row, columns to pack) ``groups`` has rows for."""
+    rows: dict[int, dict] = {}
+    for name, deal, cols in groups:
+        at = (deal % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        cut = np.flatnonzero(np.diff(at[order])) + 1
+        for part in np.split(order, cut) if len(order) else ():
+            rows.setdefault(int(at[part[0]]), {})[name] = pack(*(c[part] for c in cols))
+    out = [{"bucket": b, **r} for b, r in sorted(rows.items())]
+    for i in range(0, len(out), 256):
+        yield pa.RecordBatch.from_pylist(out[i:i + 256], schema=pa.schema(
+            [("bucket", pa.int64()), *((c, pa.binary()) for c in ("rows", "spans", "extra"))]))
+
+
+def _first_rows(docs: _Docs, parts: list, buckets: int, hot_runs: int) -> Iterator[pa.RecordBatch]:
+    """The runs of one flush: one row per group, spans for the others, markers of anchors with many runs."""
+    h1, h2, doc, lo, n = (np.concatenate(x) for x in zip(*parts))
+    null, ids, seq = docs.columns()
+    order, later = _later(h1, h2, _ranks(null, ids, seq)[doc], lo)
+    gone, keep = order[later], np.sort(order[~later])
+    sd, sl, sn = _merge(doc[gone], lo[gone], n[gone])
+    values, inverse, runs = np.unique(h1[keep], return_inverse=True, return_counts=True)
+    hot = (runs > hot_runs)[inverse]
+    deal = np.where(hot, mix(h1[keep] ^ mix(h2[keep])), mix(h1[keep]))
+    kd = doc[keep]
+    marker = values[runs > hot_runs]
+    yield from _dealt(
+        buckets,
+        ("rows", deal, [h1[keep], h2[keep], hot.astype(np.uint8), null[kd], ids[kd], seq[kd], lo[keep], n[keep]]),
+        ("spans", mix(sd.astype(np.uint64)), [null[sd], ids[sd], seq[sd], sl, sn]),
+        ("extra", mix(marker), [marker]))
 
 
 def _chunks(batch: pa.RecordBatch, segment: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
@@ -228,85 +243,135 @@ def _chunks(batch: pa.RecordBatch, segment: int) -> Iterator[list[tuple[int, int
 
 
 def _first_digit(buckets: int, hot_runs: int, segment: int, flush_bytes: int):
-    """Runs of every text: rows (doc_id, seq, text) to rows of ``_MAP``."""
+    """Runs of every text: rows (doc_id, seq, text) to packed rows by anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _Rows()
+        docs, parts, held = _Docs(), [], 0
         for batch in batches:
-            base = len(rows.ids)
-            rows.ids += batch.column(0).to_pylist()
-            rows.seqs += batch.column(1).to_pylist()
+            base = docs.add(batch)
             for chunk in _chunks(batch, segment):
                 size = np.array([len(p) for _, _, p in chunk])
                 stop = np.cumsum(size)
-                data = np.concatenate([p for _, _, p in chunk])
-                lo, hi, h1, h2 = anchor_runs(data, np.repeat(stop, size), WINDOW)
+                lo, hi, h1, h2 = anchor_runs(np.concatenate([p for _, _, p in chunk]), np.repeat(stop, size), WINDOW)
                 of = np.searchsorted(stop, lo, "right")
                 row = np.array([r for r, _, _ in chunk])[of]
                 shift = np.array([a for _, a, _ in chunk])[of] - (stop - size)[of]
-                rows.parts.append((h1, h2, row + base, lo + shift, hi - lo + 1))
-                rows.bytes += len(data)
-            if rows.bytes >= flush_bytes:
-                yield rows.batch(buckets, hot_runs)
-        if rows.parts:
-            yield rows.batch(buckets, hot_runs)
+                # 48 bits tell anchors apart; a chance meeting of two costs a look at their windows, no more.
+                parts.append((h1 >> np.uint64(16), h2, row + base, lo + shift, hi - lo + 1))
+                held += int(size.sum())
+            if held >= flush_bytes:
+                yield from _first_rows(docs, parts, buckets, hot_runs)
+                docs, parts, held = _Docs(), [], 0
+        if parts:
+            yield from _first_rows(docs, parts, buckets, hot_runs)
     return run
 
 
+def _table(kind: np.ndarray, h1: np.ndarray, null: np.ndarray, ids: np.ndarray, seq: np.ndarray, lo: np.ndarray,
+           n: np.ndarray) -> pa.Table:
+    return pa.table({"kind": pa.array(kind, pa.int32()), "h1": pa.array(h1.view(np.int64)),
+                     "doc_id": pa.array(ids, mask=null.astype(bool)), "seq": pa.array(seq, pa.int32()),
+                     "lo": pa.array(lo), "n": pa.array(n)})
+
+
+def _group_runs(t: pa.Table) -> pa.Table:
+    """One bucket of the first digit: spans of repeats, and the runs that go on (``HOT`` by window, ``COLD`` by anchor)."""
+    h1, h2, hot, null, ids, seq, lo, n = unpack(t["rows"].to_pylist(), "QQBBqiqq")
+    spans = unpack(t["spans"].to_pylist(), "Bqiqq")
+    (marked,) = unpack(t["extra"].to_pylist(), "Q")
+    order, later = _later(h1, h2, _ranks(null, ids, seq), lo)
+    gone, first = order[later], order[~later]
+    a = h1[first]  # ascending
+    shared = np.zeros(len(a), bool)
+    shared[1:] |= a[1:] == a[:-1]
+    shared[:-1] |= a[1:] == a[:-1]
+    wide = (hot[first] > 0) | np.isin(a, marked)
+    on = first[shared | wide]
+    kind = np.where(wide[shared | wide], HOT, COLD)
+    none = np.zeros(len(spans[0]) + len(gone), np.int64)
+    return _table(np.concatenate([none + SPAN, kind]), np.concatenate([none.view(np.uint64), h1[on]]),
+                  *(np.concatenate([s, c[gone], c[on]]) for s, c in zip(spans, (null, ids, seq, lo, n))))
+
+
+def _last_rows(docs: _Docs, parts: list, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The edge runs of one flush: contexts by anchor, and single windows of the hot ones, one row per group."""
+    null, ids, seq = docs.columns()
+    h1, doc, lo, n, kind, w1, w2, wd, wl = (np.concatenate(x) for x in zip(*(p[:9] for p in parts)))
+    data = np.concatenate([p[9] for p in parts])
+    cold = np.flatnonzero(kind == COLD)
+    order, later = _later(w1, w2, _ranks(null, ids, seq)[wd], wl)
+    gone, keep = order[later], order[~later]
+    sd, sl, sn = _merge(wd[gone], wl[gone], np.ones(len(gone), np.int64))
+    kd = wd[keep]
+    yield from _dealt(
+        buckets,
+        ("rows", mix(w1[keep]), [w1[keep], w2[keep], null[kd], ids[kd], seq[kd], wl[keep]]),
+        ("spans", mix(sd.astype(np.uint64)), [null[sd], ids[sd], seq[sd], sl, sn]))
+    if len(cold):
+        size = n[cold] + WINDOW - 1
+        end = np.cumsum(size)
+        at = (mix(h1[cold]) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(at, kind="stable")
+        out = []
+        for part in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
+            take = np.repeat((end - size)[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(size[part].sum())
+            c = cold[part]
+            d = doc[c]
+            out.append({"bucket": int(at[part[0]]), "extra": pack(null[d], ids[d], seq[d], lo[c], n[c], data[take])})
+        for i in range(0, len(out), 256):
+            yield pa.RecordBatch.from_pylist(out[i:i + 256], schema=pa.schema(
+                [("bucket", pa.int64()), *((c, pa.binary()) for c in ("rows", "spans", "extra"))]))
+
+
 def _last_digit(buckets: int, segment: int, flush_bytes: int):
-    """Single windows of the runs at the edges: rows (doc_id, seq, text, runs) to rows of ``_MAP``."""
+    """Edge runs: rows (doc_id, seq, text, runs) to packed contexts and windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _Rows()
+        docs, parts, held = _Docs(), [], 0
         for batch in batches:
-            base = len(rows.ids)
-            rows.ids += batch.column(0).to_pylist()
-            rows.seqs += batch.column(1).to_pylist()
+            base = docs.add(batch)
             for row in range(batch.num_rows):
                 data = np.frombuffer((batch.column(2)[row].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
                 runs = batch.column(3)[row].values
-                lo, n = runs.field(0).to_numpy(), runs.field(1).to_numpy()
+                lo, n, h1, kind = (runs.field(i).to_numpy() for i in range(4))
                 order = np.argsort(lo)
-                lo, n = lo[order], n[order]
-                starts = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                h1, h2 = window_hashes(data, starts, WINDOW, segment)
-                rows.parts.append((h1, h2, np.full(len(starts), base + row), starts, np.ones(len(starts), np.int64)))
-                rows.bytes += 32 * len(starts)
-            if rows.bytes >= flush_bytes:
-                yield rows.batch(buckets, None)
-        if rows.parts:
-            yield rows.batch(buckets, None)
+                lo, n, h1, kind = lo[order], n[order], h1[order].view(np.uint64), kind[order]
+                hot, cold = kind == HOT, kind == COLD
+                starts = np.repeat(lo[hot] - np.cumsum(n[hot]) + n[hot], n[hot]) + np.arange(n[hot].sum())
+                w1, w2 = window_hashes(data, starts, WINDOW, segment)
+                size = n[cold] + WINDOW - 1
+                take = np.repeat(lo[cold] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                me = base + row
+                parts.append((h1, np.full(len(lo), me), lo, n, kind, w1, w2, np.full(len(w1), me), starts, data[take]))
+                held += 64 * len(w1) + len(take) + 40 * len(lo)
+                if held >= flush_bytes:
+                    yield from _last_rows(docs, parts, buckets)
+                    parts, held = [], 0
+        if parts:
+            yield from _last_rows(docs, parts, buckets)
     return run
 
 
-def _group(last: bool):
-    """One bucket of a pass: spans of repeats, and for the first digit the runs that go on."""
-    def run(t: pa.Table) -> pa.Table:
-        kind = t["kind"].to_numpy()
-        h1, h2 = (t[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
-        ids, seq = t["doc_id"].combine_chunks(), t["seq"].to_numpy()
-        lo, n = t["lo"].to_numpy(), t["n"].to_numpy()
-        rep = np.flatnonzero((kind == REP) | (kind == REP + 4))
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        plain = ids.fill_null(0).to_numpy()
-        rank = np.empty(len(rep), np.int64)
-        by = np.lexsort((seq[rep], plain[rep], null[rep]))
-        same = np.zeros(len(by), bool)
-        r = rep[by]
-        same[1:] = (seq[r][1:] == seq[r][:-1]) & (plain[r][1:] == plain[r][:-1]) & (null[r][1:] == null[r][:-1])
-        rank[by] = np.cumsum(~same)
-        order, later = _later(h1[rep], h2[rep], rank, lo[rep])
-        out = np.concatenate([np.flatnonzero(kind == SPAN), rep[order[later]]])
-        kinds = np.full(len(out), SPAN)
-        if not last:
-            firsts = rep[order[~later]]
-            a = h1[firsts]  # ascending
-            shared = np.zeros(len(a), bool)
-            shared[1:] |= a[1:] == a[:-1]
-            shared[:-1] |= a[1:] == a[:-1]
-            on = firsts[shared | (kind[firsts] != REP) | np.isin(a, h1[kind == MARKER])]
-            out, kinds = np.concatenate([out, on]), np.concatenate([kinds, np.full(len(on), REP)])
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "doc_id": ids.take(pa.array(out)),
-                         "seq": pa.array(seq[out], pa.int32()), "lo": lo[out], "n": n[out]})
-    return run
+def _group_windows(t: pa.Table) -> pa.Table:
+    """One bucket of the last digit: spans of all windows that have an equal before them."""
+    w1, w2, null, ids, seq, lo = unpack(t["rows"].to_pylist(), "QQBqiq")
+    spans = unpack(t["spans"].to_pylist(), "Bqiqq")
+    rnull, rids, rseq, rlo, rn, data = unpack(t["extra"].to_pylist(), "BqiqqB")
+    size = rn + WINDOW - 1
+    run = np.repeat(np.arange(len(rn)), rn)
+    step = np.arange(rn.sum()) - np.repeat(np.cumsum(rn) - rn, rn)
+    x1, x2 = window_hashes(data, (np.cumsum(size) - size)[run] + step, WINDOW)
+    w1, w2 = np.concatenate([w1, x1]), np.concatenate([w2, x2])
+    null, ids, seq = (np.concatenate([a, b[run]]) for a, b in ((null, rnull), (ids, rids), (seq, rseq)))
+    lo = np.concatenate([lo, rlo[run] + step])
+    rank = _ranks(null, ids, seq)
+    order, later = _later(w1, w2, rank, lo)
+    gone = order[later]
+    doc, glo, gn = _merge(rank[gone], lo[gone], np.ones(len(gone), np.int64))
+    of = np.empty(len(rank) and int(rank.max()) + 1, np.int64)
+    of[rank] = np.arange(len(rank))
+    at = of[doc]
+    none = np.zeros(len(spans[0]) + len(doc), np.int64)
+    return _table(none + SPAN, none.view(np.uint64),
+                  *(np.concatenate([s, c]) for s, c in zip(spans, (null[at], ids[at], seq[at], glo, gn))))
 
 
 # -- the operator --------------------------------------------------------------------------
@@ -345,8 +410,6 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _squeeze(docs: DataFrame) -> DataFrame:
     """``text`` (the third column) as zstd bytes ``z``: a third of the volume in a shuffle."""
-    import zstandard
-
     def run(batches):
         for b in batches:
             c = zstandard.ZstdCompressor(level=1)
@@ -357,8 +420,6 @@ def _squeeze(docs: DataFrame) -> DataFrame:
 
 def _unsqueezed(fn, at: int):
     """``fn`` over batches whose column ``at`` is zstd bytes again."""
-    import zstandard
-
     def run(batches):
         def plain():
             d = zstandard.ZstdDecompressor()
@@ -405,10 +466,17 @@ def _leads(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counted_join(lead, seqs, on, "left").select("doc_id", F.coalesce("seq", F.lit(0)).alias("seq"), "text"), again
 
 
-def _by_document(runs: DataFrame) -> DataFrame:
+def _by_document(runs: DataFrame, *fields: str) -> DataFrame:
     """Runs of each document as one array (no longer than the document)."""
     return runs.groupBy(F.col("doc_id").alias("_id"), F.col("seq").alias("_seq")).agg(
-        F.collect_list(F.struct("lo", "n")).alias("runs"))
+        F.collect_list(F.struct("lo", "n", *fields)).alias("runs"))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the session's shared folder: cuts the lineage in fewer bytes than a checkpoint."""
+    path = f"{shared_dir(df.sparkSession)}/caudal/passes/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot_runs: int = HOT_RUNS,
@@ -425,13 +493,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     leads, again = _leads(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // group_bytes))
-    passed = (leads.mapInArrow(_first_digit(buckets, hot_runs, segment, flush_bytes), _MAP).groupBy("bucket")
-              .applyInArrow(_group(False), _OUT).checkpoint())
+    passed = _written(leads.mapInArrow(_first_digit(buckets, hot_runs, segment, flush_bytes), _MAP)
+                      .groupBy("bucket").applyInArrow(_group_runs, _OUT))
     key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("seq") == F.col("_seq"))
     squeezed = _squeeze(leads)
-    edges = squeezed.join(_by_document(passed.filter(F.col("kind") == REP)), key).select("doc_id", "seq", "z", "runs")
-    spans = (edges.mapInArrow(_unsqueezed(_last_digit(buckets, segment, flush_bytes), 2), _MAP).groupBy("bucket")
-             .applyInArrow(_group(True), _OUT).unionByName(passed.filter(F.col("kind") == SPAN)))
+    runs = _by_document(passed.filter(F.col("kind") != SPAN), "h1", "kind")
+    edges = squeezed.join(runs, key).select("doc_id", "seq", "z", "runs")
+    spans = (edges.mapInArrow(_unsqueezed(_last_digit(buckets, segment, flush_bytes), 2), _MAP)
+             .groupBy("bucket").applyInArrow(_group_windows, _OUT).unionByName(passed.filter(F.col("kind") == SPAN)))
     rest = squeezed.join(_by_document(spans), key, "left").select("doc_id", "z", "runs")
     lost = again.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
                         F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
