@@ -17,9 +17,11 @@ from collections.abc import Iterable
 import numpy as np
 
 MEMO_WORDS = 150_000
+MEMO_PIECES = 400_000
 LONG_WORD = 64
 END_ID = 1
-_PLAIN_PUNCTUATION = ".,!?;:"
+# Neither letters nor digits, and no part of a contraction or of a special token's name.
+_PLAIN_PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,22 +50,24 @@ class WordEncoder:
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(piece) <= LONG_WORD:
-                if len(self.pieces) >= MEMO_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
+    def _bpe(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(piece) <= LONG_WORD:
+            if len(self.pieces) >= MEMO_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
         letters = word.rstrip(_PLAIN_PUNCTUATION)
         if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):
-            ids = self._piece(letters.lower())
-            return ids if len(letters) == len(word) else ids + self._piece(word[len(letters):])
+            piece = letters.lower()
+            ids = self.pieces.get(piece) or self._bpe(piece)
+            if len(letters) == len(word):
+                return ids
+            tail = word[len(letters):]
+            return ids + (self.pieces.get(tail) or self._bpe(tail))
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
