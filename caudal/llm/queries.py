@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caudal.llm import decontaminate, packing, quality, secrets, simhash, suffix_dedup, warc
+from caudal.llm import decontaminate, packing, quality, secrets, simhash, suffix_dedup, token_output, url_lists, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hash")
 
 
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.judged_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -47,9 +51,13 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.written_segments(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_benchmark_decontamination, op5_warc_round_trip, op6_quality_rules, op8_best_fit_packing, op9_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_url_lists, op5_warc_round_trip, op6_quality_rules, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_round_trip": warc.ORACLE, "op6_quality_rules": quality.ORACLE}
+    return {"op4_url_lists": url_lists.ORACLE, "op5_warc_round_trip": warc.ORACLE, "op6_quality_rules": quality.ORACLE}
