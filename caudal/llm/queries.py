@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caudal.llm import decontaminate, packing, quality, secrets, simhash, suffix_dedup, token_output, url_lists, warc
+from caudal.llm import (decontaminate, lm, packing, quality, secrets, simhash, suffix_dedup, token_output, url_lists,
+                        warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,9 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_url_lists, op5_warc_round_trip, op6_quality_rules, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
+    return {f.__name__: f for f in (
+        op1_secret_scan, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_url_lists, op5_warc_round_trip,
+        op6_quality_rules, op7_lm_scoring, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:

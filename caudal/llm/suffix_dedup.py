@@ -34,17 +34,17 @@ result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.llm.joins import counted_join
+from caudal.llm.packed import pack, plain, squeezed, unpack
 from caudal.llm.rolling import BASES, Rolling, mix
+from caudal.llm.tables import written
 from caudal.session import shared_dir
 
 WINDOW = 100
@@ -112,34 +112,6 @@ def window_hashes(data: np.ndarray, starts: np.ndarray, window: int, segment: in
     return h1, h2
 
 
-# -- packed rows -------------------------------------------------------------------------
-#
-# A task's rows for one bucket travel as one value: the columns byte plane by
-# byte plane, zstd over all. Half the volume of single rows in a shuffle.
-
-
-def pack(*columns: np.ndarray) -> bytes:
-    sizes = np.array([len(c) for c in columns], "<i8").tobytes()
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() if len(c) else b"" for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(planes))
-
-
-def unpack(blobs: Iterator[bytes | None], kinds: str) -> list[np.ndarray]:
-    """The columns of all ``blobs``, laid end to end; ``kinds`` has a numpy type code for each."""
-    types = [np.dtype(k) for k in kinds]
-    out: list[list[np.ndarray]] = [[np.empty(0, t)] for t in types]
-    for blob in blobs:
-        if blob is None:
-            continue
-        data = zstandard.ZstdDecompressor().decompress(blob)
-        sizes, at = np.frombuffer(data, "<i8", len(types)), 8 * len(types)
-        for col, t, n in zip(out, types, sizes.tolist()):
-            planes = np.frombuffer(data, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
-            col.append(np.ascontiguousarray(planes.T).view(t).reshape(-1))
-            at += n * t.itemsize
-    return [np.concatenate(c) for c in out]
-
-
 # -- grouping rows -------------------------------------------------------------------------
 
 
@@ -409,24 +381,21 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def _squeeze(docs: DataFrame) -> DataFrame:
-    """``text`` (the third column) as zstd bytes ``z``: a third of the volume in a shuffle."""
-    def run(batches):
+    """``text`` (the third column) as zstd bytes ``z``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = zstandard.ZstdCompressor(level=1)
-            z = pa.array([c.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z], names=["doc_id", "seq", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), squeezed(b.column(2))], names=["doc_id", "seq", "z"])
     return docs.mapInArrow(run, "doc_id long, seq int, z binary")
 
 
 def _unsqueezed(fn, at: int):
-    """``fn`` over batches whose column ``at`` is zstd bytes again."""
-    def run(batches):
-        def plain():
-            d = zstandard.ZstdDecompressor()
+    """``fn`` over batches whose column ``at`` is text again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def texts() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                text = pa.array([d.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in b.column(at)], pa.string())
+                text = pa.array(plain(b.column(at)), pa.string())
                 yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
-        yield from fn(plain())
+        yield from fn(texts())
     return run
 
 
@@ -472,13 +441,6 @@ def _by_document(runs: DataFrame, *fields: str) -> DataFrame:
         F.collect_list(F.struct("lo", "n", *fields)).alias("runs"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the session's shared folder: cuts the lineage in fewer bytes than a checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/caudal/passes/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot_runs: int = HOT_RUNS,
                    group_bytes: int = GROUP_BYTES, segment: int = SEGMENT,
                    flush_bytes: int = FLUSH_BYTES) -> DataFrame:
@@ -493,7 +455,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     leads, again = _leads(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // group_bytes))
-    passed = _written(leads.mapInArrow(_first_digit(buckets, hot_runs, segment, flush_bytes), _MAP)
+    passed = written(leads.mapInArrow(_first_digit(buckets, hot_runs, segment, flush_bytes), _MAP)
                       .groupBy("bucket").applyInArrow(_group_runs, _OUT))
     key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("seq") == F.col("_seq"))
     squeezed = _squeeze(leads)
