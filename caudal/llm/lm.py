@@ -38,6 +38,7 @@ from caudal.session import shared_dir
 BACKOFF = 0.4
 UNSEEN = 0.5
 GROUP_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 
 
 def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,30 +48,29 @@ def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return h, of, grams(h, 2)[second - 1], second
 
 
+def _ranges(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of ``buckets`` (under 2^32) equal ranges of 64-bit hashes each falls into; ascends with the hash."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def _counted(buckets: int):
-    """One group of documents: its distinct n-grams and their counts, a row for each hash range."""
+    """One group of documents: its distinct n-grams and their counts, a row for each hash range it has any in."""
     def run(t: pa.Table) -> pa.Table:
         h, _, pairs, _ = _ngrams(plain(t["z"]))
-        rows = [[], [], []]
-        found = [np.unique(x, return_counts=True) for x in (h, pairs)]
-        edges = [(np.searchsorted(x, _edges(buckets))) for x, _ in found]
-        for b in range(buckets):
-            cols = []
-            for (x, n), e in zip(found, edges):
-                part = x[e[b]:e[b + 1]] if b + 1 < buckets else x[e[b]:]
-                cols += [np.diff(part, prepend=np.uint64(0)), n[e[b]:e[b] + len(part)].astype(np.uint32)]
-            if len(cols[0]) or len(cols[2]):
-                rows[0].append(t["g"][0].as_py()), rows[1].append(b), rows[2].append(pack(*cols))
-        return pa.table({"g": pa.array(rows[0], pa.int64()), "bucket": pa.array(rows[1], pa.int64()),
-                         "z": pa.array(rows[2], pa.binary())})
+        parts: dict[int, list[np.ndarray]] = {}
+        for k, x in ((0, h), (2, pairs)):
+            values, n = np.unique(x, return_counts=True)
+            at = _ranges(values, buckets)
+            cuts = np.flatnonzero(np.diff(at)) + 1
+            for part, count in zip(np.split(values, cuts), np.split(n.astype(np.uint32), cuts)):
+                if len(part):
+                    row = parts.setdefault(int(_ranges(part[:1], buckets)[0]), [np.empty(0, np.uint64), np.empty(0, np.uint32)] * 2)
+                    row[k:k + 2] = [np.diff(part, prepend=np.uint64(0)), count]
+        return pa.table({"g": pa.array([t["g"][0].as_py()] * len(parts), pa.int64()), "bucket": pa.array(list(parts), pa.int64()),
+                         "z": pa.array([pack(*row) for row in parts.values()], pa.binary())})
     return run
 
 
-def _edges(buckets: int) -> np.ndarray:
-    """Where each of ``buckets`` equal ranges of 64-bit hashes begins."""
-    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
-
-
 def _summed(t: pa.Table) -> pa.Table:
     """One hash range: the whole corpus's count of each n-gram, sent back to every group that has it."""
     groups = [unpack_one(z.as_py(), "QIQI") for z in t["z"]]
@@ -118,11 +118,11 @@ def _scored(total: int, backoff: float, unseen: float):
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", backoff: float = BACKOFF,
-          unseen: float = UNSEEN, group_bytes: int = GROUP_BYTES) -> DataFrame:
+          unseen: float = UNSEEN, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score, n_backoff) per row; natural logarithms."""
     shared_dir(docs.sparkSession)
     bytes_ = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    groups = max(1, -(-bytes_ // group_bytes))
+    groups, ranges = (max(1, -(-bytes_ // b)) for b in (group_bytes, range_bytes))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +132,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", backoff:
     g = F.pmod(F.xxhash64(F.col(text), F.col(id_col), F.spark_partition_id()), F.lit(groups))
     rows = (docs.select(g.alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
             .mapInArrow(squeeze, "g long, doc_id long, z binary"))
-    counts = written(rows.groupBy("g").applyInArrow(_counted(groups), "g long, bucket long, z binary")
+    counts = written(rows.groupBy("g").applyInArrow(_counted(ranges), "g long, bucket long, z binary")
                      .groupBy("bucket").applyInArrow(_summed, "g long, bucket long, z binary, words long"))
     total = counts.agg(F.sum("words")).first()[0] or 0
     return (rows.groupBy("g").cogroup(counts.select("g", "bucket", "z").groupBy("g")).applyInArrow(

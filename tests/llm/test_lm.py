@@ -46,10 +46,10 @@ def sample():
                    (303, " ".join(rng.choices(vocab, weights, k=9000))), (304, "zzz unseen words only")]
 
 
-@pytest.mark.parametrize("group_bytes", [lm.GROUP_BYTES, 900])
-def test_matches_direct_count(frame, group_bytes):
+@pytest.mark.parametrize("group_bytes,range_bytes", [(lm.GROUP_BYTES, lm.RANGE_BYTES), (900, 2500)])
+def test_matches_direct_count(frame, group_bytes, range_bytes):
     df = frame(sample()).withColumns({"g": F.lit("x"), "z": F.lit(1)})
-    got = sorted((str(r.doc_id), r.n_words, r.n_backoff, r.log_score) for r in lm.score(df, group_bytes=group_bytes).collect())
+    got = sorted((str(r.doc_id), r.n_words, r.n_backoff, r.log_score) for r in lm.score(df, group_bytes=group_bytes, range_bytes=range_bytes).collect())
     want = brute(sample())
     assert [x[:3] for x in got] == [x[:3] for x in want]
     assert [x[3] for x in got] == pytest.approx([x[3] for x in want], rel=1e-9)
