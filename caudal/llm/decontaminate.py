@@ -38,6 +38,7 @@ MIN_COVERAGE = 0.5
 FIRST_LENGTH = 20
 BITMAP_BITS = 24
 CHUNK = 1 << 20
+SEGMENT = 1 << 18
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -54,7 +55,13 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = _WORD[data]
     edge = np.diff(word.astype(np.int8), prepend=np.int8(0))
     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    h = mix(Rolling(data, BASES[0])(lo, hi) ^ mix((hi - lo).astype(np.uint64)))
+    h = np.empty(len(lo), np.uint64)
+    i = 0
+    while i < len(lo):  # a stretch of about SEGMENT bytes at a time, cut between tokens
+        j = max(i + 1, int(np.searchsorted(hi, lo[i] + SEGMENT, "right")))
+        h[i:j] = Rolling(data[lo[i]:hi[j - 1]], BASES[0])(lo[i:j] - lo[i], hi[i:j] - lo[i])
+        i = j
+    h = mix(h ^ mix((hi - lo).astype(np.uint64)))
     stop = np.cumsum([len(p) + 1 for p in parts])
     return np.maximum(h, np.uint64(1)), np.searchsorted(stop, lo, "right")
 

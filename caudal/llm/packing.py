@@ -25,7 +25,6 @@ import random
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,19 +164,23 @@ _STATE = "shard long, island int, uid long, length long, bin long, migrant long"
 
 def _epoch(capacity: int, epoch: int):
     """Evolve one island of one shard from its own elite and the migrant one."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("uid", ignore_index=True)
-        lengths = [int(x) for x in g["length"]]
-        seeds = []
-        for col in ("bin", "migrant"):
-            if g[col].iloc[0] >= 0:
-                seeds.append([list(x) for x in g.groupby(col, sort=True).indices.values()])
-        rng = random.Random(f"{g['shard'].iloc[0]}/{g['island'].iloc[0]}/{epoch}")
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("uid")
+        lengths, seeds = t["length"].to_pylist(), []
+        for column in ("bin", "migrant"):
+            of = t[column].to_pylist()
+            if of[0] >= 0:
+                bins: list[Bin] = [[] for _ in range(max(of) + 1)]
+                for i, b in enumerate(of):
+                    bins[b].append(i)
+                seeds.append(bins)
+        rng = random.Random(f"{t['shard'][0]}/{t['island'][0]}/{epoch}")
         where = [0] * len(lengths)
         for b, members in enumerate(evolve(lengths, capacity, seeds, rng)):
             for i in members:
                 where[i] = b
-        return g.assign(bin=where, migrant=-1)
+        return (t.select(["shard", "island", "uid", "length"]).append_column("bin", pa.array(where, pa.int64()))
+                .append_column("migrant", pa.array([-1] * len(where), pa.int64())))
     return run
 
 
@@ -194,7 +197,7 @@ def _solve(pieces: DataFrame, shards: int, capacity: int, level: int) -> DataFra
                                  F.col("bin").alias("migrant"))
             state = state.drop("migrant").join(elite, ["shard", "uid", "island"]).select(
                 "shard", "island", "uid", "length", "bin", "migrant")
-        state = state.groupBy("shard", "island").applyInPandas(_epoch(capacity, epoch), _STATE).checkpoint()
+        state = state.groupBy("shard", "island").applyInArrow(_epoch(capacity, epoch), _STATE).checkpoint()
     best = (state.groupBy("shard", "island").agg(F.max("bin").alias("last"))
             .groupBy("shard").agg(F.min(F.struct("last", "island")).alias("b"))
             .select("shard", F.col("b.island").alias("island")))

@@ -258,7 +258,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
     counted = docs.columns.index(length) if length in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             old = batch.column(at).to_pylist()
             new = [x and redact_text(x) for x in old]
             cols = list(batch.columns)

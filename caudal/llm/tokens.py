@@ -16,8 +16,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-MEMO_WORDS = 150_000
-MEMO_PIECES = 400_000
+MEMO_WORDS = 60_000
+MEMO_PIECES = 250_000
 LONG_WORD = 64
 END_ID = 1
 # Neither letters nor digits, and no part of a contraction or of a special token's name.
@@ -95,7 +95,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encode_column(column, path: str, chunk_bytes: int = 4 << 20) -> Iterable[bytes]:
+def encode_column(column, path: str, chunk_bytes: int = 2 << 20) -> Iterable[bytes]:
     """Ids of each text of an Arrow column (null: empty text), ``END_ID`` appended.
 
     Works through the column in chunks of about ``chunk_bytes`` characters.
