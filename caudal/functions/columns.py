@@ -59,6 +59,12 @@ def posted() -> Column:
     return F.col("state") == S.POSTED
 
 
+def overdue(as_of: date) -> Column:
+    """Due before ``as_of`` and still open: a bare predicate, null (as a filter:
+    no) without a due date, so that both halves reach the scan."""
+    return (F.col("date_maturity") < lit_date(as_of)) & (residual() > 0)
+
+
 # -- date dimensions -------------------------------------------------------
 
 def month_label(d: Column) -> Column:

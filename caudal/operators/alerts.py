@@ -62,14 +62,14 @@ def kpi_display(bundle: DataFrame) -> DataFrame:
     runway, liq = F.col("cash_runway"), F.col("liquidity_ratio")
     return bundle.select(
         C.money_text(F.col("saldo_liquido")).alias("saldo_liquido_txt"),
-        F.concat(C.one_decimal_text(F.col("dso")), F.lit(" días")).alias("dso_txt"),
-        F.concat(C.money_text(F.col("burn_rate")), F.lit("/m")).alias("burn_rate_txt"),
-        F.when(runway == float("inf"), F.lit("∞"))
-         .otherwise(F.concat(C.one_decimal_text(runway), F.lit(" m"))).alias("cash_runway_txt"),
-        F.when(runway < 3, F.lit("CRÍTICO")).otherwise(F.lit("OK")).alias("runway_badge"),
-        F.when(liq < 90, F.concat(F.format_number(liq, 2), F.lit("×")))
-         .otherwise(F.lit(">90×")).alias("liquidity_ratio_txt"),
+        _fmt(S.KPI_DAYS, x=C.one_decimal_text(F.col("dso"))).alias("dso_txt"),
+        _fmt(S.KPI_PER_MONTH, x=C.money_text(F.col("burn_rate"))).alias("burn_rate_txt"),
+        F.when(runway == float("inf"), F.lit(S.KPI_INFINITE))
+         .otherwise(_fmt(S.KPI_MONTHS, x=C.one_decimal_text(runway))).alias("cash_runway_txt"),
+        F.when(runway < 3, F.lit(S.RUNWAY_CRITICAL)).otherwise(F.lit(S.RUNWAY_OK)).alias("runway_badge"),
+        F.when(liq < 90, _fmt(S.KPI_TIMES, x=F.format_number(liq, 2)))
+         .otherwise(F.lit(S.KPI_LIQUIDITY_CAP)).alias("liquidity_ratio_txt"),
         C.money_text(F.col("total_cxc")).alias("total_cxc_txt"),
         C.money_text(F.col("cxc_vencida")).alias("cxc_vencida_txt"),
-        F.concat(C.one_decimal_text(F.col("collection_rate")), F.lit("%")).alias("collection_rate_txt"),
+        _fmt(S.KPI_PERCENT, x=C.one_decimal_text(F.col("collection_rate"))).alias("collection_rate_txt"),
     )

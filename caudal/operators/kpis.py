@@ -1,12 +1,11 @@
 """Scalar KPIs as one-row DataFrames.
 
-Every KPI that reads the moves comes from one conditional aggregate over the
-staged table (:func:`moves_stats`): a single scan, partial aggregation in
-each task, one row after the final merge. A KPI selects its columns from
-that row and Catalyst prunes the aggregates nobody reads. The burn rate (mean
-of monthly sums) is folded into the same scan as total / number of months
-present; the months are a distinct aggregate over at most a handful of
-values.
+A KPI on its own filters the moves to what it needs (type, date, residual:
+all pushed into the scan) and aggregates that. The bundles take every KPI from
+one conditional aggregate (:func:`moves_stats`) instead: a single scan, partial
+aggregation in each task, one row after the final merge. The burn rate (mean
+of monthly sums) is total / number of months present; the months are a
+distinct aggregate over at most a handful of values.
 
 Values from the journals table enter as scalar subqueries
 (``DataFrame.scalar()``): a global aggregate is exactly one value, so no join
@@ -70,10 +69,21 @@ def _burn_col() -> Column:
 
 # -- main pipeline -----------------------------------------------------------
 
+def _dso_raw(staged: DataFrame) -> DataFrame:
+    return (staged.filter(C.customer_invoice() & (C.residual() == 0))
+            .agg(F.avg(C.days_to_collect(F.col("invoice_date"), F.col("date_maturity"))).alias("dso_raw")))
+
+
 def dso(staged: DataFrame) -> DataFrame:
     """Mean of max(due - issue, 0) days over collected customer invoices, 1 decimal."""
-    return moves_stats(staged).select(
-        F.coalesce(F.bround("dso_raw", 1), F.lit(0.0)).alias("dso"))
+    return _dso_raw(staged).select(F.coalesce(F.bround("dso_raw", 1), F.lit(0.0)).alias("dso"))
+
+
+def _burn_window(bills: DataFrame, as_of: date, months: int) -> DataFrame:
+    """Total and number of months of the vendor bills of the last 30*N days (one row)."""
+    return (bills.filter(C.vendor_bill() & _burn_cut(as_of, months))
+            .agg(F.sum("amount_total").alias("burn_total"),
+                 F.count_distinct(C.month_label(F.col("invoice_date"))).alias("burn_months")))
 
 
 def burn_rate(staged: DataFrame, as_of: date, months: int = 3) -> DataFrame:
@@ -81,7 +91,7 @@ def burn_rate(staged: DataFrame, as_of: date, months: int = 3) -> DataFrame:
 
     Months are the calendar months present, partial ones included.
     """
-    return moves_stats(staged, as_of, months).select(_burn_col().alias("burn_rate"))
+    return _burn_window(staged, as_of, months).select(_burn_col().alias("burn_rate"))
 
 
 def liquid_balance(journals: DataFrame) -> DataFrame:
@@ -107,7 +117,7 @@ def cash_runway(staged: DataFrame, journals: DataFrame, as_of: date,
     """
     if burn is not None:
         return liquid_balance(journals).select(_runway(F.col("saldo"), F.lit(float(burn))).alias("cash_runway"))
-    return moves_stats(staged, as_of, months).select(
+    return _burn_window(staged, as_of, months).select(
         _runway(liquid_balance_value(journals), _burn_col()).alias("cash_runway"))
 
 
@@ -117,10 +127,17 @@ def _liquidity(n_moves: Column, balance: Column, overdue_in: Column, sentinel: f
             .otherwise(F.bround(balance.cast("double") / overdue_in.cast("double"), 2)))
 
 
-def liquidity_ratio(staged: DataFrame, journals: DataFrame) -> DataFrame:
+def _any_rows(moves: DataFrame) -> Column:
+    """Whether ``moves`` has a row: a scalar subquery that stops at the first."""
+    return moves.select(F.lit(1).alias("one")).limit(1).scalar().isNotNull()
+
+
+def liquidity_ratio(staged: DataFrame, journals: DataFrame, as_of: date) -> DataFrame:
     """Liquid balance / overdue vendor-bill residual, 2 decimals; 99.0 with none."""
-    return moves_stats(staged).select(
-        _liquidity(F.col("n_moves"), liquid_balance_value(journals), F.col("overdue_in"),
+    due = (staged.filter(C.vendor_bill() & C.overdue(as_of))
+           .agg(F.coalesce(F.sum(C.residual()), C.zero_money()).alias("overdue_in")))
+    return due.select(
+        _liquidity(F.when(_any_rows(staged), 1).otherwise(0), liquid_balance_value(journals), F.col("overdue_in"),
                    S.LIQUIDITY_SENTINEL).alias("liquidity_ratio"))
 
 
@@ -128,9 +145,16 @@ def _rate(collected: Column, billed: Column) -> Column:
     return F.coalesce(F.bround(C.ratio(collected, billed) * 100, 1), F.lit(0.0))
 
 
+def _billed(staged: DataFrame) -> DataFrame:
+    return staged.filter(C.customer_invoice()).agg(
+        F.coalesce(F.sum("amount_total"), C.zero_money()).alias("billed_out"),
+        F.coalesce(F.sum("collected_amt"), C.zero_money()).alias("collected_out"),
+        F.coalesce(F.sum(C.residual()), C.zero_money()).alias("residual_out"))
+
+
 def collection_rate(staged: DataFrame) -> DataFrame:
     """Collected / billed over customer invoices, percent, 1 decimal."""
-    return moves_stats(staged).select(
+    return _billed(staged).select(
         _rate(F.col("collected_out"), F.col("billed_out")).alias("collection_rate"))
 
 
@@ -181,8 +205,8 @@ def kpi_bundle(staged: DataFrame, journals: DataFrame, as_of: date,
 def moves_stats_v(moves: DataFrame, as_of: date, months: int = 3) -> DataFrame:
     """Single-pass aggregates of the variant pipeline over the window moves."""
     opex = C.vendor_bill() & C.posted() & _burn_cut(as_of, months)
-    overdue_in = C.vendor_bill() & C.posted() & (F.col("date_maturity") < C.lit_date(as_of)) & (C.residual() > 0)
-    is_overdue = F.coalesce((F.col("date_maturity") < C.lit_date(as_of)) & (C.residual() > 0), F.lit(False))
+    overdue_in = C.vendor_bill() & C.posted() & C.overdue(as_of)
+    is_overdue = C.overdue(as_of)
     paid_out = C.customer_invoice() & C.posted() & F.col("payment_date").isNotNull()
     return moves.agg(
         F.avg(F.when(paid_out, F.datediff("payment_date", "invoice_date"))).alias("dso_raw"),
@@ -207,14 +231,15 @@ def _liquidity_v(cash: Column) -> Column:
             .otherwise(F.bround(cash.cast("double") / F.col("pasivos").cast("double"), 2)))
 
 
-def dso_v(moves: DataFrame, as_of: date) -> DataFrame:
+def dso_v(moves: DataFrame) -> DataFrame:
     """Mean payment - issue days over posted paid customer invoices; null if none."""
-    return moves_stats_v(moves, as_of).select(F.bround("dso_raw", 1).alias("dso"))
+    return (moves.filter(C.customer_invoice() & C.posted() & F.col("payment_date").isNotNull())
+            .agg(F.bround(F.avg(F.datediff("payment_date", "invoice_date")), 1).alias("dso")))
 
 
 def burn_rate_v(moves: DataFrame, as_of: date, months: int = 3) -> DataFrame:
     """Variant burn: posted bills only; null (not 0) when there are none."""
-    return moves_stats_v(moves, as_of, months).select(_burn_v().alias("burn_rate"))
+    return _burn_window(moves.filter(C.posted()), as_of, months).select(_burn_v().alias("burn_rate"))
 
 
 def total_cash_v(journals_all: DataFrame) -> DataFrame:
@@ -226,13 +251,15 @@ def total_cash_v(journals_all: DataFrame) -> DataFrame:
 def cash_runway_v(moves: DataFrame, journals_all: DataFrame, as_of: date,
                   months: int = 3) -> DataFrame:
     """Bank+cash balance / variant burn; +inf when burn <= 0, null when undefined."""
-    return moves_stats_v(moves, as_of, months).select(
+    return _burn_window(moves.filter(C.posted()), as_of, months).select(
         _runway(liquid_balance_value(journals_all), _burn_v()).alias("cash_runway"))
 
 
 def liquidity_ratio_v(moves: DataFrame, journals_all: DataFrame, as_of: date) -> DataFrame:
     """All journals / posted overdue vendor bills, 2 decimals; 99.99 with none."""
-    return moves_stats_v(moves, as_of).select(_liquidity_v(_all_cash(journals_all)).alias("liquidity_ratio"))
+    due = (moves.filter(C.vendor_bill() & C.posted() & C.overdue(as_of))
+           .agg(F.coalesce(F.sum(C.residual()), C.zero_money()).alias("pasivos")))
+    return due.select(_liquidity_v(_all_cash(journals_all)).alias("liquidity_ratio"))
 
 
 def exposure_totals_v(moves: DataFrame, as_of: date) -> DataFrame:
@@ -276,7 +303,7 @@ def dso_doc(staged: DataFrame, lookback_days: int = 365) -> DataFrame:
     Billing of the loaded window is annualised by 365 / look-back days.
     """
     annual = F.col("billed_out").cast("double") * (365.0 / lookback_days)
-    return moves_stats(staged).select(F.coalesce(
+    return _billed(staged).select(F.coalesce(
         F.bround(F.try_divide(F.col("residual_out").cast("double"), annual) * 365, 1),
         F.lit(0.0)).alias("dso"))
 
@@ -293,7 +320,7 @@ def liquidity_ratio_doc(staged: DataFrame, journals: DataFrame, as_of: date,
                         months: int = 3) -> DataFrame:
     """Liquid balance / monthly burn, 2 decimals; null when burn <= 0."""
     burn = _burn_col()
-    return moves_stats(staged, as_of, months).select(
+    return _burn_window(staged, as_of, months).select(
         F.when(burn > 0, F.bround(liquid_balance_value(journals).cast("double") / burn, 2))
         .alias("liquidity_ratio"))
 

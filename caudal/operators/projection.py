@@ -74,10 +74,11 @@ def scenario_days(spark: SparkSession, as_of: date, days: int, pcts: range,
 
 
 def _project(spark: SparkSession, staged: DataFrame, journals: DataFrame, as_of: date,
-             days: int, pcts: range) -> DataFrame:
+             days: int, pcts: range, probe: DataFrame | None = None) -> DataFrame:
+    """``probe`` has a row exactly when ``staged`` has one (default: ``staged`` itself)."""
     daily = _daily_due(staged, as_of, days)
     grid = (scenario_days(spark, as_of, days, pcts)
-            .filter(_has_rows(staged))
+            .filter(_has_rows(staged if probe is None else probe))
             .join(F.broadcast(daily), "fecha", "left")
             .withColumns(_factors(F.col("pct"))))
     opening = liquid_balance_value(journals)
@@ -118,9 +119,9 @@ def cashflow_projection(spark: SparkSession, staged: DataFrame, journals: DataFr
 
 
 def scenario_grid(spark: SparkSession, staged: DataFrame, journals: DataFrame, as_of: date,
-                  pcts: range = range(0, 101, 5), days: int = 90) -> DataFrame:
+                  pcts: range = range(0, 101, 5), days: int = 90, probe: DataFrame | None = None) -> DataFrame:
     """The projection for every slider position (0..100 step 5) in one job."""
-    return _present(_project(spark, staged, journals, as_of, days, pcts)).orderBy("pct", "fecha")
+    return _present(_project(spark, staged, journals, as_of, days, pcts, probe)).orderBy("pct", "fecha")
 
 
 def whatif_runway(spark: SparkSession, staged: DataFrame, journals: DataFrame, as_of: date,
@@ -142,11 +143,16 @@ def whatif_runway(spark: SparkSession, staged: DataFrame, journals: DataFrame, a
         "_any": _has_rows(staged)})
     last = F.col("saldo") + F.col("tin") * F.col("c") - F.col("tout")
     final = F.greatest(last, F.lit(0).cast(S.MONEY))
-    ok = F.col("_any") & (F.col("burn_rate") > 0)
-    runway = F.when(ok, F.bround(final.cast("double") / F.col("burn_rate"), 1))
+    return _runway_rows(rows.select("pct", final.cast("double").alias("final"), "burn_rate", "_any"),
+                        F.col("_any") & (F.col("burn_rate") > 0))
+
+
+def _runway_rows(rows: DataFrame, ok: Column) -> DataFrame:
+    """Runway, text and level of rows (pct, final, burn_rate)."""
+    runway = F.when(ok, F.bround(F.col("final") / F.col("burn_rate"), 1))
     return rows.select(
         "pct",
-        C.money_out(final, RATE_SCALE).alias("saldo_final"),
+        F.bround("final", RATE_SCALE).alias("saldo_final"),
         runway.alias("runway_proy"),
         F.when(ok, F.concat(C.one_decimal_text(runway), F.lit(" m"))).otherwise(F.lit(S.NOT_AVAILABLE))
          .alias("runway_str"),
@@ -155,6 +161,25 @@ def whatif_runway(spark: SparkSession, staged: DataFrame, journals: DataFrame, a
     ).orderBy("pct")
 
 
+def mirrored_outflow(projection: DataFrame, outflow: str = "egreso") -> DataFrame:
+    """The projection with its outflow below the axis, as the chart draws it."""
+    negative = -F.col(outflow)
+    return projection.withColumn(f"{outflow}_neg", F.when(negative == 0, F.lit(0.0)).otherwise(negative))
+
+
+def whatif_of(grid: DataFrame, bundle: DataFrame, pcts: range = range(0, 101, 5)) -> DataFrame:
+    """:func:`whatif_runway` of a finished scenario grid and KPI bundle: the
+    last day's balance of each slider position over the burn rate."""
+    last = grid.groupBy("pct").agg(F.max_by("saldo", "fecha").alias("last"))
+    one = bundle.select(F.struct("burn_rate", "saldo_liquido")).scalar()
+    rows = (grid.sparkSession.range(pcts.start, pcts.stop, pcts.step).select(F.col("id").cast("int").alias("pct"))
+            .join(last, "pct", "left")  # both sides have a row per slider position
+            .withColumns({"burn_rate": one.getField("burn_rate"), "opening": one.getField("saldo_liquido")}))
+    final = F.greatest(F.coalesce("last", "opening"), F.lit(0.0))
+    return _runway_rows(rows.select("pct", "burn_rate", "last", final.alias("final")),
+                        F.col("last").isNotNull() & (F.col("burn_rate") > 0)).orderBy("pct")
+
+
 def min_collection_rate(spark: SparkSession, staged: DataFrame, journals: DataFrame, as_of: date,
                         pcts: range = range(0, 101, 5), days: int = 90,
                         base_pct: int = 85, drop_pts: int = 10) -> DataFrame:

@@ -35,13 +35,14 @@ def _last_months(grouped: DataFrame, n: int) -> DataFrame:
     return grouped.orderBy(F.col("month").desc()).limit(n).orderBy("month")
 
 
-def aging_report(staged: DataFrame) -> DataFrame:
+def aging_report(staged: DataFrame, position: bool = False) -> DataFrame:
     """Unpaid customer invoices per aging bucket: monto, facturas, porcentaje.
 
-    Only non-empty buckets, in bucket order; invoices without a due date have
-    no bucket and are left out of the totals too.
+    Only non-empty buckets, in bucket order (``position`` keeps the bucket's
+    number as ``posicion``); invoices without a due date have no bucket and
+    are left out of the totals too.
     """
-    grouped = (staged.filter(C.customer_invoice() & (C.residual() > 0) & F.col("tramo_orden").isNotNull())
+    grouped = (staged.filter(C.customer_invoice() & (C.residual() > 0) & F.col("date_maturity").isNotNull())
                .groupBy("tramo_orden", "tramo_aging")
                .agg(F.sum(C.residual()).alias("monto_d"), F.count("id").alias("facturas")))
     total = F.sum("monto_d").over(_all())
@@ -52,13 +53,15 @@ def aging_report(staged: DataFrame) -> DataFrame:
                     F.col("facturas").cast("bigint").alias("facturas"),
                     F.when(total > 0, _share(F.col("monto_d"), total)).otherwise(F.lit(0.0))
                      .alias("porcentaje"))
-            .orderBy("tramo_orden").drop("tramo_orden"))
+            .orderBy("tramo_orden")
+            .select(*([F.col("tramo_orden").alias("posicion")] if position else []),
+                    "tramo", "monto", "facturas", "porcentaje"))
 
 
-def overdue_aging_v(staged_v: DataFrame, start: date | None = None,
+def overdue_aging_v(staged_v: DataFrame, as_of: date, start: date | None = None,
                     end: date | None = None) -> DataFrame:
     """Variant: overdue customer invoices in a period, residual per 4 buckets."""
-    rows = date_range(staged_v, start, end).filter(C.customer_invoice() & F.col("is_overdue"))
+    rows = date_range(staged_v, start, end).filter(C.customer_invoice() & C.overdue(as_of))
     bucket = C.overdue_bucket(F.col("days_overdue"))
     order = F.least(F.greatest(F.ceil(F.col("days_overdue") / 30), F.lit(1)), F.lit(4))
     return (rows.withColumns({"tramo": bucket, "_o": order})
@@ -68,17 +71,30 @@ def overdue_aging_v(staged_v: DataFrame, start: date | None = None,
             .select("tramo", C.money_out(F.col("_r")).alias("amount_residual")))
 
 
+def monthly_facts(staged: DataFrame) -> DataFrame:
+    """Per month and type, what the monthly reports are made of: one row per
+    month and document type, so small enough to be written and read by all."""
+    days = C.days_to_collect(F.col("invoice_date"), F.col("date_maturity"))
+    closed = C.residual() == 0
+    return (staged.filter(C.customer_invoice() | C.vendor_bill()).groupBy("month", "move_type")
+            .agg(F.sum("amount_total").alias("total"), F.sum("collected_amt").alias("collected"),
+                 F.count("id").alias("n"), F.count_if(closed).alias("n_closed"),
+                 F.avg(F.when(closed, days)).alias("mean_days")))
+
+
 def monthly_comparison(staged: DataFrame, months: int = 12) -> DataFrame:
     """Customer invoices per month: billed, collected, count, rate; last N months."""
-    grouped = (staged.filter(C.customer_invoice()).groupBy("month")
-               .agg(F.sum("amount_total").alias("f"), F.sum("collected_amt").alias("c"),
-                    F.count("id").alias("n")))
-    return (_last_months(grouped, months)
+    return comparison_of(monthly_facts(staged.filter(C.customer_invoice())), months)
+
+
+def comparison_of(facts: DataFrame, months: int = 12) -> DataFrame:
+    """:func:`monthly_comparison` of :func:`monthly_facts` rows."""
+    return (_last_months(facts.filter(C.customer_invoice()), months)
             .select("month",
-                    C.money_out(F.col("f")).alias("facturado"),
-                    C.money_out(F.col("c")).alias("cobrado"),
+                    C.money_out(F.col("total")).alias("facturado"),
+                    C.money_out(F.col("collected")).alias("cobrado"),
                     F.col("n").cast("bigint").alias("n_facturas"),
-                    F.coalesce(_share(F.col("c"), F.col("f")), F.lit(0.0)).alias("tasa_cobro"),
+                    F.coalesce(_share(F.col("collected"), F.col("total")), F.lit(0.0)).alias("tasa_cobro"),
                     C.month_start(F.col("month")).alias("month_dt")))
 
 
@@ -99,24 +115,27 @@ def monthly_comparison_v(staged_v: DataFrame, months: int = 12) -> DataFrame:
 def monthly_net_cashflow(staged: DataFrame, months: int = 12) -> DataFrame:
     """Collected customer invoices minus vendor bills per month, plus a Total row.
 
-    One ``groupBy(month)`` with two conditional sums replaces the reference's
-    outer join of two monthly series (a month missing on one side gives 0).
-    The Total row sums the months shown and is dated one month after the last.
+    A month missing on one side gives 0 there. The Total row sums the months
+    shown and is dated one month after the last; without any month there is
+    no row at all.
     """
-    grouped = (staged.filter(C.customer_invoice() | C.vendor_bill()).groupBy("month")
-               .agg(F.coalesce(F.sum(F.when(C.customer_invoice(), F.col("collected_amt"))), C.zero_money()).alias("i"),
-                    F.coalesce(F.sum(F.when(C.vendor_bill(), F.col("amount_total"))), C.zero_money()).alias("e")))
+    return net_of(monthly_facts(staged), months)
+
+
+def net_of(facts: DataFrame, months: int = 12) -> DataFrame:
+    """:func:`monthly_net_cashflow` of :func:`monthly_facts` rows: conditional
+    sums in place of the reference's outer join of two monthly series."""
+    grouped = (facts.groupBy("month")
+               .agg(F.coalesce(F.sum(F.when(C.customer_invoice(), F.col("collected"))), C.zero_money()).alias("i"),
+                    F.coalesce(F.sum(F.when(C.vendor_bill(), F.col("total"))), C.zero_money()).alias("e")))
     shown = _last_months(grouped, months).select(
         "month", "i", "e", (F.col("i") - F.col("e")).alias("n"),
         C.month_start(F.col("month")).alias("month_dt"),
         F.lit(S.WATERFALL_RELATIVE).alias("tipo"))
     total = shown.agg(
-        F.lit(S.TOTAL_LABEL).alias("month"),
-        F.coalesce(F.sum("i"), C.zero_money()).alias("i"),
-        F.coalesce(F.sum("e"), C.zero_money()).alias("e"),
-        F.coalesce(F.sum("n"), C.zero_money()).alias("n"),
+        F.lit(S.TOTAL_LABEL).alias("month"), F.sum("i").alias("i"), F.sum("e").alias("e"), F.sum("n").alias("n"),
         F.add_months(F.max("month_dt"), 1).alias("month_dt"),
-        F.lit(S.WATERFALL_TOTAL).alias("tipo"))
+        F.lit(S.WATERFALL_TOTAL).alias("tipo")).filter(F.col("month_dt").isNotNull())
     return (shown.unionByName(total)
             .select("month",
                     C.money_out(F.col("i")).alias("ingresos"),
@@ -165,28 +184,41 @@ def collections_velocity(staged: DataFrame, months: int = 12, min_invoices: int
     Months need at least ``min_invoices`` invoices. Order of the reference
     kept (trap T12): round each month, keep the last N, then average by row.
     """
-    days = C.days_to_collect(F.col("invoice_date"), F.col("date_maturity"))
-    grouped = (staged.filter(C.customer_invoice() & F.col("is_collected")).groupBy("month")
-               .agg(F.avg(days).alias("d"), F.count("id").alias("n"))
-               .filter(F.col("n") >= min_invoices))
-    last = _last_months(grouped, months).select(
-        "month", F.bround("d", 1).alias("dso_mes"), F.col("n").cast("bigint").alias("n_fact"),
+    return velocity_of(monthly_facts(staged.filter(C.customer_invoice() & (C.residual() == 0))), months, min_invoices)
+
+
+def velocity_of(facts: DataFrame, months: int = 12, min_invoices: int = 3) -> DataFrame:
+    """:func:`collections_velocity` of :func:`monthly_facts` rows."""
+    last = _last_months(facts.filter(C.customer_invoice() & (F.col("n_closed") >= min_invoices)), months).select(
+        "month", F.bround("mean_days", 1).alias("dso_mes"), F.col("n_closed").cast("bigint").alias("n_fact"),
         C.month_start(F.col("month")).alias("month_dt"))
     w = Window.orderBy("month_dt").rowsBetween(-2, 0)
     return last.withColumn("dso_ma3", F.bround(F.avg("dso_mes").over(w), 1)).orderBy("month_dt")
 
 
+def _with_text(totals: DataFrame) -> DataFrame:
+    return totals.select(
+        C.money_out(F.col("p")).alias("total_pendiente"),
+        C.money_out(F.col("s")).alias("saldo_diarios"),
+        C.money_text(F.col("p")).alias("total_pendiente_txt"),
+        C.money_text(F.col("s")).alias("saldo_diarios_txt"))
+
+
 def grand_totals(staged: DataFrame, journals: DataFrame) -> DataFrame:
     """Totals printed in the middle of the two donuts: the unpaid receivables
     of the aging report and the sum of the bank and cash balances."""
-    aged = C.customer_invoice() & (C.residual() > 0) & F.col("tramo_orden").isNotNull()
     liquid = (journals.filter(F.col("type").isin(*S.LIQUID_JOURNAL_TYPES))
               .agg(F.coalesce(F.sum("current_balance"), C.zero_money())).scalar())
-    return staged.agg(F.coalesce(F.sum(F.when(aged, C.residual())), C.zero_money()).alias("p")).select(
-        C.money_out(F.col("p")).alias("total_pendiente"),
-        C.money_out(liquid).alias("saldo_diarios"),
-        C.money_text(F.col("p")).alias("total_pendiente_txt"),
-        C.money_text(liquid).alias("saldo_diarios_txt"))
+    aged = staged.filter(C.customer_invoice() & (C.residual() > 0) & F.col("date_maturity").isNotNull())
+    return _with_text(aged.agg(F.coalesce(F.sum(C.residual()), C.zero_money()).alias("p")).select("p", liquid.alias("s")))
+
+
+def grand_totals_of(aging: DataFrame, journals: DataFrame) -> DataFrame:
+    """:func:`grand_totals` of a finished aging report and journal breakdown."""
+    def total(df: DataFrame, c: str) -> Column:
+        return df.agg(F.coalesce(F.sum(F.bround(c, 2).cast(S.MONEY)), C.zero_money())).scalar()
+    return _with_text(aging.sparkSession.range(1).select(total(aging, "monto").alias("p"),
+                                                         total(journals, "current_balance").alias("s")))
 
 
 def journal_breakdown(journals: DataFrame) -> DataFrame:
@@ -195,9 +227,9 @@ def journal_breakdown(journals: DataFrame) -> DataFrame:
             .select("name", "type", C.money_out(F.col("current_balance")).alias("current_balance")))
 
 
-def critical_invoices(staged: DataFrame, top_n: int = 15) -> DataFrame:
+def critical_invoices(staged: DataFrame, as_of: date, top_n: int = 15) -> DataFrame:
     """Top N overdue customer invoices by open residual (ties: name, id)."""
-    top = (staged.filter(C.customer_invoice() & F.col("is_overdue"))
+    top = (staged.filter(C.customer_invoice() & C.overdue(as_of))
            .orderBy(C.residual().desc(), F.col("name"), F.col("id")).limit(top_n))
     return top.select(
         "name", "partner_name",
@@ -218,8 +250,11 @@ def critical_invoices_display(critical: DataFrame) -> DataFrame:
         {k: v for k, v in S.CRITICAL_TABLE_HEADERS.items() if k in critical.columns})
 
 
-def report_targets(report: DataFrame, collection_pct: float = S.COLLECTION_TARGET_PCT,
-                   dso_days: float = S.DSO_TARGET_DAYS) -> DataFrame:
-    """Carry the target lines drawn with the monthly and velocity charts."""
-    return report.withColumns({"meta_cobro": F.lit(collection_pct),
-                               "umbral_dso": F.lit(dso_days)})
+def collection_target(monthly: DataFrame, pct: float = S.COLLECTION_TARGET_PCT) -> DataFrame:
+    """The monthly comparison with the collection rate aimed at, its target line."""
+    return monthly.withColumn("meta_cobro", F.lit(pct))
+
+
+def velocity_target(velocity: DataFrame, days: float = S.DSO_TARGET_DAYS) -> DataFrame:
+    """The collections velocity with the days aimed at, its target line."""
+    return velocity.withColumn("umbral_dso", F.lit(days))

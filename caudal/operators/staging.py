@@ -46,7 +46,7 @@ def stage(moves: DataFrame, as_of: date, observation: Observation | None = None)
                 "quarter": C.quarter_label(inv),
                 "week_num": F.weekofyear(inv),
                 "is_collected": residual == 0,
-                "is_overdue": F.coalesce((mat < C.lit_date(as_of)) & (residual > 0), F.lit(False)),
+                "is_overdue": F.coalesce(C.overdue(as_of), F.lit(False)),
                 "days_overdue": days,
                 "collected_amt": collected,
                 "pending_amt": C.money(total - collected),
@@ -66,7 +66,7 @@ def stage_v(moves: DataFrame, as_of: date, observation: Observation | None = Non
                 "month": C.month_label(inv),
                 "week": C.week_label(inv),
                 "is_collected": residual == 0,
-                "is_overdue": F.coalesce((mat < C.lit_date(as_of)) & (residual > 0), F.lit(False)),
+                "is_overdue": F.coalesce(C.overdue(as_of), F.lit(False)),
                 "days_overdue": C.days_overdue(mat, as_of),
                 "collected_amt": F.when(residual == 0, total).otherwise(C.zero_money()),
             }))

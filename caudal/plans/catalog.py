@@ -7,9 +7,11 @@ caller runs the action.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import cached_property
+from dataclasses import replace
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,16 @@ from caudal.operators import kpis as K
 from caudal.operators import projection as P
 from caudal.operators import reports as R
 from caudal.operators.staging import date_range, stage, stage_v
+from caudal.session import shared_dir
 from caudal.sources import decode
+from caudal.sources import ledger as L
 from caudal.sources.ledger import Ledger, main_ledger, variant_moves
-from caudal.sources.tables import mapped_ledger
+from caudal.sources.tables import ledger_signature, mapped_ledger, materialise_ledger, table
 
-PARAMS = S.Params()
-AS_OF = PARAMS.as_of
+# The registered queries' run: its date, and the dates of the "_at" and "_empty" ones.
+PARAMS = S.Params(as_of=date(2001, 8, 1))
+EARLIER = replace(PARAMS, as_of=date(2001, 5, 1))
+NO_MOVES = replace(PARAMS, as_of=date(2030, 1, 1))
 # Period of the date-range operator: the last quarter before the as-of date.
 RANGE_START = date(2001, 5, 1)
 RANGE_END = date(2001, 7, 31)
@@ -35,8 +41,7 @@ RANGE_END = date(2001, 7, 31)
 class Ctx:
     """Inputs of one query, built on first use (plan building is not free)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str | None, p: S.Params = PARAMS,
-                 raw: Ledger | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str | None, p: S.Params, raw: Ledger | None = None):
         self.spark, self.sf_dir, self.p = spark, sf_dir, p
         if raw is not None:
             self.raw = raw  # overrides the mapped ledger (any source, see publish)
@@ -66,14 +71,20 @@ _CONTEXTS: dict[tuple[str, str, S.Params], Ctx] = {}
 
 
 def context(spark: SparkSession, sf_dir: str, p: S.Params = PARAMS) -> Ctx:
-    """One context per (application, input folder, parameters): the staged
-    frames are plans only, so every query of a session shares them."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), p)
+    """One context per application, state of the input files and parameters: the
+    staged frames are plans only, so every query of a session shares them."""
+    key = (spark.sparkContext.applicationId, ledger_signature(spark, sf_dir, p.as_of), p)
     if key not in _CONTEXTS:
         _CONTEXTS[key] = Ctx(spark, sf_dir, p)
     return _CONTEXTS[key]
 
 
+def materialise(spark: SparkSession, sf_dir: str, p: S.Params = PARAMS) -> None:
+    """Write the mapped ledger of ``sf_dir`` for the queries of this session and later ones to read."""
+    ctx = Ctx(spark, sf_dir, p, raw=materialise_ledger(spark, sf_dir, p.as_of))
+    _CONTEXTS[spark.sparkContext.applicationId, ledger_signature(spark, sf_dir, p.as_of), p] = ctx
+
+
 def to_output(df: DataFrame) -> DataFrame:
     """Decimals leave as doubles rounded at their scale (see ``money_out``)."""
     cols = []
@@ -88,38 +99,87 @@ def to_output(df: DataFrame) -> DataFrame:
 # -- raw ERP text derived from the mapped ledger (input of the decoders) -------------
 
 def erp_moves_text(raw_moves: DataFrame) -> DataFrame:
-    """The moves as the ERP exports them: text fields, ``[id, "name"]`` partners,
-    ``false`` for an empty date."""
-    def date_text(c: str):
-        return F.coalesce(F.col(c).cast("string"), F.lit("false"))
-
+    """The moves as the ERP exports them, with its irregularities spread over the
+    ids: text fields, ``false`` for an empty date, dates with a time of day or
+    without leading zeros, unreadable dates, ``[id, "name"]`` partners, one-item
+    lists and ``false`` for a missing partner."""
+    i, day = F.col("id"), F.col("invoice_date")
+    issued = (F.when(i % 4 == 1, F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
+              .when(i % 4 == 2, F.concat(day.cast("string"), F.lit("T10:00:00")))
+              .when(i % 4 == 3, F.date_format(day, "yyyy-M-d")).otherwise(day.cast("string")))
+    partner = (F.when(i % 7 == 0, F.concat(F.lit("["), i.cast("string"), F.lit("]")))
+               .when(i % 13 == 0, F.lit("false"))
+               .otherwise(F.concat(F.lit("["), i.cast("string"), F.lit(', "'), F.col("partner_name"), F.lit('"]'))))
     return raw_moves.select(
-        F.col("id").cast("string").alias("id"), "name", "move_type", "state",
-        date_text("invoice_date").alias("invoice_date"),
-        date_text("date_maturity").alias("invoice_date_due"),
+        i.cast("string").alias("id"), "name", "move_type", "state",
+        F.coalesce(issued, F.lit("false")).alias("invoice_date"),
+        F.when(i % 11 == 0, F.lit("n/a")).otherwise(F.coalesce(F.col("date_maturity").cast("string"), F.lit("false")))
+         .alias("invoice_date_due"),
         F.col("amount_total").cast("string").alias("amount_total"),
         F.col("amount_residual").cast("string").alias("amount_residual"),
-        F.when(F.col("partner_name").isNull(), F.lit("false"))
-         .otherwise(F.concat(F.lit("["), F.col("id").cast("string"), F.lit(', "'),
-                             F.col("partner_name"), F.lit('"]'))).alias("partner_id"),
-        date_text("payment_date").alias("payment_date"))
+        partner.alias("partner_id"),
+        F.coalesce(F.col("payment_date").cast("string"), F.lit("false")).alias("payment_date"))
+
+
+def erp_payments_text(raw_payments: DataFrame) -> DataFrame:
+    """Payments as exported; every fourth has no journal, every ninth a one-item list."""
+    i = F.col("id")
+    journal = (F.when(i % 4 == 0, F.lit("false")).when(i % 9 == 0, F.lit("[3]"))
+               .otherwise(F.concat(F.lit("[3, \"Banco "), (i % 3).cast("string"), F.lit('"]'))))
+    return raw_payments.select(
+        i.cast("string").alias("id"), F.col("date").cast("string").alias("date"),
+        F.col("amount").cast("string").alias("amount"), "payment_type", "state",
+        F.concat(F.lit('[9, "'), F.col("partner_name"), F.lit('"]')).alias("partner_id"), journal.alias("journal_id"))
 
 
 def erp_journals_text(raw_journals: DataFrame) -> DataFrame:
+    """Journals as exported; every second balance cannot be read."""
     return raw_journals.select(
         F.col("id").cast("string").alias("id"), "name", "type",
-        F.col("current_balance").cast("string").alias("current_balance"))
+        F.when(F.col("id") % 2 == 0, F.lit("abc")).otherwise(F.col("current_balance").cast("string"))
+         .alias("current_balance"))
+
+
+def _reloaded(c: Ctx, fmt: str) -> Ledger:
+    """The ledger written to the shared folder in ``fmt`` and loaded from there.
+
+    The csv copy has no payment date (an optional column) and names the
+    balance ``balance``; the Parquet copy is partitioned by period.
+    """
+    path = f"{shared_dir(c.spark)}/caudal/loads/{uuid.uuid4().hex}"
+    moves, payments, journals = c.raw.moves, c.raw.payments, c.raw.journals
+    if fmt == "erp-json":
+        frames = erp_moves_text(moves), erp_payments_text(payments), erp_journals_text(journals)
+    else:
+        moves = moves.select(*S.MOVES_SCHEMA.fieldNames(), *([S.INVOICE_PERIOD] if fmt == "parquet" else []))
+        payments = payments.select("id", "date", "amount", "payment_type", "state", "partner_name")
+        frames = moves.drop("payment_date") if fmt == "csv" else moves, payments, (
+            journals.withColumnRenamed("current_balance", "balance") if fmt == "csv" else journals)
+    for name, df in zip(("moves", "payments", "journals"), frames):
+        writer = df.write.option("header", "true")
+        if S.INVOICE_PERIOD in df.columns:
+            writer = writer.partitionBy(*S.LEDGER_PARTITIONS)
+        writer.format("json" if fmt == "erp-json" else fmt).save(f"{path}/{name}")
+    return L.load_ledger(c.spark, path, fmt)
+
+
+def _partner_lookup(c: Ctx) -> DataFrame:
+    """Orders that deliver a customer id only, named by a lookup that lacks every fifth customer."""
+    ids = table(c.spark, c.sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("partner_id"))
+    names = (table(c.spark, c.sf_dir, "customer").filter("c_custkey % 5 <> 0")
+             .select(F.col("c_custkey").alias("partner_id"), F.col("c_name").alias("partner_name")))
+    return L.attach_partner_names(ids, names).select("id", "partner_name")
 
 
 # -- the registry -------------------------------------------------------------------------
 
 Query = Callable[[SparkSession, str], DataFrame]
-_REGISTRY: dict[str, Callable[[Ctx], DataFrame]] = {}
+_REGISTRY: dict[str, tuple[Callable[[Ctx], DataFrame], S.Params]] = {}
 
 
-def _q(name: str):
+def _q(name: str, p: S.Params = PARAMS):
     def deco(fn: Callable[[Ctx], DataFrame]):
-        _REGISTRY[name] = fn
+        _REGISTRY[name] = fn, p
         return fn
     return deco
 
@@ -137,6 +197,14 @@ _q("lenient_dates")(lambda c: erp_moves_text(c.raw.moves).select(
     decode.lenient_date(F.col("invoice_date_due")).alias("date_maturity"),
     decode.lenient_date(F.col("payment_date")).alias("payment_date")))
 _q("lenient_balances")(lambda c: decode.decode_journals(erp_journals_text(c.raw.journals)))
+_q("journal_decode")(lambda c: L.payments_source(
+    decode.decode_payments(erp_payments_text(c.raw.payments)), c.p.as_of, c.p.lookback_days))
+_q("load_csv")(lambda c: _reloaded(c, "csv").moves)
+_q("load_json")(lambda c: _reloaded(c, "json").moves)
+_q("load_parquet")(lambda c: L.moves_source(_reloaded(c, "parquet").moves, c.p.as_of, c.p.lookback_days))
+_q("load_erp")(lambda c: _reloaded(c, "erp-json").moves)
+_q("partner_lookup")(_partner_lookup)
+_q("undated_documents")(lambda c: L.undated_documents(c.raw.moves))
 
 # staging
 _q("staging")(lambda c: c.staged)
@@ -146,65 +214,82 @@ _q("date_range")(lambda c: date_range(c.staged, RANGE_START, RANGE_END))
 
 # KPIs
 _q("dso")(lambda c: K.dso(c.staged))
-_q("dso_v")(lambda c: K.dso_v(c.moves_v, AS_OF))
-_q("dso_doc")(lambda c: K.dso_doc(c.staged, PARAMS.lookback_days))
-_q("burn_rate")(lambda c: K.burn_rate(c.staged, AS_OF, PARAMS.burn_months))
-_q("burn_rate_v")(lambda c: K.burn_rate_v(c.moves_v, AS_OF, PARAMS.burn_months))
-_q("burn_rate_doc")(lambda c: K.burn_rate_doc(c.main.payments, AS_OF, PARAMS.burn_months))
+_q("dso_v")(lambda c: K.dso_v(c.moves_v))
+_q("dso_doc")(lambda c: K.dso_doc(c.staged, c.p.lookback_days))
+_q("burn_rate")(lambda c: K.burn_rate(c.staged, c.p.as_of, c.p.burn_months))
+_q("burn_rate_v")(lambda c: K.burn_rate_v(c.moves_v, c.p.as_of, c.p.burn_months))
+_q("burn_rate_doc")(lambda c: K.burn_rate_doc(c.main.payments, c.p.as_of, c.p.burn_months))
 _q("liquid_balance")(lambda c: K.liquid_balance(c.main.journals))
 _q("total_cash_v")(lambda c: K.total_cash_v(c.raw.journals))
-_q("cash_runway")(lambda c: K.cash_runway(c.staged, c.main.journals, AS_OF))
-_q("cash_runway_v")(lambda c: K.cash_runway_v(c.moves_v, c.raw.journals, AS_OF))
-_q("liquidity_ratio")(lambda c: K.liquidity_ratio(c.staged, c.main.journals))
-_q("liquidity_ratio_v")(lambda c: K.liquidity_ratio_v(c.moves_v, c.raw.journals, AS_OF))
-_q("liquidity_ratio_doc")(lambda c: K.liquidity_ratio_doc(c.staged, c.main.journals, AS_OF))
+_q("cash_runway")(lambda c: K.cash_runway(c.staged, c.main.journals, c.p.as_of, months=c.p.burn_months))
+_q("cash_runway_v")(lambda c: K.cash_runway_v(c.moves_v, c.raw.journals, c.p.as_of, c.p.burn_months))
+_q("liquidity_ratio")(lambda c: K.liquidity_ratio(c.staged, c.main.journals, c.p.as_of))
+_q("liquidity_ratio_v")(lambda c: K.liquidity_ratio_v(c.moves_v, c.raw.journals, c.p.as_of))
+_q("liquidity_ratio_doc")(lambda c: K.liquidity_ratio_doc(c.staged, c.main.journals, c.p.as_of, c.p.burn_months))
 _q("collection_rate")(lambda c: K.collection_rate(c.staged))
-_q("collection_rate_doc")(lambda c: K.collection_rate_doc(c.staged, AS_OF))
+_q("collection_rate_doc")(lambda c: K.collection_rate_doc(c.staged, c.p.as_of))
 _q("exposure_totals")(lambda c: K.exposure_totals(c.staged))
-_q("exposure_totals_v")(lambda c: K.exposure_totals_v(c.moves_v, AS_OF))
-_q("kpi_bundle")(lambda c: K.kpi_bundle(c.staged, c.main.journals, AS_OF))
-_q("kpi_bundle_v")(lambda c: K.kpi_bundle_v(c.moves_v, c.raw.journals, AS_OF))
-_q("kpi_levels_v")(lambda c: K.kpi_levels_v(K.kpi_bundle_v(c.moves_v, c.raw.journals, AS_OF)))
+_q("exposure_totals_v")(lambda c: K.exposure_totals_v(c.moves_v, c.p.as_of))
+_q("kpi_bundle")(lambda c: K.kpi_bundle(c.staged, c.main.journals, c.p.as_of, c.p.burn_months))
+_q("kpi_bundle_at", EARLIER)(lambda c: K.kpi_bundle(c.staged, c.main.journals, c.p.as_of, c.p.burn_months))
+_q("kpi_bundle_v")(lambda c: K.kpi_bundle_v(c.moves_v, c.raw.journals, c.p.as_of, c.p.burn_months))
+_q("kpi_levels_v")(lambda c: K.kpi_levels_v(K.kpi_bundle_v(c.moves_v, c.raw.journals, c.p.as_of, c.p.burn_months)))
 
 # reports
 _q("aging_report")(lambda c: R.aging_report(c.staged))
-_q("overdue_aging_v")(lambda c: R.overdue_aging_v(c.staged_v))
-_q("monthly_comparison")(lambda c: R.monthly_comparison(c.staged, PARAMS.history_months))
-_q("monthly_comparison_v")(lambda c: R.monthly_comparison_v(c.staged_v, PARAMS.history_months))
-_q("monthly_net_cashflow")(lambda c: R.monthly_net_cashflow(c.staged, PARAMS.net_months))
+_q("aging_positions")(lambda c: R.aging_report(c.staged, position=True))
+_q("overdue_aging_v")(lambda c: R.overdue_aging_v(c.staged_v, c.p.as_of))
+_q("overdue_aging_v_period")(lambda c: R.overdue_aging_v(c.staged_v, c.p.as_of, RANGE_START, RANGE_END))
+_q("monthly_facts")(lambda c: R.monthly_facts(c.staged))
+_q("monthly_comparison")(lambda c: R.monthly_comparison(c.staged, c.p.history_months))
+_q("monthly_comparison_v")(lambda c: R.monthly_comparison_v(c.staged_v, c.p.history_months))
+_q("monthly_net_cashflow")(lambda c: R.monthly_net_cashflow(c.staged, c.p.net_months))
+_q("net_cashflow_empty", NO_MOVES)(lambda c: R.monthly_net_cashflow(c.staged, c.p.net_months))
 _q("waterfall_labels")(lambda c: R.waterfall_labels(R.monthly_net_cashflow(c.staged, 10)))
-_q("client_concentration")(lambda c: R.client_concentration(c.staged, PARAMS.top_clients))
+_q("client_concentration")(lambda c: R.client_concentration(c.staged, c.p.top_clients))
 _q("collections_velocity")(lambda c: R.collections_velocity(
-    c.staged, PARAMS.history_months, PARAMS.min_velocity_sample))
+    c.staged, c.p.history_months, c.p.min_velocity_sample))
 _q("journal_breakdown")(lambda c: R.journal_breakdown(c.main.journals))
 _q("grand_totals")(lambda c: R.grand_totals(c.staged, c.main.journals))
-_q("critical_invoices")(lambda c: R.critical_invoices(c.staged, PARAMS.top_critical))
+_q("critical_invoices")(lambda c: R.critical_invoices(c.staged, c.p.as_of, c.p.top_critical))
 _q("critical_invoices_display")(lambda c: R.critical_invoices_display(
-    R.critical_invoices(c.staged, PARAMS.top_critical)))
-_q("report_targets")(lambda c: R.report_targets(R.monthly_comparison(c.staged, PARAMS.history_months)))
+    R.critical_invoices(c.staged, c.p.as_of, c.p.top_critical)))
+_q("report_targets")(lambda c: R.collection_target(R.monthly_comparison(c.staged, c.p.history_months)))
+_q("velocity_targets")(lambda c: R.velocity_target(R.collections_velocity(
+    c.staged, c.p.history_months, c.p.min_velocity_sample)))
 
 # projection and what-if
-_q("cashflow_projection")(lambda c: P.cashflow_projection(c.spark, c.staged, c.main.journals, AS_OF))
-_q("cashflow_projection_v")(lambda c: P.cashflow_projection_v(c.spark, c.staged_v, c.raw.journals, AS_OF))
-_q("scenario_grid")(lambda c: P.scenario_grid(c.spark, c.staged, c.main.journals, AS_OF))
-_q("scenario_grid_v")(lambda c: P.scenario_grid_v(c.spark, c.staged_v, c.raw.journals, AS_OF))
-_q("whatif_runway")(lambda c: P.whatif_runway(c.spark, c.staged, c.main.journals, AS_OF))
-_q("min_collection_rate")(lambda c: P.min_collection_rate(c.spark, c.staged, c.main.journals, AS_OF))
-_q("projected_cash_doc")(lambda c: P.projected_cash_doc(c.spark, c.staged, c.main.journals, AS_OF))
+_q("cashflow_projection")(lambda c: P.cashflow_projection(c.spark, c.staged, c.main.journals, c.p.as_of,
+                                                          days=c.p.horizon_days))
+_q("cashflow_projection_v")(lambda c: P.cashflow_projection_v(c.spark, c.staged_v, c.raw.journals, c.p.as_of,
+                                                              days=c.p.horizon_days))
+_q("projection_mirrored")(lambda c: P.mirrored_outflow(build("cashflow_projection", c)))
+_q("projection_mirrored_v")(lambda c: P.mirrored_outflow(build("cashflow_projection_v", c), "outflow"))
+_q("scenario_grid")(lambda c: P.scenario_grid(c.spark, c.staged, c.main.journals, c.p.as_of, days=c.p.horizon_days))
+_q("scenario_grid_at", EARLIER)(lambda c: P.scenario_grid(c.spark, c.staged, c.main.journals, c.p.as_of,
+                                                          days=c.p.horizon_days))
+_q("scenario_grid_v")(lambda c: P.scenario_grid_v(c.spark, c.staged_v, c.raw.journals, c.p.as_of,
+                                                  days=c.p.horizon_days))
+_q("whatif_runway")(lambda c: P.whatif_runway(c.spark, c.staged, c.main.journals, c.p.as_of,
+                                              days=c.p.horizon_days, months=c.p.burn_months))
+_q("min_collection_rate")(lambda c: P.min_collection_rate(c.spark, c.staged, c.main.journals, c.p.as_of,
+                                                          days=c.p.horizon_days))
+_q("projected_cash_doc")(lambda c: P.projected_cash_doc(c.spark, c.staged, c.main.journals, c.p.as_of,
+                                                        days=c.p.horizon_days, months=c.p.burn_months))
 
 # alerts and display
-_q("alerts")(lambda c: A.alerts(K.kpi_bundle(c.staged, c.main.journals, AS_OF)))
-_q("critical_badge")(lambda c: A.critical_badge(R.critical_invoices(c.staged, PARAMS.top_critical)))
-_q("kpi_display")(lambda c: A.kpi_display(K.kpi_bundle(c.staged, c.main.journals, AS_OF)))
+_q("alerts")(lambda c: A.alerts(build("kpi_bundle", c)))
+_q("critical_badge")(lambda c: A.critical_badge(build("critical_invoices", c)))
+_q("kpi_display")(lambda c: A.kpi_display(build("kpi_bundle", c)))
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_output(_REGISTRY[name](context(spark, sf_dir)))
+    return build(name, context(spark, sf_dir, _REGISTRY[name][1]))
 
 
 def build(name: str, ctx: Ctx) -> DataFrame:
-    """A registered operator over an arbitrary context (e.g. a loaded ledger)."""
-    return to_output(_REGISTRY[name](ctx))
+    """A registered operator over an arbitrary context (e.g. a loaded ledger), at the context's parameters."""
+    return to_output(_REGISTRY[name][0](ctx))
 
 
 def names() -> list[str]:
@@ -213,6 +298,7 @@ def names() -> list[str]:
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: (lambda s, d, _n=name: run(_n, s, d)) for name in _REGISTRY}
-    from caudal.streaming.refresh import refresh_stream_query
-    out["refresh_stream"] = refresh_stream_query
+    from caudal.streaming.refresh import STREAM_REPORTS, refresh_stream_query
+    for key, report in STREAM_REPORTS.items():
+        out[key] = lambda s, d, _r=report: refresh_stream_query(s, d, _r)
     return out

@@ -13,7 +13,10 @@ from datetime import date, timedelta
 
 from caudal import schema as S
 
-AS_OF = S.Params().as_of
+# The dates the registered queries run at (fixed independently of the engine's registry).
+PARAMS = S.Params(as_of=date(2001, 8, 1))
+EARLIER = S.Params(as_of=date(2001, 5, 1))
+NO_MOVES = S.Params(as_of=date(2030, 1, 1))
 
 
 def _d(d: date) -> str:
@@ -32,7 +35,7 @@ def _labels(values: tuple[str, ...]) -> list[str]:
     return ["'" + v.replace("'", "''") + "'" for v in values]
 
 
-def _prefix(p: S.Params = S.Params()) -> str:
+def _prefix(p: S.Params) -> str:
     as_of = p.as_of
     cut = as_of - timedelta(days=p.lookback_days)
     end = as_of + timedelta(days=p.horizon_days)
@@ -49,27 +52,25 @@ moves_raw AS (
     cast(o_orderdate AS date) + cast(CASE WHEN o_orderpriority = '1-URGENT' THEN 30 WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 45 ELSE 60 END AS int) AS date_maturity,
     cast(o_totalprice AS decimal(18,2)) AS amount_total,
     CASE o_orderstatus WHEN 'F' THEN cast(0 AS decimal(18,2)) WHEN 'O' THEN cast(o_totalprice AS decimal(18,2)) ELSE cast(cast(o_totalprice AS decimal(18,2)) * cast(0.50 AS decimal(3,2)) AS decimal(18,2)) END AS amount_residual,
-    c_name AS partner_name,
+    coalesce(c_name, 'Sin partner') AS partner_name,
     CASE WHEN o_orderstatus = 'F' THEN cast(o_orderdate AS date) + cast(5 + o_orderkey % 60 AS int) END AS payment_date
-  FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE cast(o_orderdate AS date) <= {_d(as_of)}
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey
   UNION ALL
   SELECT (l_suppkey * 100000000 + year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate)) * 10 + CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END,
     concat('BILL/', cast(year(l_shipdate) AS string), '/', lpad(cast(l_suppkey AS string), 7, '0'), '/', l_linestatus),
     'in_invoice', 'posted', cast(l_shipdate AS date), cast(l_shipdate AS date) + 30,
     cast(sum(cast(cast(l_extendedprice AS decimal(12,2)) * (cast(1 AS decimal(4,2)) - cast(l_discount AS decimal(4,2))) AS decimal(18,2))) AS decimal(18,2)),
     CASE WHEN l_linestatus = 'F' THEN cast(0 AS decimal(18,2)) ELSE cast(cast(sum(cast(cast(l_extendedprice AS decimal(12,2)) * (cast(1 AS decimal(4,2)) - cast(l_discount AS decimal(4,2))) AS decimal(18,2))) AS decimal(18,2)) * cast(0.40 AS decimal(3,2)) AS decimal(18,2)) END,
-    s_name,
+    coalesce(s_name, 'Sin partner'),
     CASE WHEN l_linestatus = 'F' THEN cast(l_shipdate AS date) + 20 END
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-  WHERE cast(l_shipdate AS date) <= {_d(as_of)}
+  FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey
   GROUP BY l_suppkey, s_name, l_shipdate, l_linestatus
 ),
 payments_raw AS (
   SELECT id, payment_date AS date, amount_total AS amount,
     CASE WHEN move_type = 'out_invoice' THEN 'inbound' ELSE 'outbound' END AS payment_type,
     'posted' AS state, partner_name
-  FROM moves_raw WHERE payment_date <= {_d(as_of)}
+  FROM moves_raw WHERE payment_date IS NOT NULL
 ),
 journals_raw AS (
   SELECT CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 WHEN 'HOUSEHOLD' THEN 3 WHEN 'AUTOMOBILE' THEN 4 ELSE 5 END AS BIGINT) AS id,
@@ -250,20 +251,20 @@ def _scenarios(lo: int, hi: int, step: int) -> str:
 )"""
 
 
-def _grid_rows(lo: int, hi: int, step: int, days: int, name: str) -> str:
+def _grid_rows(lo: int, hi: int, step: int, days: int, name: str, as_of: date) -> str:
     """Scenario x day rows from one range: row i is scenario i // days on day i % days."""
     n = len(range(lo, hi, step))
     return (f"SELECT CAST({lo} + (i // {days}) * {step} AS INTEGER) AS {name}, "
-            f"CAST({_d(AS_OF)} + CAST(i % {days} AS INTEGER) AS DATE) AS fecha FROM range({n * days}) t(i)")
+            f"CAST({_d(as_of)} + CAST(i % {days} AS INTEGER) AS DATE) AS fecha FROM range({n * days}) t(i)")
 
 
-def _grid(lo: int, hi: int, step: int, days: int = 90) -> str:
+def _grid(lo: int, hi: int, step: int, days: int = 90, as_of: date = PARAMS.as_of) -> str:
     run = "OVER (PARTITION BY pct ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"""grid AS (
   SELECT g.pct, g.fecha, {_factors('g.pct')}, (SELECT saldo FROM bal) AS opening,
     coalesce(d.base_in, CAST(0 AS DECIMAL(18,2))) AS bi,
     coalesce(d.base_out, CAST(0 AS DECIMAL(18,2))) AS bo
-  FROM ({_grid_rows(lo, hi, step, days, 'pct')}) g LEFT JOIN daily d ON d.fecha = g.fecha
+  FROM ({_grid_rows(lo, hi, step, days, 'pct', as_of)}) g LEFT JOIN daily d ON d.fecha = g.fecha
   WHERE EXISTS (SELECT 1 FROM staging)
 ),
 proj AS (
@@ -288,7 +289,7 @@ def _grid_v(lo: int, hi: int, step: int, days: int = 90) -> str:
   SELECT g.impayment_pct, g.fecha, (SELECT liquido FROM cash_all) AS opening,
     coalesce(d.base_in, CAST(0 AS DECIMAL(18,2))) * {keep} AS inflow,
     coalesce(d.base_out, CAST(0 AS DECIMAL(18,2))) AS outflow
-  FROM ({_grid_rows(lo, hi, step, days, 'impayment_pct')}) g LEFT JOIN daily_v d ON d.fecha = g.fecha
+  FROM ({_grid_rows(lo, hi, step, days, 'impayment_pct', PARAMS.as_of)}) g LEFT JOIN daily_v d ON d.fecha = g.fecha
 ),
 proj_v AS (
   SELECT impayment_pct, fecha AS date, inflow, outflow, opening + sum(inflow - outflow) {run} AS balance FROM grid_v
@@ -338,8 +339,8 @@ shown AS (
 net AS (
   SELECT month, {money('i')} AS ingresos, {money('e')} AS egresos, {money('n')} AS neto, month_dt, tipo FROM shown
   UNION ALL
-  SELECT 'Total', {money('coalesce(sum(i), 0)')}, {money('coalesce(sum(e), 0)')}, {money('coalesce(sum(n), 0)')},
-    CAST(max(month_dt) + INTERVAL 1 MONTH AS DATE), 'total' FROM shown
+  SELECT 'Total', {money('sum(i)')}, {money('sum(e)')}, {money('sum(n)')},
+    CAST(max(month_dt) + INTERVAL 1 MONTH AS DATE), 'total' FROM shown HAVING count(*) > 0
 )"""
 
 
@@ -366,23 +367,12 @@ SELECT tramo_aging AS tramo, {money('m')} AS monto, CAST(facturas AS BIGINT) AS
 FROM g"""
 
 
-def _erp_moves() -> str:
-    return """erp AS (
-  SELECT CAST(id AS VARCHAR) AS id,
-    coalesce(CAST(invoice_date AS VARCHAR), 'false') AS invoice_date,
-    coalesce(CAST(date_maturity AS VARCHAR), 'false') AS invoice_date_due,
-    coalesce(CAST(payment_date AS VARCHAR), 'false') AS payment_date,
-    CASE WHEN partner_name IS NULL THEN 'false' ELSE '[' || CAST(id AS VARCHAR) || ', "' || partner_name || '"]' END AS partner_id
-  FROM moves_raw
-)"""
-
-
-def _with(*ctes: str) -> str:
-    return "WITH " + ",\n".join([_prefix().strip()] + [c.strip() for c in ctes])
+def _with(*ctes: str, p: S.Params = PARAMS) -> str:
+    return "WITH " + ",\n".join([_prefix(p).strip()] + [c.strip() for c in ctes])
 
 
 def oracle_sql() -> dict[str, str]:
-    p = S.Params()
+    p = PARAMS
     o = _labels(S.OVERDUE_LABELS)
     days = "days_overdue"
     grid = (range(0, 101, 5), range(0, 51, 5))
@@ -395,17 +385,30 @@ SELECT id, name, move_type, state, invoice_date, date_maturity, {money('amount_t
 SELECT id, date, {money('amount')} AS amount, payment_type, state, partner_name, journal_tipo FROM payments"""
     q["journals_source"] = _with() + f"""
 SELECT id, name, type, {money('current_balance')} AS current_balance FROM journals"""
-    q["many2one_partner"] = _with(_erp_moves()) + """
-SELECT CAST(id AS BIGINT) AS id,
-  coalesce(CASE WHEN json_array_length(partner_id) >= 2 THEN json_extract_string(partner_id, '$[1]') END, 'Sin partner') AS partner_name
-FROM erp"""
-    q["lenient_dates"] = _with(_erp_moves()) + """
-SELECT CAST(id AS BIGINT) AS id, TRY_CAST(invoice_date AS DATE) AS invoice_date,
-  TRY_CAST(invoice_date_due AS DATE) AS date_maturity, TRY_CAST(payment_date AS DATE) AS payment_date FROM erp"""
+    # What the irregular text of the export must be read as.
+    named = "CASE WHEN id % 7 = 0 OR id % 13 = 0 THEN 'Sin partner' ELSE partner_name END"
+    due = "CASE WHEN id % 11 = 0 THEN NULL ELSE date_maturity END"
+    moves_cols = (f"id, name, move_type, state, invoice_date, {{due}} AS date_maturity, {money('amount_total')} AS amount_total, "
+                  f"{money('amount_residual')} AS amount_residual, {{partner}} AS partner_name, {{paid}} AS payment_date")
+    plain = moves_cols.format(due="date_maturity", partner="partner_name", paid="payment_date")
+    q["many2one_partner"] = _with() + f"\nSELECT id, {named} AS partner_name FROM moves_raw"
+    q["lenient_dates"] = _with() + f"\nSELECT id, invoice_date, {due} AS date_maturity, payment_date FROM moves_raw"
     q["lenient_balances"] = _with() + f"""
-SELECT id, name, type,
-  {money("coalesce(TRY_CAST(CAST(current_balance AS VARCHAR) AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2)))")} AS current_balance
-FROM journals_raw"""
+SELECT id, name, type, CASE WHEN id % 2 = 0 THEN 0.0 ELSE {money('current_balance')} END AS current_balance FROM journals_raw"""
+    q["journal_decode"] = _with() + f"""
+SELECT id, date, {money('amount')} AS amount, payment_type, state, partner_name,
+  CASE WHEN id % 4 = 0 OR id % 9 = 0 THEN 'desconocido' ELSE 'Banco ' || CAST(id % 3 AS VARCHAR) END AS journal_tipo
+FROM payments"""
+    q["load_json"] = _with() + f"\nSELECT {plain} FROM moves_raw"
+    q["load_csv"] = _with() + "\nSELECT " + moves_cols.format(
+        due="date_maturity", partner="partner_name", paid="CAST(NULL AS DATE)") + " FROM moves_raw"
+    q["load_erp"] = _with() + f"\nSELECT {moves_cols.format(due=due, partner=named, paid='payment_date')} FROM moves_raw"
+    q["load_parquet"] = q["moves_source"]
+    q["partner_lookup"] = """
+SELECT o_orderkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN c_name ELSE 'Sin partner' END AS partner_name
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
+    q["undated_documents"] = _with() + """
+SELECT move_type, CAST(count(*) AS BIGINT) AS n_undated FROM moves_raw WHERE invoice_date IS NULL GROUP BY move_type"""
 
     q["staging"] = _with() + f"\nSELECT {_STAGING_COLS} FROM staging"
     q["staging_v"] = _with() + f"""
@@ -448,6 +451,7 @@ FROM staging WHERE invoice_date >= {_d(cr_cut)}"""
     q["kpi_bundle"] = _with() + """
 SELECT dso, burn_rate, cash_runway, saldo_liquido, liquidity_ratio, collection_rate, total_cxc, cxc_vencida,
   n_criticas, color_dso, color_runway, color_liq, color_tasa FROM bundle_c"""
+    q["kpi_bundle_at"] = q["kpi_bundle"].replace(_with(), _with(p=EARLIER))
     q["kpi_bundle_v"] = _with() + """
 SELECT dso, burn_rate, cash_runway, liquidity_ratio, total_cash, total_ar, overdue_ar FROM bundle_v"""
     q["kpi_levels_v"] = _with() + """
@@ -457,20 +461,31 @@ SELECT CASE WHEN cash_runway > 6 THEN 'success' WHEN cash_runway > 3 THEN 'warni
 FROM bundle_v"""
 
     q["aging_report"] = _with(_aging().split("\nSELECT")[0]) + "\nSELECT" + _aging().split("\nSELECT", 1)[1]
+    q["aging_positions"] = q["aging_report"].replace(
+        "SELECT tramo_aging AS tramo", "SELECT tramo_orden AS posicion, tramo_aging AS tramo")
     q["refresh_stream"] = q["aging_report"]
+    q["refresh_stream_kpis"] = q["kpi_bundle"]
     q["overdue_aging_v"] = _with(f"""ov AS (
   SELECT CASE WHEN {days} <= 0 THEN NULL WHEN {days} <= 30 THEN {o[0]} WHEN {days} <= 60 THEN {o[1]}
               WHEN {days} <= 90 THEN {o[2]} WHEN {days} > 90 THEN {o[3]} END AS tramo, amount_residual
   FROM staging_v WHERE move_type = 'out_invoice' AND is_overdue
 )""") + f"""
 SELECT tramo, {money('sum(amount_residual)')} AS amount_residual FROM ov WHERE tramo IS NOT NULL GROUP BY tramo"""
+    q["overdue_aging_v_period"] = q["overdue_aging_v"].replace(
+        "AND is_overdue\n", "AND is_overdue AND invoice_date BETWEEN DATE '2001-05-01' AND DATE '2001-07-31'\n")
+    q["monthly_facts"] = _with() + f"""
+SELECT month, move_type, {money('sum(amount_total)')} AS total, {money('sum(collected_amt)')} AS collected,
+  CAST(count(id) AS BIGINT) AS n, CAST(sum(CASE WHEN is_collected THEN 1 ELSE 0 END) AS BIGINT) AS n_closed,
+  avg(CASE WHEN is_collected THEN dias END) AS mean_days
+FROM staging GROUP BY month, move_type"""
     mc = _monthly("staging", p.history_months, ("facturado", "cobrado", "n_facturas", "tasa_cobro"), True)
     q["monthly_comparison"] = _with(mc.split("\nSELECT")[0]) + "\nSELECT" + mc.split("\nSELECT", 1)[1]
     q["report_targets"] = q["monthly_comparison"].replace(
-        "AS month_dt FROM m", "AS month_dt, CAST(80.0 AS DOUBLE) AS meta_cobro, CAST(45.0 AS DOUBLE) AS umbral_dso FROM m")
+        "AS month_dt FROM m", "AS month_dt, CAST(80.0 AS DOUBLE) AS meta_cobro FROM m")
     mv = _monthly("staging_v", p.history_months, ("invoiced", "collected", "count", "collection_rate"), False)
     q["monthly_comparison_v"] = _with(mv.split("\nSELECT")[0]) + "\nSELECT" + mv.split("\nSELECT", 1)[1]
     q["monthly_net_cashflow"] = _with(_net(p.net_months)) + "\nSELECT * FROM net"
+    q["net_cashflow_empty"] = _with(_net(p.net_months), p=NO_MOVES) + "\nSELECT * FROM net"
     q["waterfall_labels"] = _with(_net(10)) + """
 SELECT *, CASE WHEN tipo = 'relative' THEN strftime(month_dt, '%b %y') ELSE 'Total' END AS etiqueta FROM net"""
     q["client_concentration"] = _with(f"""per AS (
@@ -482,6 +497,7 @@ tot AS (SELECT sum(m) AS total FROM per),
 oth AS (SELECT 'Otros' AS partner_name, total - (SELECT coalesce(sum(m), 0) FROM top) AS m FROM tot),
 rowsx AS (SELECT * FROM top UNION ALL SELECT * FROM oth WHERE m > 0)""") + f"""
 SELECT partner_name AS cliente, {money('m')} AS monto, {share('m', '(SELECT total FROM tot)')} AS porcentaje FROM rowsx"""
+    q["refresh_stream_concentration"] = q["client_concentration"]
     q["collections_velocity"] = _with(f"""g AS (
   SELECT month, avg(dias) AS d, count(id) AS n FROM staging
   WHERE move_type = 'out_invoice' AND is_collected GROUP BY month HAVING count(id) >= {p.min_velocity_sample}
@@ -490,6 +506,8 @@ SELECT partner_name AS cliente, {money('m')} AS monto, {share('m', '(SELECT tota
 h AS (SELECT month, round_even(d, 1) AS dso_mes, CAST(n AS BIGINT) AS n_fact, CAST(month || '-01' AS DATE) AS month_dt FROM g)""") + """
 SELECT month, dso_mes, n_fact, month_dt,
   round_even(avg(dso_mes) OVER (ORDER BY month_dt ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 1) AS dso_ma3 FROM h"""
+    q["velocity_targets"] = q["collections_velocity"].replace(
+        "AS dso_ma3 FROM h", "AS dso_ma3, CAST(45.0 AS DOUBLE) AS umbral_dso FROM h")
     q["journal_breakdown"] = _with() + f"""
 SELECT name, type, {money('current_balance')} AS current_balance FROM journals WHERE type IN ('bank', 'cash')"""
     q["critical_invoices"] = _with(_critical(p.top_critical)) + "\nSELECT * FROM crit"
@@ -508,6 +526,9 @@ SELECT name AS "{h['name']}", partner_name AS "{h['partner_name']}", invoice_dat
 
     g, gv = grid
     q["cashflow_projection"] = _with(_grid(100, 101, 1)) + f"\nSELECT {_proj_cols()} FROM proj"
+    q["projection_mirrored"] = f"SELECT *, CASE WHEN egreso = 0 THEN 0.0 ELSE -egreso END AS egreso_neg FROM ({q['cashflow_projection']}) x"
+    q["scenario_grid_at"] = _with(_grid(g.start, g.stop, g.step, as_of=EARLIER.as_of), p=EARLIER) + \
+        f"\nSELECT pct, {_proj_cols()} FROM proj"
     q["scenario_grid"] = _with(_grid(g.start, g.stop, g.step)) + f"\nSELECT pct, {_proj_cols()} FROM proj"
     q["whatif_runway"] = _with(_scenarios(g.start, g.stop, g.step), f"""net AS (
   SELECT coalesce(sum(base_in), 0) AS tin, coalesce(sum(base_out), 0) AS tout FROM daily
@@ -537,6 +558,7 @@ FROM per"""
 SELECT s.pct, {money(f"(SELECT saldo FROM bal) + (SELECT cxc FROM recv) * s.c - CAST((SELECT burn_rate FROM burn) AS DECIMAL(18,2)) * CAST({p.horizon_days / 30:.6f} AS DECIMAL(10,6))", 6)} AS caja_proyectada
 FROM scen s"""
     q["cashflow_projection_v"] = _with(_grid_v(0, 1, 1)) + f"\nSELECT {_PROJ_V_COLS} FROM proj_v"
+    q["projection_mirrored_v"] = f"SELECT *, CASE WHEN outflow = 0 THEN 0.0 ELSE -outflow END AS outflow_neg FROM ({q['cashflow_projection_v']}) x"
     q["scenario_grid_v"] = _with(_grid_v(gv.start, gv.stop, gv.step)) + \
         f"\nSELECT impayment_pct, {_PROJ_V_COLS} FROM proj_v"
 

@@ -61,6 +61,10 @@ RAW_MOVES_SCHEMA = T.StructType([
         "id", "name", "move_type", "state", "invoice_date", "invoice_date_due",
         "amount_total", "amount_residual", "partner_id", "payment_date")
 ])
+RAW_PAYMENTS_SCHEMA = T.StructType([
+    T.StructField(f, T.StringType(), True) for f in (
+        "id", "date", "amount", "payment_type", "state", "partner_id", "journal_id")
+])
 RAW_JOURNALS_SCHEMA = T.StructType([
     T.StructField(f, T.StringType(), True) for f in ("id", "name", "type", "current_balance")
 ])
@@ -119,7 +123,17 @@ CRITICAL_TABLE_HEADERS = {
     "nivel_riesgo": "Riesgo",
 }
 
-# Targets drawn with two reports.
+KPI_DAYS = "{x} días"
+KPI_PER_MONTH = "{x}/m"
+KPI_MONTHS = "{x} m"
+KPI_TIMES = "{x}×"
+KPI_PERCENT = "{x}%"
+KPI_INFINITE = "∞"
+KPI_LIQUIDITY_CAP = ">90×"
+RUNWAY_CRITICAL = "CRÍTICO"
+RUNWAY_OK = "OK"
+
+# Targets drawn with two reports: the first with the monthly one, the second with the velocity.
 COLLECTION_TARGET_PCT = 80.0
 DSO_TARGET_DAYS = 45.0
 
@@ -158,9 +172,9 @@ class ThresholdsV:
 
 @dataclass(frozen=True)
 class Params:
-    """Run parameters; ``as_of`` replaces the reference's frozen clock."""
+    """Run parameters; ``as_of`` replaces the reference's frozen clock and is always given."""
 
-    as_of: date = date(2001, 8, 1)
+    as_of: date
     lookback_days: int = 365
     horizon_days: int = 90
     burn_months: int = 3

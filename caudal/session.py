@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,27 +47,23 @@ def build_session(master: str | None = None, app: str = "caudal",
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares for checkpoints and derived tables.
 
-    Read from ``spark.checkpoint.dir`` (or a directory already set on the
-    context). Only a local session without one gets a private folder; a
-    cluster session without one is an error, because a machine-local folder
-    would not survive the loss of the executor that wrote it.
+    Read from ``spark.checkpoint.dir``, or the directory already set on the
+    context. Where neither is set, a local session (tests, where driver and
+    executors are one process) gets a folder of its own; any other session is
+    an error, because a machine-local folder would not survive the loss of the
+    executor that wrote it. Checkpoints are pointed to the folder if the
+    context has none yet.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
+    current = spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or current
+    if not folder:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
-        d = tempfile.mkdtemp(prefix="caudal-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
-    else:
-        try:
-            if not spark.sparkContext.getCheckpointDir():
-                spark.sparkContext.setCheckpointDir(d)
-        except Exception:  # pragma: no cover - read-only contexts
-            pass
-    return d.rstrip("/")
+        folder = tempfile.mkdtemp(prefix="caudal-ckpt-")
+    if not current:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -77,11 +75,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def input_signature(spark: SparkSession, path: str) -> str:
-    """Cheap change detector for an input file or folder: total length, file
-    count and modification time, from one metadata call each."""
+    """Change detector for an input file or folder: path, length and time of
+    every file, by one listing call per folder."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    summary = fs.getContentSummary(p)
-    status = fs.getFileStatus(p)
-    return f"{path}:{summary.getLength()}:{summary.getFileCount()}:{status.getModificationTime()}"
+    digest, folders = hashlib.sha1(), [p]
+    while folders:
+        listing = jvm.scala.runtime.ScalaRunTime.stringOf(fs.listStatus(folders.pop()))
+        for status in sorted(listing.split("FileStatus{")[1:]):
+            field = dict(x.split("=", 1) for x in status.split("; ") if "=" in x)
+            if field.get("isDirectory") == "true":
+                folders.append(jvm.org.apache.hadoop.fs.Path(field["path"]))
+            else:
+                digest.update(f"{field['path']}|{field['length']}|{field['modification_time']}\n".encode())
+    return digest.hexdigest()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,21 +39,24 @@ def _since(moves: DataFrame, cutoff: date) -> DataFrame:
     return df
 
 
-def moves_source(moves: DataFrame, as_of: date, lookback_days: int = 365,
-                 limit: int | None = None) -> DataFrame:
-    """Posted customer invoices and vendor bills issued in the look-back window.
+def moves_source(moves: DataFrame, as_of: date, lookback_days: int = 365) -> DataFrame:
+    """Posted customer invoices and vendor bills issued in the look-back window."""
+    cutoff = as_of - timedelta(days=lookback_days)
+    return (_since(moves, cutoff)
+            .filter(F.col("move_type").isin(S.OUT_INVOICE, S.IN_INVOICE)
+                    & (F.col("state") == S.POSTED))
+            .select(*MOVE_COLUMNS))
+
+
+def undated_documents(moves: DataFrame) -> DataFrame:
+    """How many documents no report can show, for want of an invoice date, by type.
 
-    ``limit`` reproduces the source's optional row cap; it is off by default
-    because a cap silently truncates every report.
+    Counted on the ledger itself, before any window: the window drops these
+    rows. The null test reaches the scan, so only their partition (or row
+    groups) is read.
     """
-    cutoff = as_of - timedelta(days=lookback_days)
-    df = (_since(moves, cutoff)
-          .filter(F.col("move_type").isin(S.OUT_INVOICE, S.IN_INVOICE)
-                  & (F.col("state") == S.POSTED))
-          .select(*MOVE_COLUMNS))
-    if limit is not None:
-        df = df.orderBy("id").limit(limit)
-    return df
+    return (moves.filter(F.col("invoice_date").isNull()).groupBy("move_type")
+            .agg(F.count(F.lit(1)).alias("n_undated")))
 
 
 def payments_source(payments: DataFrame, as_of: date, lookback_days: int = 365) -> DataFrame:
@@ -119,20 +122,32 @@ def normalize_journals(journals: DataFrame) -> DataFrame:
     return journals
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+PERIODS = (S.INVOICE_PERIOD, S.PAYMENT_PERIOD)
+
+
+def conform(df: DataFrame, schema: T.StructType, check_nulls: bool = False) -> DataFrame:
     """Validate ``df`` against ``schema`` once, on ingest.
 
     A missing nullable column is added as a typed null (the reference skips a
     report or a column when an optional field is absent); a missing required
-    column is an error. Every column is cast to its schema type, in schema order.
+    column is an error. Every column is cast to its schema type, in schema
+    order; a period column the files are partitioned by is kept behind them,
+    so the look-back window still prunes folders. With ``check_nulls`` a null
+    in a required column fails the job (text formats; a Parquet column keeps
+    its plain form, which filters can be pushed through).
     """
     have = set(df.columns)
     missing = [f.name for f in schema.fields if f.name not in have and not f.nullable]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
-    return df.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema.fields])
+
+    def column(f: T.StructField) -> Column:
+        value = (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType)
+        if check_nulls and not f.nullable:
+            value = F.coalesce(value, F.raise_error(F.lit(f"missing value in required column {f.name}")).cast(f.dataType))
+        return value.alias(f.name)
+
+    return df.select(*map(column, schema.fields), *[F.col(c).cast("string").alias(c) for c in PERIODS if c in have])
 
 
 def load_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> Ledger:
@@ -140,25 +155,37 @@ def load_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> Ledger:
 
     ``fmt`` is any Spark batch format (parquet, json, csv, orc). JSON exports
     of the ERP (text fields, ``[id, "name"]`` many-to-one values) are decoded
-    with :mod:`caudal.sources.decode` when ``fmt == "erp-json"``.
+    with :mod:`caudal.sources.decode` when ``fmt == "erp-json"``. Text formats
+    are read with ``FAILFAST``: a malformed row fails the load.
     """
+    strict = {"mode": "FAILFAST"}
     if fmt == "erp-json":
-        moves = decode.decode_moves(spark.read.schema(S.RAW_MOVES_SCHEMA).json(f"{path}/moves"))
-        journals = decode.decode_journals(spark.read.schema(S.RAW_JOURNALS_SCHEMA).json(f"{path}/journals"))
-        payments = spark.read.schema(S.PAYMENTS_SCHEMA).json(f"{path}/payments")
-        return Ledger(moves, payments, journals)
-    opts = {"header": "true"} if fmt == "csv" else {}
+        def raw(name: str, schema: T.StructType) -> DataFrame:
+            return spark.read.options(**strict).schema(schema).json(f"{path}/{name}")
+        return Ledger(decode.decode_moves(raw("moves", S.RAW_MOVES_SCHEMA)),
+                      decode.decode_payments(raw("payments", S.RAW_PAYMENTS_SCHEMA)),
+                      decode.decode_journals(raw("journals", S.RAW_JOURNALS_SCHEMA)))
+    text = fmt in ("csv", "json")
+    opts = {**(strict if text else {}), **({"header": "true"} if fmt == "csv" else {})}
 
     def read(name: str, schema: T.StructType) -> DataFrame:
-        df = spark.read.format(fmt).options(**opts)
-        if fmt in ("csv", "json"):
-            df = df.schema(schema)  # text formats: no inference pass
-        return conform(df.load(f"{path}/{name}"), schema)
+        reader = spark.read.format(fmt).options(**opts)
+        if not text:
+            return conform(reader.load(f"{path}/{name}"), schema)
+        # No inference pass; the columns a file lacks come from its header (csv) or are null (json).
+        names = reader.load(f"{path}/{name}").columns if fmt == "csv" else schema.fieldNames()
+        kinds = T.StructType([T.StructField(n, schema[n].dataType if n in schema.fieldNames() else T.StringType())
+                              for n in names])
+        return conform(reader.schema(kinds).load(f"{path}/{name}"), schema, check_nulls=True)
 
     def read_journals() -> DataFrame:
-        df = spark.read.format(fmt).options(**opts)
-        if fmt in ("csv", "json"):
-            df = df.option("inferSchema", "false")
-        return conform(normalize_journals(df.load(f"{path}/journals")), S.JOURNALS_SCHEMA)
+        reader = spark.read.format(fmt).options(**opts)
+        if fmt == "json":
+            fields = [*S.JOURNALS_SCHEMA.fields, T.StructField("balance", S.MONEY)]
+            df = reader.schema(T.StructType(fields)).load(f"{path}/journals")
+            df = df.withColumn("current_balance", F.coalesce("current_balance", "balance")).drop("balance")
+        else:
+            df = normalize_journals(reader.load(f"{path}/journals"))
+        return conform(df, S.JOURNALS_SCHEMA, check_nulls=text)
 
     return Ledger(read("moves", S.MOVES_SCHEMA), read("payments", S.PAYMENTS_SCHEMA), read_journals())

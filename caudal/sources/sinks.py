@@ -1,8 +1,8 @@
 """Report sink: every refresh writes each report under its as-of date.
 
-Dynamic partition overwrite replaces only the ``as_of=...`` partition being
-written, so re-running a refresh (a retried micro-batch, a restarted job) is
-idempotent and earlier dates stay readable.
+A write replaces the folder of its date and nothing else, also when the report
+has become empty, so re-running a refresh (a retried micro-batch, a restarted
+job) is idempotent and earlier dates stay readable.
 """
 
 from __future__ import annotations
@@ -11,41 +11,42 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from caudal.functions.columns import lit_date
 
+def _folder(path: str, as_of: date) -> str:
+    return f"{path}/as_of={as_of.isoformat()}"
 
-def write_report(df: DataFrame, path: str, as_of: date) -> None:
-    (df.withColumn("as_of", lit_date(as_of))
-     # One file per report and date. A shuffle of the finished rows, so the
-     # stages that compute the report keep their parallelism (a coalesce
-     # would pull them into a single task).
-     .repartition(1)
-     .write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .partitionBy("as_of")
-     .parquet(path))
+
+def write_report(df: DataFrame, path: str, as_of: date, one_file: bool = True,
+                 partitions: tuple[str, ...] = ()) -> None:
+    """``one_file`` is for reports of bounded size: a shuffle of the finished
+    rows into one file, so the stages that compute the report keep their
+    parallelism. Tables that grow with the ledger are written as they come,
+    under ``partitions`` below the date."""
+    if one_file:
+        df = df.repartition(1)
+    elif partitions:
+        df = df.hint("rebalance", *partitions)
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(_folder(path, as_of))
 
 
 def write_reports(reports: dict[str, DataFrame], path: str, as_of: date,
                   parallel: int = 4) -> None:
-    """Write every report; independent reports run as concurrent Spark jobs.
+    """Write every (bounded) report; independent reports run as concurrent Spark jobs.
 
     Each report is a small job of a few short stages, so submitting them
     from a few driver threads keeps the executors busy instead of waiting
     on one job's tail at a time. Any failure is raised after all finished.
     """
-    if parallel <= 1 or len(reports) <= 1:
-        for name, df in reports.items():
-            write_report(df, f"{path}/{name}", as_of)
-        return
     with ThreadPoolExecutor(max_workers=parallel, thread_name_prefix="caudal-report") as pool:
         futures = [pool.submit(write_report, df, f"{path}/{name}", as_of) for name, df in reports.items()]
         for f in futures:
             f.result()
 
 
-def read_report(spark: SparkSession, path: str, name: str, as_of: date) -> DataFrame:
-    return (spark.read.parquet(f"{path}/{name}")
-            .filter(F.col("as_of") == lit_date(as_of)).drop("as_of"))
+def read_report(spark: SparkSession, path: str, name: str, as_of: date,
+                schema: T.StructType | None = None) -> DataFrame:
+    """A report of one date; with its ``schema`` no footer is read to plan."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(_folder(f"{path}/{name}", as_of))

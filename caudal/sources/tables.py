@@ -6,16 +6,16 @@ last year give per-segment account balances. The rules (decimal before
 multiply, due-date terms, bill ids) are fixed so that DuckDB can compute the
 same rows from the same files.
 
-The mapped ledger is written once per (input folder, as-of date) into the
-shared folder named by ``spark.checkpoint.dir``: every report then reads a
-pruned, pushed-down Parquet scan instead of re-running the joins, and the
-written table survives the loss of any executor.
+Reports may run on the mapping as a plan. For many reports,
+:func:`materialise_ledger` first writes the mapped ledger into the shared
+folder named by ``spark.checkpoint.dir``: every report then reads a pruned,
+pushed-down Parquet scan instead of re-running the joins, and the written
+table survives the loss of any executor.
 """
 
 from __future__ import annotations
 
 import hashlib
-import threading
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,19 +31,10 @@ BALANCE_WINDOW_DAYS = 365
 SOURCE_TABLES = ("orders", "customer", "lineitem", "supplier")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _before_day_after(df: DataFrame, col: str, d: date) -> Column:
-    """``cast(col AS date) <= d`` written as a range on the raw column so the
-    Parquet reader can push it down (a cast on the column cannot be pushed)."""
-    dtype = df.schema[col].dataType
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        return F.col(col) < _midnight(d + timedelta(days=1), dtype)
-    return F.col(col).cast("date") <= lit_date(d)
-
-
 def _midnight(d: date, dtype: T.DataType) -> Column:
     """Midnight of ``d`` as a literal of the column's own timestamp type.
 
@@ -55,9 +46,11 @@ def _midnight(d: date, dtype: T.DataType) -> Column:
 
 
 def _between_days(df: DataFrame, col: str, lo: date, hi: date) -> Column:
+    """``cast(col AS date)`` in [lo, hi] written as a range on the raw column so the
+    Parquet reader can push it down (a cast on the column cannot be pushed)."""
     dtype = df.schema[col].dataType
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        return (F.col(col) >= _midnight(lo, dtype)) & _before_day_after(df, col, hi)
+        return (F.col(col) >= _midnight(lo, dtype)) & (F.col(col) < _midnight(hi + timedelta(days=1), dtype))
     return F.col(col).cast("date").between(lit_date(lo), lit_date(hi))
 
 
@@ -65,12 +58,15 @@ def _price(c: str) -> Column:
     return F.col(c).cast(S.MONEY)
 
 
-def map_moves(spark: SparkSession, sf_dir: str, as_of: date) -> DataFrame:
-    """Invoices from orders x customer, bills from lineitem x supplier."""
-    orders = _table(spark, sf_dir, "orders").select(
+def map_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices from orders and customer, bills from lineitem and supplier.
+
+    Every row counts, whatever its date; a document whose partner is missing
+    stays, as ``Sin partner``.
+    """
+    orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    orders = orders.filter(_before_day_after(orders, "o_orderdate", as_of))
-    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     odate = F.col("o_orderdate").cast("date")
     total = _price("o_totalprice")
     terms = (F.when(F.col("o_orderpriority") == "1-URGENT", 30)
@@ -79,7 +75,7 @@ def map_moves(spark: SparkSession, sf_dir: str, as_of: date) -> DataFrame:
     status = F.col("o_orderstatus")
     # The customer side is one row per key, so a hot customer only skews the
     # order side; AQE's skew-join splits that partition.
-    invoices = (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    invoices = (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
                 .select(
                     F.col("o_orderkey").alias("id"),
                     F.concat(F.lit("INV/"), F.year(odate).cast("string"), F.lit("/"),
@@ -94,25 +90,24 @@ def map_moves(spark: SparkSession, sf_dir: str, as_of: date) -> DataFrame:
                      .when(status == "O", total)
                      .otherwise((total * F.lit(0.50).cast("decimal(3,2)")).cast(S.MONEY))
                      .alias("amount_residual"),
-                    F.col("c_name").alias("partner_name"),
+                    F.coalesce("c_name", F.lit(S.NO_PARTNER)).alias("partner_name"),
                     F.when(status == "F",
                            F.date_add(odate, (F.lit(5) + F.col("o_orderkey") % 60).cast("int")))
                      .alias("payment_date"),
                 ))
 
-    items = _table(spark, sf_dir, "lineitem").select(
+    items = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate")
-    items = items.filter(_before_day_after(items, "l_shipdate", as_of))
     net = (F.col("l_extendedprice").cast("decimal(12,2)")
            * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))).cast(S.MONEY)
     # Aggregate lines to one bill per supplier/day/status before touching the
     # supplier table: the join then sees one row per bill, not per line.
     per_bill = (items.groupBy("l_suppkey", "l_shipdate", "l_linestatus")
                 .agg(F.sum(net).cast(S.MONEY).alias("bill_total")))
-    suppliers = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     sdate = F.col("l_shipdate").cast("date")
     closed = F.col("l_linestatus") == "F"
-    bills = (per_bill.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    bills = (per_bill.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
              .select(
                  ((F.col("l_suppkey") * 100000000 + F.year(sdate) * 10000 + F.month(sdate) * 100
                    + F.dayofmonth(sdate)) * 10 + F.when(closed, 0).otherwise(1)).cast("bigint").alias("id"),
@@ -127,15 +122,15 @@ def map_moves(spark: SparkSession, sf_dir: str, as_of: date) -> DataFrame:
                  F.when(closed, zero_money())
                   .otherwise((F.col("bill_total") * F.lit(0.40).cast("decimal(3,2)")).cast(S.MONEY))
                   .alias("amount_residual"),
-                 F.col("s_name").alias("partner_name"),
+                 F.coalesce("s_name", F.lit(S.NO_PARTNER)).alias("partner_name"),
                  F.when(closed, F.date_add(sdate, 20)).alias("payment_date"),
              ))
     return invoices.unionByName(bills)
 
 
-def map_payments(moves: DataFrame, as_of: date) -> DataFrame:
+def map_payments(moves: DataFrame) -> DataFrame:
     """One payment per paid document, dated on its payment date."""
-    return (moves.filter(F.col("payment_date") <= lit_date(as_of))
+    return (moves.filter(F.col("payment_date").isNotNull())
             .select("id",
                     F.col("payment_date").alias("date"),
                     F.col("amount_total").alias("amount"),
@@ -152,12 +147,12 @@ def map_journals(spark: SparkSession, sf_dir: str, as_of: date) -> DataFrame:
     aggregation collapses a hot customer to one row per task, and the join
     then sees one row per customer instead of one per order.
     """
-    orders = _table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     orders = orders.filter((F.col("o_orderstatus") == "F") & _between_days(
         orders, "o_orderdate", as_of - timedelta(days=BALANCE_WINDOW_DAYS), as_of))
     per_customer = orders.groupBy("o_custkey").agg(F.sum(_price("o_totalprice")).alias("closed"))
-    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     seg = F.col("c_mktsegment")
     return (per_customer.join(customers, F.col("o_custkey") == F.col("c_custkey"))
             .groupBy("c_mktsegment")
@@ -175,69 +170,82 @@ def map_journals(spark: SparkSession, sf_dir: str, as_of: date) -> DataFrame:
 PAYMENTS_MAPPED = T.StructType([f for f in S.PAYMENTS_SCHEMA.fields if f.name != "journal_tipo"])
 
 
-def _materialize(spark: SparkSession, df: DataFrame, path: str, schema: T.StructType,
-                 sort_col: str | None = None, partition_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` once under ``path`` (commit marked by ``_SUCCESS``), then read it
-    back with its fixed schema (no footer inference).
+def _write(df: DataFrame, path: str, sort_col: str, partition_cols: tuple[str, ...]) -> None:
+    """Rows are rebalanced on the partition columns first (the ``rebalance``
+    hint): one shuffle, no sampling pass over the upstream plan, few files per
+    partition folder, and AQE splits a partition that holds a third of all
+    rows across several writer tasks instead of giving it to one."""
+    (df.hint("rebalance", *partition_cols).sortWithinPartitions(*partition_cols, sort_col)
+     .write.mode("overwrite").partitionBy(*partition_cols).parquet(path))
+
+
+# -- the materialised copy -----------------------------------------------------------
+
+
+def ledger_signature(spark: SparkSession, sf_dir: str, as_of: date) -> str:
+    """Names the mapped ledger of these input files (path, length and time of each) and this date."""
+    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
+    sig = "|".join(input_signature(spark, p) for p in inputs)
+    return hashlib.sha1(f"{sig}|{as_of.isoformat()}|v8".encode()).hexdigest()[:16]
+
+
+def _mapped(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
+    moves = map_moves(spark, sf_dir).withColumn(S.INVOICE_PERIOD, F.date_format("invoice_date", S.PERIOD_PATTERN))
+    payments = map_payments(moves).withColumn(S.PAYMENT_PERIOD, F.date_format("date", S.PERIOD_PATTERN))
+    return Ledger(moves, payments, map_journals(spark, sf_dir, as_of))
 
-    With ``partition_cols`` the rows are rebalanced on them first (the
-    ``rebalance`` hint): one shuffle, no sampling pass over the upstream
-    plan, few files per partition folder, and AQE splits a partition that
-    holds a third of all rows across several writer tasks instead of giving
-    it to one. A job that died half way left no ``_SUCCESS``; it is simply
-    rewritten.
-    """
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        cols = schema.fieldNames() + [c for c in partition_cols if c not in schema.fieldNames()]
-        out = df.select(*cols)
-        if partition_cols:
-            out = out.hint("rebalance", *partition_cols)
-        order = [*partition_cols, *([sort_col] if sort_col else [])]
-        if order:
-            out = out.sortWithinPartitions(*order)
-        writer = out.write.mode("overwrite")
-        if partition_cols:
-            writer = writer.partitionBy(*partition_cols)
-        writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
 
+def _base(spark: SparkSession, signature: str) -> str:
+    return f"{shared_dir(spark)}/caudal/ledger/{signature}"
 
-_LEDGERS: dict[tuple[str, str], Ledger] = {}
-_LEDGERS_LOCK = threading.Lock()  # reports may be built from several driver threads
+
+def _with_periods(schema: T.StructType, *cols: str) -> T.StructType:
+    return T.StructType([*schema.fields, *(T.StructField(c, T.StringType()) for c in cols)])
+
+
+def _written(spark: SparkSession, base: str) -> Ledger | None:
+    """The copy under ``base``, if its last table, the manifest, has its row.
+
+    A write that died half way has no committed manifest row, whatever
+    folders and marker files it left.
+    """
+    if not path_exists(spark, f"{base}/manifest"):
+        return None
+    if spark.read.schema("signature string").parquet(f"{base}/manifest").isEmpty():
+        return None
+    return Ledger(
+        spark.read.schema(_with_periods(S.MOVES_SCHEMA, S.INVOICE_PERIOD)).parquet(f"{base}/moves"),
+        spark.read.schema(_with_periods(PAYMENTS_MAPPED, S.PAYMENT_PERIOD)).parquet(f"{base}/payments"),
+        spark.read.schema(S.JOURNALS_SCHEMA).parquet(f"{base}/journals"))
 
 
 def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
-    """Raw ledger (all states, all dates up to ``as_of``) for the given tables.
+    """Raw ledger of the given tables: the materialised copy of exactly these
+    files if :func:`materialise_ledger` wrote one, else the mapping itself, as
+    a plan. Never writes."""
+    return _written(spark, _base(spark, ledger_signature(spark, sf_dir, as_of))) or _mapped(spark, sf_dir, as_of)
+
 
-    The written copy is keyed by the input files' signature (length, file
-    count, modification time) and the as-of date, so changed inputs never
-    reuse a stale ledger. Memoised per Spark application: the returned
-    DataFrames are only plans over the written files, so every report of a
-    session shares one file listing.
+def materialise_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
+    """Write the mapped ledger once into the shared folder, so that reports read
+    a pruned, pushed-down Parquet scan instead of the joins.
+
+    Partitioned by type and invoice period (type filters and the look-back
+    window prune folders) and sorted by invoice date inside each file (row-group
+    statistics skip the rest of the window). A no-op when the copy of these
+    very files is there.
     """
-    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
-    sig = "|".join(input_signature(spark, p) for p in inputs)
-    key = hashlib.sha1(f"{sig}|{as_of.isoformat()}|v7".encode()).hexdigest()[:16]
-    base = f"{shared_dir(spark)}/caudal/ledger/{key}"
-    memo = (spark.sparkContext.applicationId, base)
-    with _LEDGERS_LOCK:
-        if memo not in _LEDGERS:
-            _LEDGERS[memo] = _write_ledger(spark, sf_dir, as_of, base)
-        return _LEDGERS[memo]
-
-
-def _write_ledger(spark: SparkSession, sf_dir: str, as_of: date, base: str) -> Ledger:
-    # Partitioned by type and invoice period (type filters and the look-back
-    # window prune folders) and sorted by invoice date inside each file
-    # (row-group statistics skip the rest of the window).
-    mapped = map_moves(spark, sf_dir, as_of).withColumn(
-        S.INVOICE_PERIOD, F.date_format("invoice_date", S.PERIOD_PATTERN))
-    moves = _materialize(spark, mapped, f"{base}/moves", S.MOVES_SCHEMA, "invoice_date",
-                         S.LEDGER_PARTITIONS)
-    paid = map_payments(moves.select(*S.MOVES_SCHEMA.fieldNames()), as_of).withColumn(
-        S.PAYMENT_PERIOD, F.date_format("date", S.PERIOD_PATTERN))
-    payments = _materialize(spark, paid, f"{base}/payments", PAYMENTS_MAPPED, "date",
-                            S.PAYMENT_PARTITIONS)
-    journals = _materialize(spark, map_journals(spark, sf_dir, as_of).coalesce(1),
-                            f"{base}/journals", S.JOURNALS_SCHEMA)
-    return Ledger(moves, payments, journals)
+    signature = ledger_signature(spark, sf_dir, as_of)
+    base = _base(spark, signature)
+    have = _written(spark, base)
+    if have is not None:
+        return have
+    mapped = _mapped(spark, sf_dir, as_of)
+    _write(mapped.moves, f"{base}/moves", "invoice_date", S.LEDGER_PARTITIONS)
+    # Payments come from the moves just written, not from the joins again.
+    moves = spark.read.schema(_with_periods(S.MOVES_SCHEMA, S.INVOICE_PERIOD)).parquet(f"{base}/moves")
+    paid = map_payments(moves).withColumn(S.PAYMENT_PERIOD, F.date_format("date", S.PERIOD_PATTERN))
+    _write(paid, f"{base}/payments", "date", S.PAYMENT_PARTITIONS)
+    mapped.journals.coalesce(1).write.mode("overwrite").parquet(f"{base}/journals")
+    spark.createDataFrame([(signature,)], "signature string").write.mode("overwrite").parquet(f"{base}/manifest")
+    return _written(spark, base)

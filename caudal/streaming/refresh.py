@@ -1,32 +1,32 @@
-"""Refresh job: keep the reports current as ledger snapshots arrive.
+"""Refresh job: recompute every report whenever a new extract arrives.
 
 The reference recomputes everything from a fresh extract every five minutes
-(or on a button). Here each extract is a Parquet snapshot dropped into an
-inbox folder, and a Structured Streaming file source picks new snapshots up.
-The inbox itself is the history: snapshot files are immutable, and the file
-source's log records which files each batch read, so a replayed batch sees
-the same rows. Then ``foreachBatch``:
-
-1. compacts: the current ledger of batch N is the newest version of every
-   document id (``max_by`` over ``(snapshot_seq, batch_id)``) among the
-   current ledger of batch N-1 and the new rows, a shuffle on ``id`` over
-   (documents + new rows), never over the whole history. It is written to
-   ``current/v=N`` in the shared folder, partitioned like the batch
-   ledger; that cuts the lineage and makes a retried batch rebuild the same
-   version from the same inputs;
-2. stages that written table and rewrites the reports of the as-of date
-   (independent reports as concurrent jobs, dynamic partition overwrite).
-
-Progress and the set of processed files live in the checkpoint under the
-shared folder, so the job resumes after a driver or executor loss. Tests and
-the registered query run it with ``availableNow``; production uses
-``processingTime='5 minutes'``.
+(or on a button). An extract here is one folder, put in place in one move by
+whoever delivers it::
+
+    <inbox>/extract_seq=<n>/extract_date=<day>/...parquet      moves of the window
+    <extras>/payments, <extras>/journals                       as they are now
+
+Each extract is complete: it replaces the one before, so a document that is
+cancelled, unposted or out of the window is gone with the next. A Structured
+Streaming file source watches the inbox. A micro-batch only says that there is
+something new; the job then reads the newest extract from the inbox itself,
+payments and journals afresh, and publishes all reports under the extract's own
+date. There is no state besides the source's log of files: nothing to lose, to
+merge or to compact, and a replayed or restarted batch publishes the same
+again. What a tick writes is the reports, whatever the ledger's size.
+
+Progress lives in the checkpoint under the shared folder, so the job resumes
+after a driver or executor loss. Tests and the registered queries run it with
+``availableNow``; production uses ``processingTime='5 minutes'``.
 """
 
 from __future__ import annotations
 
 import uuid
-from datetime import date, timedelta
+from collections.abc import Callable
+from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,75 +35,63 @@ from pyspark.sql.streaming import StreamingQuery
 
 from caudal import schema as S
 from caudal.functions.columns import lit_date
-from caudal.operators import kpis as K
-from caudal.operators import reports as R
-from caudal.operators.staging import stage
-from caudal.session import path_exists, shared_dir
-from caudal.sources.ledger import journals_source, moves_source
-from caudal.sources.sinks import read_report, write_reports
-
-SNAPSHOT_SCHEMA = T.StructType(list(S.MOVES_SCHEMA.fields) + [
-    T.StructField("snapshot_seq", T.LongType(), False)])
-
-MOVE_FIELDS = [f.name for f in S.MOVES_SCHEMA.fields]
-
-
-CURRENT_SCHEMA = T.StructType(list(SNAPSHOT_SCHEMA.fields) + [
-    T.StructField("batch_id", T.LongType(), False)])
-
-
-def latest_per_id(versions: DataFrame) -> DataFrame:
-    """Newest version of each document: highest (snapshot_seq, batch_id).
-
-    Partial aggregation keeps one candidate per id and task before the
-    shuffle, so a document sent in many snapshots costs one row per task.
+from caudal.plans.publish import publish
+from caudal.session import build_session, shared_dir
+from caudal.sources.ledger import Ledger, load_ledger
+from caudal.sources.sinks import read_report
+
+EXTRACT = ("extract_seq", "extract_date")
+EXTRACT_SCHEMA = T.StructType([*S.MOVES_SCHEMA.fields, T.StructField("extract_seq", T.LongType()),
+                               T.StructField("extract_date", T.DateType())])
+
+# Registered query to the report it returns.
+STREAM_REPORTS = {"refresh_stream": "aging_report", "refresh_stream_kpis": "kpi_bundle",
+                  "refresh_stream_concentration": "client_concentration"}
+
+
+def write_extract(moves: DataFrame, inbox: str, seq: int, day: date) -> None:
+    """One full extract. The folder appears file by file here, as Parquet
+    writers do; the job waits for whole micro-batches, and publishes again
+    should more of the same extract arrive."""
+    (moves.select(*S.MOVES_SCHEMA.fieldNames())
+     .withColumns({"extract_seq": F.lit(seq).cast("bigint"), "extract_date": lit_date(day)})
+     .write.mode("append").partitionBy(*EXTRACT).parquet(inbox))
+
+
+def newest_extract(spark: SparkSession, inbox: str) -> tuple[DataFrame, date] | None:
+    """Moves and date of the newest extract in ``inbox``; only its folder is read."""
+    every = spark.read.schema(EXTRACT_SCHEMA).parquet(inbox)
+    # Partition columns only: answered from the folder names, one row per folder.
+    last = every.agg(F.max(F.struct(*EXTRACT)).alias("x")).select("x.*").first()
+    if last.extract_seq is None:
+        return None
+    moves = every.filter((F.col("extract_seq") == last.extract_seq) & (F.col("extract_date") == lit_date(last.extract_date)))
+    return moves.drop(*EXTRACT), last.extract_date
+
+
+def start_refresh(spark: SparkSession, inbox: str, workdir: str,
+                  extras: Callable[[SparkSession], Ledger], p: S.Params | None = None, as_of: date | None = None,
+                  available_now: bool = False, every: str = "5 minutes",
+                  files_per_batch: int | None = None) -> StreamingQuery:
+    """Start the refresh stream over ``inbox``; reports go to ``workdir/reports``.
+
+    ``extras`` is called in every batch and gives payments and journals as
+    they are then. Reports are as of the extract's date unless ``as_of`` is
+    given; ``p`` has the other parameters.
     """
-    keep = SNAPSHOT_SCHEMA.fieldNames() + ["batch_id"]
-    order = F.struct("snapshot_seq", "batch_id")
-    return (versions.groupBy("id")
-            .agg(F.max_by(F.struct(*keep), order).alias("v"))
-            .select("v.*"))
-
-
-def refresh_reports(staged: DataFrame, journals: DataFrame, as_of: date,
-                    p: S.Params = S.Params()) -> dict[str, DataFrame]:
-    return {
-        "kpi_bundle": K.kpi_bundle(staged, journals, as_of, p.burn_months),
-        "aging_report": R.aging_report(staged),
-        "monthly_comparison": R.monthly_comparison(staged, p.history_months),
-        "monthly_net_cashflow": R.monthly_net_cashflow(staged, p.net_months),
-        "client_concentration": R.client_concentration(staged, p.top_clients),
-        "collections_velocity": R.collections_velocity(staged, p.history_months, p.min_velocity_sample),
-        "critical_invoices": R.critical_invoices(staged, p.top_critical),
-    }
-
-
-def start_refresh(spark: SparkSession, inbox: str, workdir: str, journals: DataFrame,
-                  as_of: date, p: S.Params = S.Params(), available_now: bool = False,
-                  every: str = "5 minutes", files_per_batch: int | None = None) -> StreamingQuery:
-    """Start the refresh stream over ``inbox``; outputs under ``workdir``."""
-    current, out = f"{workdir}/current", f"{workdir}/reports"
-    liquid = journals_source(journals)
+    out = f"{workdir}/reports"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        versions = rows
-        if batch_id > 0 and path_exists(session, f"{current}/v={batch_id - 1}/_SUCCESS"):
-            previous = session.read.schema(CURRENT_SCHEMA).parquet(f"{current}/v={batch_id - 1}")
-            versions = previous.select(*CURRENT_SCHEMA.fieldNames()).unionByName(rows)
-        # Partitioned like the batch ledger, so the reports prune folders;
-        # the rebalance hint keeps a hot partition parallel.
-        (latest_per_id(versions)
-         .withColumn(S.INVOICE_PERIOD, F.date_format("invoice_date", S.PERIOD_PATTERN))
-         .hint("rebalance", *S.LEDGER_PARTITIONS)
-         .write.mode("overwrite").partitionBy(*S.LEDGER_PARTITIONS)
-         .parquet(f"{current}/v={batch_id}"))
-        ledger = session.read.schema(CURRENT_SCHEMA).parquet(f"{current}/v={batch_id}")
-        staged = stage(moves_source(ledger, as_of, p.lookback_days), as_of)
-        write_reports(refresh_reports(staged, liquid, as_of, p), out, as_of)
-
-    reader = spark.readStream.schema(SNAPSHOT_SCHEMA)
+        found = newest_extract(session, inbox)
+        if found is None:
+            return
+        moves, day = found
+        now = extras(session)
+        params = replace(p or S.Params(as_of=day), as_of=as_of or day)
+        publish(session, Ledger(moves, now.payments, now.journals), out, params)
+
+    reader = spark.readStream.schema(EXTRACT_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     writer = (reader.parquet(inbox).writeStream
@@ -113,68 +101,56 @@ def start_refresh(spark: SparkSession, inbox: str, workdir: str, journals: DataF
     return writer.start()
 
 
-def snapshots_from_ledger(raw_moves: DataFrame, earlier: date, as_of: date,
-                          lookback_days: int = 365) -> list[DataFrame]:
-    """Two extracts of the mapped ledger, as the ERP would have returned them.
+def extract_at(raw_moves: DataFrame, day: date) -> DataFrame:
+    """The ledger as an extract of ``day`` returned it: a document paid after
+    that day is still fully open in it, and one issued later is not there."""
+    paid_later = F.col("payment_date") > lit_date(day)
+    return (raw_moves.filter(F.col("invoice_date") <= lit_date(day))
+            .withColumns({
+                "amount_residual": F.when(paid_later, F.col("amount_total")).otherwise(F.col("amount_residual")),
+                "payment_date": F.when(paid_later, F.lit(None).cast("date")).otherwise(F.col("payment_date"))}))
+
+
+_RUNS: dict[tuple[str, str], str] = {}
 
-    Each extract is the source's look-back window at its own date. Snapshot 1
-    is taken at ``earlier``: documents issued in the window ending then, and
-    a document paid after ``earlier`` is still fully open in it. Snapshot 2
-    is the window at ``as_of``. Documents in both must resolve to the
-    snapshot-2 version, or the open receivables come out wrong.
-    """
-    paid_later = F.col("payment_date") > lit_date(earlier)
-    first = (raw_moves.filter(F.col("invoice_date").between(
-                lit_date(earlier - timedelta(days=lookback_days)), lit_date(earlier)))
-             .withColumns({
-                 "amount_residual": F.when(paid_later, F.col("amount_total"))
-                                      .otherwise(F.col("amount_residual")),
-                 "payment_date": F.when(paid_later, F.lit(None).cast("date"))
-                                   .otherwise(F.col("payment_date")),
-                 "snapshot_seq": F.lit(1).cast("bigint")}))
-    second = (raw_moves.filter(F.col("invoice_date") >= lit_date(as_of - timedelta(days=lookback_days)))
-              .withColumn("snapshot_seq", F.lit(2).cast("bigint")))
-    return [first.select(*SNAPSHOT_SCHEMA.fieldNames()), second.select(*SNAPSHOT_SCHEMA.fieldNames())]
-
-
-def refresh_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered query: run the stream over two snapshots of the given tables
-    to completion and return the aging report it wrote (equals the batch one)."""
-    from caudal.sources.tables import mapped_ledger
-
-    p = S.Params()
-    raw = mapped_ledger(spark, sf_dir, p.as_of)
-    workdir = f"{shared_dir(spark)}/caudal/stream/{uuid.uuid4().hex}"
-    inbox = f"{workdir}/inbox"
-    # One write job; a union does not shuffle, so every file still holds the
-    # rows of a single snapshot.
-    first, second = snapshots_from_ledger(raw.moves, date(2000, 12, 31), p.as_of)
-    first.unionByName(second).write.mode("append").parquet(inbox)
-    q = start_refresh(spark, inbox, workdir, raw.journals, p.as_of, p, available_now=True,
-                      files_per_batch=None)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return read_report(spark, f"{workdir}/reports", "aging_report", p.as_of)
+
+def refresh_stream_query(spark: SparkSession, sf_dir: str, report: str = "aging_report") -> DataFrame:
+    """Registered queries: run the stream over two extracts of the given tables
+    to completion and return a report it wrote (equals the batch one). The
+    queries share one run per state of the input files."""
+    from caudal.plans import catalog
+    from caudal.sources.tables import ledger_signature, mapped_ledger
+
+    p = catalog.PARAMS
+    key = spark.sparkContext.applicationId, ledger_signature(spark, sf_dir, p.as_of)
+    if key not in _RUNS:
+        raw = mapped_ledger(spark, sf_dir, p.as_of)
+        workdir = f"{shared_dir(spark)}/caudal/stream/{uuid.uuid4().hex}"
+        inbox = f"{workdir}/inbox"
+        write_extract(extract_at(raw.moves, date(2000, 12, 31)), inbox, 1, date(2000, 12, 31))
+        write_extract(raw.moves, inbox, 2, p.as_of)
+        q = start_refresh(spark, inbox, workdir, lambda _: raw, p, available_now=True)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+        _RUNS[key] = workdir
+    return read_report(spark, f"{_RUNS[key]}/reports", report, p.as_of)
 
 
 def main(argv: list[str] | None = None) -> None:
     """Production entry point: refresh every ``--every`` until stopped."""
     import argparse
 
-    from caudal.sources.ledger import load_ledger
-
     ap = argparse.ArgumentParser(description="caudal refresh stream")
-    ap.add_argument("--inbox", required=True, help="folder receiving moves snapshots (Parquet)")
-    ap.add_argument("--journals", required=True, help="ledger folder holding journals/")
-    ap.add_argument("--workdir", required=True, help="shared folder for checkpoint, state, reports")
-    ap.add_argument("--as-of", required=True, type=date.fromisoformat)
+    ap.add_argument("--inbox", required=True, help="folder receiving extracts of the moves (Parquet)")
+    ap.add_argument("--ledger", required=True, help="ledger folder whose payments/ and journals/ are read at every tick")
+    ap.add_argument("--workdir", required=True, help="shared folder for checkpoint and reports")
+    ap.add_argument("--as-of", type=date.fromisoformat, help="fixed date of the reports (default: the extract's)")
     ap.add_argument("--every", default="5 minutes")
     ap.add_argument("--once", action="store_true", help="process what is there, then stop")
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("caudal-refresh").getOrCreate()
-    journals = load_ledger(spark, args.journals).journals
-    q = start_refresh(spark, args.inbox, args.workdir, journals, args.as_of,
+    spark = build_session(app="caudal-refresh")
+    q = start_refresh(spark, args.inbox, args.workdir, lambda s: load_ledger(s, args.ledger), as_of=args.as_of,
                       available_now=args.once, every=args.every)
     q.awaitTermination()
 

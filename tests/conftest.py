@@ -20,7 +20,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", app="caudal-tests", shuffle_partitions=4)
+    s = build_session("local[4]", app="caudal-tests", shuffle_partitions=4,
+                      extra={"spark.sql.maxMetadataStringLength": "4000"})  # plans are read by the tests
     s.sparkContext.setLogLevel("ERROR")
     # Tests set their own shared folder only where the session has none.
     if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):

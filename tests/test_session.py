@@ -45,6 +45,12 @@ def test_local_session_without_folder_gets_a_private_one():
     assert os.path.isdir(d) and s.sparkContext.ckpt == d
 
 
-def test_cluster_session_without_folder_is_an_error():
+@pytest.mark.parametrize("master", ["spark://master:7077", "local-cluster[3,2,1024]", "yarn"])
+def test_cluster_session_without_folder_is_an_error(master):
     with pytest.raises(RuntimeError):
-        shared_dir(_Session("spark://master:7077"))
+        shared_dir(_Session(master))
+
+
+def test_a_checkpoint_folder_of_the_callers_is_left_alone():
+    s = _Session("yarn", conf_value="hdfs://nn/shared", ctx_dir="hdfs://nn/other")
+    assert shared_dir(s) == "hdfs://nn/shared" and s.sparkContext.ckpt == "hdfs://nn/other"
