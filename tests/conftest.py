@@ -3,7 +3,6 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
-from datetime import date
 from decimal import Decimal
 
 import pytest
@@ -14,10 +13,6 @@ sys.path.insert(0, ROOT)
 from caudal import schema as S  # noqa: E402
 from caudal.session import build_session  # noqa: E402
 
-AS_OF = date(2001, 8, 1)
-SF_SMALL = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[4]", app="caudal-tests", shuffle_partitions=4,
@@ -29,12 +24,6 @@ def spark():
     yield s
 
 
-def move(id, move_type="out_invoice", total="100.00", residual="0.00", invoice=date(2001, 7, 1),
-         due=date(2001, 7, 31), partner="Acme", state="posted", paid=None, name=None):
-    return (id, name or f"DOC/{id:05d}", move_type, state, invoice, due, Decimal(total), Decimal(residual),
-            partner, paid)
-
-
 @pytest.fixture()
 def make_moves(spark):
     def _make(rows):

@@ -13,7 +13,7 @@ from datetime import date, timedelta
 
 import duckdb
 import pytest
-from conftest import AS_OF, SF_SMALL, move
+from ledger_rows import AS_OF, SF_SMALL, move
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E

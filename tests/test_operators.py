@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 import pytest
-from conftest import AS_OF, move
+from ledger_rows import AS_OF, move
 
 from caudal import schema as S
 from caudal.operators import alerts as A

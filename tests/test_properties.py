@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from conftest import AS_OF, move
+from ledger_rows import AS_OF, move
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

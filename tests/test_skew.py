@@ -12,7 +12,7 @@ from collections import defaultdict
 from datetime import timedelta
 from decimal import Decimal
 
-from conftest import AS_OF, move
+from ledger_rows import AS_OF, move
 
 from caudal.operators import projection as P
 from caudal.operators import reports as R

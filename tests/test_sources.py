@@ -5,7 +5,7 @@ import tempfile
 from datetime import date
 
 import pytest
-from conftest import AS_OF, move
+from ledger_rows import AS_OF, move
 
 from caudal import schema as S
 from caudal.sources import decode

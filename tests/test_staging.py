@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from conftest import AS_OF, move
+from ledger_rows import AS_OF, move
 
 from caudal import schema as S
 from caudal.operators.staging import date_range, stage, stage_v
