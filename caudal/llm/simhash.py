@@ -3,10 +3,11 @@
 Fingerprints are compared once each: equal ones share a row from the start.
 Among 64-bit fingerprints of unrelated texts all distances lie near 32, so a
 vantage point alone prunes little at 4 bits (two thirds of the rows straddle
-every ball). The forest therefore measures its root level on one block of
-bits: two fingerprints within ``max_bits`` agree on at least one of
-``max_bits + 1`` blocks, so in that block's tree the search radius at the root
-is 0 and every branch but the equal one is pruned. Below the root the trees
+every ball). The forest therefore measures its root level on blocks of bits:
+of ``b`` blocks two fingerprints within ``max_bits`` agree on ``b - max_bits``
+at least, so in the tree of those blocks the search radius at the root is 0
+and every branch but the equal one is pruned. ``b`` grows with the number of
+fingerprints, so that shards stay small; the links found are the same. Below the root the trees
 use the full Hamming distance: a ball around a vantage point halves the rows,
 the triangle bound prunes, and rows whose search ball crosses the boundary
 also visit the other side as queries. Leaves compare exactly, so no link is
@@ -27,22 +28,23 @@ them, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caudal.llm.components import components
+from caudal.llm.joins import counted_join
 from caudal.session import shared_dir
 
 SHINGLE = 4
 MAX_BITS = 4
 LEAF_ROWS = 16_384
 TASK_ROWS = 200_000
-BROADCAST_ROWS = 500_000
+SHARD_ROWS = 2048
 SEED = 42
 _COMPARE = 256
 
@@ -218,14 +220,33 @@ def _task(r: int):
 # -- the forest on Spark -------------------------------------------------------------------
 
 
-def block_keys(fp: Column, max_bits: int) -> Column:
-    """Array of (block, its bits) keys, one per tree of the forest; any two within ``max_bits`` share one."""
-    n = max_bits + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    width = max(b - a for a, b in zip(edges, edges[1:]))
-    return F.array(*[
-        (F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(i << width)).cast("long")
-        for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+def block_edges(blocks: int) -> list[int]:
+    return [64 * i // blocks for i in range(blocks + 1)]
+
+
+def blocks_for(rows: int, max_bits: int, shard_rows: int = SHARD_ROWS) -> int:
+    """How many blocks keep unrelated fingerprints at ``shard_rows`` a shard.
+
+    Of ``b`` blocks at least ``b - max_bits`` agree, so a shard may be keyed by
+    that many: more blocks, more key bits, and more trees in the forest.
+    """
+    b = max_bits + 1
+    while b < 2 * max_bits and rows >> sum(sorted(np.diff(block_edges(b)))[:b - max_bits]) > shard_rows:
+        b += 1
+    return b
+
+
+def block_keys(fp: Column, max_bits: int, blocks: int) -> Column:
+    """Array of (agreeing blocks, their bits) keys, one per tree of the forest; any two within ``max_bits`` share one."""
+    edges, keys = block_edges(blocks), []
+    for tree, chosen in enumerate(combinations(range(blocks), blocks - max_bits)):
+        key = F.lit(tree).cast("long")
+        for i in chosen:
+            width = edges[i + 1] - edges[i]
+            key = F.shiftleft(key, width).bitwiseOR(
+                F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        keys.append(key)
+    return F.array(*keys)
 
 
 def _split(big: DataFrame, max_bits: int, leaf_rows: int, levels: int) -> DataFrame:
@@ -269,17 +290,18 @@ def _split(big: DataFrame, max_bits: int, leaf_rows: int, levels: int) -> DataFr
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS, task_rows: int = TASK_ROWS,
-          levels: int = 12) -> DataFrame:
+          shard_rows: int = SHARD_ROWS, levels: int = 12) -> DataFrame:
     """Edges (a, b) that span every component of distinct fingerprints ``fp`` within ``max_bits`` bits."""
-    shards = fps.select("fp", F.explode(block_keys(F.col("fp"), max_bits)).alias("key"), F.lit(True).alias("home"))
-    sizes = shards.groupBy("key").count()  # (max_bits + 1) * 2^13 rows at most
+    blocks = blocks_for(fps.count(), max_bits, shard_rows)
+    shards = fps.select("fp", F.explode(block_keys(F.col("fp"), max_bits, blocks)).alias("key"), F.lit(True).alias("home"))
+    sizes = shards.groupBy("key").count()
     hot = sizes.filter(F.col("count") > leaf_rows).select("key").checkpoint()
     total = sizes.agg(F.sum("count")).first()[0] or 0
     tasks = max(1, -(-total // task_rows))
     small = shards
     if not hot.isEmpty():
-        small = shards.join(F.broadcast(hot), "key", "left_anti").unionByName(
-            _split(shards.join(F.broadcast(hot), "key").select("key", "fp", "home"), max_bits, leaf_rows, levels))
+        small = counted_join(shards, hot, ["key"], "left_anti").unionByName(
+            _split(counted_join(shards, hot, ["key"], "left_semi"), max_bits, leaf_rows, levels))
     grouped = small.select("key", "fp", "home", F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"))
     return grouped.groupBy("task").applyInArrow(_task(max_bits), "a long, b long")
 
@@ -307,25 +329,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
              max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null last).
 
-    Rows are told apart by id and text hash. The rows to drop are joined
-    away, by broadcast when there are at most ``BROADCAST_ROWS`` of them and by
-    shuffle otherwise; rows that agree in id and text go through one
-    ``dropDuplicates`` of those rows only.
+    Rows are told apart by id and text hash. The rows to drop are joined away
+    (by broadcast when they are few, counted first); rows that agree in id and
+    text go through one ``dropDuplicates`` of those rows only.
     """
     shared_dir(docs.sparkSession)
     table = fingerprint_table(docs, id_col, text, shingle, F.xxhash64(F.col(text)).alias("hash")).checkpoint()
     rows = _labelled(table, max_bits, leaf_rows)
     rows = rows.groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "hash")).alias("k"))
+    first = rows.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "hash")).alias("k")).checkpoint()
     rows = rows.join(first, "root").withColumn("keep", F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (
         F.col("hash") == F.col("k.hash")))
     marked = rows.filter(~F.col("keep") | (F.col("n") > 1)).select("doc_id", "hash", "keep").checkpoint()
 
     def pick(side: DataFrame, how: str) -> DataFrame:
-        small = side.count() <= BROADCAST_ROWS
         side = side.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
-        return docs.join(F.broadcast(side) if small else side,
-                         docs[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(docs[text]) == side["_hash"]), how)
+        on = docs[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(docs[text]) == side["_hash"])
+        return counted_join(docs, side, on, how)
 
     out = pick(marked, "left_anti")
     repeated = marked.filter("keep")

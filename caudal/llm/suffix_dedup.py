@@ -56,7 +56,7 @@ _POSITION = np.uint64((1 << 24) - 1)
 
 SPAN, COLD, HOT = 0, 1, 2
 _MAP = "bucket long, rows binary, spans binary, extra binary"
-_OUT = "kind int, h1 long, doc_id long, seq int, lo long, n long"
+_OUT = "kind int, h1 long, doc_id long, seq long, lo long, n long"
 
 
 # -- rolling hashes ----------------------------------------------------------------------
@@ -161,7 +161,7 @@ class _Docs:
 
     def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return (np.array([i is None for i in self.ids], np.uint8), np.array([i or 0 for i in self.ids], np.int64),
-                np.array(self.seqs, np.int32))
+                np.array(self.seqs, np.int64))
 
 
 def _dealt(buckets: int, *groups: tuple[str, np.ndarray, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +241,14 @@ def _first_digit(buckets: int, hot_runs: int, segment: int, flush_bytes: int):
 def _table(kind: np.ndarray, h1: np.ndarray, null: np.ndarray, ids: np.ndarray, seq: np.ndarray, lo: np.ndarray,
            n: np.ndarray) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.int32()), "h1": pa.array(h1.view(np.int64)),
-                     "doc_id": pa.array(ids, mask=null.astype(bool)), "seq": pa.array(seq, pa.int32()),
+                     "doc_id": pa.array(ids, mask=null.astype(bool)), "seq": pa.array(seq, pa.int64()),
                      "lo": pa.array(lo), "n": pa.array(n)})
 
 
 def _group_runs(t: pa.Table) -> pa.Table:
     """One bucket of the first digit: spans of repeats, and the runs that go on (``HOT`` by window, ``COLD`` by anchor)."""
-    h1, h2, hot, null, ids, seq, lo, n = unpack(t["rows"].to_pylist(), "QQBBqiqq")
-    spans = unpack(t["spans"].to_pylist(), "Bqiqq")
+    h1, h2, hot, null, ids, seq, lo, n = unpack(t["rows"].to_pylist(), "QQBBqqqq")
+    spans = unpack(t["spans"].to_pylist(), "Bqqqq")
     (marked,) = unpack(t["extra"].to_pylist(), "Q")
     order, later = _later(h1, h2, _ranks(null, ids, seq), lo)
     gone, first = order[later], order[~later]
@@ -324,9 +324,9 @@ def _last_digit(buckets: int, segment: int, flush_bytes: int):
 
 def _group_windows(t: pa.Table) -> pa.Table:
     """One bucket of the last digit: spans of all windows that have an equal before them."""
-    w1, w2, null, ids, seq, lo = unpack(t["rows"].to_pylist(), "QQBqiq")
-    spans = unpack(t["spans"].to_pylist(), "Bqiqq")
-    rnull, rids, rseq, rlo, rn, data = unpack(t["extra"].to_pylist(), "BqiqqB")
+    w1, w2, null, ids, seq, lo = unpack(t["rows"].to_pylist(), "QQBqqq")
+    spans = unpack(t["spans"].to_pylist(), "Bqqqq")
+    rnull, rids, rseq, rlo, rn, data = unpack(t["extra"].to_pylist(), "BqqqqB")
     size = rn + WINDOW - 1
     run = np.repeat(np.arange(len(rn)), rn)
     step = np.arange(rn.sum()) - np.repeat(np.cumsum(rn) - rn, rn)
@@ -385,7 +385,7 @@ def _squeeze(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), squeezed(b.column(2))], names=["doc_id", "seq", "z"])
-    return docs.mapInArrow(run, "doc_id long, seq int, z binary")
+    return docs.mapInArrow(run, "doc_id long, seq long, z binary")
 
 
 def _unsqueezed(fn, at: int):
@@ -423,16 +423,12 @@ def _leads(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
         lead = counted_join(lead, twice, on, "left_anti").unionByName(
             counted_join(lead, twice, on, "left_semi").dropDuplicates(["doc_id", "sha"]))
-    # Different texts under one id.
+    # Different texts under one id are told apart by their digest's first 60 bits.
     texts = narrow.select("doc_id", "sha").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    texts = texts.select(F.col("doc_id").alias("_id")).checkpoint()
-    if texts.isEmpty():
-        return lead.select("doc_id", F.lit(0).alias("seq"), "text"), again
-    seqs = (counted_join(narrow, texts, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-            .select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"),
-                    F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY sha)").alias("seq")).checkpoint())
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("sha").eqNullSafe(F.col("_sha"))
-    return counted_join(lead, seqs, on, "left").select("doc_id", F.coalesce("seq", F.lit(0)).alias("seq"), "text"), again
+    texts = texts.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_many")).checkpoint()
+    digest = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long")
+    seq = F.when(F.col("_many"), digest).otherwise(F.lit(0).cast("long")).alias("seq")
+    return counted_join(lead, texts, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", seq, "text"), again
 
 
 def _by_document(runs: DataFrame, *fields: str) -> DataFrame:

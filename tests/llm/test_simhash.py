@@ -86,8 +86,36 @@ def test_any_two_near_fingerprints_share_a_block(spark):
             y ^= 1 << b
         pairs.append([v - (1 << 64) if v >> 63 else v for v in (x, y)])
     df = spark.createDataFrame(pairs, "x long, y long")
-    n = df.filter(F.arrays_overlap(simhash.block_keys(F.col("x"), 4), simhash.block_keys(F.col("y"), 4))).count()
-    assert n == len(pairs)
+    for blocks in (5, 6, 7, 8):
+        keys = [simhash.block_keys(F.col(c), 4, blocks) for c in "xy"]
+        assert df.filter(F.arrays_overlap(*keys)).count() == len(pairs)
+
+
+def test_more_rows_more_key_bits():
+    assert [simhash.blocks_for(10 ** n, 4) for n in (3, 6, 8, 10, 12)] == [5, 5, 6, 7, 8]
+
+
+def test_links_do_not_depend_on_the_number_of_blocks(spark):
+    rng = random.Random(9)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for x in list(fps):
+        for _ in range(3):
+            y = x
+            for b in rng.sample(range(64), rng.randint(1, 5)):
+                y ^= 1 << b
+            fps.add(y)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in fps], "fp long")
+    want = groups(fps)
+    for shard_rows in (2048, 0):  # 0: as many blocks as there may be
+        got = {r.node & ((1 << 64) - 1): r.root for r in components(simhash.links(df, shard_rows=shard_rows)).collect()}
+        parts = {}
+        for v, w in zip(fps, want):
+            parts.setdefault(w, set()).add(v)
+        found = {}
+        for v in fps:
+            found.setdefault(got.get(v, v - (1 << 64) if v >> 63 else v), set()).add(v)
+        assert sorted(map(sorted, found.values())) == sorted(map(sorted, parts.values()))
 
 
 def test_keep_one(spark, frame):
