@@ -63,12 +63,13 @@ def verdicts(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     """(url, day, n_block, n_allow): active entries for each distinct capture that any entry covers."""
     seen = (captures.select(F.col(url).alias("url"), F.col(fetched).cast("date").alias("day"))
             .filter("url IS NOT NULL AND day IS NOT NULL").distinct())
-    span = seen.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    span = seen.agg(F.struct(F.min("day").alias("first"), F.max("day").alias("last"))).scalar()
+    first, last = span.getField("first"), span.getField("last")
     keyed = seen.withColumn("month", F.trunc("day", "month")).withColumn("pattern", F.explode(url_keys(F.col("url"))))
     # Intervals by month of the captures' time range: a (pattern, list, month) has 31 rows at most.
-    intervals = (validity(entries).join(F.broadcast(span))  # one row
-                 .withColumn("from", F.greatest("since", "first"))
-                 .withColumn("to", F.least(F.coalesce(F.date_sub("until", 1), "last"), "last"))
+    intervals = (validity(entries)
+                 .withColumn("from", F.greatest("since", first))
+                 .withColumn("to", F.least(F.coalesce(F.date_sub("until", 1), last), last))
                  .filter(F.col("from") <= F.col("to"))
                  .withColumn("month", F.explode(F.sequence(F.trunc("from", "month"), F.trunc("to", "month"),
                                                            F.expr("interval 1 month"))))
