@@ -74,19 +74,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def input_signature(spark: SparkSession, path: str) -> str:
-    """Change detector for an input file or folder: path, length and time of
-    every file, by one listing call per folder."""
+def _listing(spark: SparkSession, path: str) -> list[dict[str, str]]:
+    """Path, length and time of what a folder holds (or of the file itself), by one call."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    digest, folders = hashlib.sha1(), [p]
+    said = jvm.scala.runtime.ScalaRunTime.stringOf(fs.listStatus(p))
+    return [dict(x.split("=", 1) for x in status.split("; ") if "=" in x) for status in said.split("FileStatus{")[1:]]
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``."""
+    return [f["path"].rstrip("/").rsplit("/", 1)[-1] for f in _listing(spark, path) if f["isDirectory"] == "true"]
+
+
+def input_signature(spark: SparkSession, path: str) -> str:
+    """Change detector for an input file or folder: path, length and time of
+    every file, by one listing call per folder."""
+    digest, folders = hashlib.sha1(), [path]
     while folders:
-        listing = jvm.scala.runtime.ScalaRunTime.stringOf(fs.listStatus(folders.pop()))
-        for status in sorted(listing.split("FileStatus{")[1:]):
-            field = dict(x.split("=", 1) for x in status.split("; ") if "=" in x)
-            if field.get("isDirectory") == "true":
-                folders.append(jvm.org.apache.hadoop.fs.Path(field["path"]))
+        for f in sorted(_listing(spark, folders.pop()), key=lambda f: f["path"]):
+            if f["isDirectory"] == "true":
+                folders.append(f["path"])
             else:
-                digest.update(f"{field['path']}|{field['length']}|{field['modification_time']}\n".encode())
+                digest.update(f"{f['path']}|{f['length']}|{f['modification_time']}\n".encode())
     return digest.hexdigest()

@@ -36,7 +36,7 @@ from pyspark.sql.streaming import StreamingQuery
 from caudal import schema as S
 from caudal.functions.columns import lit_date
 from caudal.plans.publish import publish
-from caudal.session import build_session, shared_dir
+from caudal.session import build_session, shared_dir, subfolders
 from caudal.sources.ledger import Ledger, load_ledger
 from caudal.sources.sinks import read_report
 
@@ -58,15 +58,19 @@ def write_extract(moves: DataFrame, inbox: str, seq: int, day: date) -> None:
      .write.mode("append").partitionBy(*EXTRACT).parquet(inbox))
 
 
+def _newest(spark: SparkSession, path: str, column: str) -> str | None:
+    values = [f.split("=", 1)[1] for f in subfolders(spark, path) if f.startswith(f"{column}=")]
+    return max(values, key=lambda v: (len(v), v), default=None)  # numbers and ISO dates alike
+
+
 def newest_extract(spark: SparkSession, inbox: str) -> tuple[DataFrame, date] | None:
-    """Moves and date of the newest extract in ``inbox``; only its folder is read."""
-    every = spark.read.schema(EXTRACT_SCHEMA).parquet(inbox)
-    # Partition columns only: answered from the folder names, one row per folder.
-    last = every.agg(F.max(F.struct(*EXTRACT)).alias("x")).select("x.*").first()
-    if last.extract_seq is None:
+    """Moves and date of the newest extract in ``inbox``: found by its folder's name, and only that is read."""
+    seq = _newest(spark, inbox, "extract_seq")
+    day = seq and _newest(spark, f"{inbox}/extract_seq={seq}", "extract_date")
+    if not day:
         return None
-    moves = every.filter((F.col("extract_seq") == last.extract_seq) & (F.col("extract_date") == lit_date(last.extract_date)))
-    return moves.drop(*EXTRACT), last.extract_date
+    return (spark.read.schema(S.MOVES_SCHEMA).parquet(f"{inbox}/extract_seq={seq}/extract_date={day}"),
+            date.fromisoformat(day))
 
 
 def start_refresh(spark: SparkSession, inbox: str, workdir: str,
