@@ -73,16 +73,20 @@ _CONTEXTS: dict[tuple[str, str, S.Params], Ctx] = {}
 def context(spark: SparkSession, sf_dir: str, p: S.Params = PARAMS) -> Ctx:
     """One context per application, state of the input files and parameters: the
     staged frames are plans only, so every query of a session shares them."""
-    key = (spark.sparkContext.applicationId, ledger_signature(spark, sf_dir, p.as_of), p)
+    key = (spark.sparkContext.applicationId, ledger_signature(spark, sf_dir), p)
     if key not in _CONTEXTS:
         _CONTEXTS[key] = Ctx(spark, sf_dir, p)
     return _CONTEXTS[key]
 
 
-def materialise(spark: SparkSession, sf_dir: str, p: S.Params = PARAMS) -> None:
-    """Write the mapped ledger of ``sf_dir`` for the queries of this session and later ones to read."""
-    ctx = Ctx(spark, sf_dir, p, raw=materialise_ledger(spark, sf_dir, p.as_of))
-    _CONTEXTS[spark.sparkContext.applicationId, ledger_signature(spark, sf_dir, p.as_of), p] = ctx
+def materialise(spark: SparkSession, sf_dir: str, *params: S.Params) -> None:
+    """Write the mapped ledger of ``sf_dir`` for the queries of this session and
+    later ones to read (default: with the balances of all registered dates)."""
+    params = params or tuple(dict.fromkeys(p for _, p in _REGISTRY.values()))
+    materialise_ledger(spark, sf_dir, *dict.fromkeys(p.as_of for p in params))
+    signature = ledger_signature(spark, sf_dir)
+    for key in [k for k in _CONTEXTS if k[1] == signature]:
+        del _CONTEXTS[key]  # plans over the mapping
 
 
 def to_output(df: DataFrame) -> DataFrame:

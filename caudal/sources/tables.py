@@ -182,11 +182,11 @@ def _write(df: DataFrame, path: str, sort_col: str, partition_cols: tuple[str, .
 # -- the materialised copy -----------------------------------------------------------
 
 
-def ledger_signature(spark: SparkSession, sf_dir: str, as_of: date) -> str:
-    """Names the mapped ledger of these input files (path, length and time of each) and this date."""
+def ledger_signature(spark: SparkSession, sf_dir: str) -> str:
+    """Names the ledger of these input files, by path, length and time of each."""
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
     sig = "|".join(input_signature(spark, p) for p in inputs)
-    return hashlib.sha1(f"{sig}|{as_of.isoformat()}|v8".encode()).hexdigest()[:16]
+    return hashlib.sha1(f"{sig}|v9".encode()).hexdigest()[:16]
 
 
 def _mapped(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
@@ -195,57 +195,61 @@ def _mapped(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
     return Ledger(moves, payments, map_journals(spark, sf_dir, as_of))
 
 
-def _base(spark: SparkSession, signature: str) -> str:
-    return f"{shared_dir(spark)}/caudal/ledger/{signature}"
+def _base(spark: SparkSession, sf_dir: str) -> str:
+    return f"{shared_dir(spark)}/caudal/ledger/{ledger_signature(spark, sf_dir)}"
 
 
 def _with_periods(schema: T.StructType, *cols: str) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(c, T.StringType()) for c in cols)])
 
 
-def _written(spark: SparkSession, base: str) -> Ledger | None:
-    """The copy under ``base``, if its last table, the manifest, has its row.
+def _read_moves(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(_with_periods(S.MOVES_SCHEMA, S.INVOICE_PERIOD)).parquet(f"{base}/moves")
 
-    A write that died half way has no committed manifest row, whatever
-    folders and marker files it left.
-    """
-    if not path_exists(spark, f"{base}/manifest"):
-        return None
-    if spark.read.schema("signature string").parquet(f"{base}/manifest").isEmpty():
+
+def _committed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:
+    """A small table that was written by one task and has rows. A write that died
+    half way has none, whatever folders and marker files it left."""
+    if not path_exists(spark, path):
         return None
-    return Ledger(
-        spark.read.schema(_with_periods(S.MOVES_SCHEMA, S.INVOICE_PERIOD)).parquet(f"{base}/moves"),
-        spark.read.schema(_with_periods(PAYMENTS_MAPPED, S.PAYMENT_PERIOD)).parquet(f"{base}/payments"),
-        spark.read.schema(S.JOURNALS_SCHEMA).parquet(f"{base}/journals"))
+    df = spark.read.schema(schema).parquet(path)
+    return None if df.isEmpty() else df
+
+
+def _balances(base: str, as_of: date) -> str:
+    return f"{base}/journals/as_of={as_of.isoformat()}"
 
 
 def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
-    """Raw ledger of the given tables: the materialised copy of exactly these
-    files if :func:`materialise_ledger` wrote one, else the mapping itself, as
-    a plan. Never writes."""
-    return _written(spark, _base(spark, ledger_signature(spark, sf_dir, as_of))) or _mapped(spark, sf_dir, as_of)
+    """Raw ledger of the given tables: what :func:`materialise_ledger` wrote of
+    exactly these files, and the mapping itself, as a plan, for the rest. Never writes."""
+    base, mapped = _base(spark, sf_dir), _mapped(spark, sf_dir, as_of)
+    journals = _committed(spark, _balances(base, as_of), S.JOURNALS_SCHEMA)
+    if _committed(spark, f"{base}/manifest", "signature string") is not None:
+        payments = spark.read.schema(_with_periods(PAYMENTS_MAPPED, S.PAYMENT_PERIOD)).parquet(f"{base}/payments")
+        mapped = Ledger(_read_moves(spark, base), payments, mapped.journals)
+    return Ledger(mapped.moves, mapped.payments, mapped.journals if journals is None else journals)
 
 
-def materialise_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
-    """Write the mapped ledger once into the shared folder, so that reports read
-    a pruned, pushed-down Parquet scan instead of the joins.
+def materialise_ledger(spark: SparkSession, sf_dir: str, *as_of: date) -> None:
+    """Write the mapped ledger once into the shared folder, and its balances at
+    each date, so that reports read a pruned, pushed-down Parquet scan instead
+    of the joins.
 
     Partitioned by type and invoice period (type filters and the look-back
     window prune folders) and sorted by invoice date inside each file (row-group
-    statistics skip the rest of the window). A no-op when the copy of these
-    very files is there.
+    statistics skip the rest of the window). The manifest comes last. What is
+    there of these very files already is left as it is.
     """
-    signature = ledger_signature(spark, sf_dir, as_of)
-    base = _base(spark, signature)
-    have = _written(spark, base)
-    if have is not None:
-        return have
-    mapped = _mapped(spark, sf_dir, as_of)
-    _write(mapped.moves, f"{base}/moves", "invoice_date", S.LEDGER_PARTITIONS)
+    base = _base(spark, sf_dir)
+    for day in as_of:
+        if _committed(spark, _balances(base, day), S.JOURNALS_SCHEMA) is None:
+            map_journals(spark, sf_dir, day).coalesce(1).write.mode("overwrite").parquet(_balances(base, day))
+    if _committed(spark, f"{base}/manifest", "signature string") is not None:
+        return
+    moves = map_moves(spark, sf_dir).withColumn(S.INVOICE_PERIOD, F.date_format("invoice_date", S.PERIOD_PATTERN))
+    _write(moves, f"{base}/moves", "invoice_date", S.LEDGER_PARTITIONS)
     # Payments come from the moves just written, not from the joins again.
-    moves = spark.read.schema(_with_periods(S.MOVES_SCHEMA, S.INVOICE_PERIOD)).parquet(f"{base}/moves")
-    paid = map_payments(moves).withColumn(S.PAYMENT_PERIOD, F.date_format("date", S.PERIOD_PATTERN))
+    paid = map_payments(_read_moves(spark, base)).withColumn(S.PAYMENT_PERIOD, F.date_format("date", S.PERIOD_PATTERN))
     _write(paid, f"{base}/payments", "date", S.PAYMENT_PARTITIONS)
-    mapped.journals.coalesce(1).write.mode("overwrite").parquet(f"{base}/journals")
-    spark.createDataFrame([(signature,)], "signature string").write.mode("overwrite").parquet(f"{base}/manifest")
-    return _written(spark, base)
+    spark.createDataFrame([(base,)], "signature string").coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest")

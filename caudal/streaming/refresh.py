@@ -126,7 +126,7 @@ def refresh_stream_query(spark: SparkSession, sf_dir: str, report: str = "aging_
     from caudal.sources.tables import ledger_signature, mapped_ledger
 
     p = catalog.PARAMS
-    key = spark.sparkContext.applicationId, ledger_signature(spark, sf_dir, p.as_of)
+    key = spark.sparkContext.applicationId, ledger_signature(spark, sf_dir)
     if key not in _RUNS:
         raw = mapped_ledger(spark, sf_dir, p.as_of)
         workdir = f"{shared_dir(spark)}/caudal/stream/{uuid.uuid4().hex}"
