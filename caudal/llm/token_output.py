@@ -86,9 +86,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def _pieces(path: str, capacity: int, shards: int, kind: str):
     """Rows (doc_id, text) to (shard, doc_id, piece, start, ids)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = 0  # rows of this task so far: deals equal pieces apart, and a rerun of the task alike
         for batch in batches:
             row, piece, ids, shard, size = [], [], [], [], 0
+            doc = batch.column(0).to_pylist()
 
             def flush() -> pa.RecordBatch:
                 return pa.RecordBatch.from_pydict({
@@ -101,9 +101,9 @@ def _pieces(path: str, capacity: int, shards: int, kind: str):
                 step = capacity * np.dtype(kind).itemsize
                 for k, at in enumerate(range(0, len(all_ids), step)):
                     row.append(i), piece.append(k), ids.append(all_ids[at:at + step])
-                    shard.append(zlib.crc32(ids[-1], serial) % shards)
+                    # By id and content: copies go apart, and a rerun of the task deals alike.
+                    shard.append(zlib.crc32(ids[-1], zlib.crc32(f"{doc[i]}/{k}".encode())) % shards)
                     size += len(ids[-1])
-                    serial += 1
                 if size > 8 << 20:
                     yield flush()
                     row, piece, ids, shard, size = [], [], [], [], 0
