@@ -34,7 +34,8 @@ from caudal.llm import tokens
 from caudal.session import shared_dir
 
 CAPACITY = 4096
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+ROW_GROUP_BYTES = 16 << 20
 
 
 class RoomTree:
@@ -104,7 +105,7 @@ def _pieces(path: str, capacity: int, shards: int, kind: str):
                     # By id and content: copies go apart, and a rerun of the task deals alike.
                     shard.append(zlib.crc32(ids[-1], zlib.crc32(f"{doc[i]}/{k}".encode())) % shards)
                     size += len(ids[-1])
-                if size > 8 << 20:
+                if size > 2 << 20:
                     yield flush()
                     row, piece, ids, shard, size = [], [], [], [], 0
             yield flush()
@@ -125,6 +126,7 @@ def _pack_shard(capacity: int, kind: str):
         ids = t["ids"].to_pylist()
         doc, piece, start = (t[c].to_pylist() for c in ("doc_id", "piece", "start"))
         shard, rows = t["shard"][0].as_py(), []
+        del t
         lengths = np.array([len(x) // width for x in ids], np.int64)
         for s, members in enumerate(best_fit_decreasing(lengths, capacity)):
             ends = np.cumsum(lengths[members]).tolist()
@@ -153,7 +155,7 @@ def write_sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text: st
     (docs.mapInArrow(_pieces(vocabulary, capacity, shards, kind),
                      "shard long, doc_id long, piece int, start long, ids binary")
      .groupBy("shard").applyInArrow(_pack_shard(capacity, kind), _SCHEMA)
-     .write.option("compression", "zstd").parquet(path))
+     .write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path))
 
 
 def read_segments(spark: SparkSession, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -164,7 +166,7 @@ def read_segments(spark: SparkSession, path: str, capacity: int = CAPACITY) -> D
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             out = []
             for seq, ids, cu, *segments in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 row = np.frombuffer(ids, kind[len(ids) // capacity]).astype("<u4")
