@@ -50,7 +50,7 @@ from caudal.session import shared_dir
 WINDOW = 100
 SEGMENT = 1 << 18
 FLUSH_BYTES = 16 << 20
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 HOT_RUNS = 8
 _POSITION = np.uint64((1 << 24) - 1)
 
