@@ -49,8 +49,8 @@ from caudal.session import shared_dir
 
 WINDOW = 100
 SEGMENT = 1 << 18
-FLUSH_BYTES = 16 << 20
-GROUP_BYTES = 4 << 20
+FLUSH_BYTES = 32 << 20
+GROUP_BYTES = 8 << 20
 HOT_RUNS = 8
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -392,7 +392,7 @@ def _unsqueezed(fn, at: int):
     """``fn`` over batches whose column ``at`` is text again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def texts() -> Iterator[pa.RecordBatch]:
-            for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
+            for b in batches:
                 text = pa.array(plain(b.column(at)), pa.string())
                 yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
         yield from fn(texts())
