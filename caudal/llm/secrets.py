@@ -8,7 +8,11 @@ expression of literals and references. Constants propagate: a literal first
 given to a harmless name is judged by every name it later flows into,
 concatenations included. A literal is reported when the sensitivity of its
 target name times its own strength reaches ``MIN_SCORE`` and no base span
-holds it already.
+holds it already. Blanks and text of one character class lower the strength,
+but not under names of full weight, whose usual values are such. Triple-quoted
+and backquoted literals run over lines, and so does one in double quotes that
+closes at the end of a line of its paragraph. A PEM block is one literal with
+its label as a target name, assigned to another or not.
 
 Statements are found from their operators, so prose without ``:`` or ``=``
 is never lexed, and the work on a text is linear in its length.
@@ -35,6 +39,7 @@ from pyspark.sql import types as T
 KINDS = ("assign", "access", "hex", "literal")
 MIN_SCORE = 0.5
 MARK = "[REDACTED]"
+BLANK_CUT, CLASS_CUT = 0.7, 0.8
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.ASCII | re.IGNORECASE)
@@ -55,6 +60,9 @@ _BARE = re.compile(r"[\w+/.=@%~!^-]+")
 _REFERENCE = re.compile(r"\$\{(\w+)\}|\$(\w+)|%\((\w+)\)s|\{\{\s*(\w+)\s*\}\}")
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\Z")
 _CONCAT = re.compile(r"[ \t]*(?:\+|\.\.|\.|&|\|\|)?[ \t]*")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9][A-Z0-9 ]*)-----")
+_PEM_BODY = re.compile(r"(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*")
+_LAST_IN_LINE = re.compile(r"[ \t]*[,;)\]}]*[ \t]*\r?(?:\n|\Z)")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 Literal = tuple[int, int]
@@ -77,28 +85,47 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHTS.get(p, 0.0) for p in parts + pairs), default=0.0)
 
 
-def literal_strength(value: str) -> float:
-    """0 to 1: length, variety of character classes and entropy; 0 for prose and placeholders."""
-    if len(value) < 8 or any(c.isspace() for c in value) or any(p in value.lower() for p in PLACEHOLDERS):
-        return 0.0
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    if classes < 2:
+def literal_strength(value: str, weight: float = 1.0) -> float:
+    """0 to 1: length, variety of character classes and entropy, lowered for blanks and for one
+    class only unless the name has full ``weight``; 0 for short text and placeholders."""
+    if len(value) < 8 or any(p in value.lower() for p in PLACEHOLDERS):
         return 0.0
+    classes = sum(any(f(c) for c in value) for f in (
+        str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum() and not c.isspace()))
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, 0.25 * (classes - 1) + entropy / 5 + min(n, 32) / 64)
+    strength = min(1.0, 0.25 * max(classes - 1, 0) + entropy / 5 + min(n, 32) / 64)
+    if weight < 1.0:
+        strength *= (BLANK_CUT if any(c.isspace() for c in value) else 1.0) * (CLASS_CUT if classes < 2 else 1.0)
+    return strength if classes else 0.0
+
+
+def pem_blocks(text: str) -> dict[int, tuple[int, str]]:
+    """Start of each PEM block that has a body: its end and label. One without an END line ends with its base64."""
+    out, heads = {}, list(_PEM.finditer(text))
+    for m, after in zip(heads, [*heads[1:], None]):
+        tail = f"-----END {m[1]}-----"
+        stop = text.find(tail, m.end(), after.start() if after else len(text))
+        end = stop + len(tail) if stop >= 0 else _PEM_BODY.match(text, m.end()).end()
+        if re.search(r"[A-Za-z0-9+/=]{16}", text[m.end():end if stop < 0 else stop]):
+            out[m.start()] = end, m[1]
+    return out
 
 
 class _Lexer:
     def __init__(self, text: str):
         self.text = text
-        self.line_end = -1
-
-    def _eol(self, at: int) -> int:
-        if at > self.line_end:
-            end = self.text.find("\n", at)
-            self.line_end = len(self.text) if end < 0 else end
-        return self.line_end
+        self.reach: dict[str, tuple[int, int]] = {}
+        self.pems = pem_blocks(text)
+
+    def _next(self, what: str, at: int) -> int:
+        """Where ``what`` is next from ``at`` on (the text's length if nowhere); remembered between two calls' places."""
+        begin, end = self.reach.get(what, (0, -1))
+        if not begin <= at <= end:
+            end = self.text.find(what, at)
+            end = len(self.text) if end < 0 else end
+            self.reach[what] = at, end
+        return end
 
     def _identifier_before(self, at: int, floor: int) -> tuple[str, int]:
         """The name that ends at ``at`` (blanks, quotes and brackets skipped) and where it begins."""
@@ -120,29 +147,47 @@ class _Lexer:
             return self._identifier_before(back - 1, floor)[0] or name
         return name
 
-    def quoted(self, at: int) -> int:
-        """End of the string literal that opens at ``at``, or -1 if its line closes none."""
-        t, quote, end = self.text, self.text[at], self._eol(at)
-        i = at + 1
-        while 0 <= (i := t.find(quote, i, end)):
+    def _closing(self, at: int, quote: str, end: int) -> int:
+        """The next ``quote`` in ``at`` to ``end`` that no backslash escapes, or -1."""
+        t, i = self.text, at
+        while (i := self._next(quote, i)) < end:
             back = i
-            while t[back - 1] == "\\" and back - 1 > at:
+            while back > at and t[back - 1] == "\\":
                 back -= 1
             if (i - back) % 2 == 0:
                 return i
             i += 1
         return -1
 
+    def quoted(self, at: int) -> tuple[int, int, int] | None:
+        """Begin and end of the string literal whose quote is at ``at``, and where its closing quote ends; None if
+        none closes it."""
+        quote, size = self.text[at], 1
+        if quote != "`" and self.text.startswith(quote * 3, at):
+            quote, size = quote * 3, 3
+        begin = at + size
+        if size == 3 or quote == "`":
+            end = self._closing(begin, quote, len(self.text))
+        else:
+            end = self._closing(begin, quote, self._next("\n", begin))
+            if end < 0 and quote == '"':
+                end = self._closing(begin, quote, self._next("\n\n", begin))
+                end = end if end >= 0 and _LAST_IN_LINE.match(self.text, end + 1) else -1
+        return None if end < 0 else (begin, end, end + size)
+
     def operands(self, at: int) -> tuple[list[Literal | str], int]:
         """Literals (spans) and references (names) of the expression at ``at``, and its end."""
         t, out = self.text, []
         while at < len(t):
             if t[at] in "\"'`":
-                if (end := self.quoted(at)) < 0:
+                if not (literal := self.quoted(at)):
                     break
-                ref = _REFERENCE.fullmatch(t, at + 1, end)
-                out.append(next(g for g in ref.groups() if g) if ref else (at + 1, end))
-                at = end + 1
+                ref = _REFERENCE.fullmatch(t, *literal[:2])
+                out.append(next(g for g in ref.groups() if g) if ref else literal[:2])
+                at = literal[2]
+            elif at in self.pems:
+                out.append((at, self.pems[at][0]))
+                at = self.pems[at][0]
             elif m := _REFERENCE.match(t, at):
                 out.append(next(g for g in m.groups() if g))
                 at = m.end()
@@ -185,19 +230,26 @@ def literal_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, in
             continue
         known[name] = list(dict.fromkeys(literals))
         if weight := name_weight(name):
-            strength = literal_strength("".join(text[s:e] for s, e in known[name]))
+            strength = literal_strength("".join(text[s:e] for s, e in known[name]), weight)
             for span in known[name]:
                 if weight * strength >= min_score:
                     scores[span] = max(scores.get(span, 0.0), weight * strength)
         if len(parts) == 1 and isinstance(parts[0], tuple) and text[at] in "\"'`":
             floor = end  # operators inside a plain quoted literal are its text
+    reach, i, held = 0, 0, sorted(scores)
+    for s, (e, label) in lex.pems.items():
+        while i < len(held) and held[i][0] <= s:
+            reach = max(reach, held[i][1])
+            i += 1
+        if e > reach and (weight := name_weight(label)) >= min_score:
+            scores[s, e] = weight
     return [(s, e, score) for (s, e), score in sorted(scores.items()) if e > s]
 
 
 def all_spans(text: str) -> list[tuple[int, int, int, int]]:
     """Base spans plus the method's literals that no base span holds."""
     base = base_spans(text)
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "-----BEGIN " not in text:
         return base
     out, reach, i = [], -1, 0
     for s, e, _ in literal_spans(text):
