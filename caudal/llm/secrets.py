@@ -12,7 +12,9 @@ holds it already. Blanks and text of one character class lower the strength,
 but not under names of full weight, whose usual values are such. Triple-quoted
 and backquoted literals run over lines, and so does one in double quotes that
 closes at the end of a line of its paragraph. A PEM block is one literal with
-its label as a target name, assigned to another or not.
+its label as a target name, assigned to another or not. Each element of a list,
+tuple, set or call, and each ``- item`` line below a ``name:``, is a literal of
+the target by itself; a plural name weighs as its singular.
 
 Statements are found from their operators, so prose without ``:`` or ``=``
 is never lexed, and the work on a text is linear in its length.
@@ -63,6 +65,11 @@ _CONCAT = re.compile(r"[ \t]*(?:\+|\.\.|\.|&|\|\|)?[ \t]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9][A-Z0-9 ]*)-----")
 _PEM_BODY = re.compile(r"(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*")
 _LAST_IN_LINE = re.compile(r"[ \t]*[,;)\]}]*[ \t]*\r?(?:\n|\Z)")
+_OPENER = re.compile(r"[ \t]*(?:(?:new[ \t]+)?[\w.]*(?:<\w+>)?\[\][\w.*]*[ \t]*(?=\{))?[(\[{]")
+_KEY = re.compile(r"""(?:"[^"\n]*"|'[^'\n]*'|[\w.$-]+)(?:[ \t]*(?:=>|:=|:(?!:))|[ \t]+=[ \t]|=(?![=,)\]}\s]))""")
+_GAP = re.compile(r"(?:\s|#[^\n]*|//[^\n]*|/\*.{0,200}?\*/)*")
+_ITEM = re.compile(r"[ \t]*(?:#[^\n]*)?(?:\r?\n[ \t]*(?:#[^\n]*)?)*\n[ \t]*-[ \t]+(?=\S)")
+_REST = re.compile(r"[^\n,)\]}\"'`:=\w]*")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 Literal = tuple[int, int]
@@ -82,7 +89,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 def name_weight(name: str) -> float:
     parts = [p.lower() for p in _CAMEL.findall(name)]
     pairs = [a + b for a, b in zip(parts, parts[1:])]
-    return max((NAME_WEIGHTS.get(p, 0.0) for p in parts + pairs), default=0.0)
+    return max((NAME_WEIGHTS.get(p) or NAME_WEIGHTS.get(p.removesuffix("s"), 0.0) for p in parts + pairs), default=0.0)
 
 
 def literal_strength(value: str, weight: float = 1.0) -> float:
@@ -117,6 +124,7 @@ class _Lexer:
         self.text = text
         self.reach: dict[str, tuple[int, int]] = {}
         self.pems = pem_blocks(text)
+        self.read = 0
 
     def _next(self, what: str, at: int) -> int:
         """Where ``what`` is next from ``at`` on (the text's length if nowhere); remembered between two calls' places."""
@@ -176,7 +184,8 @@ class _Lexer:
         return None if end < 0 else (begin, end, end + size)
 
     def operands(self, at: int) -> tuple[list[Literal | str], int]:
-        """Literals (spans) and references (names) of the expression at ``at``, and its end."""
+        """Literals (spans) and references (names) of the expression at ``at``, and its end; inside a literal of a
+        list that was read, a bare word ends it."""
         t, out = self.text, []
         while at < len(t):
             if t[at] in "\"'`":
@@ -195,6 +204,8 @@ class _Lexer:
                 word = m[0].rstrip(".=")
                 out += [word, (at, at + len(word))] if _IDENT.match(word) else [(at, at + len(word))] if word else []
                 at = m.end()
+                if at < self.read:
+                    break
             else:
                 break
             joint = _CONCAT.match(t, at)
@@ -203,38 +214,134 @@ class _Lexer:
             at = joint.end()
         return out, at
 
+    def called(self, parts: list[Literal | str], end: int) -> bool:
+        """Whether ``parts`` end with the name of a call at ``end``; one of letters only is taken from them."""
+        t = self.text
+        if t[end:end + 1] != "(" or not t[end - 1].isalnum():
+            return False
+        if len(parts) > 1 and isinstance(parts[-2], str) and parts[-2].replace(".", "").isalpha():
+            del parts[-2:]
+        return True
+
+    def listed(self, at: int) -> tuple[list[list[Literal | str]], int]:
+        """The elements, nested ones included, of the list, tuple or call that opens at ``at``, and where reading
+        ended: after its close, at a nested statement, or at text that no list has."""
+        t, out, depth = self.text, [], 0
+        while at < len(t):
+            if t[at] in "([{":
+                depth += 1
+                at = _GAP.match(t, at + 1).end()
+                continue
+            if t[at] in ")]}":
+                depth -= 1
+                at += 1
+                if not depth:
+                    break
+            elif t[at] == ",":
+                at = _GAP.match(t, at + 1).end()
+                continue
+            elif _KEY.match(t, at):
+                break
+            else:
+                parts, end = self.operands(at)
+                call = end > at and self.called(parts, end)
+                out += [parts] if parts else []
+                at = end
+                if call:
+                    continue
+            at = _GAP.match(t, at).end()
+            if at < len(t) and t[at] not in ",)]}":
+                at = _REST.match(t, at).end()  # an operator and what it takes, to the next element of the line
+                if t[at:at + 1] not in (",", ")", "]", "}"):
+                    break
+        return out, at
 
-def literal_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the literals that flow into sensitive names."""
-    lex, known, scores, floor = _Lexer(text), {}, {}, 0
-    for op in _OP.finditer(text):
-        if op[0] not in _ASSIGNING or op.start() < floor:
-            continue
-        name = lex.target(op.start(), floor)
-        at = op.end()
-        while at < len(text) and text[at] in " \t([":
+    def items(self, at: int) -> tuple[list[list[Literal | str]], int]:
+        """The ``- item`` lines that follow the one of ``at``, up to another kind of line or a nested statement."""
+        out = []
+        while (m := _ITEM.match(self.text, at)) and not _KEY.match(self.text, m.end()):
+            parts, at = self.operands(m.end())
+            out += [parts] if parts else []
+            at = self._next("\n", max(at, m.end()))
+        return out, at
+
+    def elements(self, at: int, op: str) -> tuple[list[list[Literal | str]], int]:
+        """The expressions right of the operator that ends at ``at``, and the end of the first.
+
+        What a list holds is read once: an operator inside a list's literal gets no list of its own.
+        """
+        t = self.text
+        while at < len(t) and t[at] in " \t":
+            at += 1
+        opener = _OPENER.match(t, at) if at >= self.read else None
+        if not opener:
+            while at < len(t) and t[at] in " \t([":
+                at += 1
+            first, end = self.operands(at)
+            if at < self.read:
+                return [first] if first else [], end
+            if first:
+                more, self.read = self.listed(end) if self.called(first, end) else ([], self.read)
+                return [x for x in (first, *more) if x], end
+            out, self.read = self.items(at) if op == ":" else ([], self.read)
+            return out, at
+        out, self.read = self.listed(opener.end() - 1)
+        at = opener.end()
+        while at < len(t) and t[at] in " \t([":
             at += 1
-        parts, end = lex.operands(at)
+        return out, self.operands(at)[1]
+
+
+def _groups(text: str, elements: list[list[Literal | str]], known: dict[str, list[tuple[Literal, ...]]]) -> list[tuple[Literal, ...]]:
+    """The literals of each of ``elements`` as one group; those of a name that holds several groups come beside it."""
+    out, seen = [], set()
+    for parts in elements:
         literals: list[Literal] = []
         i = 0
         while i < len(parts):
             if isinstance(parts[i], str):
                 bare = parts[i + 1] if i + 1 < len(parts) and isinstance(parts[i + 1], tuple) and \
                     text[parts[i + 1][0]:parts[i + 1][1]] == parts[i] else None
-                literals += known.get(parts[i], [bare] if bare else [])
+                held = known.get(parts[i], [(bare,)] if bare else [])
+                if len(held) == 1:
+                    literals += held[0]
+                elif parts[i] not in seen:
+                    seen.add(parts[i])
+                    out += held
                 i += 2 if bare else 1
             else:
                 literals.append(parts[i])
                 i += 1
-        if not name or not literals:
+        out += [tuple(dict.fromkeys(literals))] if literals else []
+    return list(dict.fromkeys(out))
+
+
+def literal_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the literals that flow into sensitive names."""
+    lex, scores, floor = _Lexer(text), {}, 0
+    known: dict[str, list[tuple[Literal, ...]]] = {}
+    judged: dict[int, tuple[list[tuple[Literal, ...]], float]] = {}
+    for op in _OP.finditer(text):
+        if op[0] not in _ASSIGNING or op.start() < floor:
+            continue
+        name = lex.target(op.start(), floor)
+        elements, end = lex.elements(op.end(), op[0])
+        parts = elements[0] if len(elements) == 1 else []
+        if parts and parts[0] in known and parts[1:] in ([], [(end - len(parts[0]), end)]):
+            groups = known[parts[0]]  # one name for another: shared, not copied
+        else:
+            groups = _groups(text, elements, known)
+        if not name or not groups:
             continue
-        known[name] = list(dict.fromkeys(literals))
-        if weight := name_weight(name):
-            strength = literal_strength("".join(text[s:e] for s, e in known[name]), weight)
-            for span in known[name]:
-                if weight * strength >= min_score:
+        known[name] = groups
+        if (weight := name_weight(name)) > judged.get(id(groups), (None, 0.0))[1]:
+            judged[id(groups)] = groups, weight
+            for group in groups:
+                strength = literal_strength("".join(text[s:e] for s, e in group), weight)
+                for span in group if weight * strength >= min_score else ():
                     scores[span] = max(scores.get(span, 0.0), weight * strength)
-        if len(parts) == 1 and isinstance(parts[0], tuple) and text[at] in "\"'`":
+        if elements and len(elements[0]) == 1 and isinstance(elements[0][0], tuple) and \
+                text[elements[0][0][0] - 1] in "\"'`":
             floor = end  # operators inside a plain quoted literal are its text
     reach, i, held = 0, 0, sorted(scores)
     for s, (e, label) in lex.pems.items():

@@ -84,6 +84,32 @@ def test_literals_with_blanks_one_class_or_lines(text, literals):
     assert all(x not in S.redact_text(text) for x in literals)
 
 
+A, B, C = "Zx9kk3j4pp0Q", "Qw8rr2m5tt1Z", "Lm3bb7v9ss2K"
+
+
+@pytest.mark.parametrize("text,literals", [
+    (f'client_secret_keys = ["{A}", "{B}"]', [A, B]), (f"passwords = ('{A}', '{B}', '{C}')", [A, B, C]),
+    (f'passwords = [\n  "{A}",  # first\n  "{B}",\n]\nx = "{C}"', [A, B]), (f'tokens = [["a", "{A}"], ["b", "{B}"]]', [A, B]),
+    (f'{{"apiKeys": ["{A}", "{B}"], "other": ["{C}"]}}', [A, B]), (f"secrets := []string{{\"{A}\", \"{B}\"}}", [A, B]),
+    (f'credentials = frozenset({{"{A}", "{B}"}})', [A, B]), (f'db_pwd = pick("{A}", "{B}")', [A, B]), (f"accessKeys: [{A}, {B}]", [A, B]),
+    (f'connect("{C}", db_pwd="{A}", colour="{B}")', [A]), (f'db_pwds = ["{A[:6]}" + "{A[6:]}", f("x"), "{B}"]', [A[:6], A[6:], B]),
+    (f"tokens: {A}", [A]), (f"passwords:\n  - {A}\n  # more\n  - '{B}'  # last\nother:\n  - {C}\n", [A, B]),
+    (f"users:\n  - name: bob\n    pwd: {A}\n  - name: eve\n    pwd: {B}\n", [A, B]),
+    (f'a = ["{A}", "{B}"]\nb = a\npwd = b', [A, B]), (f'cmd = ["mysql", "--db-pwd={A}", "--x={B}"]', [A]), (f"pwd = [] \nx = ['{A}']", []),
+    (f"The tokens: (see below, {A}", []), (f"colours = ['{A}', '{B}']", []), (f"pwd = '{A}', '{B}'", [A]),
+])
+def test_literals_of_lists(text, literals):
+    spans = [x for x in S.all_spans(text) if x[1] == 3]
+    assert [text[s:e] for s, _, e, _ in spans] == literals
+    assert all(x not in S.redact_text(text) for x in literals)
+
+
+def test_plural_names():
+    for name in S.NAME_WEIGHTS:
+        assert S.name_weight(name + "s") == S.name_weight(name) > 0
+    assert S.name_weight("db_api_keys") == 1.0 and S.name_weight("keys") == 0.0
+
+
 def test_redaction(frame):
     df = frame([(1, TEXTS[3]), (2, "clean"), (3, None), (4, "export DB_PWD=s3cr3tValue99")]).withColumn("spans", F.lit(7))
     out = S.redact(df)
