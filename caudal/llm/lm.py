@@ -1,10 +1,12 @@
 """Language-model scores of documents by stupid backoff over the corpus's own counts.
 
-A word's score after another is the bigram's count over the first word's
-count, or ``BACKOFF`` times the word's share of all words where the bigram is
-unknown. Counts are taken over the whole corpus less the scored document
-itself, so that a text is not judged by its own words. A word unknown to the
-rest of the corpus counts as ``UNSEEN`` occurrences.
+A word's score after the ``order - 1`` words before it (fewer at a text's
+start) is the n-gram's count over its context's count, or where the n-gram is
+unknown ``BACKOFF`` times the score after one word less, down to the word's
+share of all words. Counts are taken over the whole corpus less the scored
+document itself, so that a text is not judged by its own words. A word unknown
+to the rest of the corpus counts as ``UNSEEN`` occurrences. ``n_backoff``
+counts the words that no n-gram of the full order gave.
 
 The count tables are partitioned by hash range. Documents are dealt into
 groups of about ``group_bytes``; a group's n-grams are counted once, joined
@@ -37,15 +39,19 @@ from caudal.session import shared_dir
 
 BACKOFF = 0.4
 UNSEEN = 0.5
+ORDER = 3  # of the registered query
 GROUP_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 
 
-def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, their text numbers, bigram hashes, places of their second words)."""
+def _ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(text numbers of the words, for each length up to ``order`` the n-grams' hashes and the places of their last words)."""
     h, of = token_hashes(texts)
-    second = np.flatnonzero(of[1:] == of[:-1]) + 1 if len(h) else np.empty(0, np.int64)
-    return h, of, grams(h, 2)[second - 1], second
+    out = [(h, np.arange(len(h)))]
+    for m in range(2, order + 1):
+        last = np.flatnonzero(of[m - 1:] == of[:1 - m]) + m - 1 if len(h) >= m else np.empty(0, np.int64)
+        out.append((grams(h, m)[last - m + 1], last))
+    return of, out
 
 
 def _ranges(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -53,36 +59,38 @@ def _ranges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _counted(buckets: int):
+def _counted(buckets: int, order: int):
     """One group of documents: its distinct n-grams and their counts, a row for each hash range it has any in."""
     def run(t: pa.Table) -> pa.Table:
-        h, _, pairs, _ = _ngrams(plain(t["z"]))
+        _, found = _ngrams(plain(t["z"]), order)
         parts: dict[int, list[np.ndarray]] = {}
-        for k, x in ((0, h), (2, pairs)):
+        for k, (x, _) in zip(range(0, 2 * order, 2), found):
             values, n = np.unique(x, return_counts=True)
             at = _ranges(values, buckets)
             cuts = np.flatnonzero(np.diff(at)) + 1
             for part, count in zip(np.split(values, cuts), np.split(n.astype(np.uint32), cuts)):
                 if len(part):
-                    row = parts.setdefault(int(_ranges(part[:1], buckets)[0]), [np.empty(0, np.uint64), np.empty(0, np.uint32)] * 2)
+                    row = parts.setdefault(int(_ranges(part[:1], buckets)[0]), [np.empty(0, np.uint64), np.empty(0, np.uint32)] * order)
                     row[k:k + 2] = [np.diff(part, prepend=np.uint64(0)), count]
         return pa.table({"g": pa.array([t["g"][0].as_py()] * len(parts), pa.int64()), "bucket": pa.array(list(parts), pa.int64()),
                          "z": pa.array([pack(*row) for row in parts.values()], pa.binary())})
     return run
 
 
-def _summed(t: pa.Table) -> pa.Table:
+def _summed(order: int):
     """One hash range: the whole corpus's count of each n-gram, sent back to every group that has it."""
-    groups = [unpack_one(z.as_py(), "QIQI") for z in t["z"]]
-    totals = []
-    for k in (0, 2):
-        x = [np.cumsum(g[k], dtype=np.uint64) for g in groups]
-        values, inverse = np.unique(np.concatenate(x), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([g[k + 1] for g in groups]), len(values)).astype(np.int64)
-        totals.append(np.split(n[inverse], np.cumsum([len(v) for v in x])[:-1]))
-    words = [int(g[1].sum(dtype=np.int64)) for g in groups]
-    return pa.table({"g": t["g"].combine_chunks(), "bucket": t["bucket"].combine_chunks(),
-                     "z": pa.array([pack(u, b) for u, b in zip(*totals)], pa.binary()), "words": pa.array(words, pa.int64())})
+    def run(t: pa.Table) -> pa.Table:
+        groups = [unpack_one(z.as_py(), "QI" * order) for z in t["z"]]
+        totals = []
+        for k in range(0, 2 * order, 2):
+            x = [np.cumsum(g[k], dtype=np.uint64) for g in groups]
+            values, inverse = np.unique(np.concatenate(x), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([g[k + 1] for g in groups]), len(values)).astype(np.int64)
+            totals.append(np.split(n[inverse], np.cumsum([len(v) for v in x])[:-1]))
+        words = [int(g[1].sum(dtype=np.int64)) for g in groups]
+        return pa.table({"g": t["g"].combine_chunks(), "bucket": t["bucket"].combine_chunks(),
+                         "z": pa.array([pack(*x) for x in zip(*totals)], pa.binary()), "words": pa.array(words, pa.int64())})
+    return run
 
 
 def _own(doc: np.ndarray, gram: np.ndarray, n_grams: int) -> np.ndarray:
@@ -91,24 +99,27 @@ def _own(doc: np.ndarray, gram: np.ndarray, n_grams: int) -> np.ndarray:
     return counts[inverse]
 
 
-def _scored(total: int, backoff: float, unseen: float):
+def _scored(total: int, order: int, backoff: float, unseen: float):
     """One group's documents and the totals of its n-grams, to scores."""
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        h, of, pairs, second = _ngrams(plain(docs["z"]))
-        back = [unpack_one(z.as_py(), "qq") for z in counts.sort_by("bucket")["z"]]
-        all1, all2 = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in back)]) for i in (0, 1))
-        words, w = np.unique(h, return_inverse=True)
-        both, p = np.unique(pairs, return_inverse=True)
-        assert len(words) == len(all1) and len(both) == len(all2)
+        of, found = _ngrams(plain(docs["z"]), order)
+        back = [unpack_one(z.as_py(), "q" * order) for z in counts.sort_by("bucket")["z"]]
         size = np.bincount(of, minlength=docs.num_rows)
-        c1 = all1[w] - _own(of, w, len(words))
-        c2 = all2[p] - _own(of[second], p, len(both))
         rest = np.maximum(total - size, 1)[of]
-        score = np.log(np.maximum(c1, unseen) / rest)
-        known = c2 > 0
-        score[second[~known]] += np.log(backoff)
-        hit = second[known]
-        score[hit] = np.log(c2[known] / c1[hit - 1])
+        for m, (x, last) in enumerate(found):
+            values, gram = np.unique(x, return_inverse=True)
+            all_ = np.concatenate([np.empty(0, np.int64), *(b[m] for b in back)])
+            assert len(values) == len(all_)
+            count = np.zeros(len(of), np.int64)
+            count[last] = all_[gram] - _own(of[last], gram, len(values))
+            if m == 0:
+                score, hit = np.log(np.maximum(count, unseen) / rest), last
+            else:
+                known = count[last] > 0
+                hit = last[known]
+                score[last[~known]] += np.log(backoff)
+                score[hit] = np.log(count[hit] / shorter[hit - 1])
+            shorter = count
         unknown = size.copy()
         np.subtract.at(unknown, of[hit], 1)
         sums = np.bincount(of, score, docs.num_rows).astype(np.float64)
@@ -118,8 +129,11 @@ def _scored(total: int, backoff: float, unseen: float):
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", backoff: float = BACKOFF,
-          unseen: float = UNSEEN, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+          unseen: float = UNSEEN, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES,
+          order: int = 2) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score, n_backoff) per row; natural logarithms."""
+    if order < 1:
+        raise ValueError("order must be 1 at least")
     shared_dir(docs.sparkSession)
     bytes_ = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups, ranges = (max(1, -(-bytes_ // b)) for b in (group_bytes, range_bytes))
@@ -132,9 +146,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", backoff:
     g = F.pmod(F.xxhash64(F.col(text), F.col(id_col), F.spark_partition_id()), F.lit(groups))
     rows = (docs.select(g.alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
             .mapInArrow(squeeze, "g long, doc_id long, z binary"))
-    counts = written(rows.groupBy("g").applyInArrow(_counted(ranges), "g long, bucket long, z binary")
-                     .groupBy("bucket").applyInArrow(_summed, "g long, bucket long, z binary, words long"))
+    counts = written(rows.groupBy("g").applyInArrow(_counted(ranges, order), "g long, bucket long, z binary")
+                     .groupBy("bucket").applyInArrow(_summed(order), "g long, bucket long, z binary, words long"))
     total = counts.agg(F.sum("words")).first()[0] or 0
     return (rows.groupBy("g").cogroup(counts.select("g", "bucket", "z").groupBy("g")).applyInArrow(
-        _scored(total, backoff, unseen),
+        _scored(total, order, backoff, unseen),
         "doc_id long, n_words long, log_score double, mean_log_score double, n_backoff long"))

@@ -60,3 +60,40 @@ def test_empty_and_single(frame):
     (r,) = lm.score(frame([(1, "only one here")])).collect()
     assert (r.n_words, r.n_backoff) == (3, 3)
     assert {r.log_score for r in lm.score(frame([(1, None), (2, "")])).collect()} == {0.0}
+
+
+def brute_order(rows, order):
+    docs = [words(t) for _, t in rows]
+
+    def counted(w):
+        return Counter(tuple(w[k:k + m]) for m in range(1, order + 1) for k in range(len(w) - m + 1))
+
+    every, out = sum(map(counted, docs), Counter()), []
+    total = sum(map(len, docs))
+    for (i, _), w in zip(rows, docs):
+        own, s, back = counted(w), 0.0, 0
+        for k in range(len(w)):
+            for m in range(min(order, k + 1), 0, -1):
+                gram = tuple(w[k - m + 1:k + 1])
+                n = every[gram] - own[gram]
+                if m == 1:
+                    s += math.log(max(n, lm.UNSEEN) / max(total - len(w), 1))
+                elif n > 0:
+                    s += math.log(n / (every[gram[:-1]] - own[gram[:-1]]))
+                    break
+                else:
+                    s += math.log(lm.BACKOFF)
+            back += m < order
+        out.append((str(i), len(w), back, s))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("order,group_bytes,range_bytes", [(3, lm.GROUP_BYTES, lm.RANGE_BYTES), (3, 900, 2500), (4, 5000, 900), (1, 900, 2500)])
+def test_orders_match_direct_count(frame, order, group_bytes, range_bytes):
+    got = sorted((str(r.doc_id), r.n_words, r.n_backoff, r.log_score) for r in lm.score(
+        frame(sample()), group_bytes=group_bytes, range_bytes=range_bytes, order=order).collect())
+    want = brute_order(sample(), order)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want], rel=1e-9)
+    if order < 4:
+        assert lm.score(frame([(1, "x")]).filter("doc_id > 1"), order=order).collect() == []
