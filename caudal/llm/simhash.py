@@ -15,7 +15,8 @@ lost.
 
 Branches of more than ``leaf_rows`` fingerprints (a block value that a third
 of all rows may share) are split by distributed vantage points, one level per
-round, before any task sees them. A leaf yields a spanning forest of its
+round, before any task sees them; a leaf with more queries than that, or a
+branch that no level split, is dealt into cells of bounded size. A leaf yields a spanning forest of its
 links, never all its pairs; components come from :mod:`caudal.llm.components`.
 
 Defined results. A null or wordless text has fingerprint 0 and is linked like
@@ -289,19 +290,51 @@ def _split(big: DataFrame, max_bits: int, leaf_rows: int, levels: int) -> DataFr
     return out
 
 
+def _cells(rows: DataFrame, leaf_rows: int) -> DataFrame:
+    """``rows`` (key, fp, home) with every key of more than ``leaf_rows`` home or query rows dealt into cells.
+
+    Home and query rows fall into blocks of about ``leaf_rows``; each home
+    block meets every later block (and itself) in a cell of its own, as home
+    there, so all pairs are compared that the key had.
+    """
+    blocks = [F.ceil(F.count_if(x) / F.lit(leaf_rows)).cast("int") for x in (F.col("home"), ~F.col("home"))]
+    big = (rows.groupBy("key").agg(blocks[0].alias("hb"), blocks[1].alias("qb"))
+           .filter((F.col("hb") > 1) | (F.col("qb") > 1)).checkpoint())
+    if big.isEmpty():
+        return rows
+    hb, home, hash_ = F.col("hb"), F.col("home"), F.xxhash64("fp", F.lit(leaf_rows))
+    block = F.when(home, F.pmod(hash_, hb)).otherwise(hb + F.pmod(hash_, F.greatest("qb", F.lit(1)))).cast("int")
+    wide = counted_join(rows, big, ["key"], "inner").withColumns({"block": block, "last": hb + F.col("qb") - 1})
+    block, earlier = F.col("block"), F.least("block", "hb")
+
+    def cell(i: Column, c: Column, is_home: bool) -> Column:
+        return F.struct(i.alias("i"), c.alias("c"), F.lit(is_home).alias("home"))
+
+    none = F.filter(F.array(cell(block, block, True)), lambda x: F.lit(False))
+    as_home = F.when(home, F.transform(F.sequence(F.least(block + 1, F.col("last")), F.col("last")),
+                                       lambda c: cell(block, c, True))).otherwise(none)
+    as_query = F.when(earlier > 0, F.transform(F.sequence(F.lit(0), F.greatest(earlier - 1, F.lit(0))),
+                                               lambda i: cell(i, block, False))).otherwise(none)
+    dealt = (wide.select("key", "fp", F.explode(F.concat(as_home, as_query)).alias("x"))
+             .select(F.xxhash64("key", "x.i", "x.c").alias("key"), "fp", F.col("x.home").alias("home")))
+    return counted_join(rows, big.select("key"), ["key"], "left_anti").unionByName(dealt)
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS, task_rows: int = TASK_ROWS,
           shard_rows: int = SHARD_ROWS, levels: int = 12) -> DataFrame:
     """Edges (a, b) that span every component of distinct fingerprints ``fp`` within ``max_bits`` bits."""
     blocks = blocks_for(fps.count(), max_bits, shard_rows)
     shards = fps.select("fp", F.explode(block_keys(F.col("fp"), max_bits, blocks)).alias("key"), F.lit(True).alias("home"))
     sizes = shards.groupBy("key").count()
-    hot = sizes.filter(F.col("count") > leaf_rows).select("key").checkpoint()
+    hot = sizes.filter(F.col("count") > leaf_rows).checkpoint()
     total = sizes.agg(F.sum("count")).first()[0] or 0
-    tasks = max(1, -(-total // task_rows))
     small = shards
     if not hot.isEmpty():
-        small = counted_join(shards, hot, ["key"], "left_anti").unionByName(
-            _split(counted_join(shards, hot, ["key"], "left_semi"), max_bits, leaf_rows, levels))
+        keys = hot.select("key")
+        split = _cells(_split(counted_join(shards, keys, ["key"], "left_semi"), max_bits, leaf_rows, levels), leaf_rows)
+        total += split.count() - hot.agg(F.sum("count")).first()[0]
+        small = counted_join(shards, keys, ["key"], "left_anti").unionByName(split)
+    tasks = max(1, -(-total // task_rows))
     grouped = small.select("key", "fp", "home", F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"))
     return grouped.groupBy("task").applyInArrow(_task(max_bits), "a long, b long")
 

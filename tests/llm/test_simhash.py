@@ -140,3 +140,28 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1001)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("levels", [12, 1])
+def test_dense_cluster_goes_in_bounded_cells(spark, monkeypatch, levels):
+    from itertools import combinations as pairs
+
+    leaf, centre = 16, 0x0F0F_3C3C_55AA_7711
+    fps = [centre] + [centre ^ (1 << i) for i in range(24)] + [centre ^ (1 << i) ^ (1 << j) for i, j in pairs(range(24), 2)]
+    sent = []
+    whole = simhash._cells
+    monkeypatch.setattr(simhash, "_cells", lambda rows, n: sent.append((rows, whole(rows, n))) or sent[0][1])
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    roots = components(simhash.links(df, leaf_rows=leaf, levels=levels)).collect()
+    assert len(roots) == len(fps) and len({r.root for r in roots}) == 1
+    before, after = ({r.key: (r.h, r.q) for r in d.groupBy("key").agg(
+        F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("q")).collect()} for d in sent[0])
+    assert max(map(max, before.values())) > 4 * leaf >= max(map(max, after.values()))
+
+    def compared(d):
+        by = {}
+        for r in d.collect():
+            by.setdefault(r.key, ([], []))[0 if r.home else 1].append(r.fp)
+        return {frozenset((x, y)) for h, q in by.values() for x in h for y in h + q if x != y}
+
+    assert compared(sent[0][1]) == compared(sent[0][0])
