@@ -10,9 +10,10 @@ whoever delivers it::
 Each extract is complete: it replaces the one before, so a document that is
 cancelled, unposted or out of the window is gone with the next. A Structured
 Streaming file source watches the inbox. A micro-batch only says that there is
-something new; the job then reads the newest extract from the inbox itself,
-payments and journals afresh, and publishes all reports under the extract's own
-date. There is no state besides the source's log of files: nothing to lose, to
+something new; the job then reads the newest extract of each date the batch
+holds from the inbox itself, payments and journals afresh, and publishes all
+reports under the extract's own date (with a fixed ``as_of``, those of the
+newest extract of all). An older extract of a date is superseded. There is no state besides the source's log of files: nothing to lose, to
 merge or to compact, and a replayed or restarted batch publishes the same
 again. What a tick writes is the reports, whatever the ledger's size.
 
@@ -73,6 +74,22 @@ def newest_extract(spark: SparkSession, inbox: str) -> tuple[DataFrame, date] |
             date.fromisoformat(day))
 
 
+def newest_extracts(spark: SparkSession, inbox: str, held: list[tuple[int, date]]) -> list[tuple[DataFrame, date]]:
+    """Moves and date of the newest extract in ``inbox`` of each date in ``held`` (numbers and dates), oldest first.
+
+    Folders older than those in ``held`` are not listed.
+    """
+    days, least = {day for _, day in held}, min((seq for seq, _ in held), default=0)
+    found: dict[date, tuple[int, str]] = {}
+    for f in subfolders(spark, inbox):
+        if f.startswith("extract_seq=") and (seq := int(f.split("=", 1)[1])) >= least:
+            for g in subfolders(spark, f"{inbox}/{f}"):
+                if g.startswith("extract_date=") and (day := date.fromisoformat(g.split("=", 1)[1])) in days:
+                    found[day] = max(found.get(day, (seq, "")), (seq, f"{inbox}/{f}/{g}"))
+    return [(spark.read.schema(S.MOVES_SCHEMA).parquet(path), day)
+            for day, (_, path) in sorted(found.items(), key=lambda x: (x[1][0], x[0]))]
+
+
 def start_refresh(spark: SparkSession, inbox: str, workdir: str,
                   extras: Callable[[SparkSession], Ledger], p: S.Params | None = None, as_of: date | None = None,
                   available_now: bool = False, every: str = "5 minutes",
@@ -87,13 +104,15 @@ def start_refresh(spark: SparkSession, inbox: str, workdir: str,
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        found = newest_extract(session, inbox)
-        if found is None:
-            return
-        moves, day = found
-        now = extras(session)
-        params = replace(p or S.Params(as_of=day), as_of=as_of or day)
-        publish(session, Ledger(moves, now.payments, now.journals), out, params)
+        if as_of:  # one folder of reports, of the newest extract
+            newest = newest_extract(session, inbox)
+            found = [newest] if newest else []
+        else:
+            found = newest_extracts(session, inbox, [tuple(r) for r in batch.select(*EXTRACT).distinct().collect()])
+        now = extras(session) if found else None
+        for moves, day in found:
+            params = replace(p or S.Params(as_of=day), as_of=as_of or day)
+            publish(session, Ledger(moves, now.payments, now.journals), out, params)
 
     reader = spark.readStream.schema(EXTRACT_SCHEMA)
     if files_per_batch:

@@ -195,6 +195,17 @@ def test_stream_takes_the_extracts_date_and_fresh_journals(spark, make_moves, jo
         assert (b.saldo_liquido, b.cxc_vencida) == (balance, overdue)
 
 
+def test_every_waiting_date_is_published(spark, make_moves, journals):
+    """Three extracts wait at the first tick: each date gets its newest one's reports."""
+    work, next_day = _work(spark, "waiting"), AS_OF + timedelta(days=1)
+    extras = Ledger(None, spark.createDataFrame([], S.PAYMENTS_SCHEMA), journals)
+    for seq, (day, residual) in enumerate(((AS_OF, "20.00"), (AS_OF, "30.00"), (next_day, "40.00"))):
+        write_extract(make_moves([move(1, residual=residual)]), f"{work}/inbox", seq, day)
+    _tick(spark, work, extras)
+    for day, total in ((AS_OF, 30.0), (next_day, 40.0)):
+        assert sum(r.monto for r in read_report(spark, f"{work}/reports", "aging_report", day).collect()) == total
+
+
 def test_a_tick_writes_reports_only(spark, make_moves, journals):
     """Whatever came in, nothing but the checkpoint and the reports is on disk, and no state of the moves."""
     work = _work(spark, "bytes")
