@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caudal.llm import (alignment, decontaminate, exact_dedup, lm, packing, quality, secrets, simhash, suffix_dedup,
-                        token_output, url_lists, warc)
+from caudal.llm import (alignment, decontaminate, exact_dedup, lm, packing, quality, secrets, simhash, spelling,
+                        suffix_dedup, token_output, url_lists, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,11 +68,15 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_url_lists, op5_warc_round_trip,
         op6_quality_rules, op7_lm_scoring, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output,
-        op11_cross_tokenizer_alignment, op12_exact_dedup)}
+        op11_cross_tokenizer_alignment, op12_exact_dedup, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
