@@ -31,11 +31,13 @@ table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -49,7 +51,7 @@ from caudal.llm.tokens import _byte_letters
 
 CHUNK_BYTES = 32 << 10
 FAN = 8
-MEMO_UNITS = 200_000
+MEMO_UNITS = 300_000
 MEMO_CHARS = 8 << 20
 BATCH_CHARS = 1 << 20
 BLANK = "▁"
@@ -131,129 +133,171 @@ def units_of(text: str) -> list[str]:
     return _SAFE_PLACE.split(text) if _ODD_SPACE.search(text) else _UNIT.findall(text)
 
 
+def _byte_level(path: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
+    """A function that encodes by the byte-level BPE at ``path``, and the bytes of its ids.
+
+    Where each merge makes the next id, as in this family of vocabularies, ids
+    are ranks and the file's vocabulary runs on tiktoken's merging, several
+    times as fast with the same ids. Other files go through their own library.
+    """
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    vocab, merges = said["model"]["vocab"], said["model"]["merges"]
+    letters = {c: b for b, c in _byte_letters().items()}
+    of = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        of[i] = bytes(letters[c] for c in token)
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in merges)
+    plain = said["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if plain and said["normalizer"] is None and len(vocab) == len(merges) + 256 and all(
+            vocab["".join(pair)] == 256 + i for i, pair in enumerate(pairs)):
+        ranks = {token: i for i, token in enumerate(of)}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                 special_tokens={}).encode_ordinary, of
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    return lambda text: own.encode(text, add_special_tokens=False).ids, of
+
+
 class Vocabularies:
     """Both tokenizers, the bytes of their ids, and the aligned units met lately.
 
     ``table``: for each unit (numbered by ``number``) its counts of A tokens, B
     tokens, links, links that are the best of their B id, their summed counts,
-    and 1 if a tokenizer does not give the unit back.
+    and 1 if a tokenizer does not give the unit back. ``links`` has the keys of
+    unit i's links from ``link_at[i]`` on; ``groups`` the units' groups as text,
+    where wanted.
     """
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        letters = {c: b for b, c in _byte_letters().items()}
-        vocab = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.a_bytes[i] = bytes(letters[c] for c in token)
+
+        self.a, self.a_bytes = _byte_level(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("\n" in p or BLANK in p.lstrip(BLANK) for p in pieces):
             raise ValueError("a piece crosses a blank or a line end: texts cannot be cut there")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(BLANK, " ").encode()
                         for p in pieces]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.blank = self.b.piece_to_id(BLANK)
-        self.counts = None
+        self.counts, self.with_groups = None, True
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
-        self.links: list[list[int]] = []
-        self.table = np.zeros((1024, 6), np.int64)
+        self.links = np.empty(0, np.int64)
+        self.link_at = np.zeros(1, np.int64)
+        self.table = np.zeros((0, 6), np.int64)
         self.chars = 0
 
-    def use_counts(self, counts: tuple[int, np.ndarray, np.ndarray, np.ndarray] | None) -> None:
-        """Corpus-wide counts (version, sorted pair keys, their counts, whether best) for the scores."""
-        if (counts and counts[0]) != (self.counts and self.counts[0]):
-            self.counts = counts
+    def use(self, counts: tuple[str, np.ndarray, np.ndarray, np.ndarray] | None, groups: bool) -> None:
+        """Corpus-wide counts (name, sorted pair keys, their counts, whether best) for the scores; whether groups are wanted."""
+        if ((counts and counts[0]), groups) != ((self.counts and self.counts[0]), self.with_groups):
+            self.counts, self.with_groups = counts, groups
             self.forget()
 
-    def tokens(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of each unit by A and by B."""
+    def tokens(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A's ids, B's ids and how many of B's each unit has.
+
+        A unit that ends visibly can be read on from by the next one, so A takes
+        such units as one text; the others go alone.
+        """
+        run, runs = [], []
+        for unit in units:
+            run.append(unit)
+            if unit[-1].isspace():
+                runs += ["".join(run[:-1]), unit]
+                run = []
+        a = [x for text in [*runs, "".join(run)] for x in self.a(text)]
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for unit, x, y in zip(units, self.a.encode_batch(units, add_special_tokens=False), b):
+        for i, unit in enumerate(units):
             if unit == " ":
-                y = [self.blank]  # B adds its blank to nothing but a text
+                b[i] = [self.blank]  # B adds its blank to nothing but a text
             elif unit[0] != " ":
-                y = y[1:]  # no blank stands before a line end
-            yield x.ids, y
-
-    def whole(self, unit: str, a: list[int], b: list[int]) -> bool:
-        data = unit.encode()
-        return b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
-
-    def ends(self, ids: list[int], of: list[bytes], start: int = 0) -> list[tuple[int, int]]:
-        out = []
-        for i in ids:
-            start += len(of[i])
-            out.append((i, start))
-        return out
-
-    def _align(self, unit: str, a: list[int], b: list[int]) -> tuple[str, list[int]] | None:
-        """Groups of one unit as text, and the keys of its links."""
-        if not self.whole(unit, a, b):
-            return None
-        if len(a) == len(b) == 1:
-            return f"{a[0]}|{b[0]}", [a[0] << 32 | b[0]]
-        a_bytes, b_bytes, out, links = self.a_bytes, self.b_bytes, [], []
-        i = j = p = q = ahead = 0  # ahead: A's bytes less B's
-        while i < len(a) or j < len(b):
-            if ahead <= 0:
-                ahead += len(a_bytes[a[i]])
-                i += 1
-            else:
-                ahead -= len(b_bytes[b[j]])
-                j += 1
-            if ahead == 0:
-                out.append(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
-                links.append(a[i - 1] << 32 | b[j - 1])
-                p, q = i, j
-        return ";".join(out), links
+                b[i] = b[i][1:]  # no blank stands before a line end
+        return (np.array(a, np.int64), np.fromiter(chain.from_iterable(b), np.int64), np.fromiter(map(len, b), np.int64, len(b)))
+
+    def ends(self, ids: np.ndarray, sizes: np.ndarray, start: int) -> list[tuple[int, int]]:
+        return list(zip(ids.tolist(), (start + np.cumsum(sizes[ids])).tolist()))
 
     def learn(self, units: set[str]) -> None:
         """Aligns the units not yet known."""
         new = [u for u in units if u not in self.number]
         if not new:
             return
-        first = len(self.groups)
-        if first + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((first + 2 * len(new), 6), np.int64)])
-        sizes = np.zeros(len(new) + 1, np.int64)
-        for k, (unit, (a, b)) in enumerate(zip(new, self.tokens(new))):
-            self.number[unit] = first + k
-            self.chars += len(unit)
-            found = self._align(unit, a, b)
-            groups, links = found or ("", [])
-            self.groups.append(groups)
-            self.links.append(links)
-            self.table[first + k] = len(a), len(b), len(links), 0, 0, found is None
-            sizes[k + 1] = len(links)
+        first = len(self.number)
+        self.number.update(zip(new, range(first, first + len(new))))
+        self.chars += sum(map(len, new))
+        data = [u.encode() for u in new]
+        unit_ends = np.cumsum([len(d) for d in data])
+        a, b, per_b = self.tokens(new)
+        a_ends = np.cumsum(self.a_sizes[a])
+        last_a, last_b = np.searchsorted(a_ends, unit_ends, "right"), np.cumsum(per_b)
+        if len(a_ends) != last_a[-1] or (a_ends[last_a - 1] != unit_ends).any():
+            raise ValueError("A does not end a token at a safe place")
+
+        # B's sizes are summed unit by unit, for a unit that it does not give back must not shift the next.
+        b_sums = np.concatenate([[0], np.cumsum(self.b_sizes[b])])
+        starts, first_b = np.concatenate([[0], unit_ends[:-1]]), np.concatenate([[0], last_b[:-1]])
+        bad = b_sums[last_b] - b_sums[first_b] != unit_ends - starts
+        for ids, of, lasts in ((a, self.a_bytes, last_a), (b, self.b_bytes, last_b)):
+            if b"".join(map(of.__getitem__, ids.tolist())) != b"".join(data):
+                lows = [0, *lasts[:-1].tolist()]
+                bad |= [b"".join(map(of.__getitem__, ids[lo:hi].tolist())) != d for lo, hi, d in zip(lows, lasts.tolist(), data)]
+        good = ~np.repeat(bad, per_b)
+        b_places = np.flatnonzero(good)
+        b_ends = (b_sums[1:] + np.repeat(starts - b_sums[first_b], per_b))[good]
+        common, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        at_b = b_places[at_b]
+        keys = a[at_a] << 32 | b[at_b]
+        cuts = np.concatenate([[0], np.searchsorted(common, unit_ends, "right")])
+        rows = np.zeros((len(new), 6), np.int64)
+        rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 5] = np.diff(last_a, prepend=0), per_b, np.diff(cuts), bad
         if self.counts is not None:
-            _, keys, n, best = self.counts
-            links = np.array([x for links in self.links[first:] for x in links], np.int64)
-            at, cuts = np.searchsorted(keys, links), np.cumsum(sizes)
+            _, known, n, best = self.counts
             for column, values in ((3, best), (4, n)):
-                self.table[first:first + len(new), column] = np.diff(np.concatenate([[0], np.cumsum(_at(values, keys, links, at))])[cuts])
+                rows[:, column] = np.diff(np.concatenate([[0], np.cumsum(_at(values, known, keys))])[cuts])
+        if self.with_groups:
+            self.groups += self._groups(a, b, at_a, at_b, cuts, last_a, first_b)
+        self.table = np.concatenate([self.table, rows])
+        self.link_at = np.concatenate([self.link_at, len(self.links) + cuts[1:]])
+        self.links = np.concatenate([self.links, keys])
+
+    @staticmethod
+    def _groups(a, b, at_a, at_b, cuts, last_a, first_b) -> list[str]:
+        """Groups of each unit as text: the tokens behind the common end before, up to the next."""
+        a, b = [list(map(str, x.tolist())) for x in (a, b)]
+        unit = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        opens = np.zeros(len(at_a), bool)
+        opens[cuts[:-1][np.diff(cuts) > 0]] = True
+        first_a = np.concatenate([[0], last_a[:-1]])
+        from_a, from_b = (np.where(opens, first[unit], np.concatenate([[0], at[:-1] + 1]) if len(at) else at)
+                          for first, at in ((first_a, at_a), (first_b, at_b)))
+        out = [f"{a[p] if p + 1 == q else ','.join(a[p:q])}|{b[r] if r + 1 == s else ','.join(b[r:s])}"
+               for p, q, r, s in zip(from_a.tolist(), (at_a + 1).tolist(), from_b.tolist(), (at_b + 1).tolist())]
+        cuts = cuts.tolist()
+        return [out[i] if i + 1 == j else ";".join(out[i:j]) for i, j in zip(cuts, cuts[1:])]
 
     def numbers(self, units: list[str]) -> np.ndarray:
         return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
 
     @property
     def full(self) -> bool:
-        return len(self.groups) > MEMO_UNITS or self.chars > MEMO_CHARS
+        return len(self.number) > MEMO_UNITS or self.chars > MEMO_CHARS
 
 
-def _at(values: np.ndarray, keys: np.ndarray, wanted: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _at(values: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Values of the wanted keys; 0 for a key not counted (units of texts that have no tokens)."""
     if not len(keys):
         return np.zeros(len(wanted), np.int64)
-    at = np.minimum(at, len(keys) - 1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], 0)
 
 
@@ -292,21 +336,18 @@ def _counted(paths: tuple[str, str]):
     """Texts of one range each, to the counts of their linked pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(paths)
-        v.use_counts(None)
+        v.use(None, False)
         done = np.empty(0, np.int64), np.empty(0, np.int64)
         uses = np.zeros(0, np.int64)
 
         def settled() -> tuple[np.ndarray, np.ndarray]:
-            met = np.flatnonzero(uses)
-            links = [v.links[i] for i in met.tolist()]
-            keys = np.array([x for link in links for x in link], np.int64)
-            n = np.repeat(uses[met], [len(link) for link in links])
-            return _summed(np.concatenate([done[0], keys]), np.concatenate([done[1], n]))
+            n = np.repeat(uses, np.diff(v.link_at[:len(uses) + 1]))
+            return _summed(np.concatenate([done[0], v.links[n > 0]]), np.concatenate([done[1], n[n > 0]]))
 
         for batch in batches:
             for texts in _texts(batch):
                 v.learn(set().union(*(units for _, units in texts)))
-                uses = np.concatenate([uses, np.zeros(len(v.groups) - len(uses), np.int64)])
+                uses = np.concatenate([uses, np.zeros(len(v.number) - len(uses), np.int64)])
                 good = [at for at in (v.numbers(units) for _, units in texts) if not v.table[at, 5].any()]
                 uses += np.bincount(np.concatenate([np.empty(0, np.int64), *good]), minlength=len(uses))
                 if v.full:
@@ -324,7 +365,7 @@ def _scored(paths: tuple[str, str], counts):
     """Texts of one range each, to their alignment and its scores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(paths)
-        v.use_counts(counts.value)
+        v.use(counts.value, True)
         for batch in batches:
             for texts in _texts(batch):
                 v.learn(set().union(*(units for _, units in texts)))
@@ -396,11 +437,11 @@ def range_fragment(v: Vocabularies, text: str, skip: int, stop: int) -> tuple[bo
         start, place = place, place + len(unit.encode())
         if start >= skip and place <= stop:
             run.append(v.groups[i])
-            links += v.links[i]
+            links += v.links[v.link_at[i]:v.link_at[i + 1]].tolist()
             n_a, n_b = n_a + int(v.table[i, 0]), n_b + int(v.table[i, 1])
             continue
-        ids = next(v.tokens([unit]))
-        a, b = ([t for t in v.ends(x, of, start) if skip < t[1] <= stop] for x, of in zip(ids, (v.a_bytes, v.b_bytes)))
+        ids = v.tokens([unit])
+        a, b = ([t for t in v.ends(x, sizes, start) if skip < t[1] <= stop] for x, sizes in zip(ids, (v.a_sizes, v.b_sizes)))
         b_at = {end: i for i, end in b}
         links += [i << 32 | b_at[end] for i, end in a if end in b_at]
         n_a, n_b = n_a + len(a), n_b + len(b)
@@ -413,7 +454,7 @@ def _fragments(paths: tuple[str, str]):
     """Ranges to their fragments."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(paths)
-        v.use_counts(None)
+        v.use(None, True)
         for batch in batches:
             for row in range(batch.num_rows):
                 rid, doc_id, k, skip, stop, text = (batch.column(c)[row].as_py() for c in range(6))
@@ -441,8 +482,7 @@ def _with_scores(counts):
             sums = []
             for wanted, uses in zip(batch.column("keys"), batch.column("ns")):
                 wanted, uses = (np.array(x.as_py(), np.int64) for x in (wanted, uses))
-                at = np.searchsorted(keys, wanted)
-                sums.append([int((_at(x, keys, wanted, at) * uses).sum()) for x in (best, n)])
+                sums.append([int((_at(x, keys, wanted) * uses).sum()) for x in (best, n)])
             columns = [batch.column(f.name) for f in _PART[:13]]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([s[c] for s in sums], pa.int64()) for c in (0, 1))],
                                              schema=pa.schema(_PART))
