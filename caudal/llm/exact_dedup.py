@@ -29,6 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caudal.llm.joins import counted_join
 from caudal.llm.tables import written
 
 BLOCK_BYTES = 1024
@@ -112,8 +113,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     alone, shared = rows.filter("name IS NULL"), rows.filter("name IS NOT NULL")
     # A name can outlive its only document: blocks repeat within one text.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")
-    groups = shared.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("group_size"))
-    out = shared.join(groups, ["level", "name"]).select(
+    groups = written(shared.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("group_size")))
+    out = counted_join(shared, groups, ["level", "name"], "inner").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"),
         F.col("sha").alias("text_sha256"))
     return out.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
