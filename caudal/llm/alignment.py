@@ -13,7 +13,8 @@ Texts of up to ``chunk_bytes`` are one range. Longer ones are cut into ranges of
 and their fragments composed ``fan`` at a time by grouped rounds. A range is
 encoded from the last place before it to the first one behind it where no token
 of either vocabulary can cross: before a blank or line end that follows
-something visible. A piece between two such places is called a unit here; it is
+something visible, and before a stop or comma that follows a Latin letter or digit. A
+piece between two such places is called a unit here; it is
 a fragment with nothing open, and each worker remembers those it met lately. A
 range end inside a unit longer than a range moves to the unit's end.
 
@@ -56,9 +57,10 @@ MEMO_CHARS = 8 << 20
 BATCH_CHARS = 1 << 20
 BLANK = "▁"
 
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_LETTER = "[A-Za-z0-9À-ÖØ-öø-ɏ]"
+_UNIT = re.compile(rf"[ \n]*(?:[^ \n.,]+|[.,]+[^ \n.,]*)(?:(?<!{_LETTER})[.,]+[^ \n.,]*)*|[ \n]+")
 _ODD_SPACE = re.compile(r"[^\S \n]")
-_SAFE_PLACE = re.compile(r"(?<=\S)(?=[ \n])")
+_SAFE_PLACE = re.compile(rf"(?<=\S)(?=[ \n])|(?<={_LETTER})(?=[.,])")
 
 
 def default_vocabularies() -> tuple[str, str]:
@@ -129,7 +131,7 @@ def groups_of(whole: Fragment) -> str:
 
 
 def units_of(text: str) -> list[str]:
-    """``text`` cut before each blank or line end that follows something visible."""
+    """``text`` cut at its safe places."""
     return _SAFE_PLACE.split(text) if _ODD_SPACE.search(text) else _UNIT.findall(text)
 
 
@@ -142,9 +144,7 @@ def _byte_level(path: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     with open(path, encoding="utf-8") as f:
         said = json.load(f)
     vocab, merges = said["model"]["vocab"], said["model"]["merges"]
@@ -159,6 +159,9 @@ def _byte_level(path: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
         ranks = {token: i for i, token in enumerate(of)}
         return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                  special_tokens={}).encode_ordinary, of
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
     return lambda text: own.encode(text, add_special_tokens=False).ids, of
@@ -180,8 +183,8 @@ class Vocabularies:
         self.a, self.a_bytes = _byte_level(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("\n" in p or BLANK in p.lstrip(BLANK) for p in pieces):
-            raise ValueError("a piece crosses a blank or a line end: texts cannot be cut there")
+        if any("\n" in p or BLANK in p.lstrip(BLANK) or re.search(f"{_LETTER}[.,]", p) for p in pieces):
+            raise ValueError("a piece crosses a place where texts are cut")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(BLANK, " ").encode()
                         for p in pieces]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
@@ -206,22 +209,22 @@ class Vocabularies:
     def tokens(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A's ids, B's ids and how many of B's each unit has.
 
-        A unit that ends visibly can be read on from by the next one, so A takes
-        such units as one text; the others go alone.
+        Where a unit ends visibly and the next begins with a blank or line end,
+        A can read on, so it takes such units as one text.
         """
-        run, runs = [], []
+        texts, run = [], []
         for unit in units:
-            run.append(unit)
-            if unit[-1].isspace():
-                runs += ["".join(run[:-1]), unit]
+            if run and (run[-1][-1].isspace() or unit[0] not in " \n"):
+                texts.append("".join(run))
                 run = []
-        a = [x for text in [*runs, "".join(run)] for x in self.a(text)]
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+            run.append(unit)
+        a = list(chain.from_iterable(map(self.a, [*texts, "".join(run)])))
+        b = self.b.encode([u[1:] if u[0] == " " else u if u[0] == "\n" else f"a{u}" for u in units], num_threads=1)
         for i, unit in enumerate(units):
             if unit == " ":
                 b[i] = [self.blank]  # B adds its blank to nothing but a text
             elif unit[0] != " ":
-                b[i] = b[i][1:]  # no blank stands before a line end
+                b[i] = b[i][1:]  # no blank stands before a line end, and "a" is a piece of its own before a stop
         return (np.array(a, np.int64), np.fromiter(chain.from_iterable(b), np.int64), np.fromiter(map(len, b), np.int64, len(b)))
 
     def ends(self, ids: np.ndarray, sizes: np.ndarray, start: int) -> list[tuple[int, int]]:
@@ -425,29 +428,35 @@ def _plain(blob: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(blob).decode()
 
 
-def range_fragment(v: Vocabularies, text: str, skip: int, stop: int) -> tuple[bool, Fragment, int, int, list[int]]:
-    """(given back, fragment, A tokens, B tokens, link keys) of the tokens of ``text`` that end in (skip, stop]."""
+def range_fragment(v: Vocabularies, text: str, skip: int, stop: int) -> tuple[bool, Fragment, int, int, np.ndarray]:
+    """(given back, fragment, A tokens, B tokens, link keys) of the tokens of ``text`` that end in (skip, stop].
+
+    All units but the first and the last lie wholly in the range.
+    """
     units = units_of(text)
     v.learn(set(units))
-    at = v.numbers(units).tolist()
-    parts, run, n_a, n_b, links, place = [], [], 0, 0, [], 0
+    at = v.numbers(units)
     if v.table[at, 5].any():
-        return False, Fragment(), 0, 0, []
-    for unit, i in zip(units, at):
-        start, place = place, place + len(unit.encode())
-        if start >= skip and place <= stop:
-            run.append(v.groups[i])
-            links += v.links[v.link_at[i]:v.link_at[i + 1]].tolist()
-            n_a, n_b = n_a + int(v.table[i, 0]), n_b + int(v.table[i, 1])
-            continue
-        ids = v.tokens([unit])
-        a, b = ([t for t in v.ends(x, sizes, start) if skip < t[1] <= stop] for x, sizes in zip(ids, (v.a_sizes, v.b_sizes)))
-        b_at = {end: i for i, end in b}
-        links += [i << 32 | b_at[end] for i, end in a if end in b_at]
+        return False, Fragment(), 0, 0, np.empty(0, np.int64)
+    ends = np.cumsum([len(u) for u in units] if text.isascii() else [len(u.encode()) for u in units])
+    starts = np.concatenate([[0], ends[:-1]])
+    inside = (starts >= skip) & (ends <= stop)
+    mine = at[inside]
+    sizes = v.link_at[mine + 1] - v.link_at[mine]
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    links = [v.links[np.repeat(v.link_at[mine], sizes) + place]]
+    n_a, n_b = v.table[mine, :2].sum(axis=0).tolist()
+    whole = of_groups(";".join(map(v.groups.__getitem__, mine.tolist())))
+    parts = []
+    for i in np.flatnonzero(~inside).tolist():
+        a, b, _ = v.tokens([units[i]])
+        a, b = ([t for t in v.ends(x, of, int(starts[i])) if skip < t[1] <= stop] for x, of in ((a, v.a_sizes), (b, v.b_sizes)))
+        b_at = {end: x for x, end in b}
+        links.append(np.array([x << 32 | b_at[end] for x, end in a if end in b_at], np.int64))
         n_a, n_b = n_a + len(a), n_b + len(b)
-        parts += [of_groups(";".join(run)), of_tokens(a, b)]
-        run = []
-    return True, reduce(compose, [*parts, of_groups(";".join(run))]), n_a, n_b, links
+        parts.append((i, of_tokens(a, b)))
+    before, after = ([f for i, f in parts if (ends[i] > stop) == late] for late in (False, True))
+    return True, reduce(compose, [*before, whole, *after], Fragment()), n_a, n_b, np.concatenate(links)
 
 
 def _fragments(paths: tuple[str, str]):
@@ -459,7 +468,7 @@ def _fragments(paths: tuple[str, str]):
             for row in range(batch.num_rows):
                 rid, doc_id, k, skip, stop, text = (batch.column(c)[row].as_py() for c in range(6))
                 ok, f, n_a, n_b, links = range_fragment(v, text, skip, stop)
-                keys, n = _summed(np.array(links, np.int64), np.ones(len(links)))
+                keys, n = _summed(links, np.ones(len(links)))
                 values = [rid, doc_id, k, ok, f.cut, f.head_a, f.head_b, _squeeze(f.closed), f.tail_a, f.tail_b, n_a, n_b,
                           len(links), keys, n]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(values, _FRAGMENT_ARROW)],

@@ -55,7 +55,7 @@ def expected(rows):
 ODD = [None, "", " ", "\n", "  ", "\n\n", " \n ", "a", " a", "a ", "a\n", "\na", "a  b", "a \n b", "x\t\n y", "x\t y", "a\xa0\n b",
        "<|endoftext|> <s>x</s> <unk>", "<0x41>", "a▁b c d e f", "\x00a b", "a\x1c b ?\x1c !", "naïve café — ﬁn", "日本語 テキスト\n中文",
        "👩‍👩‍👧 ok", "don't 'll ''s it's", "1,234.5 67", "    four\n        eight", "tab\there", "é é", "x　y   z",
-       "antidisestablishmentarianism " * 3, "q" * 300, "\u0085 a\u0085\n b", "word." * 40]
+       "antidisestablishmentarianism " * 3, "q" * 300, "\u0085 a\u0085\n b", "word." * 40, "foo.com, 3.14,15 (x). a_.b é.,é ...x.y .a ,", "a²,b ½. 日.本，"]
 
 
 def rows():
@@ -93,7 +93,7 @@ def test_odd_texts_by_unit():
     v.use(None, True)
     v.forget()
     rng = random.Random(3)
-    texts = ["".join(rng.choices(" \n\tab.'s1é\x1c\xa0 日▁", k=rng.randint(1, 14))) for _ in range(3000)]
+    texts = ["".join(rng.choices(" \n\tab.,'s1é\x1c\xa0 日▁)²_", k=rng.randint(1, 14))) for _ in range(3000)]
     for some in (texts[:1], texts[1:200], texts[200:]):
         v.learn({u for text in some for u in A.units_of(" " + text)})
         for text in some:
