@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caudal.llm.joins import counted_join
+from caudal.llm.tables import written
 from caudal.session import shared_dir
 
 MAGIC = "WARC/1.0\r\n"
@@ -218,9 +219,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     shared_dir(spark)
     raw = _pieces(spark, path).mapInArrow(_candidates, _INDEX).checkpoint()
     # Places count from the split's first piece; a file's splits are summed in order.
-    base = (raw.groupBy("file", "block").agg(F.sum(F.col("size") + _M).alias("bytes"))
-            .withColumn("base", F.expr("sum(bytes) OVER (PARTITION BY file ORDER BY block) - bytes")).drop("bytes"))
-    rows = raw.join(base, ["file", "block"]).withColumns(
+    rows = _with_base(raw).withColumns(
         {c: F.col(c) + F.col("base") for c in ("place", "next", "exit")}).drop("base").checkpoint()
     entries = _reachable_entries(rows.select("file", "place", "exit"))
     chain = (rows.select("file", "block", "i", "place", "next")
@@ -236,39 +235,56 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             .unionByName(_reassembled(spark, path, marked), allowMissingColumns=False))
 
 
+def _with_base(pieces: DataFrame) -> DataFrame:
+    """``base``: how far into the file the first piece of each split lies, from the sizes of the pieces before it."""
+    base = (pieces.groupBy("file", "block").agg(F.sum(F.col("size") + _M).alias("bytes"))
+            .withColumn("base", F.expr("sum(bytes) OVER (PARTITION BY file ORDER BY block) - bytes")).drop("bytes"))
+    return pieces.join(base, ["file", "block"])
+
+
+_PIECE = "file string, block long, place long, size long, value binary"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for file, block, _, place, piece in _enumerated(batches):
+        yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "place": [place], "size": [len(piece)], "value": [piece]})
+
+
 def _reassembled(spark: SparkSession, path: str, marked: DataFrame) -> DataFrame:
     """Records cut by magic inside their payload, put together from their pieces.
 
     A record's pieces are those up to the next true record, so a group is one
-    record's bytes.
+    record's bytes. The files that hold such a record are split anew: Spark
+    deals splits by the cores it has at the time, so pieces of two jobs can only
+    be told by their place in the file. A record whose pieces do not reach as
+    far as its file does fails the job; one that the file itself cuts off is
+    none.
     """
+    last = marked.groupBy("file").agg(F.max(F.col("place") + F.col("size")).alias("file_end"))
     owner = F.expr("last(CASE WHEN real AND next IS NOT NULL THEN struct(place, next, whole) END, true) "
                    "OVER (PARTITION BY file ORDER BY place)")
-    wanted = (marked.withColumn("o", owner).filter("NOT o.whole AND place < o.next")
-              .select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("i").alias("_i"),
-                      F.col("place").alias("at"), F.col("o.place").alias("place"), F.col("o.next").alias("next"))
+    wanted = (marked.withColumn("o", owner).filter("NOT o.whole AND place < o.next").join(last, "file")
+              .select("file", F.col("place").alias("at"), F.col("o.place").alias("place"), F.col("o.next").alias("next"), "file_end")
               .checkpoint())
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, block, i, _, piece in _enumerated(batches):
-            yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "i": pa.array([i], pa.int32()),
-                                              "value": [piece]})
-
-    pieces = _pieces(spark, path).mapInArrow(numbered, "file string, block long, i int, value binary")
-    on = (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")) & (F.col("i") == F.col("_i"))
+    files = wanted.select("file").distinct()
+    cut = written(counted_join(_pieces(spark, path).mapInArrow(_numbered, _PIECE), files, ["file"], "left_semi"))
+    pieces = _with_base(cut).select("file", (F.col("place") + F.col("base")).alias("at"), "value")
 
     def build(t: pa.Table) -> pa.Table:
         t = t.sort_by("at")
+        file, place, after, file_end = (t[c][0].as_py() for c in ("file", "place", "next", "file_end"))
         piece = MAGIC.encode().join(t["value"].to_pylist())
-        fields, start, length = parse_head(piece)
-        whole = start + length + len(END) <= len(piece)
-        row = [t["file"][0].as_py(), t["place"][0].as_py(), t["next"][0].as_py(),
-               *_describe(fields, piece[start:start + length])]
-        return pa.Table.from_pylist([dict(zip(names, row))] if whole else [], schema=schema)
+        fields, start, length = parse_head(piece) or ({}, 0, len(piece))
+        if start + length + len(END) > len(piece):
+            if after - _M <= file_end:
+                raise ValueError(f"pieces of the record at {place} of {file} are missing")
+            return pa.Table.from_pylist([], schema=schema)
+        row = [file, place, after, *_describe(fields, piece[start:start + length])]
+        return pa.Table.from_pylist([dict(zip(names, row))], schema=schema)
 
     names = ["file", "place", "next", *_INDEX_NAMES[8:]]
     schema = pa.schema([_ARROW.field(n) for n in names])
-    return (counted_join(pieces, wanted, on, "inner").select("file", "place", "next", "at", "value")
+    return (counted_join(pieces, wanted, ["file", "at"], "inner").select("file", "place", "next", "file_end", "at", "value")
             .groupBy("file", "place").applyInArrow(build, ", ".join(
                 f"{n} {'long' if _ARROW.field(n).type == pa.int64() else 'string'}" for n in names)))
 

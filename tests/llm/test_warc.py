@@ -78,3 +78,31 @@ def test_minimum_size_of_revisits(spark, tmp_path):
                         min_revisit_bytes=3)
     kinds = {r.page_id: r.record_type for r in warc.page_records(warc.read_archives(spark, path)).collect()}
     assert kinds == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+@pytest.mark.parametrize("later", ["300", "64m"])
+def test_splits_may_change_between_jobs(spark, tmp_path, later):
+    """The cores that Spark has decide its splits; here a setting does, changed once the archive is indexed."""
+    rows = [(i, "u", ("x" + FAKE) * (i % 4) + f"page {i} " * (i % 60) if i % 3 == 0 else f"page {i} " * (i % 60)) for i in range(300)]
+    path, names = f"{tmp_path}/{uuid.uuid4().hex}", ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    warc.write_archives(pages(spark, rows), path)
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "4k" if later == "64m" else "64m")
+        records = warc.page_records(warc.read_archives(spark, path))
+        for n in names:
+            spark.conf.set(n, later)
+        assert got(records) == expected(rows)
+    finally:
+        for n in names:
+            spark.conf.set(n, old[n])
+
+
+def test_missing_pieces_fail(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    warc.write_archives(pages(spark, ROWS), path)
+    whole = warc._numbered
+    monkeypatch.setattr(warc, "_numbered", lambda batches: (b for k, b in enumerate(whole(batches)) if k % 5 != 4))
+    with pytest.raises(Exception, match="are missing|parse|NoneType"):
+        warc.read_archives(spark, path).collect()
