@@ -62,15 +62,17 @@ def _ranges(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _counted(buckets: int, order: int):
     """One group of documents: its distinct n-grams and their counts, a row for each hash range it has any in."""
     def run(t: pa.Table) -> pa.Table:
-        _, found = _ngrams(plain(t["z"]), order)
+        of, found = _ngrams(plain(t["z"]), order)
+        rows = t["rows"].to_numpy()
         parts: dict[int, list[np.ndarray]] = {}
-        for k, (x, _) in zip(range(0, 2 * order, 2), found):
-            values, n = np.unique(x, return_counts=True)
+        for k, (x, last) in zip(range(0, 2 * order, 2), found):
+            values, inverse = np.unique(x, return_inverse=True)
+            n = np.bincount(inverse, rows[of[last]], len(values))
             at = _ranges(values, buckets)
             cuts = np.flatnonzero(np.diff(at)) + 1
-            for part, count in zip(np.split(values, cuts), np.split(n.astype(np.uint32), cuts)):
+            for part, count in zip(np.split(values, cuts), np.split(n.astype(np.uint64), cuts)):
                 if len(part):
-                    row = parts.setdefault(int(_ranges(part[:1], buckets)[0]), [np.empty(0, np.uint64), np.empty(0, np.uint32)] * order)
+                    row = parts.setdefault(int(_ranges(part[:1], buckets)[0]), [np.empty(0, np.uint64), np.empty(0, np.uint64)] * order)
                     row[k:k + 2] = [np.diff(part, prepend=np.uint64(0)), count]
         return pa.table({"g": pa.array([t["g"][0].as_py()] * len(parts), pa.int64()), "bucket": pa.array(list(parts), pa.int64()),
                          "z": pa.array([pack(*row) for row in parts.values()], pa.binary())})
@@ -80,7 +82,7 @@ def _counted(buckets: int, order: int):
 def _summed(order: int):
     """One hash range: the whole corpus's count of each n-gram, sent back to every group that has it."""
     def run(t: pa.Table) -> pa.Table:
-        groups = [unpack_one(z.as_py(), "QI" * order) for z in t["z"]]
+        groups = [unpack_one(z.as_py(), "QQ" * order) for z in t["z"]]
         totals = []
         for k in range(0, 2 * order, 2):
             x = [np.cumsum(g[k], dtype=np.uint64) for g in groups]
@@ -123,7 +125,7 @@ def _scored(total: int, order: int, backoff: float, unseen: float):
         unknown = size.copy()
         np.subtract.at(unknown, of[hit], 1)
         sums = np.bincount(of, score, docs.num_rows).astype(np.float64)
-        return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "n_words": size.astype(np.int64), "log_score": sums,
+        return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "rows": docs["rows"].combine_chunks(), "n_words": size.astype(np.int64), "log_score": sums,
                          "mean_log_score": sums / np.maximum(size, 1), "n_backoff": unknown.astype(np.int64)})
     return run
 
@@ -140,15 +142,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", backoff:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), squeezed(b.column(2))], names=["g", "doc_id", "z"])
-
-    # The partition's number keeps rows equal in id and text apart.
-    g = F.pmod(F.xxhash64(F.col(text), F.col(id_col), F.spark_partition_id()), F.lit(groups))
+            # Rows equal in id and text travel and count as one: their scores are the same.
+            same: dict[tuple, int] = {}
+            first: list[int] = []
+            of = [same.setdefault(key, len(same)) for key in zip(*(b.column(c).to_pylist() for c in (1, 2)))]
+            for i, k in enumerate(of):
+                if k == len(first):
+                    first.append(i)
+            b = b.take(pa.array(first, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(np.bincount(of, minlength=len(first)), pa.int64()), squeezed(b.column(2))],
+                names=["g", "doc_id", "rows", "z"])
+
+    # By id and text alone: a group has the same rows however a later job splits the table.
+    g = F.pmod(F.xxhash64(F.col(text), F.col(id_col)), F.lit(groups))
     rows = (docs.select(g.alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-            .mapInArrow(squeeze, "g long, doc_id long, z binary"))
+            .mapInArrow(squeeze, "g long, doc_id long, rows long, z binary"))
     counts = written(rows.groupBy("g").applyInArrow(_counted(ranges, order), "g long, bucket long, z binary")
                      .groupBy("bucket").applyInArrow(_summed(order), "g long, bucket long, z binary, words long"))
     total = counts.agg(F.sum("words")).first()[0] or 0
-    return (rows.groupBy("g").cogroup(counts.select("g", "bucket", "z").groupBy("g")).applyInArrow(
+    scored = rows.groupBy("g").cogroup(counts.select("g", "bucket", "z").groupBy("g")).applyInArrow(
         _scored(total, order, backoff, unseen),
-        "doc_id long, n_words long, log_score double, mean_log_score double, n_backoff long"))
+        "doc_id long, rows long, n_words long, log_score double, mean_log_score double, n_backoff long")
+    # One row per row again, a thousand at a time.
+    lots = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / 1000).cast("int")))
+    return (scored.withColumn("lot", lots)
+            .withColumn("row", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("rows") - 1000 * F.col("lot")).cast("int"))))
+            .drop("rows", "lot", "row"))

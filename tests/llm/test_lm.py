@@ -97,3 +97,26 @@ def test_orders_match_direct_count(frame, order, group_bytes, range_bytes):
     assert [x[3] for x in got] == pytest.approx([x[3] for x in want], rel=1e-9)
     if order < 4:
         assert lm.score(frame([(1, "x")]).filter("doc_id > 1"), order=order).collect() == []
+
+
+def test_splits_may_change_between_jobs(spark, frame, tmp_path):
+    """The table is read twice; the cores that Spark has decide its splits, here a setting does, changed in between."""
+    rows = sample() + [(400, "the same text again and again")] * 40
+    frame(rows).repartition(6).write.parquet(f"{tmp_path}/docs")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        scores = lm.score(spark.read.parquet(f"{tmp_path}/docs"), group_bytes=900, range_bytes=2500)
+        for n in names:
+            spark.conf.set(n, "700")
+        got = sorted((str(r.doc_id), r.n_words, r.n_backoff, round(r.log_score, 6)) for r in scores.collect())
+    finally:
+        for n in names:
+            spark.conf.set(n, old[n])
+    assert got == [(i, n, b, round(s, 6)) for i, n, b, s in brute(rows)]
+
+
+def test_many_equal_rows(frame):
+    rows = [(7, "some words and more words")] * 2300 + [(8, "other words")]
+    got = sorted((str(r.doc_id), r.n_words, r.n_backoff, round(r.log_score, 6)) for r in lm.score(frame(rows)).collect())
+    assert got == [(i, n, b, round(s, 6)) for i, n, b, s in brute(rows)]
