@@ -3,8 +3,10 @@
 Three base patterns find spans in every whole text. The lexer then reads the
 assignment statements of whatever syntax the text holds (``name = "x"``,
 ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``, ``export NAME=x``,
-typed declarations, keyword arguments), each as a target name and an
-expression of literals and references. Constants propagate: a literal first
+typed declarations, keyword arguments, ``name <- x``, ``#define NAME x``,
+``--name x``, ``set("name", "x")``, ``<name>x</name>``, YAML blocks, and
+``name=x`` pairs inside a quoted connection string), each as a target name and
+an expression of literals and references. Constants propagate: a literal first
 given to a harmless name is judged by every name it later flows into,
 concatenations included. A literal is reported when the sensitivity of its
 target name times its own strength reaches ``MIN_SCORE`` and no base span
@@ -16,8 +18,9 @@ its label as a target name, assigned to another or not. Each element of a list,
 tuple, set or call, and each ``- item`` line below a ``name:``, is a literal of
 the target by itself; a plural name weighs as its singular.
 
-Statements are found from their operators, so prose without ``:`` or ``=``
-is never lexed, and the work on a text is linear in its length.
+Statements are found from their operators and few other signs, so prose without
+them is never lexed. A run of bare characters and a comment are read once, so
+the work on a text is linear in its length.
 
 Defined results. A null text is the empty text. Rows are scanned one by one,
 so repeated rows and ids (null ids too) give a row each; an empty table gives
@@ -32,6 +35,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import merge
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,9 +60,11 @@ NAME_WEIGHTS = {
 }
 PLACEHOLDERS = ("example", "changeme", "change_me", "placeholder", "xxxx", "your_", "your-", "dummy", "redacted", "****")
 
-_OP = re.compile(r":=|=>|->|[=!<>]=+|::+|://|[:=]")
-_ASSIGNING = {":=", "=>", ":", "="}
+_OP = re.compile(r":=|=>|->|<-|[=!<>]=+|::+|://|[:=]")
+_ASSIGNING = {":=", "=>", "<-", ":", "="}
 _BARE = re.compile(r"[\w+/.=@%~!^-]+")
+_BARE_PART = re.compile(r"[\w+/.@%~!^-]+=*(?![\w+/.@%~!^-])|[\w+/.@%~!^-]+|=+")  # of a run, up to an operator in it
+_PREFIX = re.compile(r"[rbfuRBFU]{1,2}(?=[\"'])")
 _REFERENCE = re.compile(r"\$\{(\w+)\}|\$(\w+)|%\((\w+)\)s|\{\{\s*(\w+)\s*\}\}")
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\Z")
 _CONCAT = re.compile(r"[ \t]*(?:\+|\.\.|\.|&|\|\|)?[ \t]*")
@@ -67,9 +73,18 @@ _PEM_BODY = re.compile(r"(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*")
 _LAST_IN_LINE = re.compile(r"[ \t]*[,;)\]}]*[ \t]*\r?(?:\n|\Z)")
 _OPENER = re.compile(r"[ \t]*(?:(?:new[ \t]+)?[\w.]*(?:<\w+>)?\[\][\w.*]*[ \t]*(?=\{))?[(\[{]")
 _KEY = re.compile(r"""(?:"[^"\n]*"|'[^'\n]*'|[\w.$-]+)(?:[ \t]*(?:=>|:=|:(?!:))|[ \t]+=[ \t]|=(?![=,)\]}\s]))""")
-_GAP = re.compile(r"(?:\s|#[^\n]*|//[^\n]*|/\*.{0,200}?\*/)*")
+_GAP = re.compile(r"(?:\s|#[^\n]*|//[^\n]*)*")
 _ITEM = re.compile(r"[ \t]*(?:#[^\n]*)?(?:\r?\n[ \t]*(?:#[^\n]*)?)*\n[ \t]*-[ \t]+(?=\S)")
 _REST = re.compile(r"[^\n,)\]}\"'`:=\w]*")
+# Statements without an operator: a definition, an option and its value, a name and a value as arguments.
+_DEFINE = re.compile(r"^[ \t]*#[ \t]*define[ \t]+(\w+)[ \t]+(?=\S)", re.MULTILINE)
+_OPTION = re.compile(r"(?<![\w-])--([A-Za-z][\w-]*)[ \t]+(?=[^\s-])")
+_ARGUMENTS = re.compile(r"""[\w.]\([ \t]*(["'])([A-Za-z_][\w.-]*)\1[ \t]*,[ \t]*(?=["'`])""")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:[ \t][^<>\n]*)?>\s*([^<>\s](?:[^<>]*[^<>\s])?)\s*</\1[ \t]*>")
+# Pairs in a quoted connection string or query; a block of lines that YAML gives a name.
+_PAIR = re.compile(r"""(?<=[;&?"'`])[ \t]*([A-Za-z_][\w-]*(?: [\w-]+)*)[ \t]*=[ \t]*([^;&"'`\s][^;&"'`\n]*)""")
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?\d?[+-]?[ \t]*(?:#[^\n]*)?\r?\n")
+_LINE = re.compile(r"([ \t]*)([^\n]*?)[ \t\r]*(?:\n|\Z)")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 Literal = tuple[int, int]
@@ -125,6 +140,19 @@ class _Lexer:
         self.reach: dict[str, tuple[int, int]] = {}
         self.pems = pem_blocks(text)
         self.read = 0
+        self.bare_end = 0  # of the bare run read last
+        self.block_end = 0  # of the YAML block read last
+
+    def gap(self, at: int) -> int:
+        """Where the blanks, line ends and comments from ``at`` on end."""
+        while True:
+            at = _GAP.match(self.text, at).end()
+            if not self.text.startswith("/*", at):
+                return at
+            close = self._next("*/", at + 2)
+            if close == len(self.text):
+                return at
+            at = close + 2
 
     def _next(self, what: str, at: int) -> int:
         """Where ``what`` is next from ``at`` on (the text's length if nowhere); remembered between two calls' places."""
@@ -200,7 +228,12 @@ class _Lexer:
             elif m := _REFERENCE.match(t, at):
                 out.append(next(g for g in m.groups() if g))
                 at = m.end()
-            elif m := _BARE.match(t, at):
+            elif (m := _PREFIX.match(t, at)) and not (at and (t[at - 1].isalnum() or t[at - 1] in "_$")):
+                at = m.end()  # the prefix of a string literal
+                continue
+            elif m := (_BARE if at >= self.bare_end else _BARE_PART).match(t, at):
+                # A run is one word; an operator inside a run that was read takes its part of it, so no run is read twice.
+                self.bare_end = max(self.bare_end, m.end())
                 word = m[0].rstrip(".=")
                 out += [word, (at, at + len(word))] if _IDENT.match(word) else [(at, at + len(word))] if word else []
                 at = m.end()
@@ -214,6 +247,24 @@ class _Lexer:
             at = joint.end()
         return out, at
 
+    def block(self, op: int, at: int) -> Literal | None:
+        """The lines of the YAML block that is the value at ``at`` of the name before ``op``: those indented deeper."""
+        head = _BLOCK.match(self.text, at) if at >= self.block_end else None
+        if not head:
+            return None
+        line = self.text.rfind("\n", 0, op) + 1
+        depth = len(self.text[line:op]) - len(self.text[line:op].lstrip(" \t"))
+        begin = end = at = head.end()
+        while at < len(self.text):
+            m = _LINE.match(self.text, at)
+            if m[2] and len(m[1]) <= depth:
+                break
+            if m[2]:
+                begin, end = (m.start(2) if begin == end else begin), m.end(2)
+            at = m.end()
+        self.block_end = end
+        return (begin, end) if end > begin else None
+
     def called(self, parts: list[Literal | str], end: int) -> bool:
         """Whether ``parts`` end with the name of a call at ``end``; one of letters only is taken from them."""
         t = self.text
@@ -230,7 +281,7 @@ class _Lexer:
         while at < len(t):
             if t[at] in "([{":
                 depth += 1
-                at = _GAP.match(t, at + 1).end()
+                at = self.gap(at + 1)
                 continue
             if t[at] in ")]}":
                 depth -= 1
@@ -238,7 +289,7 @@ class _Lexer:
                 if not depth:
                     break
             elif t[at] == ",":
-                at = _GAP.match(t, at + 1).end()
+                at = self.gap(at + 1)
                 continue
             elif _KEY.match(t, at):
                 break
@@ -249,7 +300,7 @@ class _Lexer:
                 at = end
                 if call:
                     continue
-            at = _GAP.match(t, at).end()
+            at = self.gap(at)
             if at < len(t) and t[at] not in ",)]}":
                 at = _REST.match(t, at).end()  # an operator and what it takes, to the next element of the line
                 if t[at:at + 1] not in (",", ")", "]", "}"):
@@ -316,23 +367,24 @@ def _groups(text: str, elements: list[list[Literal | str]], known: dict[str, lis
     return list(dict.fromkeys(out))
 
 
+def _statements(text: str) -> Iterator[tuple[int, re.Match, str]]:
+    """(place, match, what it is) of operators and of the statements without one, in order of place."""
+    found = [((m.start(), m, m[0]) for m in _OP.finditer(text) if m[0] in _ASSIGNING)]
+    for sign, pattern in (("define", _DEFINE), ("--", _OPTION), (",", _ARGUMENTS), ("</", _ELEMENT)):
+        if sign in text:
+            found.append([(m.start(), m, sign) for m in pattern.finditer(text)])
+    return found[0] if len(found) == 1 else merge(*found, key=lambda x: x[0])
+
+
 def literal_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that flow into sensitive names."""
     lex, scores, floor = _Lexer(text), {}, 0
     known: dict[str, list[tuple[Literal, ...]]] = {}
     judged: dict[int, tuple[list[tuple[Literal, ...]], float]] = {}
-    for op in _OP.finditer(text):
-        if op[0] not in _ASSIGNING or op.start() < floor:
-            continue
-        name = lex.target(op.start(), floor)
-        elements, end = lex.elements(op.end(), op[0])
-        parts = elements[0] if len(elements) == 1 else []
-        if parts and parts[0] in known and parts[1:] in ([], [(end - len(parts[0]), end)]):
-            groups = known[parts[0]]  # one name for another: shared, not copied
-        else:
-            groups = _groups(text, elements, known)
+
+    def given(name: str, groups: list[tuple[Literal, ...]]) -> None:
         if not name or not groups:
-            continue
+            return
         known[name] = groups
         if (weight := name_weight(name)) > judged.get(id(groups), (None, 0.0))[1]:
             judged[id(groups)] = groups, weight
@@ -340,9 +392,32 @@ def literal_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, in
                 strength = literal_strength("".join(text[s:e] for s, e in group), weight)
                 for span in group if weight * strength >= min_score else ():
                     scores[span] = max(scores.get(span, 0.0), weight * strength)
-        if elements and len(elements[0]) == 1 and isinstance(elements[0][0], tuple) and \
+
+    for place, m, what in _statements(text):
+        if place < floor:
+            continue
+        if what == "</":
+            given(m[1].rsplit(":", 1)[-1], [(m.span(2),)])
+            continue
+        if what in _ASSIGNING:
+            name = lex.target(place, floor)
+            if what == ":" and (lines := lex.block(place, m.end())):
+                given(name, [(lines,)])
+                continue
+        else:
+            name = m[2] if what == "," else m[1]
+        elements, end = lex.elements(m.end(), what) if what in _ASSIGNING else ([x for x in lex.operands(m.end())[:1] if x], m.end())
+        parts = elements[0] if len(elements) == 1 else []
+        if parts and parts[0] in known and parts[1:] in ([], [(end - len(parts[0]), end)]):
+            groups = known[parts[0]]  # one name for another: shared, not copied
+        else:
+            groups = _groups(text, elements, known)
+        given(name, groups)
+        if what in _ASSIGNING and elements and len(elements[0]) == 1 and isinstance(elements[0][0], tuple) and \
                 text[elements[0][0][0] - 1] in "\"'`":
-            floor = end  # operators inside a plain quoted literal are its text
+            floor = end  # operators inside a plain quoted literal are its text, but for pairs of a connection string
+            for pair in _PAIR.finditer(text, elements[0][0][0] - 1, elements[0][0][1]):
+                given(pair[1], [(pair.span(2),)])
     reach, i, held = 0, 0, sorted(scores)
     for s, (e, label) in lex.pems.items():
         while i < len(held) and held[i][0] <= s:
@@ -356,7 +431,7 @@ def literal_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, in
 def all_spans(text: str) -> list[tuple[int, int, int, int]]:
     """Base spans plus the method's literals that no base span holds."""
     base = base_spans(text)
-    if "=" not in text and ":" not in text and "-----BEGIN " not in text:
+    if not any(sign in text for sign in ("=", ":", "--", "<-", "</", "define", "(")):
         return base
     out, reach, i = [], -1, 0
     for s, e, _ in literal_spans(text):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +106,79 @@ def test_literals_of_lists(text, literals):
     assert all(x not in S.redact_text(text) for x in literals)
 
 
+@pytest.mark.parametrize("comment", ["/* " + "z" * 201 + " */", "/* two\n   lines */", "/*" + "x" * 100_000 + "*/", "/* a */ /* b */ // c\n"])
+def test_comments_of_any_length(comment):
+    text = f'passwords = ["{A}", {comment} "{B}"]'
+    assert [text[s:e] for s, _, e, _ in S.all_spans(text)] == [A, B]
+    assert not any(x in S.redact_text(text) for x in (A, B))
+
+
+def test_an_open_comment_is_none():
+    text = f'passwords = ["{A}", /* open "{B}"]'
+    assert [text[s:e] for s, _, e, _ in S.all_spans(text)] == [A]
+
+
+@pytest.mark.parametrize("prefix", ["f", "r", "b", "u", "rb", "Rb", "F", "BR"])
+def test_string_prefixes(prefix):
+    text = f'db_pwd = {prefix}"{A}"\nx = {prefix}\'{B}\''
+    assert [text[s:e] for s, _, e, _ in S.all_spans(text)] == [A]
+    assert S.redact_text(text) == f'db_pwd = {prefix}"[REDACTED]"\nx = {prefix}\'{B}\''
+
+
+@pytest.mark.parametrize("text,literals", [
+    (f"x=db_pwd={A}", [A]), (f"db_pwd={A}=={B}", [f"{A}=={B}"]), (f"a=b=pwd={A}==", [f"{A}"]), (f"db_pwd = {A}=", [A]),
+    (f"--db-pwd={A}", [A]), (f"a=1;db_pwd={A}", [A])])
+def test_operators_inside_a_bare_run(text, literals):
+    assert [text[s:e] for s, _, e, _ in S.all_spans(text)] == literals
+
+
+@pytest.mark.parametrize("text", ["a=" * 500_000, "a:" * 500_000, "a=b=" * 250_000, "a=[" * 300_000, "/*" * 400_000, "pwd=(/*" * 100_000,
+                                  "a=f" * 300_000, "x='" * 300_000, "x = ';a" + " " * 900_000 + "'", "x = '" + ";a b" * 200_000 + "'",
+                                  "<a>" * 300_000, "<a>b" + " " * 900_000, "--a " * 200_000, "f('a', " * 120_000, "k: |\n" * 150_000,
+                                  "k: |\n  " + "x\n  " * 200_000, "#define a " * 90_000, "#define a\n" * 90_000, "a <- " * 150_000])
+def test_time_is_linear_in_the_length(text):
+    began = time.process_time()
+    S.all_spans(text)
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("text,literals", [
+    (f"client_secret: |\n  {A}\nnext: {B}", [A]), (f"a:\n  client_secret: >-\n    {A}\n\n    {B}\n  other: x", [f"{A}\n\n    {B}"]),
+    (f"client_secret: | # key\n{A}", []), (f"colour: |\n  {A}", []),
+    (f"db_password <- '{A}'", [A]), (f"x <- '{A}'\ndb_password <- x", [A]), (f'#define DB_PWD "{A}"\n', [A]),
+    (f"  # define DB_PWD {A}\n#define COLOUR {B}", [A]), (f"mysql --db-pwd {A} --colour {B}", [A]), (f"--db-pwd '{A}'", [A]),
+    (f"setenv('DB_PWD', '{A}')", [A]), (f'os.setenv( "DB_PWD" , "{A}", 1); put("colour", "{B}")', [A]),
+    (f"<password>{A}</password><colour>{B}</colour>", [A]), (f"<ns:dbPwd type='x'> {A} </ns:dbPwd>", [A]), (f"<password>{A}</other>", []),
+    (f'dsn = "Server=a;Uid=b;Pwd={A};Colour={B}"', [A]), (f"dsn: 'Pwd={A}'", [A]), (f'url = "https://h/p?x={B}&db_pwd={A}"', [A]),
+])
+def test_other_syntaxes(text, literals):
+    assert [text[s:e] for s, _, e, _ in S.all_spans(text)] == literals
+    assert not any(x in S.redact_text(text) for x in literals)
+
+
+SENSITIVE, HARMLESS = ("db_pwd", "clientCredential", "PASSPHRASE", "privateKeys"), ("colour", "hostName", "X1", "path_to")
+GRAMMAR = ('{n} = "{v}"', "{n}: {v}", '"{n}": "{v}",', "{n} := '{v}'", "'{n}' => '{v}'", "export {n}={v}", 'String {n} = "{v}";', "{n}: str = '{v}'",
+           "call({n}='{v}')", "{n} <- '{v}'", '#define {n} "{v}"', "run --{n} {v}", "setenv('{n}', '{v}')", "<{n}>{v}</{n}>",
+           "{n}: |\n  {v}", 'dsn = "Uid=u;{n}={v};"', "{n} = [/* one\ntwo */ '{v}', 'ab']", '{n} = rb"{v}"')
+
+
+def test_generated_statements():
+    """Statements of a stated grammar: the value of each sensitive name is a span where it was put, and nothing else is."""
+    rng = random.Random(12)
+    letters = "abcdefghjkmnpqrsuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    for _ in range(1500):
+        text, want = "", []
+        for _ in range(rng.randint(1, 5)):
+            name = rng.choice(SENSITIVE + HARMLESS)
+            value = "Z9k" + "".join(rng.choices(letters, k=rng.randint(9, 30)))
+            line = rng.choice(GRAMMAR).replace("{n}", name).replace("{v}", "\0")
+            if name in SENSITIVE:
+                want.append((len(text) + line.index("\0"), len(text) + line.index("\0") + len(value)))
+            line = line.replace("\0", value, 1).replace("\0", value)
+            text += line + "\n" + rng.choice(["", "some words here.\n", "\n"])
+        assert [(s, e) for s, k, e, _ in S.all_spans(text) if k == 3] == want, text
+
+
 def test_plural_names():
     for name in S.NAME_WEIGHTS:
         assert S.name_weight(name + "s") == S.name_weight(name) > 0
