@@ -23,10 +23,11 @@ whatever their names; nothing else reads them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal.llm.joins import counted_join
@@ -104,18 +105,21 @@ def seed_table(tokens: DataFrame) -> DataFrame:
 
 
 def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits by the top of the seeds' hashes: bounded, since there are 2^``BITMAP_BITS`` at most."""
+    """Bits by the top of the seeds' hashes, put together on the executors: bounded, since there are
+    2^``BITMAP_BITS`` at most."""
     bits = min(BITMAP_BITS, max(16, int(seeds.count()).bit_length() + 7))
-    at = seeds.select(F.shiftrightunsigned("seed", 64 - bits).alias("b")).distinct().toPandas()["b"].to_numpy()
-    out = np.zeros(1 << bits, bool)
-    out[at] = True
-    return np.packbits(out), bits
+    at = seeds.select(F.shiftrightunsigned("seed", 64 - bits).alias("at"))
+    parts = at.groupBy(F.expr("at div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts:
+        out[4096 * r["part"]:4096 * (r["part"] + 1)] = np.frombuffer(r["bits"], np.uint8)
+    return out, bits
 
 
 def _stretches(bitmap, bits: int):
     """Rows (id, hash, text) to (doc_id, hash, tokens): the stretches of each text whose every seed is in the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.unpackbits(bitmap.value).view(bool)
+        have = np.unpackbits(bitmap.value, bitorder="little").view(bool)
         for batch in batches:
             rows, found = [], []
             for first, texts in _chunks(batch.column(2)):
@@ -191,21 +195,35 @@ def tile(p: list[int], t: list[int], min_match: int = MIN_MATCH) -> list[tuple[i
         if longest > 2 * s:
             s = longest
             continue
-        queue = sorted(matches, key=lambda m: (-m[0], m[1], m[2]))
-        again = False
-        for k, i, j in queue:
-            if any(mp[i:i + k]) or any(mt[j:j + k]):
-                again = True  # what a longer tile left of it is found by the next scan of this length
+        queue = [(-k, i, j) for k, i, j in matches]
+        heapify(queue)
+        while queue:
+            k, i, j = heappop(queue)
+            k = -k
+            if not any(mp[i:i + k]) and not any(mt[j:j + k]):
+                mp[i:i + k] = mt[j:j + k] = b"\x01" * k
+                tiles.append((k, i, j))
                 continue
-            mp[i:i + k] = mt[j:j + k] = b"\x01" * k
-            tiles.append((k, i, j))
-        if again:
-            continue
+            begin = None  # what longer tiles left of it waits for its turn; what is shorter than s, for a later scan
+            for x in range(k + 1):
+                if x < k and not mp[i + x] and not mt[j + x]:
+                    begin = x if begin is None else begin
+                elif begin is not None:
+                    if x - begin >= s:
+                        heappush(queue, (begin - x, i + begin, j + begin))
+                    begin = None
         if s <= min_match:
             return tiles
         s = max(min_match, s // 2)
 
 
+def _enough(p: list[int], t: list[int], min_coverage: float) -> bool:
+    """Whether the places of ``p`` whose seeds ``t`` has could cover enough: ``MIN_MATCH`` tokens each, at most."""
+    x, y = (np.array(v, np.int64).view(np.uint64) for v in (p, t))
+    have = np.isin(grams(x, MIN_MATCH), grams(y, MIN_MATCH))
+    return int(have.sum()) * MIN_MATCH >= min_coverage * len(p)
+
+
 def _tiled(min_coverage: float):
     """Rows (doc_id, hash, item_id, item tokens, tokens) of candidate pairs to those that reach the coverage."""
     names = ["doc_id", "hash", "item_id", "item_tokens", "covered_tokens", "n_tiles"]
@@ -215,6 +233,8 @@ def _tiled(min_coverage: float):
             keep, sizes, covered, counts = [], [], [], []
             for row in range(batch.num_rows):
                 p, t = batch.column(3)[row].as_py(), batch.column(4)[row].as_py()
+                if not _enough(p, t, min_coverage):
+                    continue
                 tiles = tile(p, t)
                 n = sum(k for k, _, _ in tiles)
                 if n >= min_coverage * len(p):
@@ -228,6 +248,37 @@ def _tiled(min_coverage: float):
 # -- the operator --------------------------------------------------------------------------
 
 
+def _seeds_of(found: DataFrame) -> DataFrame:
+    """(row, seed) of the seeds in each row's stretches, once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, tokens in zip(batch.column(0), batch.column(1)):
+                x = tokens.values.to_numpy().view(np.uint64)
+                whole = np.ones(max(0, len(x) - MIN_MATCH + 1), bool)
+                for at in np.flatnonzero(x == _BREAK):
+                    whole[max(0, at - MIN_MATCH + 1):at + 1] = False
+                seed = np.unique(grams(x, MIN_MATCH)[whole]).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"row": np.full(len(seed), row.as_py()), "seed": seed})
+    return found.select("row", "tokens").mapInArrow(run, "row long, seed long")
+
+
+def shared_seeds(found: DataFrame, tokens: DataFrame, seeds: DataFrame, min_coverage: float) -> DataFrame:
+    """(row, item) for each shared seed that decides a candidate pair; every pair that could reach the coverage has one.
+
+    An item with m places needs ``need`` of them shared, so a row that shares
+    none of its m - need + 1 rarest cannot reach the coverage. The commonest
+    ones, such as a phrase that many items and documents hold, are not joined.
+    """
+    hits = _seeds_of(found)
+    often = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("rows"))
+    need = F.greatest(F.ceil(F.lit(min_coverage) * F.size("tokens") / MIN_MATCH), F.lit(1))
+    sizes = tokens.select("item", (F.size("tokens") - MIN_MATCH + 2 - need).alias("taken"))
+    rarest = Window.partitionBy("item").orderBy(F.coalesce("rows", F.lit(0)), "seed", "place")
+    taken = (seeds.join(often, "seed", "left").join(sizes, "item").withColumn("rank", F.row_number().over(rarest))
+             .filter("rank <= taken").select("item", "seed").distinct())
+    return hits.join(taken, "seed").select("row", "item")
+
+
 def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text",
                        min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, hash, item_id, item_tokens, covered_tokens, n_tiles) per contaminated row and item.
@@ -243,22 +294,8 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     found = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text))
              .mapInArrow(_stretches(bitmap, bits), "doc_id long, hash long, tokens array<long>")
              .withColumn("row", F.monotonically_increasing_id()).checkpoint())
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, tokens in zip(batch.column(0), batch.column(1)):
-                x = tokens.values.to_numpy().view(np.uint64)
-                whole = np.ones(max(0, len(x) - MIN_MATCH + 1), bool)
-                for at in np.flatnonzero(x == _BREAK):
-                    whole[max(0, at - MIN_MATCH + 1):at + 1] = False
-                seed = np.unique(grams(x, MIN_MATCH)[whole]).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"row": np.full(len(seed), row.as_py()), "seed": seed})
-
-    shared = found.select("row", "tokens").mapInArrow(hits, "row long, seed long").join(seeds, "seed")
-    # Places under shared seeds bound what tiles can cover: MIN_MATCH for each seed, at most.
-    pairs = (shared.groupBy("row", "item").agg(F.countDistinct("place").alias("places"))
-             .join(tokens.withColumn("n", F.size("tokens")).select("item", "n"), "item")
-             .filter(F.col("places") * MIN_MATCH >= F.lit(min_coverage) * F.col("n")).select("row", "item"))
+    bitmap.unpersist()
+    pairs = shared_seeds(found, tokens, seeds, min_coverage).distinct()
     rows = (pairs.join(tokens.withColumnRenamed("tokens", "p"), "item").join(found.withColumnRenamed("tokens", "t"), "row")
             .select("doc_id", "hash", "item_id", "p", "t"))
     return rows.mapInArrow(_tiled(min_coverage), "doc_id long, hash long, item_id long, item_tokens long, "

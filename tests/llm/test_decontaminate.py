@@ -35,15 +35,49 @@ def words(text):
     return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
 
 
-@pytest.mark.parametrize("seed", range(40))
-def test_tiles_match_brute_force(seed):
-    rng = random.Random(seed)
-    p = [rng.randint(1, 4 if seed % 2 else 40) for _ in range(rng.randint(3, 60))]
-    t = []
-    for _ in range(rng.randint(1, 4)):
-        a = rng.randrange(len(p))
-        t += p[a:a + rng.randint(2, 50)] + [rng.randint(1, 40) for _ in range(rng.randint(0, 5))]
-    assert sum(k for k, _, _ in D.tile(p, t, 3)) == sum(k for k, _, _ in brute_tiles(p, t, 3))
+@pytest.mark.parametrize("lot", range(8))
+def test_tiles_match_brute_force(lot):
+    """Tile for tile, over 4,000 cases of few symbols (many overlaps and ties) and some of many."""
+    for seed in range(500 * lot, 500 * lot + 500):
+        rng = random.Random(seed)
+        symbols = rng.choice([2, 3, 4, 4, 40])
+        p = [rng.randint(1, symbols) for _ in range(rng.randint(3, 30))]
+        t = []
+        for _ in range(rng.randint(1, 4)):
+            a = rng.randrange(len(p))
+            t += p[a:a + rng.randint(2, 25)] + [rng.randint(1, symbols) for _ in range(rng.randint(0, 5))]
+        m = rng.randint(2, 6)
+        assert D.tile(p, t[:40], m) == brute_tiles(p, t[:40], m), seed
+
+
+def test_what_a_longer_tile_leaves_waits_for_its_turn(monkeypatch):
+    """Remainders count by their own length, above and below the length searched."""
+    for first in (2, 5, 20):
+        monkeypatch.setattr(D, "FIRST_LENGTH", first)
+        for seed in range(300):
+            rng = random.Random(10_000 + seed)
+            p, t = ([rng.randint(1, 2) for _ in range(rng.randint(10, 40))] for _ in range(2))
+            assert D.tile(p, t, 3) == brute_tiles(p, t, 3)
+
+
+def test_a_phrase_of_all_items_joins_few_rows(spark, frame):
+    rng = random.Random(3)
+
+    def words(n):
+        return ["w%d" % rng.randrange(10 ** 6) for _ in range(n)]
+    phrase = "this phrase is in all".split()
+    items = [(i, " ".join(words(10) + phrase + words(10))) for i in range(40)]
+    docs = [(i, " ".join(words(20) + (phrase if i % 3 == 0 else []) + words(20))) for i in range(300)] + [(999, items[5][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    tokens = D.item_tokens(bench)
+    seeds = D.seed_table(tokens)
+    bitmap, bits = D._bitmap(seeds)
+    found = (frame(docs).select("doc_id", F.lit(0).cast("long").alias("hash"), "text")
+             .mapInArrow(D._stretches(spark.sparkContext.broadcast(bitmap), bits), "doc_id long, hash long, tokens array<long>")
+             .withColumn("row", F.monotonically_increasing_id()))
+    assert found.count() > 90
+    assert D.shared_seeds(found, tokens, seeds, D.MIN_COVERAGE).count() < len(docs) * len(items) / 100
+    assert [(r.doc_id, r.item_id) for r in D.contaminated_pairs(frame(docs), bench).collect()] == [(999, 5)]
 
 
 def corpus():
