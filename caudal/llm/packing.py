@@ -6,7 +6,8 @@ dealt by hash into shards of about ``shard_items`` pieces. Each shard is
 solved on several islands: an island evolves a small population of whole
 packings, where crossover injects well-filled bins of one parent into the
 other, drops the bins that now hold a piece twice and best-fits the displaced
-pieces. Between epochs the islands' elites migrate to the next island of the
+pieces; it goes on past the fewest possible bins for as long as the slack is not
+all in one of them. Between epochs the islands' elites migrate to the next island of the
 same shard. Bins that the best island leaves with room go to the next level,
 where the rooms of many shards are pooled and packed again.
 
@@ -37,8 +38,8 @@ CAPACITY = 4096
 SHARD_ITEMS = 8192
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 8
-POPULATION = 6
+GENERATIONS = 6
+POPULATION = 4
 LEVELS = 4
 WELL_FILLED = 0.995
 
@@ -95,71 +96,92 @@ def best_fit(items: list[int], lengths: list[int], capacity: int, bins: list[Bin
             f, b = capacity, len(bins)
             bins.append([])
             free.append(capacity)
-        bins[b].append(i)
+        bins[b] = [*bins[b], i]  # a new list: packings share their bins
         free[b] = f - need
         rooms.setdefault(f - need, []).append(b)
         have |= 1 << (f - need)
 
 
+def _fills(bins: list[Bin], lengths: list[int]) -> list[int]:
+    return [sum([lengths[i] for i in x]) for x in bins]
+
+
+def _refit(kept: list[Bin], loose: list[int], lengths: list[int], capacity: int) -> list[Bin]:
+    """``kept`` with the ``loose`` items best-fitted, longest first."""
+    loose = sorted(loose, key=lambda i: -lengths[i])
+    best_fit(loose, lengths, capacity, kept, [capacity - f for f in _fills(kept, lengths)])
+    return kept
+
+
 def crossover(a: list[Bin], b: list[Bin], lengths: list[int], capacity: int, rng: random.Random) -> list[Bin]:
-    """Whole well-filled bins of ``b`` injected into ``a``; duplicates go, displaced items are best-fitted."""
-    ranked = sorted(b, key=lambda x: -sum(lengths[i] for i in x))
-    top = ranked[:max(1, len(ranked) // 2)]
-    injected = [list(x) for x in rng.sample(top, max(1, len(top) // 2))]
+    """Whole well-filled bins of ``b`` injected into ``a``; duplicates go, displaced items are best-fitted.
+
+    The bins come from the better-filled half of ``b``, a sixteenth of it: more
+    would displace most of ``a``, which then is not inherited but packed anew.
+    """
+    fills = _fills(b, lengths)
+    top = sorted(range(len(b)), key=lambda k: -fills[k])[:max(1, len(b) // 2)]
+    injected = [b[k] for k in rng.sample(top, max(1, len(top) // 16))]
     taken = {i for x in injected for i in x}
     bins, displaced = injected, []
     for x in a:
         if taken.isdisjoint(x):
-            bins.append(list(x))
+            bins.append(x)
         else:
             displaced += [i for i in x if i not in taken]
-    displaced.sort(key=lambda i: -lengths[i])
-    best_fit(displaced, lengths, capacity, bins, [capacity - sum(lengths[i] for i in x) for x in bins])
-    return bins
+    return _refit(bins, displaced, lengths, capacity)
 
 
 def mutate(bins: list[Bin], lengths: list[int], capacity: int, rng: random.Random) -> list[Bin]:
     """The emptiest bins and a few others dissolved and best-fitted again."""
-    ranked = sorted(bins, key=lambda x: sum(lengths[i] for i in x))
+    fills = _fills(bins, lengths)
+    ranked = sorted(range(len(bins)), key=lambda k: fills[k])
     n = max(2, len(ranked) // 50)
-    gone = set(range(min(n, len(ranked)))) | {rng.randrange(len(ranked)) for _ in range(n)}
-    kept = [list(x) for k, x in enumerate(ranked) if k not in gone]
-    loose = sorted((i for k in gone for i in ranked[k]), key=lambda i: -lengths[i])
-    best_fit(loose, lengths, capacity, kept, [capacity - sum(lengths[i] for i in x) for x in kept])
-    return kept
+    gone = set(ranked[:n]) | {rng.randrange(len(ranked)) for _ in range(n)}
+    return _refit([x for k, x in enumerate(bins) if k not in gone], [i for k in gone for i in bins[k]], lengths, capacity)
 
 
-def _fitness(bins: list[Bin], lengths: list[int], capacity: int) -> tuple[int, float]:
+def _fitness(bins: list[Bin], lengths: list[int], capacity: int) -> tuple[int, int]:
     """Fewer bins first, then fuller ones (sum of squared fills)."""
-    return len(bins), -sum((sum(lengths[i] for i in x) / capacity) ** 2 for x in bins)
+    return len(bins), -sum([f * f for f in _fills(bins, lengths)])
 
 
 def evolve(lengths: list[int], capacity: int, seeds: list[list[Bin]], rng: random.Random,
-           population: int = POPULATION, generations: int = GENERATIONS) -> list[Bin]:
-    """The best packing found; stops at the lower bound (total length over capacity, rounded up)."""
-    bound = -(-sum(lengths) // capacity)
+           population: int = POPULATION, generations: int = GENERATIONS) -> tuple[list[Bin], int]:
+    """The best packing found, and the number of crossovers.
+
+    Stops only at what cannot be better: as few bins as the total length
+    allows, all full but one. Until then fuller bins count, so that the slack
+    gathers in few bins, which the next level pools.
+    """
+    full, rest = divmod(sum(lengths), capacity)
+    ideal = full + (rest > 0), -(full * capacity * capacity + rest * rest)
+    score = lambda x: _fitness(x, lengths, capacity)
     down = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    pool = [list(map(list, s)) for s in seeds]
-    while len(pool) < population and min(map(len, pool), default=bound + 1) > bound:
-        order = down if not pool else sorted(down, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.0))
+    pool = [(score(s), s) for s in seeds]
+    while len(pool) < population and min((f for f, _ in pool), default=None) != ideal:
+        spread = (0.05, 0.0005)[len(pool) % 2]
+        order = down if not pool else sorted(down, key=lambda i: -lengths[i] * rng.uniform(1.0 - spread, 1.0))
         bins: list[Bin] = []
         best_fit(order, lengths, capacity, bins, [])
-        pool.append(bins)
-    score = lambda x: _fitness(x, lengths, capacity)
-    pool.sort(key=score)
+        pool.append((score(bins), bins))
+    pool.sort(key=lambda x: x[0])
+    crossed = 0
     for _ in range(generations):
-        if len(pool[0]) <= bound or len(pool) < 2:
+        if pool[0][0] == ideal or len(pool) < 2:
             break
         a, b = sorted(rng.sample(range(len(pool)), 2))
-        children = [crossover(pool[a], pool[b], lengths, capacity, rng),
-                    crossover(pool[b], pool[a], lengths, capacity, rng), mutate(pool[0], lengths, capacity, rng)]
-        pool = sorted(pool + children, key=score)[:population]
-    return pool[0]
+        children = [crossover(pool[a][1], pool[b][1], lengths, capacity, rng),
+                    crossover(pool[b][1], pool[a][1], lengths, capacity, rng), mutate(pool[0][1], lengths, capacity, rng)]
+        crossed += 2
+        pool = sorted(pool + [(score(x), x) for x in children], key=lambda x: x[0])[:population]
+    return pool[0][1], crossed
 
 
 # -- islands and levels on Spark -----------------------------------------------------------
 
-_STATE = "shard long, island int, uid long, length long, bin long, migrant long"
+# ``crossed``: the island's crossovers so far, with its first piece (0 with the others).
+_STATE = "shard long, island int, uid long, length long, bin long, migrant long, crossed long"
 
 
 def _epoch(capacity: int, epoch: int):
@@ -176,36 +198,46 @@ def _epoch(capacity: int, epoch: int):
                 seeds.append(bins)
         rng = random.Random(f"{t['shard'][0]}/{t['island'][0]}/{epoch}")
         where = [0] * len(lengths)
-        for b, members in enumerate(evolve(lengths, capacity, seeds, rng)):
+        bins, crossed = evolve(lengths, capacity, seeds, rng)
+        for b, members in enumerate(bins):
             for i in members:
                 where[i] = b
+        before = sum(t["crossed"].to_pylist())
         return (t.select(["shard", "island", "uid", "length"]).append_column("bin", pa.array(where, pa.int64()))
-                .append_column("migrant", pa.array([-1] * len(where), pa.int64())))
+                .append_column("migrant", pa.array([-1] * len(where), pa.int64()))
+                .append_column("crossed", pa.array([before + crossed] + [0] * (len(where) - 1), pa.int64())))
     return run
 
 
-def _solve(pieces: DataFrame, shards: int, capacity: int, level: int) -> DataFrame:
-    """(shard, uid, length, bin) of the best island of each shard."""
+def _solve(pieces: DataFrame, shards: int, capacity: int, level: int, report: dict[str, int] | None) -> DataFrame:
+    """(shard, uid, length, bin) of the best island of each shard: fewest bins, then fullest.
+
+    ``report`` gets the crossovers of all islands added.
+    """
     state = (pieces.select("uid", "length")
              .withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)))
              .withColumn("island", F.explode(F.array(*map(F.lit, range(ISLANDS)))))
              .select("shard", "island", "uid", "length", F.lit(-1).cast("long").alias("bin"),
-                     F.lit(-1).cast("long").alias("migrant")))
+                     F.lit(-1).cast("long").alias("migrant"), F.lit(0).cast("long").alias("crossed")))
     for epoch in range(EPOCHS):
         if epoch:
             elite = state.select("shard", "uid", ((F.col("island") + 1) % ISLANDS).alias("island"),
                                  F.col("bin").alias("migrant"))
             state = state.drop("migrant").join(elite, ["shard", "uid", "island"]).select(
-                "shard", "island", "uid", "length", "bin", "migrant")
+                "shard", "island", "uid", "length", "bin", "migrant", "crossed")
         state = state.groupBy("shard", "island").applyInArrow(_epoch(capacity, epoch), _STATE).checkpoint()
-    best = (state.groupBy("shard", "island").agg(F.max("bin").alias("last"))
-            .groupBy("shard").agg(F.min(F.struct("last", "island")).alias("b"))
+    if report is not None:
+        report["crossovers"] = report.get("crossovers", 0) + (state.agg(F.sum("crossed")).first()[0] or 0)
+    fills = state.groupBy("shard", "island", "bin").agg(F.sum("length").alias("fill"))
+    best = (fills.groupBy("shard", "island").agg(F.max("bin").alias("last"), (-F.sum(F.col("fill") * F.col("fill"))).alias("loose"))
+            .groupBy("shard").agg(F.min(F.struct("last", "loose", "island")).alias("b"))
             .select("shard", F.col("b.island").alias("island")))
     return state.join(best, ["shard", "island"]).select("shard", "uid", "length", "bin")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """``pieces`` (uid, length, ...) with ``sequence_id`` and ``offset``.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS,
+         report: dict[str, int] | None = None) -> DataFrame:
+    """``pieces`` (uid, length, ...) with ``sequence_id`` and ``offset``; ``report`` gets the number of crossovers.
 
     ``uid`` must be unique and ``pieces`` stable when read again (a written
     table or a checkpoint).
@@ -222,7 +254,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
             break
         shards = -(-left // shard_items)
         last = shards == 1 or level == LEVELS - 1
-        solved = _solve(rest, shards, capacity, level)
+        solved = _solve(rest, shards, capacity, level, report)
         # A bin has at most `capacity` pieces, so this window is bounded.
         by_bin = "PARTITION BY shard, bin"
         solved = solved.withColumns({
@@ -243,10 +275,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-                   shard_items: int = SHARD_ITEMS, tokenizer: str | None = None) -> DataFrame:
+                   shard_items: int = SHARD_ITEMS, tokenizer: str | None = None,
+                   report: dict[str, int] | None = None) -> DataFrame:
     """Place of every piece of every document: tokenised once, then packed by length alone."""
     shared_dir(docs.sparkSession)
     pieces = (token_pieces(docs, id_col, text, capacity, tokenizer)
               .withColumn("uid", F.monotonically_increasing_id()).checkpoint())
-    return pack(pieces, capacity, shard_items).select(
+    return pack(pieces, capacity, shard_items, report).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

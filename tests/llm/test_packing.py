@@ -89,6 +89,53 @@ def test_evolution_beats_or_equals_its_seed():
     lengths = [rng.randint(20, 55) for _ in range(200)]
     first = []
     packing.best_fit(list(range(200)), lengths, 100, first, [])
-    best = packing.evolve(lengths, 100, [first], rng)
-    assert len(best) < len(first)
+    best, crossed = packing.evolve(lengths, 100, [first], rng)
+    assert len(best) < len(first) and crossed
     assert sorted(i for b in best for i in b) == list(range(200))
+
+
+def instance(seed):
+    """Eight bins of 100 cut into pieces, one piece a little shorter."""
+    rng, out = random.Random(seed), []
+    for _ in range(8):
+        cuts = sorted(rng.sample(range(15, 86), rng.choice([1, 2, 2])))
+        out += [y - x for x, y in zip([0, *cuts], [*cuts, 100])]
+    out[0] = max(1, out[0] - rng.randint(0, 3))
+    return out
+
+
+@pytest.mark.parametrize("seed", [608, 3446, 3667, 4785])
+def test_crossover_reaches_what_best_fit_decreasing_misses(seed, monkeypatch):
+    """Best-fit decreasing needs a ninth bin, and so does evolution without crossover."""
+    lengths = instance(seed)
+    plain = []
+    packing.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, 100, plain, [])
+    best, crossed = packing.evolve(lengths, 100, [], random.Random(1), 6, 30)
+    assert (len(plain), len(best)) == (9, 8) and crossed
+    assert sorted(i for b in best for i in b) == list(range(len(lengths))) and max(packing._fills(best, lengths)) <= 100
+    monkeypatch.setattr(packing, "crossover", lambda a, b, *rest: a)
+    assert len(packing.evolve(lengths, 100, [], random.Random(1), 6, 30)[0]) == 9
+
+
+def test_evolution_goes_on_at_the_bound():
+    """With as few bins as possible from the start, the slack still gathers in fewer of them."""
+    better = 0
+    for seed in range(60):
+        rng = random.Random(seed)
+        lengths = [rng.randint(2, 60) for _ in range(60)]
+        plain = []
+        packing.best_fit(sorted(range(60), key=lambda i: -lengths[i]), lengths, 100, plain, [])
+        if len(plain) == -(-sum(lengths) // 100):
+            best, _ = packing.evolve(lengths, 100, [], rng, 6, 30)
+            one, two = (packing._fitness(x, lengths, 100) for x in (best, plain))
+            assert one <= two
+            better += one < two
+    assert better > 5
+
+
+def test_crossovers_on_the_registered_input(spark):
+    docs, report = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), {}
+    rows = packing.pack_documents(docs, report=report).collect()
+    total = sum(r.length for r in rows)
+    assert report["crossovers"] > 0
+    assert len({r.sequence_id for r in rows}) == -(-total // packing.CAPACITY)
