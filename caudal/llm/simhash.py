@@ -47,7 +47,7 @@ LEAF_ROWS = 16_384
 TASK_ROWS = 200_000
 SHARD_ROWS = 2048
 SEED = 42
-_COMPARE = 256
+_COMPARE = 16  # rows of a leaf
 
 # Byte value to eight 8-bit counters, one per bit.
 _LANES = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], np.uint64)
@@ -153,10 +153,13 @@ def _leaf_links(fps: np.ndarray, home: np.ndarray, query: np.ndarray, r: int) ->
     return np.concatenate(a), np.concatenate(b)
 
 
-def vantage_links(fps: np.ndarray, home: np.ndarray, query: np.ndarray, r: int = MAX_BITS) \
-        -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links spanning home-home and home-query pairs within ``r`` bits, by a vantage-point tree over ``home``."""
-    a, b, todo = [], [], [(home, query)]
+def vantage_links(fps: np.ndarray, home: np.ndarray, query: np.ndarray, r: int = MAX_BITS,
+                  compared: list[int] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links spanning home-home and home-query pairs within ``r`` bits, by a vantage-point tree over ``home``.
+
+    ``compared`` gets the number of distances taken, to vantage points and in leaves.
+    """
+    a, b, todo, n = [], [], [(home, query)], 0
     while todo:
         home, query = todo.pop()
         if not len(home) or len(home) + len(query) < 2:
@@ -164,6 +167,7 @@ def vantage_links(fps: np.ndarray, home: np.ndarray, query: np.ndarray, r: int =
         if len(home) > _COMPARE:
             v = fps[home[len(home) // 2]]
             dh, dq = np.bitwise_count(fps[home] ^ v), np.bitwise_count(fps[query] ^ v)
+            n += len(home) + len(query)
             mu = min(int(np.median(dh)), int(dh.max()) - 1)
             inside = dh <= mu
             if inside.any() and not inside.all():
@@ -173,27 +177,32 @@ def vantage_links(fps: np.ndarray, home: np.ndarray, query: np.ndarray, r: int =
                 todo.append((right, query[dq > mu - r]))
                 continue
         for at in range(0, len(home), _COMPARE):  # one leaf, or rows a vantage point cannot tell apart
-            x, y = _leaf_links(fps, home[at:at + _COMPARE], np.concatenate([home[at + _COMPARE:], query]), r)
+            leaf, rest = home[at:at + _COMPARE], np.concatenate([home[at + _COMPARE:], query])
+            n += len(leaf) * (len(leaf) - 1) // 2 + len(leaf) * len(rest)
+            x, y = _leaf_links(fps, leaf, rest, r)
             a.append(x), b.append(y)
+    if compared is not None:
+        compared.append(n)
     return a, b
 
 
-def _small_runs(fps: np.ndarray, key: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``key`` (sorted), by comparing rows at growing lags."""
+def _leaves_of_one_shard(fps: np.ndarray, key: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links within shards (runs of equal, sorted ``key``) of no more rows than a leaf, all at once; and the distances taken."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    i, lag = np.arange(len(key)), 0
+    i, lag, n = np.arange(len(key)), 0, 0
     while True:
         lag += 1
         i = i[i + lag < len(key)]
         i = i[key[i] == key[i + lag]]
         if not len(i):
-            return np.concatenate(a), np.concatenate(b)
+            return np.concatenate(a), np.concatenate(b), n
+        n += len(i)
         near = i[np.bitwise_count(fps[i] ^ fps[i + lag]) <= r]
         a.append(near), b.append(near + lag)
 
 
 def _task(r: int):
-    """Spanning links of one task's shards: rows (key, fp, home)."""
+    """Spanning links of one task's shards: rows (key, fp, home). The first one is a loop and has the distances taken."""
     def run(table: pa.Table) -> pa.Table:
         key, fp = table["key"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
         home = table["home"].to_numpy()
@@ -202,19 +211,22 @@ def _task(r: int):
         cut = np.flatnonzero(np.diff(key)) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
         size = last - first
-        plain = np.repeat((size <= _COMPARE), size) & np.repeat(np.logical_and.reduceat(home, first), size)
-        rows = np.flatnonzero(plain)
-        i, j = _small_runs(fp[rows], key[rows], r)
-        a, b = [rows[i]], [rows[j]]
-        for s, e in zip(first[~plain[first]], last[~plain[first]]):
+        single = np.repeat((size <= _COMPARE), size) & np.repeat(np.logical_and.reduceat(home, first), size)
+        rows = np.flatnonzero(single)
+        i, j, n = _leaves_of_one_shard(fp[rows], key[rows], r)
+        a, b, compared = [rows[i]], [rows[j]], [n]
+        for s, e in zip(first[~single[first]], last[~single[first]]):
             at = np.arange(s, e)
-            x, y = vantage_links(fp, at[home[s:e]], at[~home[s:e]], r)
+            x, y = vantage_links(fp, at[home[s:e]], at[~home[s:e]], r, compared)
             a += x
             b += y
         nodes, index = np.unique(fp.view(np.int64), return_inverse=True)
         root = local_roots(len(nodes), index[np.concatenate(a)], index[np.concatenate(b)])
         hit = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.table({"a": nodes[hit], "b": nodes[root[hit]]})
+        counts = np.zeros(len(hit) + 1, np.int64)
+        counts[0] = sum(compared)
+        return pa.table({"a": np.concatenate([nodes[:1], nodes[hit]]), "b": np.concatenate([nodes[:1], nodes[root[hit]]]),
+                         "compared": counts})
     return run
 
 
@@ -322,7 +334,10 @@ def _cells(rows: DataFrame, leaf_rows: int) -> DataFrame:
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS, task_rows: int = TASK_ROWS,
           shard_rows: int = SHARD_ROWS, levels: int = 12) -> DataFrame:
-    """Edges (a, b) that span every component of distinct fingerprints ``fp`` within ``max_bits`` bits."""
+    """Edges (a, b) that span every component of distinct fingerprints ``fp`` within ``max_bits`` bits.
+
+    Loops among them; ``compared`` sums up to the distances that were taken.
+    """
     blocks = blocks_for(fps.count(), max_bits, shard_rows)
     shards = fps.select("fp", F.explode(block_keys(F.col("fp"), max_bits, blocks)).alias("key"), F.lit(True).alias("home"))
     sizes = shards.groupBy("key").count()
@@ -336,7 +351,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS,
         small = counted_join(shards, keys, ["key"], "left_anti").unionByName(split)
     tasks = max(1, -(-total // task_rows))
     grouped = small.select("key", "fp", "home", F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"))
-    return grouped.groupBy("task").applyInArrow(_task(max_bits), "a long, b long")
+    return grouped.groupBy("task").applyInArrow(_task(max_bits), "a long, b long, compared long")
 
 
 def _labelled(table: DataFrame, max_bits: int, leaf_rows: int) -> DataFrame:

@@ -165,3 +165,29 @@ def test_dense_cluster_goes_in_bounded_cells(spark, monkeypatch, levels):
         return {frozenset((x, y)) for h, q in by.values() for x in h for y in h + q if x != y}
 
     assert compared(sent[0][1]) == compared(sent[0][0])
+
+
+def test_comparisons_on_the_registered_input(spark):
+    """Trees and blocks leave out most pairs; with one block value for all rows the trees alone still leave some out."""
+    table = simhash.fingerprint_table(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    fps = table.select("fp").distinct().checkpoint()
+    n = fps.count()
+    compared = simhash.links(fps).agg(F.sum("compared")).first()[0]
+    assert 0 < compared < n * (n - 1) // 2 / 5
+    x = np.array([r.fp for r in fps.collect()], np.int64).view(np.uint64)
+    one = []
+    simhash.vantage_links(x, np.arange(n), np.empty(0, np.int64), compared=one)
+    assert sum(one) < 0.99 * n * (n - 1) // 2
+
+
+def test_trees_prune_what_is_spread():
+    """Rows at many distances: most branches are left out."""
+    rng = np.random.default_rng(5)
+    x = np.unique(np.array([(1 << int(k)) - 1 for k in rng.integers(0, 64, 4000)], np.uint64) ^
+                  (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)))
+    compared = []
+    a, b = simhash.vantage_links(x, np.arange(len(x)), np.empty(0, np.int64), compared=compared)
+    assert sum(compared) < len(x) * (len(x) - 1) // 2 / 2
+    root = simhash.local_roots(len(x), np.concatenate(a), np.concatenate(b))
+    i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= simhash.MAX_BITS, 1))
+    assert np.array_equal(root, simhash.local_roots(len(x), i, j))
