@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caudal import schema as S
@@ -41,6 +41,26 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+# -- rows that stand for several documents (see caudal.operators.facts) -----
+
+DOCS = "n_docs"
+
+
+def count_docs(rows: DataFrame, cond: Column | None = None) -> Column:
+    """How many documents of ``rows`` meet ``cond``: the rows themselves, or what they stand for."""
+    if DOCS not in rows.columns:
+        return F.count(F.lit(1)) if cond is None else F.count_if(cond)
+    return F.coalesce(F.sum(F.col(DOCS) if cond is None else F.when(cond, F.col(DOCS))), F.lit(0))
+
+
+def mean_docs(rows: DataFrame, cond: Column, value: Column) -> Column:
+    """Mean of an integer ``value`` over the documents of ``rows`` that meet ``cond`` and have one."""
+    value = F.when(cond, value)
+    if DOCS not in rows.columns:
+        return F.avg(value)
+    return F.try_divide(F.sum(value * F.col(DOCS)).cast("double"), F.sum(F.when(value.isNotNull(), F.col(DOCS))))
+
+
 # -- document predicates ---------------------------------------------------
 
 def customer_invoice() -> Column:

@@ -46,15 +46,15 @@ def moves_stats(staged: DataFrame, as_of: date | None = None, months: int = 3) -
     """All single-pass aggregates over the staged moves (one row)."""
     collected_out = C.customer_invoice() & F.col("is_collected")
     aggs = [
-        F.count(F.lit(1)).alias("n_moves"),
-        F.avg(F.when(collected_out, C.days_to_collect(F.col("invoice_date"), F.col("date_maturity"))))
+        C.count_docs(staged).alias("n_moves"),
+        C.mean_docs(staged, collected_out, C.days_to_collect(F.col("invoice_date"), F.col("date_maturity")))
          .alias("dso_raw"),
         _sum_if(C.customer_invoice(), _tot()).alias("billed_out"),
         _sum_if(C.customer_invoice(), F.col("collected_amt")).alias("collected_out"),
         _sum_if(C.customer_invoice(), C.residual()).alias("residual_out"),
         _sum_if(C.vendor_bill() & F.col("is_overdue"), C.residual()).alias("overdue_in"),
         _sum_if(F.col("is_overdue"), C.residual()).alias("overdue_all"),
-        F.count_if(F.col("is_overdue") & (F.col("days_overdue") > 60)).alias("n_critical"),
+        C.count_docs(staged, F.col("is_overdue") & (F.col("days_overdue") > 60)).alias("n_critical"),
     ]
     if as_of is not None:
         opex = C.vendor_bill() & _burn_cut(as_of, months)
@@ -207,9 +207,13 @@ def moves_stats_v(moves: DataFrame, as_of: date, months: int = 3) -> DataFrame:
     opex = C.vendor_bill() & C.posted() & _burn_cut(as_of, months)
     overdue_in = C.vendor_bill() & C.posted() & C.overdue(as_of)
     is_overdue = C.overdue(as_of)
-    paid_out = C.customer_invoice() & C.posted() & F.col("payment_date").isNotNull()
+    out = C.customer_invoice() & C.posted()
+    if C.DOCS in moves.columns:  # facts have the days summed
+        mean_days = F.try_divide(F.sum(F.when(out, F.col("paid_days"))).cast("double"), F.sum(F.when(out, F.col("n_paid"))))
+    else:
+        mean_days = F.avg(F.when(out & F.col("payment_date").isNotNull(), F.datediff("payment_date", "invoice_date")))
     return moves.agg(
-        F.avg(F.when(paid_out, F.datediff("payment_date", "invoice_date"))).alias("dso_raw"),
+        mean_days.alias("dso_raw"),
         F.sum(F.when(opex, _tot())).alias("burn_total"),
         F.count_distinct(F.when(opex, C.month_label(F.col("invoice_date")))).alias("burn_months"),
         _sum_if(overdue_in, C.residual()).alias("pasivos"),

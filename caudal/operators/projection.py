@@ -196,6 +196,50 @@ def min_collection_rate(spark: SparkSession, staged: DataFrame, journals: DataFr
          .alias("impacto_caida"))
 
 
+def break_even_rate(spark: SparkSession, staged: DataFrame, journals: DataFrame, as_of: date,
+                    days: int = 90, step: int = 5) -> DataFrame:
+    """The collection rate above which the balance stays positive on every day, and the slider's answer to it.
+
+    Each day's balance is opening + rate x inflow so far - outflow so far, so the
+    rate is the largest over the days of (outflow - opening) / inflow, from
+    prefix sums alone, without a grid. Integer arithmetic in cents, rounded up
+    at the sixth decimal of the percentage; 0 where no collection is needed.
+    ``min_cobrabilidad_pct`` is the first slider position above the rate, which
+    is :func:`min_collection_rate`'s. A day that is not positive before anything
+    came in cannot be mended: both are null, as they are without any document.
+    """
+    whole = "decimal(38,0)"
+    start = spark.range(1).select(C.lit_date(as_of).alias("fecha"), C.zero_money().alias("base_in"), C.zero_money().alias("base_out"))
+    due = _daily_due(staged, as_of, days).filter(F.col("fecha") < C.lit_date(as_of + timedelta(days=days)))
+    daily = due.unionByName(start).groupBy("fecha").agg(F.sum("base_in").alias("base_in"), F.sum("base_out").alias("base_out"))
+    run = Window.orderBy("fecha").rowsBetween(Window.unboundedPreceding, 0)  # at most one row per day
+
+    def cents(c: Column) -> Column:
+        return (c * 100).cast(whole)
+
+    sums = daily.select(
+        cents(F.coalesce(F.sum(F.coalesce("base_in", C.zero_money())).over(run), C.zero_money())).alias("den"),
+        cents(F.coalesce(F.sum(F.coalesce("base_out", C.zero_money())).over(run), C.zero_money())
+              - liquid_balance_value(journals)).alias("num"))
+    num, den = F.col("num"), F.nullif(F.col("den"), F.lit(0).cast(whole))
+
+    def quotient(a: Column) -> tuple[Column, Column]:
+        rest = a % den
+        return ((a - rest) / den).cast(whole), rest
+
+    parts, rest = quotient(num * F.lit(10 ** 8).cast(whole))  # millionths of a percent
+    rate = F.when(num <= 0, F.lit(0).cast(whole)).otherwise((parts + F.when(rest > 0, 1).otherwise(0)).cast(whole))
+    steps, _ = quotient(num * F.lit(100 // step).cast(whole))
+    position = F.when(num < 0, F.lit(0).cast(whole)).otherwise(((steps + 1) * step).cast(whole))
+    out = sums.withColumns({"rate": rate, "position": position}).agg(
+        F.max("rate").alias("rate"), F.max("position").alias("position"),
+        F.count_if(F.col("rate").isNull() | F.col("position").isNull()).alias("stuck"))
+    ok = (F.col("stuck") == 0) & _has_rows(staged)
+    return out.select(
+        F.when(ok, F.bround((F.col("rate") / 1000000).cast("double"), 6)).alias("break_even_pct"),
+        F.when(ok & (F.col("position") <= 100), F.col("position").cast("int")).alias("min_cobrabilidad_pct"))
+
+
 def projected_cash_doc(spark: SparkSession, staged: DataFrame, journals: DataFrame, as_of: date,
                        pcts: range = range(0, 101, 5), days: int = 90, months: int = 3) -> DataFrame:
     """Closed form: balance + receivables x c - monthly burn x (days / 30), per slider position.

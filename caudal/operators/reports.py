@@ -44,7 +44,7 @@ def aging_report(staged: DataFrame, position: bool = False) -> DataFrame:
     """
     grouped = (staged.filter(C.customer_invoice() & (C.residual() > 0) & F.col("date_maturity").isNotNull())
                .groupBy("tramo_orden", "tramo_aging")
-               .agg(F.sum(C.residual()).alias("monto_d"), F.count("id").alias("facturas")))
+               .agg(F.sum(C.residual()).alias("monto_d"), C.count_docs(staged).alias("facturas")))
     total = F.sum("monto_d").over(_all())
     return (grouped
             .select("tramo_orden",
@@ -78,8 +78,8 @@ def monthly_facts(staged: DataFrame) -> DataFrame:
     closed = C.residual() == 0
     return (staged.filter(C.customer_invoice() | C.vendor_bill()).groupBy("month", "move_type")
             .agg(F.sum("amount_total").alias("total"), F.sum("collected_amt").alias("collected"),
-                 F.count("id").alias("n"), F.count_if(closed).alias("n_closed"),
-                 F.avg(F.when(closed, days)).alias("mean_days")))
+                 C.count_docs(staged).alias("n"), C.count_docs(staged, closed).alias("n_closed"),
+                 C.mean_docs(staged, closed, days).alias("mean_days")))
 
 
 def monthly_comparison(staged: DataFrame, months: int = 12) -> DataFrame:
@@ -102,7 +102,7 @@ def monthly_comparison_v(staged_v: DataFrame, months: int = 12) -> DataFrame:
     """Variant: drafts included, English names, no null fill of the rate."""
     grouped = (staged_v.filter(C.customer_invoice()).groupBy("month")
                .agg(F.sum("amount_total").alias("f"), F.sum("collected_amt").alias("c"),
-                    F.count("id").alias("n")))
+                    C.count_docs(staged_v).alias("n")))
     return (_last_months(grouped, months)
             .select("month",
                     C.money_out(F.col("f")).alias("invoiced"),

@@ -13,7 +13,7 @@ from dataclasses import replace
 from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ from caudal.session import shared_dir
 from caudal.sources import decode
 from caudal.sources import ledger as L
 from caudal.sources.ledger import Ledger, main_ledger, variant_moves
+from caudal.sources.rejects import Sifted, sift_ledger
 from caudal.sources.tables import ledger_signature, mapped_ledger, materialise_ledger, table
 
 # The registered queries' run: its date, and the dates of the "_at" and "_empty" ones.
@@ -43,6 +44,7 @@ class Ctx:
 
     def __init__(self, spark: SparkSession, sf_dir: str | None, p: S.Params, raw: Ledger | None = None):
         self.spark, self.sf_dir, self.p = spark, sf_dir, p
+        self.loads: dict[str, object] = {}  # copies of the ledger in other formats
         if raw is not None:
             self.raw = raw  # overrides the mapped ledger (any source, see publish)
 
@@ -126,12 +128,13 @@ def erp_moves_text(raw_moves: DataFrame) -> DataFrame:
 
 
 def erp_payments_text(raw_payments: DataFrame) -> DataFrame:
-    """Payments as exported; every fourth has no journal, every ninth a one-item list."""
+    """Payments as exported; every fourth has no journal, every ninth a one-item list, every tenth an unreadable date."""
     i = F.col("id")
     journal = (F.when(i % 4 == 0, F.lit("false")).when(i % 9 == 0, F.lit("[3]"))
                .otherwise(F.concat(F.lit("[3, \"Banco "), (i % 3).cast("string"), F.lit('"]'))))
     return raw_payments.select(
-        i.cast("string").alias("id"), F.col("date").cast("string").alias("date"),
+        i.cast("string").alias("id"),
+        F.when(i % 10 == 3, F.lit("n/a")).otherwise(F.col("date").cast("string")).alias("date"),
         F.col("amount").cast("string").alias("amount"), "payment_type", "state",
         F.concat(F.lit('[9, "'), F.col("partner_name"), F.lit('"]')).alias("partner_id"), journal.alias("journal_id"))
 
@@ -145,11 +148,13 @@ def erp_journals_text(raw_journals: DataFrame) -> DataFrame:
 
 
 def _reloaded(c: Ctx, fmt: str) -> Ledger:
-    """The ledger written to the shared folder in ``fmt`` and loaded from there.
+    """The ledger written to the shared folder in ``fmt`` and loaded from there, once per context.
 
     The csv copy has no payment date (an optional column) and names the
     balance ``balance``; the Parquet copy is partitioned by period.
     """
+    if fmt in c.loads:
+        return c.loads[fmt]
     path = f"{shared_dir(c.spark)}/caudal/loads/{uuid.uuid4().hex}"
     moves, payments, journals = c.raw.moves, c.raw.payments, c.raw.journals
     if fmt == "erp-json":
@@ -164,14 +169,44 @@ def _reloaded(c: Ctx, fmt: str) -> Ledger:
         if S.INVOICE_PERIOD in df.columns:
             writer = writer.partitionBy(*S.LEDGER_PARTITIONS)
         writer.format("json" if fmt == "erp-json" else fmt).save(f"{path}/{name}")
-    return L.load_ledger(c.spark, path, fmt)
+    c.loads[fmt] = L.load_ledger(c.spark, path, fmt)
+    return c.loads[fmt]
+
+
+def faulty_export(raw: Ledger) -> dict[str, DataFrame]:
+    """The ERP export as lines of JSON, some of them bad: lines cut off in the
+    middle, ids missing, amounts and ids that are no numbers, spread over the ids."""
+    def lines(df: DataFrame, cut: Column | None = None) -> DataFrame:
+        line = F.to_json(F.struct(*df.columns))
+        if cut is not None:
+            line = F.when(cut, F.substring(line, F.lit(1), (F.length(line) / 2).cast("int"))).otherwise(line)
+        return df.select(line.alias("value"))
+
+    i = F.col("id").cast("bigint")
+    moves = erp_moves_text(raw.moves).withColumns({
+        "amount_total": F.when(i % 19 == 4, F.lit("n/d")).otherwise(F.col("amount_total")), "_i": i})
+    moves = moves.withColumn("id", F.when(i % 23 != 5, F.col("id")))
+    payments = erp_payments_text(raw.payments).withColumns({
+        "amount": F.when(i % 31 == 7, F.lit("12,50 MXN")).otherwise(F.col("amount")),
+        "id": F.when(i % 37 == 8, F.concat(F.lit("P-"), F.col("id"))).otherwise(F.col("id"))})
+    journals = erp_journals_text(raw.journals).withColumn("id", F.when(i == 4, F.lit("four")).otherwise(F.col("id")))
+    return {"moves": lines(moves, F.col("_i") % 29 == 6), "payments": lines(payments), "journals": lines(journals)}
+
+
+def _sifted(c: Ctx) -> Sifted:
+    """The faulty export, written to the shared folder once per context and sifted from there."""
+    if "faulty" not in c.loads:
+        path = f"{shared_dir(c.spark)}/caudal/loads/{uuid.uuid4().hex}"
+        for name, df in faulty_export(c.raw).items():
+            df.write.text(f"{path}/{name}")
+        c.loads["faulty"] = path
+    return sift_ledger(c.spark, c.loads["faulty"])
 
 
 def _partner_lookup(c: Ctx) -> DataFrame:
-    """Orders that deliver a customer id only, named by a lookup that lacks every fifth customer."""
+    """Orders that deliver a customer id only, named by the lookup."""
     ids = table(c.spark, c.sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("partner_id"))
-    names = (table(c.spark, c.sf_dir, "customer").filter("c_custkey % 5 <> 0")
-             .select(F.col("c_custkey").alias("partner_id"), F.col("c_name").alias("partner_name")))
+    names = table(c.spark, c.sf_dir, "customer").select(F.col("c_custkey").alias("partner_id"), F.col("c_name").alias("partner_name"))
     return L.attach_partner_names(ids, names).select("id", "partner_name")
 
 
@@ -207,8 +242,16 @@ _q("load_csv")(lambda c: _reloaded(c, "csv").moves)
 _q("load_json")(lambda c: _reloaded(c, "json").moves)
 _q("load_parquet")(lambda c: L.moves_source(_reloaded(c, "parquet").moves, c.p.as_of, c.p.lookback_days))
 _q("load_erp")(lambda c: _reloaded(c, "erp-json").moves)
+for _key, _fmt in (("csv", "csv"), ("json", "json"), ("parquet", "parquet"), ("erp", "erp-json")):
+    _q(f"load_payments_{_key}")(lambda c, _f=_fmt: _reloaded(c, _f).payments.select(*S.PAYMENTS_SCHEMA.fieldNames()))
+    _q(f"load_journals_{_key}")(lambda c, _f=_fmt: _reloaded(c, _f).journals)
+_q("load_rejects")(lambda c: _sifted(c).rejects.select("table_name", "reason", "id"))
+_q("load_accepted")(lambda c: _sifted(c).ledger.moves)
+_q("load_accepted_payments")(lambda c: _sifted(c).ledger.payments)
 _q("partner_lookup")(_partner_lookup)
 _q("undated_documents")(lambda c: L.undated_documents(c.raw.moves))
+_q("undated_payments")(lambda c: L.undated_payments(c.raw.payments))
+_q("undated_payments_erp")(lambda c: L.undated_payments(decode.decode_payments(erp_payments_text(c.raw.payments))))
 
 # staging
 _q("staging")(lambda c: c.staged)
@@ -278,6 +321,9 @@ _q("whatif_runway")(lambda c: P.whatif_runway(c.spark, c.staged, c.main.journals
                                               days=c.p.horizon_days, months=c.p.burn_months))
 _q("min_collection_rate")(lambda c: P.min_collection_rate(c.spark, c.staged, c.main.journals, c.p.as_of,
                                                           days=c.p.horizon_days))
+_q("break_even_rate")(lambda c: P.break_even_rate(c.spark, c.staged, c.main.journals, c.p.as_of, days=c.p.horizon_days))
+_q("break_even_rate_at", EARLIER)(lambda c: P.break_even_rate(c.spark, c.staged, c.main.journals, c.p.as_of,
+                                                              days=c.p.horizon_days))
 _q("projected_cash_doc")(lambda c: P.projected_cash_doc(c.spark, c.staged, c.main.journals, c.p.as_of,
                                                         days=c.p.horizon_days, months=c.p.burn_months))
 

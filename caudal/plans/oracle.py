@@ -398,14 +398,42 @@ SELECT id, name, type, CASE WHEN id % 2 = 0 THEN 0.0 ELSE {money('current_balanc
     q["journal_decode"] = _with() + f"""
 SELECT id, date, {money('amount')} AS amount, payment_type, state, partner_name,
   CASE WHEN id % 4 = 0 OR id % 9 = 0 THEN 'desconocido' ELSE 'Banco ' || CAST(id % 3 AS VARCHAR) END AS journal_tipo
-FROM payments"""
+FROM payments WHERE id % 10 <> 3"""
     q["load_json"] = _with() + f"\nSELECT {plain} FROM moves_raw"
     q["load_csv"] = _with() + "\nSELECT " + moves_cols.format(
         due="date_maturity", partner="partner_name", paid="CAST(NULL AS DATE)") + " FROM moves_raw"
     q["load_erp"] = _with() + f"\nSELECT {moves_cols.format(due=due, partner=named, paid='payment_date')} FROM moves_raw"
     q["load_parquet"] = q["moves_source"]
+    paid_cols = f"id, {{day}} AS date, {money('amount')} AS amount, payment_type, state, partner_name, {{journal}} AS journal_tipo"
+    erp_journal = "CASE WHEN id % 4 = 0 OR id % 9 = 0 THEN 'desconocido' ELSE 'Banco ' || CAST(id % 3 AS VARCHAR) END"
+    erp_day = "CASE WHEN id % 10 <> 3 THEN date END"
+    balances = f"\nSELECT id, name, type, {money('current_balance')} AS current_balance FROM journals_raw"
+    for fmt in ("csv", "json", "parquet"):
+        q[f"load_payments_{fmt}"] = _with() + "\nSELECT " + paid_cols.format(
+            day="date", journal="CAST(NULL AS VARCHAR)") + " FROM payments_raw"
+        q[f"load_journals_{fmt}"] = _with() + balances
+    q["load_payments_erp"] = _with() + f"\nSELECT {paid_cols.format(day=erp_day, journal=erp_journal)} FROM payments_raw"
+    q["load_journals_erp"] = q["lenient_balances"]
+    # The faulty export: what is wrong with which row.
+    bad_move = ("CASE WHEN id % 29 = 6 THEN 'malformed' WHEN id % 23 = 5 THEN 'missing id' "
+                "WHEN id % 19 = 4 THEN 'unreadable amount_total' END")
+    bad_payment = "CASE WHEN id % 37 = 8 THEN 'unreadable id' WHEN id % 31 = 7 THEN 'unreadable amount' END"
+    q["load_rejects"] = _with() + f"""
+SELECT 'moves' AS table_name, {bad_move} AS reason, CASE WHEN id % 29 <> 6 AND id % 23 <> 5 THEN CAST(id AS VARCHAR) END AS id
+FROM moves_raw WHERE {bad_move} IS NOT NULL
+UNION ALL
+SELECT 'payments', {bad_payment}, CASE WHEN id % 37 = 8 THEN 'P-' ELSE '' END || CAST(id AS VARCHAR)
+FROM payments_raw WHERE {bad_payment} IS NOT NULL
+UNION ALL
+SELECT 'journals', 'unreadable id', 'four' FROM journals_raw WHERE id = 4"""
+    q["load_accepted"] = q["load_erp"] + f" WHERE {bad_move} IS NULL"
+    q["load_accepted_payments"] = q["load_payments_erp"] + f" WHERE {bad_payment} IS NULL"
+    q["undated_payments"] = _with() + """
+SELECT payment_type, CAST(count(*) AS BIGINT) AS n_undated FROM payments_raw WHERE date IS NULL GROUP BY payment_type"""
+    q["undated_payments_erp"] = _with() + """
+SELECT payment_type, CAST(count(*) AS BIGINT) AS n_undated FROM payments_raw WHERE id % 10 = 3 GROUP BY payment_type"""
     q["partner_lookup"] = """
-SELECT o_orderkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN c_name ELSE 'Sin partner' END AS partner_name
+SELECT o_orderkey AS id, coalesce(c_name, 'Sin partner') AS partner_name
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
     q["undated_documents"] = _with() + """
 SELECT move_type, CAST(count(*) AS BIGINT) AS n_undated FROM moves_raw WHERE invoice_date IS NULL GROUP BY move_type"""
@@ -552,6 +580,27 @@ FROM rw"""
 SELECT CAST(min(CASE WHEN low > 0 THEN pct END) AS INTEGER) AS min_cobrabilidad_pct,
   {money('max(CASE WHEN pct = 85 THEN last END) - max(CASE WHEN pct = 75 THEN last END)', 6)} AS impacto_caida
 FROM per"""
+    for key, at in (("break_even_rate", PARAMS), ("break_even_rate_at", EARLIER)):
+        last = at.as_of + timedelta(days=at.horizon_days)
+        q[key] = _with(f"""due AS (
+  SELECT fecha, coalesce(base_in, 0) AS i, coalesce(base_out, 0) AS o FROM daily WHERE fecha < {_d(last)}
+  UNION ALL SELECT {_d(at.as_of)}, 0, 0
+),
+per_day AS (SELECT fecha, sum(i) AS i, sum(o) AS o FROM due GROUP BY fecha),
+sums AS (
+  SELECT CAST(100 * sum(i) OVER w AS HUGEINT) AS den,
+    CAST(100 * (sum(o) OVER w - (SELECT saldo FROM bal)) AS HUGEINT) AS num
+  FROM per_day WINDOW w AS (ORDER BY fecha)
+),
+rates AS (
+  SELECT CASE WHEN num <= 0 THEN 0 WHEN den > 0 THEN (num * 100000000 + den - 1) // den END AS rate,
+    CASE WHEN num < 0 THEN 0 WHEN den > 0 THEN 5 * (20 * num // den + 1) END AS position
+  FROM sums
+)""", p=at) + """
+SELECT CASE WHEN ok THEN round_even(CAST(rate AS DOUBLE) / 1000000, 6) END AS break_even_pct,
+  CASE WHEN ok AND position <= 100 THEN CAST(position AS INTEGER) END AS min_cobrabilidad_pct
+FROM (SELECT max(rate) AS rate, max(position) AS position,
+  count(rate) = count(*) AND count(position) = count(*) AND EXISTS (SELECT 1 FROM staging) AS ok FROM rates)"""
     q["projected_cash_doc"] = _with(_scenarios(g.start, g.stop, g.step), """recv AS (
   SELECT coalesce(sum(amount_residual), 0) AS cxc FROM staging WHERE move_type = 'out_invoice'
 )""") + f"""

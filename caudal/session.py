@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -99,3 +100,48 @@ def input_signature(spark: SparkSession, path: str) -> str:
             else:
                 digest.update(f"{f['path']}|{f['length']}|{f['modification_time']}\n".encode())
     return digest.hexdigest()
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that readers see whole or not at all: written beside its place, then moved there."""
+    aside, fs = _file_system(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    if not fs.rename(aside, _file_system(spark, path)[0]):
+        raise OSError(f"cannot publish {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in ``path`` (hidden ones left out); none where it does not exist."""
+    if not path_exists(spark, path):
+        return []
+    names = (f["path"].rstrip("/").rsplit("/", 1)[-1] for f in _listing(spark, path) if f["isDirectory"] == "false")
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """``source`` becomes ``target``, which must not be there yet, in one move."""
+    (src, fs), (dst, _) = _file_system(spark, source), _file_system(spark, target)
+    fs.mkdirs(dst.getParent())
+    if fs.exists(dst) or not fs.rename(src, dst):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)

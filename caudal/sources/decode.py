@@ -8,6 +8,8 @@ with its id in the message, instead of passing as a paid one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,28 +47,36 @@ def strict(table: str, field: str, kind: T.DataType | str) -> Column:
     return F.coalesce(raw.try_cast(kind), F.raise_error(said).cast(kind))
 
 
-def decode_moves(raw: DataFrame) -> DataFrame:
+def lenient(table: str, field: str, kind: T.DataType | str) -> Column:
+    """``field`` read as ``kind``, null where it cannot be: for rows that were judged before."""
+    return F.col(field).try_cast(kind)
+
+
+Reader = Callable[[str, str, "T.DataType | str"], Column]
+
+
+def decode_moves(raw: DataFrame, read: Reader = strict) -> DataFrame:
     """Raw ERP moves (text) to the typed ``moves`` schema."""
     return raw.select(
-        strict("moves", "id", "bigint").alias("id"),
+        read("moves", "id", "bigint").alias("id"),
         F.col("name"),
         F.col("move_type"),
         F.col("state"),
         lenient_date(F.col("invoice_date")).alias("invoice_date"),
         lenient_date(F.col("invoice_date_due")).alias("date_maturity"),
-        strict("moves", "amount_total", S.MONEY).alias("amount_total"),
-        strict("moves", "amount_residual", S.MONEY).alias("amount_residual"),
+        read("moves", "amount_total", S.MONEY).alias("amount_total"),
+        read("moves", "amount_residual", S.MONEY).alias("amount_residual"),
         many2one_name(F.col("partner_id"), S.NO_PARTNER).alias("partner_name"),
         lenient_date(F.col("payment_date")).alias("payment_date"),
     )
 
 
-def decode_payments(raw: DataFrame) -> DataFrame:
+def decode_payments(raw: DataFrame, read: Reader = strict) -> DataFrame:
     """Raw ERP payments (text) to the typed ``payments`` schema; the journal's name is its type."""
     return raw.select(
-        F.col("id").try_cast("bigint").alias("id"),
+        read("payments", "id", "bigint").alias("id"),
         lenient_date(F.col("date")).alias("date"),
-        strict("payments", "amount", S.MONEY).alias("amount"),
+        read("payments", "amount", S.MONEY).alias("amount"),
         F.col("payment_type"),
         F.col("state"),
         many2one_name(F.col("partner_id"), S.NO_PARTNER).alias("partner_name"),
@@ -74,10 +84,13 @@ def decode_payments(raw: DataFrame) -> DataFrame:
     )
 
 
-def decode_journals(raw: DataFrame) -> DataFrame:
+def decode_journals(raw: DataFrame, read: Reader = strict) -> DataFrame:
     return raw.select(
-        strict("journals", "id", "bigint").alias("id"),
+        read("journals", "id", "bigint").alias("id"),
         F.col("name"),
         F.col("type"),
         lenient_money(F.col("current_balance")).alias("current_balance"),
     )
+
+
+DECODERS = {"moves": decode_moves, "payments": decode_payments, "journals": decode_journals}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caudal import schema as S
-from caudal.functions.columns import lit_date
+from caudal.functions.columns import count_docs, lit_date
 from caudal.sources import decode
 
 
@@ -56,6 +56,12 @@ def undated_documents(moves: DataFrame) -> DataFrame:
     groups) is read.
     """
     return (moves.filter(F.col("invoice_date").isNull()).groupBy("move_type")
+            .agg(count_docs(moves).alias("n_undated")))
+
+
+def undated_payments(payments: DataFrame) -> DataFrame:
+    """How many payments no window can hold, for want of a date, by type; counted before any window."""
+    return (payments.filter(F.col("date").isNull()).groupBy("payment_type")
             .agg(F.count(F.lit(1)).alias("n_undated")))
 
 

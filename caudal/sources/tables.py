@@ -189,12 +189,6 @@ def ledger_signature(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1(f"{sig}|v9".encode()).hexdigest()[:16]
 
 
-def _mapped(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
-    moves = map_moves(spark, sf_dir).withColumn(S.INVOICE_PERIOD, F.date_format("invoice_date", S.PERIOD_PATTERN))
-    payments = map_payments(moves).withColumn(S.PAYMENT_PERIOD, F.date_format("date", S.PERIOD_PATTERN))
-    return Ledger(moves, payments, map_journals(spark, sf_dir, as_of))
-
-
 def _base(spark: SparkSession, sf_dir: str) -> str:
     return f"{shared_dir(spark)}/caudal/ledger/{ledger_signature(spark, sf_dir)}"
 
@@ -207,13 +201,20 @@ def _read_moves(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(_with_periods(S.MOVES_SCHEMA, S.INVOICE_PERIOD)).parquet(f"{base}/moves")
 
 
+_WHOLE: set[tuple[str, str]] = set()
+
+
 def _committed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:
     """A small table that was written by one task and has rows. A write that died
     half way has none, whatever folders and marker files it left."""
     if not path_exists(spark, path):
         return None
     df = spark.read.schema(schema).parquet(path)
-    return None if df.isEmpty() else df
+    key = path.rstrip("/"), spark.sparkContext.applicationId  # what was whole once stays so: nothing is written twice
+    if key not in _WHOLE and df.isEmpty():
+        return None
+    _WHOLE.add(key)
+    return df
 
 
 def _balances(base: str, as_of: date) -> str:
@@ -223,12 +224,16 @@ def _balances(base: str, as_of: date) -> str:
 def mapped_ledger(spark: SparkSession, sf_dir: str, as_of: date) -> Ledger:
     """Raw ledger of the given tables: what :func:`materialise_ledger` wrote of
     exactly these files, and the mapping itself, as a plan, for the rest. Never writes."""
-    base, mapped = _base(spark, sf_dir), _mapped(spark, sf_dir, as_of)
+    base = _base(spark, sf_dir)
     journals = _committed(spark, _balances(base, as_of), S.JOURNALS_SCHEMA)
+    if journals is None:
+        journals = map_journals(spark, sf_dir, as_of)
     if _committed(spark, f"{base}/manifest", "signature string") is not None:
         payments = spark.read.schema(_with_periods(PAYMENTS_MAPPED, S.PAYMENT_PERIOD)).parquet(f"{base}/payments")
-        mapped = Ledger(_read_moves(spark, base), payments, mapped.journals)
-    return Ledger(mapped.moves, mapped.payments, mapped.journals if journals is None else journals)
+        return Ledger(_read_moves(spark, base), payments, journals)
+    moves = map_moves(spark, sf_dir).withColumn(S.INVOICE_PERIOD, F.date_format("invoice_date", S.PERIOD_PATTERN))
+    payments = map_payments(moves).withColumn(S.PAYMENT_PERIOD, F.date_format("date", S.PERIOD_PATTERN))
+    return Ledger(moves, payments, journals)
 
 
 def materialise_ledger(spark: SparkSession, sf_dir: str, *as_of: date) -> None:
