@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +27,7 @@ from caudal.session import shared_dir
 from caudal.sources import decode
 from caudal.sources import ledger as L
 from caudal.sources.ledger import Ledger, main_ledger, variant_moves
+from caudal.sources.pages import load_pages
 from caudal.sources.rejects import Sifted, sift_ledger
 from caudal.sources.tables import ledger_signature, mapped_ledger, materialise_ledger, table
 
@@ -203,6 +204,33 @@ def _sifted(c: Ctx) -> Sifted:
     return sift_ledger(c.spark, c.loads["faulty"])
 
 
+PAGE_RECORDS = 2000
+
+
+def write_pages(df: DataFrame, path: str, page_records: int = PAGE_RECORDS) -> None:
+    """Raw rows (text) as page files of about ``page_records`` records, as ``search_read`` returns them: many-to-one
+    fields as pairs."""
+    pages = max(1, -(-df.count() // page_records))
+    pairs = [c for c in ("partner_id", "journal_id") if c in df.columns]
+    plain = F.to_json(F.struct(*(c for c in df.columns if c not in pairs)))
+    record = F.concat(F.expr("substring(r, 1, length(r) - 1)"), *(
+        F.concat(F.lit(f', "{c}": '), F.col(c)) for c in pairs), F.lit("}"))
+    (df.withColumn("r", plain).select(F.pmod(F.xxhash64("id"), F.lit(pages)).alias("page"), record.alias("r"))
+     .groupBy("page").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ", "), F.lit("]")).alias("value"))
+     .repartition("page").write.partitionBy("page").text(path))
+
+
+def _paged(c: Ctx) -> str:
+    """The export as page files in the shared folder, written once per context."""
+    if "pages" not in c.loads:
+        path = f"{shared_dir(c.spark)}/caudal/loads/{uuid.uuid4().hex}"
+        for name, df in (("moves", erp_moves_text(c.raw.moves)), ("payments", erp_payments_text(c.raw.payments)),
+                         ("journals", erp_journals_text(c.raw.journals))):
+            write_pages(df, f"{path}/{name}")
+        c.loads["pages"] = path
+    return c.loads["pages"]
+
+
 def _partner_lookup(c: Ctx) -> DataFrame:
     """Orders that deliver a customer id only, named by the lookup."""
     ids = table(c.spark, c.sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("partner_id"))
@@ -248,6 +276,9 @@ for _key, _fmt in (("csv", "csv"), ("json", "json"), ("parquet", "parquet"), ("e
 _q("load_rejects")(lambda c: _sifted(c).rejects.select("table_name", "reason", "id"))
 _q("load_accepted")(lambda c: _sifted(c).ledger.moves)
 _q("load_accepted_payments")(lambda c: _sifted(c).ledger.payments)
+_q("load_pages")(lambda c: load_pages(c.spark, _paged(c)).moves)
+_q("load_pages_since")(lambda c: L.moves_source(load_pages(
+    c.spark, _paged(c), (c.p.as_of - timedelta(days=c.p.lookback_days)).isoformat()).moves, c.p.as_of, c.p.lookback_days))
 _q("partner_lookup")(_partner_lookup)
 _q("undated_documents")(lambda c: L.undated_documents(c.raw.moves))
 _q("undated_payments")(lambda c: L.undated_payments(c.raw.payments))

@@ -432,6 +432,10 @@ SELECT 'journals', 'unreadable id', 'four' FROM journals_raw WHERE id = 4"""
 SELECT payment_type, CAST(count(*) AS BIGINT) AS n_undated FROM payments_raw WHERE date IS NULL GROUP BY payment_type"""
     q["undated_payments_erp"] = _with() + """
 SELECT payment_type, CAST(count(*) AS BIGINT) AS n_undated FROM payments_raw WHERE id % 10 = 3 GROUP BY payment_type"""
+    q["load_pages"] = q["load_erp"]
+    q["load_pages_since"] = _with() + f"""
+SELECT id, name, move_type, state, invoice_date, {due} AS date_maturity, {money('amount_total')} AS amount_total,
+  {money('amount_residual')} AS amount_residual, {named} AS partner_name FROM moves"""
     q["partner_lookup"] = """
 SELECT o_orderkey AS id, coalesce(c_name, 'Sin partner') AS partner_name
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""

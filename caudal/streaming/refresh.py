@@ -56,6 +56,7 @@ from caudal.operators.staging import stage
 from caudal.plans.publish import finish
 from caudal.session import (build_session, delete_path, file_names, move_folder, path_exists, read_text, shared_dir,
                             subfolders, write_text)
+from caudal.sources.history import HISTORY, Renamed, resolve
 from caudal.sources.ledger import Ledger, load_ledger, main_ledger, moves_source
 from caudal.sources.sinks import Refresh, published, read_folders, read_report
 
@@ -111,25 +112,31 @@ def write_extract(moves: DataFrame, inbox: str, seq: int, day: date, buckets: in
     move_folder(spark, aside, path)
 
 
-def extract_digests(spark: SparkSession, path: str, buckets: int) -> dict[str, list[str]]:
+def extract_digests(spark: SparkSession, path: str, buckets: int, history: tuple[Renamed, ...] = HISTORY) -> dict[str, list[str]]:
     """Digests of an extract: as delivered with it, or else by one scan."""
     if path_exists(spark, _digest_file(path)):
         said = json.loads(read_text(spark, _digest_file(path)))
         if said["buckets"] == buckets:
             return said["digests"]
-    return digests(spark.read.schema(S.MOVES_SCHEMA).parquet(path), buckets)
+    return digests(_moves(spark, path, [path], history), buckets)
 
 
-def bucket_rows(spark: SparkSession, path: str, chosen: list[int] | None, buckets: int) -> DataFrame:
+def _moves(spark: SparkSession, path: str, folders: list[str], history: tuple[Renamed, ...]) -> DataFrame:
+    """Moves in ``folders`` of the extract at ``path``, by the columns that its files have and its date."""
+    if not any(file_names(spark, f) or subfolders(spark, f) for f in folders):
+        return spark.createDataFrame([], S.MOVES_SCHEMA)
+    day = date.fromisoformat(path.rsplit("extract_date=", 1)[1].split("/")[0])
+    return resolve(spark.read.parquet(*folders), "moves", S.MOVES_SCHEMA, day, history)
+
+
+def bucket_rows(spark: SparkSession, path: str, chosen: list[int] | None, buckets: int,
+                history: tuple[Renamed, ...] = HISTORY) -> DataFrame:
     """Moves of an extract, with their bucket: of the ``chosen`` buckets, whose folders alone are read, or of all."""
-    folders = [f for f in subfolders(spark, path) if f.startswith(f"{BUCKET}=")]
-    reader = spark.read.schema(S.MOVES_SCHEMA)
     laid_out = path_exists(spark, _digest_file(path)) and json.loads(read_text(spark, _digest_file(path)))["buckets"] == buckets
     if chosen is not None and laid_out:
-        wanted = [f for f in folders if int(f.split("=", 1)[1]) in set(chosen)]
-        rows = reader.parquet(*(f"{path}/{f}" for f in wanted)) if wanted else spark.createDataFrame([], S.MOVES_SCHEMA)
-        return rows.withColumn(BUCKET, bucket_of(buckets))
-    rows = reader.parquet(path).select(*S.MOVES_SCHEMA.fieldNames()).withColumn(BUCKET, bucket_of(buckets))
+        names = [f for f in subfolders(spark, path) if f.startswith(f"{BUCKET}=") and int(f.split("=", 1)[1]) in set(chosen)]
+        return _moves(spark, path, [f"{path}/{f}" for f in names], history).withColumn(BUCKET, bucket_of(buckets))
+    rows = _moves(spark, path, [path], history).withColumn(BUCKET, bucket_of(buckets))
     return rows if chosen is None else rows.filter(F.col(BUCKET).isin(chosen))
 
 
@@ -203,24 +210,25 @@ def _states(spark: SparkSession, place: str) -> list[str]:
 
 
 def refresh(spark: SparkSession, path: str, workdir: str, extras: Ledger, p: S.Params,
-            buckets: int = BUCKETS) -> list[int] | None:
+            buckets: int = BUCKETS, history: tuple[Renamed, ...] = HISTORY) -> list[int] | None:
     """Publish the reports of the extract at ``path``; returns the buckets that
-    differ from the former extract's, None where all were read."""
+    differ from the former extract's, None where all were read. ``history`` has
+    the names that columns had over time."""
     place = f"{workdir}/state"
     names = _states(spark, place)
     state = json.loads(read_text(spark, f"{place}/{names[-1]}")) if names else None
     tick = int(names[-1].split(".")[0]) + 1 if names else 1
-    now = extract_digests(spark, path, buckets)
+    now = extract_digests(spark, path, buckets, history)
     if state and (state["buckets"] != buckets or not path_exists(spark, state["extract"])):
         state = None
     changed = state and sorted(int(b) for b in {*now, *state["digests"]} if now.get(b) != state["digests"].get(b))
 
     folder, made = f"{place}/facts/{tick:012d}-{uuid.uuid4().hex[:8]}", list(state["facts"]) if state else []
     if changed is None:
-        X.ledger_facts(bucket_rows(spark, path, None, buckets)).write.parquet(folder)
+        X.ledger_facts(bucket_rows(spark, path, None, buckets, history)).write.parquet(folder)
         made = [folder]
     elif changed:
-        old, new = (X.ledger_facts(bucket_rows(spark, e, changed, buckets)) for e in (state["extract"], path))
+        old, new = (X.ledger_facts(bucket_rows(spark, e, changed, buckets, history)) for e in (state["extract"], path))
         X.summed(X.signed(old, -1), X.signed(new, 1)).write.parquet(folder)
         made.append(folder)
     if len(made) > FACT_FOLDERS:
@@ -231,7 +239,7 @@ def refresh(spark: SparkSession, path: str, workdir: str, extras: Ledger, p: S.P
     tables = Refresh(spark, f"{workdir}/reports", p.as_of)
     former = published(spark, tables.out, p.as_of) if state and state["params"] == repr(p) else None
     todo = None if former is None else changed
-    _window_tables(tables, bucket_rows(spark, path, todo, buckets), former, todo, p, buckets)
+    _window_tables(tables, bucket_rows(spark, path, todo, buckets, history), former, todo, p, buckets)
     main = main_ledger(Ledger(spark.createDataFrame([], S.MOVES_SCHEMA), extras.payments, extras.journals), p.as_of, p.lookback_days)
     paid = main.payments.agg(*_row_hashes(main.payments.columns)).first()
     if former is not None and state["payments"] == list(paid):
@@ -263,7 +271,8 @@ def _clear_state(spark: SparkSession, place: str) -> None:
 def start_refresh(spark: SparkSession, inbox: str, workdir: str,
                   extras: Callable[[SparkSession], Ledger], p: S.Params | None = None, as_of: date | None = None,
                   available_now: bool = False, every: str = "5 minutes",
-                  files_per_batch: int | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+                  files_per_batch: int | None = None, buckets: int = BUCKETS,
+                  history: tuple[Renamed, ...] = HISTORY) -> StreamingQuery:
     """Start the refresh stream over ``inbox``; reports go to ``workdir/reports``.
 
     ``extras`` is called in every batch and gives payments and journals as
@@ -279,7 +288,7 @@ def start_refresh(spark: SparkSession, inbox: str, workdir: str,
             found = newest_extracts(session, inbox, [tuple(r) for r in batch.select(*EXTRACT).distinct().collect()])
         now = extras(session) if found else None
         for path, day in found:
-            refresh(session, path, workdir, now, replace(p or S.Params(as_of=day), as_of=as_of or day), buckets)
+            refresh(session, path, workdir, now, replace(p or S.Params(as_of=day), as_of=as_of or day), buckets, history)
 
     reader = spark.readStream.schema(EXTRACT_SCHEMA)
     if files_per_batch:
