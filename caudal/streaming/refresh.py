@@ -222,37 +222,41 @@ def refresh(spark: SparkSession, path: str, workdir: str, extras: Ledger, p: S.P
     if state and (state["buckets"] != buckets or not path_exists(spark, state["extract"])):
         state = None
     changed = state and sorted(int(b) for b in {*now, *state["digests"]} if now.get(b) != state["digests"].get(b))
-
-    folder, made = f"{place}/facts/{tick:012d}-{uuid.uuid4().hex[:8]}", list(state["facts"]) if state else []
-    if changed is None:
-        X.ledger_facts(bucket_rows(spark, path, None, buckets, history)).write.parquet(folder)
-        made = [folder]
-    elif changed:
-        old, new = (X.ledger_facts(bucket_rows(spark, e, changed, buckets, history)) for e in (state["extract"], path))
-        X.summed(X.signed(old, -1), X.signed(new, 1)).write.parquet(folder)
-        made.append(folder)
-    if len(made) > FACT_FOLDERS:
-        X.summed(read_folders(spark, made, X.SCHEMA)).write.parquet(f"{folder}-all")
-        made = [f"{folder}-all"]
-    facts = read_folders(spark, made, X.SCHEMA)
-
+    paid, held = (list(df.agg(*_row_hashes(df.columns)).first()) for df in (extras.payments, extras.journals))
     tables = Refresh(spark, f"{workdir}/reports", p.as_of)
     former = published(spark, tables.out, p.as_of) if state and state["params"] == repr(p) else None
-    todo = None if former is None else changed
-    _window_tables(tables, bucket_rows(spark, path, todo, buckets, history), former, todo, p, buckets)
-    main = main_ledger(Ledger(spark.createDataFrame([], S.MOVES_SCHEMA), extras.payments, extras.journals), p.as_of, p.lookback_days)
-    paid = main.payments.agg(*_row_hashes(main.payments.columns)).first()
-    if former is not None and state["payments"] == list(paid):
-        tables.reuse("payments", former["payments"], main.payments.schema)
-    else:
-        tables.write("payments", main.payments, one_file=False)
-    tables.write("journals", main.journals)
-    tables.write("facts", X.summed(facts.filter(F.col("kind") == X.DAY)))
-    finish(tables, tables.read("facts"), X.summed(facts.filter(F.col("kind") == X.PARTNER)), tables.read(CANDIDATES),
-           extras.payments, extras.journals, p)
+    made = list(state["facts"]) if state else []
+
+    # With nothing new since the former publication of this date, that one stands.
+    if former is None or changed or (state["payments"], state["journals"]) != (paid, held):
+        folder = f"{place}/facts/{tick:012d}-{uuid.uuid4().hex[:8]}"
+        if changed is None:
+            X.ledger_facts(bucket_rows(spark, path, None, buckets, history)).write.parquet(folder)
+            made = [folder]
+        elif changed:
+            old, new = (X.ledger_facts(bucket_rows(spark, e, changed, buckets, history)) for e in (state["extract"], path))
+            X.summed(X.signed(old, -1), X.signed(new, 1)).write.parquet(folder)
+            made.append(folder)
+        if len(made) > FACT_FOLDERS:
+            X.summed(read_folders(spark, made, X.SCHEMA)).write.parquet(f"{folder}-all")
+            made = [f"{folder}-all"]
+        facts = read_folders(spark, made, X.SCHEMA)
+
+        todo = None if former is None else changed
+        _window_tables(tables, bucket_rows(spark, path, todo, buckets, history), former, todo, p, buckets)
+        main = main_ledger(Ledger(spark.createDataFrame([], S.MOVES_SCHEMA), extras.payments, extras.journals), p.as_of,
+                           p.lookback_days)
+        if former is not None and state["payments"] == paid:
+            tables.reuse("payments", former["payments"], main.payments.schema)
+        else:
+            tables.write("payments", main.payments, one_file=False)
+        tables.write("journals", main.journals)
+        tables.write("facts", X.summed(facts.filter(F.col("kind") == X.DAY)))
+        finish(tables, tables.read("facts"), X.summed(facts.filter(F.col("kind") == X.PARTNER)), tables.read(CANDIDATES),
+               extras.payments, extras.journals, p)
 
     write_text(spark, f"{place}/{tick:012d}.json", json.dumps({
-        "extract": path, "buckets": buckets, "digests": now, "facts": made, "params": repr(p), "payments": list(paid)}))
+        "extract": path, "buckets": buckets, "digests": now, "facts": made, "params": repr(p), "payments": paid, "journals": held}))
     _clear_state(spark, place)
     return changed
 

@@ -107,6 +107,22 @@ def test_one_changed_row_reads_one_bucket(spark, make_moves, extras, work, monke
     assert len(after - before) == 1 == len(before - after)  # the other buckets' tables are not written again
 
 
+def test_an_extract_like_the_one_before_publishes_nothing_new(spark, make_moves, extras, work):
+    """Unless payments or journals changed: then the reports follow, and the staged table is not written again."""
+    rows, p = _ledger(8, 40), S.Params(as_of=AS_OF)
+    seen = []
+    for seq in (1, 2, 3):
+        J.write_extract(make_moves(rows), f"{work}/inbox", seq, AS_OF, BUCKETS)
+        if seq == 3:
+            extras = Ledger(None, extras.payments, extras.journals.withColumn("current_balance", extras.journals.current_balance + 1)
+                            .select(*S.JOURNALS_SCHEMA.fieldNames()))
+        J.refresh(spark, f"{work}/inbox/extract_seq={seq}/extract_date={AS_OF.isoformat()}", work, extras, p, BUCKETS)
+        seen.append(published(spark, f"{work}/reports", AS_OF))
+    assert seen[0] == seen[1] != seen[2] and seen[1]["staging"] == seen[2]["staging"]
+    assert [n for n in os.listdir(f"{work}/state") if n.startswith("0")] and "extract_seq=3" in open(f"{work}/state/000000000003.json").read()
+    _equals_full(spark, work, make_moves(rows), extras, p, SOME)
+
+
 @pytest.mark.parametrize("delivered", [None, 4])
 def test_extracts_by_other_hands(spark, make_moves, extras, work, delivered):
     """Without digests, or with other buckets, the job finds the changed buckets by itself."""
