@@ -25,6 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caudal.llm.joins import counted_join
+from caudal.llm.tables import written
+
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -74,6 +77,9 @@ def verdicts(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
                  .withColumn("month", F.explode(F.sequence(F.trunc("from", "month"), F.trunc("to", "month"),
                                                            F.expr("interval 1 month"))))
                  .select("list", "pattern", "month", "from", "to"))
+    # Most of a url's patterns are on no list: only those that are go into the shuffle.
+    intervals = written(intervals)
+    keyed = counted_join(keyed, intervals.select("pattern").distinct(), ["pattern"], "left_semi")
     active = keyed.join(intervals, ["pattern", "month"]).filter(F.col("day").between(F.col("from"), F.col("to")))
     return active.groupBy("url", "day").agg(F.count_if(F.col("list") == "block").alias("n_block"),
                                             F.count_if(F.col("list") == "allow").alias("n_allow"))
