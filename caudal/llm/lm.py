@@ -125,15 +125,19 @@ def _scored(total: int, order: int, backoff: float, unseen: float):
         unknown = size.copy()
         np.subtract.at(unknown, of[hit], 1)
         sums = np.bincount(of, score, docs.num_rows).astype(np.float64)
-        return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "rows": docs["rows"].combine_chunks(), "n_words": size.astype(np.int64), "log_score": sums,
-                         "mean_log_score": sums / np.maximum(size, 1), "n_backoff": unknown.astype(np.int64)})
+        return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "rows": docs["rows"].combine_chunks(),
+                         "mean_log_score": sums / np.maximum(size, 1), "n_words": size.astype(np.int64), "log_score": sums,
+                         "n_backoff": unknown.astype(np.int64)})
     return run
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", backoff: float = BACKOFF,
           unseen: float = UNSEEN, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES,
           order: int = 2) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score, n_backoff) per row; natural logarithms."""
+    """(doc_id, mean_log_score, n_words, log_score, n_backoff) per row; natural logarithms.
+
+    Rank by ``mean_log_score``: the sum follows the length.
+    """
     if order < 1:
         raise ValueError("order must be 1 at least")
     shared_dir(docs.sparkSession)
@@ -163,7 +167,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", backoff:
     total = counts.agg(F.sum("words")).first()[0] or 0
     scored = rows.groupBy("g").cogroup(counts.select("g", "bucket", "z").groupBy("g")).applyInArrow(
         _scored(total, order, backoff, unseen),
-        "doc_id long, rows long, n_words long, log_score double, mean_log_score double, n_backoff long")
+        "doc_id long, rows long, mean_log_score double, n_words long, log_score double, n_backoff long")
     # One row per row again, a thousand at a time.
     lots = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / 1000).cast("int")))
     return (scored.withColumn("lot", lots)
