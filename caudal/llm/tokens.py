@@ -7,15 +7,18 @@ process keeps the ids of the words it met lately (two generations of at most
 tokenizer would, and stops behind a word are set apart, so that fewer different
 words remain. A word outside the memo that is Latin-1 letters with plain
 punctuation behind goes straight to the tokenizer's BPE model, piece by piece;
-any other word goes through the whole tokenizer.
+any other word goes through the whole tokenizer. Where each merge of the
+vocabulary makes the next id, ids are ranks, and the words of a-z that a call
+needs are merged all at once by tiktoken's routine, with the same ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -41,6 +44,28 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _by_ranks(path: str) -> tuple[Callable[[str], list[int]], np.ndarray] | None:
+    """A function from words of a-z, their last letters in upper case and nothing between them, to all their ids; and
+    the letters of each id. None if the vocabulary's ids are not in the order of its merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, end = model["vocab"], model.get("end_of_word_suffix")
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if not end or made != list(range(made[0], made[0] + len(made))) or len(vocab) != made[-1] + 1:
+        return None
+    ranks, sizes = {}, np.zeros(len(vocab), np.int64)
+    for token, i in vocab.items():
+        word = token.removesuffix(end)
+        if re.fullmatch("[a-z]+", word):
+            ranks[(word if word == token else word[:-1] + word[-1].upper()).encode()] = i
+            sizes[i] = len(word)
+    if any(bytes([c]) not in ranks for c in range(65, 123) if chr(c).isalpha()):
+        return None
+    return tiktoken.Encoding("words", pat_str="[a-z]*[A-Z]", mergeable_ranks=ranks, special_tokens={}).encode_ordinary, sizes
+
+
 class WordEncoder:
     """``encode(texts)`` gives the little-endian unsigned 32-bit ids of each text as bytes."""
 
@@ -50,6 +75,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.by_ranks = _by_ranks(path)
+        self.tails: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -64,6 +91,39 @@ class WordEncoder:
             return ids if len(letters) == len(word) else ids + self._bpe(word[len(letters):])
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
+    def _tail(self, tail: str) -> bytes:
+        """Ids of the punctuation behind a word."""
+        if tail not in self.tails:
+            if len(self.tails) >= 10_000:
+                self.tails = {}
+            self.tails[tail] = self._bpe(tail)
+        return self.tails[tail]
+
+    def _learn(self, new: Iterable[str]) -> None:
+        """Ids of words that are in no memo: words of a-z together, the others one by one."""
+        memo, plain, letters = self.young, [], []
+        for word in new:
+            known = self.old.get(word)
+            if known is not None:
+                memo[word] = known
+                continue
+            body = word.rstrip(_PLAIN_PUNCTUATION)
+            if self.by_ranks and body.isascii() and body.isalpha():
+                plain.append(word)
+                letters.append(body.lower())
+            else:
+                memo[word] = self._word(word)
+        if not plain:
+            return
+        encode, sizes = self.by_ranks
+        ids = np.array(encode("".join([x[:-1] + x[-1].upper() for x in letters])), "<u4")
+        cuts = 4 * np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(x) for x in letters]), "right")
+        raw, lo = ids.tobytes(), 0
+        for word, body, hi in zip(plain, letters, cuts.tolist()):
+            part = raw[lo:hi]
+            memo[word] = part if len(body) == len(word) else part + self._tail(word[len(body):])
+            lo = hi
+
     @staticmethod
     def _words(text: str) -> list[str]:
         if "<|" not in text:  # else a name in upper case could turn into a special token's
@@ -76,11 +136,10 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         split = list(map(self._words, texts))
-        memo, long = self.young, []
-        for word in set().union(*split).difference(memo):
-            memo[word] = self.old.get(word) or self._word(word)
-            if len(word) > LONG_WORD:
-                long.append(word)
+        memo = self.young
+        new = set().union(*split).difference(memo)
+        self._learn(new)
+        long = [word for word in new if len(word) > LONG_WORD]
         out = [b"".join(map(memo.__getitem__, words)) for words in split]
         for word in long:
             del memo[word]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 
@@ -38,6 +39,26 @@ def test_ids_are_the_tokenizers(plain):
         assert np.frombuffer(ids, "<u4").tolist() == plain(t), repr(t)
 
 
+def test_words_by_ranks_are_the_models(plain):
+    """Words of a-z, frequent letters and all letters, alone and with punctuation, short memos and long words."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices(rng.choice(["etaoinshrdlu", "ab", "abcdefghijklmnopqrstuvwxyz", "aeiouABC"]), k=rng.randint(1, 14)))
+             + rng.choice(["", "", ",", "!?", "..."]) for _ in range(30_000)] + ["x" * 300, "ha" * 80 + "!"]
+    text = " ".join(words)
+    (ids,) = tokens.encode_column(pa.array([text]), tokens.default_tokenizer())
+    assert np.frombuffer(ids, "<u4").tolist() == plain(text)
+
+
+def test_a_vocabulary_of_another_order_has_no_ranks(tmp_path):
+    said = json.loads(open(tokens.default_tokenizer(), encoding="utf-8").read())
+    said["model"]["merges"][5:7] = said["model"]["merges"][6:4:-1]
+    (tmp_path / "other.json").write_text(json.dumps(said), encoding="utf-8")
+    assert tokens._by_ranks(str(tmp_path / "other.json")) is None and tokens._by_ranks(tokens.default_tokenizer())
+    (ids,) = tokens.encode_column(pa.array(["some words, the others"]), str(tmp_path / "other.json"))
+    want = Tokenizer.from_file(str(tmp_path / "other.json")).encode("some words, the others", add_special_tokens=False).ids
+    assert np.frombuffer(ids, "<u4").tolist() == [*want, tokens.END_ID]
+
+
 def check(rows, docs, plain, capacity):
     want = []
     for i, t in docs:
