@@ -84,6 +84,23 @@ def test_pages_of_the_registered_export(spark):
     assert raw.rdd.getNumPartitions() == len(PagesReader(f"{path}/moves", S.RAW_MOVES_SCHEMA).partitions()) > 1
 
 
+def test_pages_are_cut_by_each_task_and_compressed(spark, tmp_path):
+    """No page is larger than asked for, none is lost, and the files take a fraction of the text they hold."""
+    i = F.col("id").cast("string")
+    rows = spark.range(0, 2500, 1, 3).select(i.alias("id"), F.lit("F").alias("name"), F.lit("a \"b\"").alias("state"), F.when(
+        F.col("id") != 7, F.concat(F.lit("["), i, F.lit(', "Acme"]'))).alias("partner_id"))
+    catalog.write_pages(rows, f"{tmp_path}/moves", 100)
+    catalog.write_pages(rows.limit(0), f"{tmp_path}/payments", 100)
+    reader = PagesReader(f"{tmp_path}/moves", S.RAW_MOVES_SCHEMA)
+    sizes = [sum(b.num_rows for b in reader.read(p)) for p in reader.partitions()]
+    assert max(sizes) == 100 and sum(sizes) == 2499 and len(sizes) <= 25 + 3  # a row without its pair is no record
+    assert {p.suffix for p in (tmp_path / "moves").glob("part-*")} == {".gz"}
+    got = {r.id: r for r in read_pages(spark, str(tmp_path), "moves").collect()}
+    assert set(got) == {str(k) for k in range(2500) if k != 7}
+    assert (got["9"].state, json.loads(got["9"].partner_id), got["9"].invoice_date) == ('a "b"', [9, "Acme"], None)
+    assert read_pages(spark, str(tmp_path), "payments").count() == 0
+
+
 # -- columns over time ---------------------------------------------------------------------
 
 
