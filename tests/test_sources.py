@@ -5,9 +5,10 @@ import tempfile
 from datetime import date
 
 import pytest
-from ledger_rows import AS_OF, move
+from ledger_rows import AS_OF, SF_SMALL, move
 
 from caudal import schema as S
+from caudal.plans import catalog
 from caudal.sources import decode
 from caudal.sources.ledger import load_ledger, moves_source, payments_source, undated_documents
 from pyspark.sql import functions as F
@@ -147,3 +148,14 @@ def test_partner_lookup_and_journal_rename(spark, make_moves):
     led = load_ledger(spark, d, fmt="csv")
     assert float(led.journals.collect()[0].current_balance) == 12.5
     assert led.moves.collect()[0].payment_date is None
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "erp-json", "faulty"])
+def test_text_copies_are_compressed(spark, fmt):
+    """Written and read back at a fraction of the text's size, whole."""
+    ctx = catalog.context(spark, SF_SMALL)
+    copy = catalog._sifted(ctx).ledger if fmt == "faulty" else catalog._reloaded(ctx, fmt)
+    for df in (copy.moves, copy.payments, copy.journals):
+        assert df.inputFiles() and all(f.endswith(".gz") for f in df.inputFiles())
+    if fmt != "faulty":
+        assert (copy.moves.count(), copy.payments.count()) == (ctx.raw.moves.count(), ctx.raw.payments.count())
