@@ -16,7 +16,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from ledger_rows import SF_SMALL
+
 import __spark_entry__ as E
+from caudal.sources import tables
 
 QUERIES = ("moves_source", "journals_source", "aging_report", "kpi_bundle", "client_concentration",
            "scenario_grid", "monthly_net_cashflow", "kpi_bundle_v")
@@ -77,3 +80,12 @@ def test_skewed_tables_match_oracle(spark, skewed_dir, name):
     res = con.execute(E.oracle_sql()[name])
     dcols = [c[0] for c in res.description]
     assert _rows(df.columns, df.collect()) == _rows(dcols, res.fetchall())
+
+
+def test_large_tables_are_dealt_by_their_size(spark, monkeypatch):
+    """Bills of a table above a task's share per core are made by as many tasks as it has shares, and are the same."""
+    want = tables.map_moves(spark, SF_SMALL)
+    monkeypatch.setattr(tables, "TASK_BYTES", tables.input_bytes(spark, f"{SF_SMALL}/lineitem.parquet") // 8)
+    got = tables.map_moves(spark, SF_SMALL).filter("move_type = 'in_invoice'")
+    assert got.rdd.getNumPartitions() == 9  # nine shares, and no task of the orders
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.filter("move_type = 'in_invoice'").collect()))
