@@ -102,11 +102,13 @@ def _digest_file(path: str) -> str:
 
 
 def write_extract(moves: DataFrame, inbox: str, seq: int, day: date, buckets: int = BUCKETS) -> None:
-    """One full extract, laid out by bucket, with its digests; it appears in the inbox in one move."""
+    """One full extract, laid out by bucket, with its digests; it appears in the inbox in one move.
+
+    Each task writes its own rows of every bucket, so the moves are not shuffled and no task holds a whole bucket."""
     spark = moves.sparkSession
     aside, path = f"{inbox}/_incoming/{uuid.uuid4().hex}", _extract(inbox, seq, day)
-    (moves.select(*S.MOVES_SCHEMA.fieldNames(), bucket_of(buckets).alias(BUCKET)).repartition(BUCKET)
-     .write.partitionBy(BUCKET).parquet(aside))
+    (moves.select(*S.MOVES_SCHEMA.fieldNames(), bucket_of(buckets).alias(BUCKET))
+     .write.option("compression", "zstd").partitionBy(BUCKET).parquet(aside))
     found = digests(spark.read.schema(S.MOVES_SCHEMA).parquet(aside), buckets)
     write_text(spark, _digest_file(path), json.dumps({"buckets": buckets, "digests": found}))
     move_folder(spark, aside, path)
@@ -194,7 +196,7 @@ def _window_tables(tables: Refresh, moves: DataFrame, former: dict[str, list[str
     new: list[str] = []
     if changed != []:
         place = f"{tables.out}/{tables.folder('staging')}"
-        staged.withColumn(BUCKET, bucket_of(buckets)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(place)
+        staged.withColumn(BUCKET, bucket_of(buckets)).write.partitionBy(BUCKET).parquet(place)
         new = [f"{tables.folder('staging')}/{f}" for f in subfolders(spark, place) if f.startswith(f"{BUCKET}=")]
     kept = [] if changed is None else [f for f in former["staging"] if _bucket(f) not in changed]
     tables.reuse("staging", sorted([*kept, *new], key=_bucket), staged.schema)
@@ -322,7 +324,7 @@ def refresh_stream_query(spark: SparkSession, sf_dir: str, report: str = "aging_
     to completion and return a report it wrote (equals the batch one). The
     queries share one run per state of the input files."""
     from caudal.plans import catalog
-    from caudal.sources.tables import ledger_signature, mapped_ledger
+    from caudal.sources.tables import ledger_signature, map_payments, mapped_ledger
 
     p = catalog.PARAMS
     key = spark.sparkContext.applicationId, ledger_signature(spark, sf_dir)
@@ -330,9 +332,12 @@ def refresh_stream_query(spark: SparkSession, sf_dir: str, report: str = "aging_
         raw = mapped_ledger(spark, sf_dir, p.as_of)
         workdir = f"{shared_dir(spark)}/caudal/stream/{uuid.uuid4().hex}"
         inbox = f"{workdir}/inbox"
-        write_extract(extract_at(raw.moves, date(2000, 12, 31)), inbox, 1, date(2000, 12, 31))
+        # The mapping runs once: the former extract and the payments come from the moves just written.
         write_extract(raw.moves, inbox, 2, p.as_of)
-        q = start_refresh(spark, inbox, workdir, lambda _: raw, p, available_now=True)
+        moves = spark.read.schema(S.MOVES_SCHEMA).parquet(_extract(inbox, 2, p.as_of))
+        write_extract(extract_at(moves, date(2000, 12, 31)), inbox, 1, date(2000, 12, 31))
+        extras = Ledger(moves, map_payments(moves), raw.journals)
+        q = start_refresh(spark, inbox, workdir, lambda _: extras, p, available_now=True)
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))

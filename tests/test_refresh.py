@@ -11,13 +11,13 @@ from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
-from ledger_rows import AS_OF, move
+from ledger_rows import AS_OF, SF_SMALL, move
 
 from caudal import schema as S
 from caudal.operators import facts as X
 from caudal.plans import catalog
 from caudal.plans import publish as P
-from caudal.session import shared_dir
+from caudal.session import file_names, shared_dir
 from caudal.sources.ledger import Ledger
 from caudal.sources.sinks import Refresh, published, read_report
 from caudal.streaming import refresh as J
@@ -223,3 +223,28 @@ def test_dates_are_apart(spark, work):
         tables.commit()
     assert [read_report(spark, work, "t", d).count() for d in (AS_OF, date(2001, 1, 1))] == [1, 2]
     assert json.dumps(published(spark, work, date(1999, 1, 1))) == "null"
+
+
+def test_no_bucket_passes_through_one_task(spark, make_moves):
+    """Each task writes its own rows of a bucket; the extract holds all of them and their digests."""
+    work = f"{shared_dir(spark)}/caudal/test-refresh/{uuid.uuid4().hex}"
+    moves = make_moves([move(i) for i in range(400)]).repartitionByRange(4, "id")
+    J.write_extract(moves, work, 1, AS_OF, 2)
+    path = f"{work}/extract_seq=1/extract_date={AS_OF.isoformat()}"
+    assert [len(file_names(spark, f"{path}/{b}")) for b in ("bucket=0", "bucket=1")] == [4, 4]
+    assert sorted(r.id for r in J.bucket_rows(spark, path, None, 2).collect()) == list(range(400))
+    assert J.extract_digests(spark, path, 2) == J.digests(moves, 2)
+
+
+def test_registered_stream_reads_the_mapping_once(spark, monkeypatch):
+    """The former extract, and the payments of every tick, come from the extract written first."""
+    from caudal.sources import tables
+
+    written = []
+    real = J.write_extract
+    monkeypatch.setattr(J, "write_extract", lambda moves, *a, **k: (written.append(moves.inputFiles()), real(moves, *a, **k)))
+    monkeypatch.setattr(J, "_RUNS", {})
+    raw = tables.Ledger(tables.map_moves(spark, SF_SMALL), None, tables.map_journals(spark, SF_SMALL, AS_OF))
+    monkeypatch.setattr(tables, "mapped_ledger", lambda *a: raw)
+    assert J.refresh_stream_query(spark, SF_SMALL).count() == 5
+    assert [any(f"{SF_SMALL}/" in f for f in files) for files in written] == [True, False]
