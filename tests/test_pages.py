@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 from ledger_rows import AS_OF, SF_SMALL, move
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from caudal import schema as S
 from caudal.plans import catalog
 from caudal.session import shared_dir
+from caudal.sources import pages as pages_module
 from caudal.sources.history import Renamed, resolve, source_column
 from caudal.sources.ledger import Ledger
-from caudal.sources.pages import PagesReader, load_pages, read_pages
+from caudal.sources.pages import PagesReader, field_text, load_pages, read_pages
 from caudal.sources.sinks import read_report
 from caudal.streaming import refresh as J
 
@@ -101,6 +103,30 @@ def test_pages_are_cut_by_each_task_and_compressed(spark, tmp_path):
     assert read_pages(spark, str(tmp_path), "payments").count() == 0
 
 
+def test_many_pages_share_tasks(spark, pages):
+    """Far more pages than tasks are worth: runs of pages go to one task, each page to one run, and no row is lost."""
+    path = pages(*([{**RECORD, "id": 3 * k + j, "state": "draft" if j else "posted"} for j in range(3)] for k in range(200)))
+    reader = PagesReader(f"{path}/moves", S.RAW_MOVES_SCHEMA)
+    tasks = reader.partitions()
+    assert 64 <= len(tasks) < 100 and len({p for t in tasks for p in t.value}) == sum(len(t.value) for t in tasks) == 200
+    assert {b.num_rows for t in tasks for b in reader.read(t)} == {3}  # a page at a time
+    assert sorted(r.id for r in load_pages(spark, path).moves.collect()) == list(range(600))
+    assert sorted(r.id for r in load_pages(spark, path, since="2001-01-01").moves.collect()) == list(range(0, 600, 3))
+    assert load_pages(spark, path).payments.count() == 0  # a folder without pages
+
+
+def test_fields_of_any_kind_are_text(pages):
+    """Fields that are text in every record are taken as they are, others one by one; pairs as ``json.dumps`` writes them."""
+    values = ["a", None, False, True, 7, 2 ** 70, Decimal("1.50"), [7, "é \"X\" \\ \n"], [7], [7, 8], [True, "x"], ["7", "x"], [7, "x", 1], {"a": 1}]
+    kept = [v if v is None or isinstance(v, str) else str(v) if isinstance(v, (int, Decimal)) and not isinstance(v, bool) else json.dumps(v) for v in values]
+    assert [field_text(v) for v in values] == kept
+    path = pages([{**RECORD, "state": v} for v in values if not isinstance(v, Decimal)])
+    reader = PagesReader(f"{path}/moves", S.RAW_MOVES_SCHEMA)
+    got = [b.column(3).to_pylist() for t in reader.partitions() for b in reader.read(t)]
+    assert got == [[k for k, v in zip(kept, values) if not isinstance(v, Decimal)]]
+    assert pages_module._column([Decimal("1.50"), None, "a"]).to_pylist() == ["1.50", None, "a"]
+
+
 # -- columns over time ---------------------------------------------------------------------
 
 
