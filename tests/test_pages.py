@@ -6,7 +6,9 @@ import json
 import uuid
 from datetime import date, timedelta
 from decimal import Decimal
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from ledger_rows import AS_OF, SF_SMALL, move
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from caudal.session import shared_dir
 from caudal.sources import pages as pages_module
 from caudal.sources.history import Renamed, resolve, source_column
 from caudal.sources.ledger import Ledger
-from caudal.sources.pages import PagesReader, field_text, load_pages, read_pages
+from caudal.sources.pages import PagesReader, PagesWriter, field_text, load_pages, read_pages
 from caudal.sources.sinks import read_report
 from caudal.streaming import refresh as J
 
@@ -127,6 +129,27 @@ def test_fields_of_any_kind_are_text(pages):
     assert pages_module._column([Decimal("1.50"), None, "a"]).to_pylist() == ["1.50", None, "a"]
 
 
+def test_pages_of_lost_attempts_do_not_count(tmp_path, monkeypatch):
+    """Of a task's attempts only the committed one is read, and nothing hidden stays; a second write adds to the first."""
+    def attempt(writer, number, *ids):
+        monkeypatch.setattr(pages_module.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: number))
+        return writer.write(iter([pa.RecordBatch.from_arrays([pa.array([f'{{"id": "{i}"}}' for i in ids])], names=["record"])]))
+
+    def ids():
+        reader = PagesReader(str(tmp_path), S.RAW_MOVES_SCHEMA)
+        return [b.column(0).to_pylist() for t in reader.partitions() for b in reader.read(t)]
+
+    first, second, third = (PagesWriter(str(tmp_path), 2) for _ in range(3))
+    attempt(first, 1, 1, 2)
+    done = attempt(first, 2, 1, 2, 3)
+    assert ids() == [] and done.pages == 2  # not before the commit
+    first.commit([done, None])
+    assert ids() == [["1", "2"], ["3"]] and len(list(tmp_path.iterdir())) == 2
+    second.commit([attempt(second, 2, 4)])
+    third.abort([attempt(third, 2, 5)])
+    assert sorted(ids()) == [["1", "2"], ["3"], ["4"]] and len(list(tmp_path.iterdir())) == 3
+
+
 # -- columns over time ---------------------------------------------------------------------
 
 
